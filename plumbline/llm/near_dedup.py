@@ -5,9 +5,10 @@ set where that is no larger). Texts with equal sets are one class and are handle
 values give candidates: values held by one class only are dropped, the others are ordered by how many classes hold
 them, and a class enters the lists of its rarest values only, as many as any partner must share one of (``T`` of
 ``k`` sketch values agree for a partner at similarity 0.75 but for a chance below 1e-5; sets no larger than the sketch
-are treated exactly). In each list every member is first compared with one central member; lists that this does not
-bring into one component then give all pairs of members of different components. Each pair passes a filter that
-estimates the overlap on the union sketch, and then the exact Jaccard similarity of the full sets decides.
+are treated exactly). In each list every member is first compared with one central member, then with a few; lists that this does not bring into one component
+give all pairs of members of different components, unless the shingles that nobody else in such lists has already rule a
+pair out. Each pair passes a filter that estimates the overlap on the union sketch, and then the exact Jaccard
+similarity of the full sets decides.
 
 Cases: null or empty texts and texts without words have no shingles and are linked with nothing; fewer than five words
 make one shingle; repeated rows share a class; an empty table gives an empty table; columns other than the id and the
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import drop, gram_hashes, materialize, mix, slices, spans, text_buffers, whole_grams, word_hashes
@@ -30,8 +31,11 @@ K, T = 64, 32
 WORDS = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Lists up to this length give all their pairs of different components at once; longer ones go by more central members first.
-PIVOTS = 8
+#: In a list that holds several components, how many of its most central members are compared with all others, wave by
+#: wave; the last wave compares all that are left.
+WAVES = (1, 8, None)
+#: Members of a list that the last wave compares at once, in a block.
+BLOCK = 512
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,15 +149,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = materialize(docs.mapInArrow(_sketch_batches, "doc long, n long, f1 long, f2 long, sketch array<long>"), "near-sets")
     reps = materialize(sets.filter("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc").alias("rep"), F.first("sketch").alias("sketch")), "near-classes")
     prefix = materialize(_prefixes(reps), "near-prefixes")
-    links, tested = None, None
-    labels = None
-    for wave in range(3):
-        pairs = _star_pairs(prefix) if wave == 0 else _open_pairs(prefix, labels, tested, all_pairs=wave == 2)
-        if pairs is None:
-            break
-        pairs = materialize(pairs, "near-candidates")
+    links = tested = labels = None
+    for pivots in WAVES:
+        pairs = materialize(_star_pairs(prefix) if labels is None else _open_pairs(prefix, labels, tested, pivots, docs), "near-candidates")
         if pairs.isEmpty():
-            if wave == 0:
+            if tested is None:
                 break
             continue
         tested = pairs if tested is None else tested.union(pairs)
@@ -195,16 +195,78 @@ def _star_pairs(prefix: DataFrame) -> DataFrame:
     return pairs.select(F.least("rep", "p.c").alias("a"), F.greatest("rep", "p.c").alias("b")).distinct()
 
 
-def _open_pairs(prefix: DataFrame, labels: DataFrame | None, tested: DataFrame, all_pairs: bool) -> DataFrame:
+def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each text its whole set, and a bitmap of the 2,048 ranges of hashes that the set touches."""
+    for batch in batches:
+        data, offsets = text_buffers(batch.column(1))
+        for i, j, part, off in slices(data, offsets):
+            row, h = shingle_sets(part, off)
+            begin = np.searchsorted(row, np.arange(j - i + 1)).astype(np.int32)
+            touched = np.zeros((j - i, 2048), np.uint8)
+            touched[row, h >> np.uint64(53)] = 1
+            bits = np.packbits(touched, axis=1).view(np.int64).ravel()
+            lists = [pa.ListArray.from_arrays(pa.array(o), pa.array(v)) for o, v in ((begin, h.view(np.int64)), (np.arange(0, 32 * (j - i) + 1, 32, dtype=np.int32), bits))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *lists], ["own", "set", "bits"])
+
+
+def _own(reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """(own, bits, alone): bitmaps of the sets, and how many shingles of each of ``reps`` no other of them has."""
+    held = materialize(docs.join(reps.select(F.col("rep").alias("doc")), "doc", "left_semi").mapInArrow(_set_batches, "own long, set array<long>, bits array<long>"), "near-whole")
+    alone = held.select("own", F.explode("set").alias("value")).groupBy("value").agg(F.count("*").alias("df"), F.first("own").alias("own")).filter("df = 1")
+    return held.select("own", "bits").join(alone.groupBy("own").agg(F.count("*").alias("alone")), "own", "left")
+
+
+def _block_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Two blocks of members of one list a row; out come the pairs of different components that the bounds leave open."""
+    for batch in batches:
+        sides = []
+        for k in ("x", "y"):
+            column = batch.column(batch.schema.get_field_index(k))
+            flat, begin = column.flatten(), np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))))
+            get = lambda c, flat=flat: flat.field(c).to_numpy(zero_copy_only=False)
+            sides.append((begin, get("rep"), get("n"), get("most"), get("label"), flat.field("bits").flatten().to_numpy(zero_copy_only=False).reshape(-1, 32)))
+        same = batch.column(batch.schema.get_field_index("same")).to_numpy(zero_copy_only=False)
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        for r in range(batch.num_rows):
+            (ra, na, ma, la, ba), (rb, nb, mb, lb, bb) = ([c[s[0][r] : s[0][r + 1]] for c in s[1:]] for s in sides)
+            if same[r] and (la == la[0]).all():
+                continue
+            ua, ub = (np.unpackbits(np.ascontiguousarray(b).view(np.uint8), axis=1).astype(np.float32) for b in (ba, bb))
+            both = ua @ ub.T
+            most = np.minimum(na[:, None] - ua.sum(1)[:, None] + both, nb[None, :] - ub.sum(1)[None, :] + both)
+            most = np.minimum(most, np.minimum(ma[:, None], mb[None, :]))
+            open_ = (100 * most >= PERCENT * (na[:, None] + nb[None, :] - most)) & (la[:, None] != lb[None, :])
+            if same[r]:
+                open_ = np.triu(open_, 1)
+            p, q = np.nonzero(open_)
+            out.append((np.minimum(ra[p], rb[q]), np.maximum(ra[p], rb[q])))
+        a, b = (np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in (0, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+
+def _open_pairs(prefix: DataFrame, labels: DataFrame, tested: DataFrame, pivots: int | None, docs: DataFrame) -> DataFrame:
     """Pairs of different components in lists that still hold several."""
     known = prefix.join(labels, F.col("rep") == F.col("node"), "left").select("value", "rep", "n", "score", F.coalesce("label", "rep").alias("label"))
     mixed = known.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("l")).filter("lo <> hi")
-    known = known.join(mixed.select("value", "l"), "value")
-    left = known.select("value", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), "l", "score")
-    right = known.select("value", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    if not all_pairs:
-        rank = F.row_number().over(Window.partitionBy("value").orderBy(F.desc("score"), "a"))
-        left = left.withColumn("r", rank).filter(F.col("r") <= F.greatest(F.lit(PIVOTS), F.lit(0)))
-    cross = left.join(right, "value").filter((F.col("la") != F.col("lb")) & _near_sizes("na", "nb"))
-    pairs = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return pairs.join(tested, ["a", "b"], "left_anti")
+    known = materialize(known.join(mixed.select("value", "l"), "value"), "near-open")
+    if pivots is not None:
+        rank = F.row_number().over(Window.partitionBy("value").orderBy(F.desc("score"), "rep"))
+        left, right = (known.select("value", *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "n", "label"))) for x in "ab")
+        left = known.withColumn("r", rank).filter(F.col("r") <= pivots).select("value", *(F.col(c).alias(f"{c}_a") for c in ("rep", "n", "label")))
+        cross = left.join(right, [left.value == right.value, F.col("label_a") != F.col("label_b"), _near_sizes("n_a", "n_b")])
+        pairs = cross.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"))
+    else:
+        # an intersection holds no shingle that only one list member has, and none in a range that the partner doesn't touch
+        bounds = known.join(_own(known.select("rep").distinct(), docs), F.col("rep") == F.col("own"))
+        member = F.struct("rep", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most"), "label", "bits")
+        block = F.pmod(F.xxhash64("rep"), F.ceil(F.col("l") / BLOCK))
+        blocks = materialize(bounds.groupBy("value", block.alias("k")).agg(F.collect_list(member).alias("m")), "near-blocks")
+        x, y = blocks.select("value", F.col("k").alias("kx"), F.col("m").alias("x")), blocks.select(F.col("value").alias("v"), F.col("k").alias("ky"), F.col("m").alias("y"))
+        pairs = x.join(y, [F.col("value") == F.col("v"), F.col("kx") <= F.col("ky")]).select("x", "y", (F.col("kx") == F.col("ky")).alias("same")).mapInArrow(_block_batches, "a long, b long")
+    return pairs.distinct().join(tested, ["a", "b"], "left_anti")
+
+
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the size of its shingle set, its component, and whether it stays."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return near_duplicates(docs).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
