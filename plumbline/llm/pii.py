@@ -32,6 +32,7 @@ PATTERNS = {
 BASE = ("email", "ip", "card", "phone")
 #: Kind: prior score, words that raise it, words that lower it (looked for in the code points before the span).
 CONTEXT = 40
+RUN = 128
 SCORES = {
     "email": (0.9, r"(?i)mail|contact|write", r"(?i)example"),
     "ip": (0.5, r"(?i)\bip\b|address|host|server", r"(?i)version|release"),
@@ -79,21 +80,32 @@ def _score(kind: str, before: Column) -> Column:
 SPAN = "array<struct<kind:string,start:int,end:int,score:double,value:string>>"
 
 
+def _positions(pairs: Column) -> Column:
+    """Start, end and value of each match, and the text just before it."""
+    width = lambda x: F.length(x["p"]) + F.coalesce(F.length(x["m"]), F.lit(0))
+    # growing an array copies it, so positions are summed by runs of RUN matches: first where each run starts, then within it
+    run = lambda i: F.slice(pairs, i * RUN + 1, F.lit(RUN))
+    runs = F.sequence(F.lit(0), F.ceil(F.size(pairs) / RUN).cast("int") - 1)
+    sums = F.transform(runs, lambda i: F.aggregate(run(i), F.lit(0), lambda n, x: n + width(x)))
+    starts = F.aggregate(sums, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+    none = F.array().cast("array<struct<start:int,end:int,before:string,value:string>>")
+
+    def step(acc: Column, x: Column) -> Column:
+        begin = acc["at"] + F.length(x["p"])
+        one = F.array(F.struct(begin.alias("start"), (acc["at"] + width(x)).alias("end"), F.right(x["p"], F.lit(CONTEXT)).alias("before"), x["m"].alias("value")))
+        return F.struct((acc["at"] + width(x)).alias("at"), F.when(x["m"].isNull(), acc["found"]).otherwise(F.concat(acc["found"], one)).alias("found"))
+
+    return F.flatten(F.transform(F.arrays_zip(runs.alias("i"), starts.alias("at")), lambda r: F.when(r["i"].isNull(), none).otherwise(F.aggregate(run(r["i"]), F.struct(r["at"].alias("at"), none.alias("found")), step, lambda acc: acc["found"]))))
+
+
 def _kind_spans(text: Column, kind: str) -> Column:
     """The confirmed spans of one kind, in order."""
     pattern, test = PATTERNS[kind]
     likely = text.contains(test) if kind in ("email", "phone") else text.rlike(test)
     pieces, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.transform(F.arrays_zip(pieces.alias("p"), matches.alias("m")), lambda x: F.struct(x["p"].alias("p"), x["m"].alias("m")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,before:string,value:string>>").alias("found"))
-
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["p"])
-        end = begin + F.coalesce(F.length(x["m"]), F.lit(0))
-        one = F.array(F.struct(begin.alias("start"), end.alias("end"), F.right(x["p"], F.lit(CONTEXT)).alias("before"), x["m"].alias("value")))
-        return F.struct(end.alias("at"), F.when(x["m"].isNull(), acc["found"]).otherwise(F.concat(acc["found"], one)).alias("found"))
-
-    found = F.filter(F.aggregate(pairs, start, step, lambda acc: acc["found"]), lambda s: _valid(kind, s["value"]))
+    # one lambda variable holds the pieces and matches, or each use would run the patterns again
+    found = F.element_at(F.transform(F.array(F.arrays_zip(pieces.alias("p"), matches.alias("m"))), _positions), 1)
+    found = F.filter(found, lambda s: _valid(kind, s["value"]))
     scored = F.transform(found, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), _score(kind, s["before"]).alias("score"), s["value"].alias("value")))
     return F.when(likely, scored).otherwise(F.array().cast(SPAN)).cast(SPAN)
 

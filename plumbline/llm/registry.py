@@ -1,16 +1,19 @@
 """Queries of the corpus operators and, where SQL can express one, the SQL."""
 
-from plumbline.llm import exact_dedup, mixing, near_dedup, pii, url_filter
+from plumbline.llm import exact_dedup, mixing, near_dedup, pii, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_url_filter": url_filter.op3_url_filter,
     "op5_near_dedup": near_dedup.op5_near_dedup,
+    "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_pii": pii.op10_pii,
 }
 ORACLE_SQL = {
     "op1_mixing": mixing.OP1_SQL,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_url_filter": url_filter.OP3_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
 }
