@@ -119,12 +119,20 @@ def spans(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray | None = Non
     return s, e, np.searchsorted(offsets, s, "right") - 1
 
 
+def running_hash(data: np.ndarray, lower: bool = False) -> np.ndarray:
+    """Sums from which :func:`span_hashes` takes the hash of any run of bytes."""
+    c = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((_LOWER if lower else _BYTE)[data] * _power(_P, len(data)), out=c[1:])
+    return c
+
+
+def span_hashes(c: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    return mix((c[e] - c[s]) * _power(_PINV, len(c))[s] + (e - s).astype(np.uint64))
+
+
 def word_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray, lower: bool = False) -> np.ndarray:
     """A hash of the bytes of each word; ``lower`` first lower-cases A-Z."""
-    n = len(data)
-    c = np.zeros(n + 1, np.uint64)
-    np.cumsum((_LOWER if lower else _BYTE)[data] * _power(_P, n), out=c[1:])
-    return mix((c[e] - c[s]) * _power(_PINV, n + 1)[s] + (e - s).astype(np.uint64))
+    return span_hashes(running_hash(data, lower), s, e)
 
 
 def gram_hashes(w: np.ndarray, n: int) -> np.ndarray:

@@ -1,12 +1,15 @@
 """Queries of the corpus operators and, where SQL can express one, the SQL."""
 
-from plumbline.llm import exact_dedup, mixing, near_dedup, pii, substring_dedup, toxicity, url_filter
+from plumbline.llm import exact_dedup, html, media, mixing, near_dedup, pii, substring_dedup, subword, toxicity, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_url_filter": url_filter.op3_url_filter,
+    "op4_sentencepiece": subword.op4_sentencepiece,
     "op5_near_dedup": near_dedup.op5_near_dedup,
+    "op6_html": html.op6_html,
+    "op7_media": media.op7_media,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_pii": pii.op10_pii,
