@@ -148,7 +148,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     sets = materialize(docs.mapInArrow(_sketch_batches, "doc long, n long, f1 long, f2 long, sketch array<long>"), "near-sets")
     reps = materialize(sets.filter("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc").alias("rep"), F.first("sketch").alias("sketch")), "near-classes")
-    prefix = materialize(_prefixes(reps), "near-prefixes")
+    prefix = materialize(_distinct_lists(materialize(_prefixes(reps), "near-prefixes")), "near-lists")
     links = tested = labels = None
     for pivots in WAVES:
         pairs = materialize(_star_pairs(prefix) if labels is None else _open_pairs(prefix, labels, tested, pivots, docs), "near-candidates")
@@ -184,6 +184,13 @@ def _prefixes(reps: DataFrame) -> DataFrame:
     return ranked.filter(F.col("rank") + size - F.col("m") <= size - _needed(F.col("n")) + 1).select("value", "rep", "n", (F.col("score") / size).alias("score"))
 
 
+def _distinct_lists(prefix: DataFrame) -> DataFrame:
+    """One list of those with the same members: the shingles of a shared passage give the same pairs."""
+    h = F.xxhash64("rep")
+    lists = prefix.groupBy("value").agg(F.count("*").alias("l"), F.bit_xor(h).alias("x"), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias("s")).filter("l > 1")
+    return prefix.join(lists.groupBy("l", "x", "s").agg(F.min("value").alias("value")).select("value"), "value", "left_semi")
+
+
 def _near_sizes(a: str, b: str) -> Column:
     return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
 
