@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from plumbline.llm.common import mix, running_hash, slices, span_hashes, text_buffers, word_hashes
 
@@ -224,7 +225,7 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 part_batch = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*part_batch.columns, pa.ListArray.from_arrays(pa.array(poff.astype(np.int32)), pa.array(piece))], [*batch.schema.names, "pieces"])
 
-    return docs.mapInArrow(run, docs.select(*docs.columns).schema.add("pieces", "array<int>"))
+    return docs.mapInArrow(run, docs.select(*docs.columns).schema.add("pieces", T.ArrayType(T.IntegerType())))
 
 
 def decode_texts(rows: DataFrame, pieces_col: str = "pieces", model: str = MODEL) -> DataFrame:

@@ -25,6 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.llm.common import mix, slices, spans, text_buffers, word_hashes
 
@@ -39,6 +40,8 @@ BLOCK, WARM = 96, 16
 SPAN_AT = 0.5
 STEPS, RATE, DECAY = 40, 0.35, 1e-4
 
+SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("score", T.DoubleType())]))
+
 _BREAK = np.ones(256, bool)
 _BREAK[48:58] = _BREAK[65:91] = _BREAK[97:123] = False
 _BREAK[128:] = False
@@ -215,7 +218,7 @@ def score(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
             scores, found = tag(batch.column(at), shared.value)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), pa.array(found, kind)], [*batch.schema.names, "toxicity", "toxic_spans"])
 
-    schema = docs.select(*docs.columns).schema.add("toxicity", "double").add("toxic_spans", "array<struct<start:int,end:int,score:double>>")
+    schema = docs.select(*docs.columns).schema.add("toxicity", "double").add("toxic_spans", SPANS)
     return docs.mapInArrow(run, schema)
 
 
