@@ -9,9 +9,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = ""
+from plumbline.plans import catalog
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = catalog.QUERIES
+ORACLE_SQL: dict[str, str] = catalog.ORACLE_SQL
+FLAGSHIP = catalog.FLAGSHIP
 _shipped: set[str] = set()
 
 
