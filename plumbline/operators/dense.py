@@ -53,15 +53,14 @@ def observability(prior: DataFrame, posterior: DataFrame, rtol: float = 1e-9) ->
     prior and posterior are covariances (world, i, k, v) over the same variables.
     """
 
-    def report(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"world": [], "informed": [], "rank": []})
-        (_, p), (_, q) = matrix(a), matrix(b)
+    def report(pdf: pd.DataFrame) -> pd.DataFrame:
+        (_, p), (_, q) = matrix(pdf[pdf["part"] == 0]), matrix(pdf[pdf["part"] == 1])
         gain = np.linalg.inv(q) - np.linalg.inv(p)
         lam = np.linalg.eigvalsh((gain + gain.T) / 2)
-        return pd.DataFrame({"world": [a["world"].iloc[0]], "informed": [int((np.diag(gain) > rtol / np.diag(p)).sum())], "rank": [int((lam > 1e-10 * max(np.abs(lam).max(), 1e-300)).sum())]})
+        return pd.DataFrame({"world": [pdf["world"].iloc[0]], "informed": [int((np.diag(gain) > rtol / np.diag(p)).sum())], "rank": [int((lam > 1e-10 * max(np.abs(lam).max(), 1e-300)).sum())]})
 
-    return prior.groupBy("world").cogroup(posterior.groupBy("world")).applyInPandas(report, "world long, informed int, rank int")
+    both = prior.select("world", "i", "k", "v", F.lit(0).alias("part")).unionByName(posterior.select("world", "i", "k", "v", F.lit(1).alias("part")))
+    return both.groupBy("world").applyInPandas(report, "world long, informed int, rank int")
 
 
 def stability(step: DataFrame, tol: float = 1e-9) -> DataFrame:
@@ -78,17 +77,15 @@ def stability(step: DataFrame, tol: float = 1e-9) -> DataFrame:
 def sample_worlds(mean: DataFrame, cov: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """(world, draw, i, x): draws from each world's belief; the stream is seeded by the world."""
 
-    def draw(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty:
-            return pd.DataFrame({"world": [], "draw": [], "i": [], "x": []})
-        a = a.sort_values("i")
-        names, m = matrix(b)
-        world = int(a["world"].iloc[0])
-        z = np.random.default_rng([seed, world & 0xFFFFFFFF]).standard_normal((n, len(names)))
-        x = a["mu"].to_numpy() + z @ cholesky(m)[0].T
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        names, m = matrix(pdf[pdf["k"].notna()])
+        mu = pdf[pdf["k"].isna()].set_index("i")["v"].reindex(names).to_numpy()
+        world = int(pdf["world"].iloc[0])
+        x = mu + np.random.default_rng([seed, world & 0xFFFFFFFF]).standard_normal((n, len(names))) @ cholesky(m)[0].T
         return pd.DataFrame({"world": world, "draw": np.repeat(np.arange(n), len(names)), "i": np.tile(names, n), "x": x.ravel()})
 
-    return mean.groupBy("world").cogroup(cov.groupBy("world")).applyInPandas(draw, "world long, draw int, i string, x double")
+    both = cov.select("world", "i", "k", "v").unionByName(mean.select("world", "i", F.lit(None).cast("string").alias("k"), F.col("mu").alias("v")))
+    return both.groupBy("world").applyInPandas(draw, "world long, draw int, i string, x double")
 
 
 def sample_report(draws: DataFrame, limits: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.operators.graph import _cut
 
@@ -23,7 +24,7 @@ def chain(events: DataFrame, by: str, order: list[str], content: str = "digest")
     """
     import hashlib
 
-    schema = events.schema.add("seq", "long").add("previous_hash", "string").add("event_hash", "string")
+    schema = T.StructType(list(events.schema.fields)).add("seq", "long").add("previous_hash", "string").add("event_hash", "string")
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)

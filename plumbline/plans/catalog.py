@@ -16,7 +16,7 @@ ORACLE_SQL: dict[str, str] = {}
 
 #: Lines, totals, and the closed forms of their variances.
 BASE = """
-l AS (SELECT l_orderkey AS world, l_linenumber || '-' || l_partkey || '-' || l_suppkey AS line, l_quantity AS q, l_extendedprice / l_quantity AS p, l_discount AS d FROM lineitem),
+l AS (SELECT l_orderkey AS world, l_linenumber || '-' || l_partkey || '-' || l_suppkey AS line, sum(l_quantity) AS q, sum(l_extendedprice) / sum(l_quantity) AS p, min(l_discount) AS d FROM lineitem GROUP BY l_orderkey, l_linenumber, l_partkey, l_suppkey),
 n AS (SELECT *, q * p * (1 - d) AS net, p * (1 - d) AS gq, q * (1 - d) AS gp, -q * p AS gd FROM l),
 v AS (SELECT *, gq * gq * 0.25e0 + gp * gp * p * p * 0.0001e0 + gd * gd * 0.000025e0 AS own FROM n),
 t AS (SELECT world, sum(net) AS total, sum(own) AS own, sum(own) + sum(net) * sum(net) * 0.0004e0 AS var FROM v GROUP BY world)
@@ -28,14 +28,32 @@ def query(name: str, sql: str | None = None):
     def register(f):
         QUERIES[name] = f
         if sql is not None:
-            ORACLE_SQL[name] = sql.replace("WITH BASE", f"WITH {BASE}")
+            ORACLE_SQL[name] = _rounded(sql.replace("WITH BASE", f"WITH {BASE}"))
         return f
 
     return register
 
 
+#: Where results are rounded, off the halves on which decimals of the data often fall.
+HALF = "0.500123e0"
+
+
 def r(column, digits: int = 4):
-    return F.round(column if not isinstance(column, str) else F.col(column), digits)
+    x = F.col(column) if isinstance(column, str) else column
+    return F.floor(x * float(10**digits) + float(HALF[:-2])).cast("double") / float(10**digits)
+
+
+def _rounded(sql: str) -> str:
+    """round(x, k) written out as :func:`r` does it."""
+    while (at := sql.find("round(")) >= 0:
+        depth, k, comma = 1, at + 6, 0
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            comma = k if sql[k] == "," and depth == 1 else comma
+            k += 1
+        x, digits = sql[at + 6 : comma], int(sql[comma + 1 : k - 1])
+        sql = f"{sql[:at]}(floor(({x}) * 1e{digits} + {HALF}) / 1e{digits}){sql[k:]}"
+    return sql
 
 
 # --- derived values, gradients, covariances --------------------------------------------------------------------------
@@ -83,12 +101,13 @@ def pushforward_total(spark, d):
     return w.totals(l).join(var, "world").select("world", r("total").alias("mu"), r("v", 2).alias("var"))
 
 
-@query("incremental_pushforward", "WITH BASE SELECT world, round(CASE WHEN world % 10 = 0 THEN var ELSE 0 END, 2) AS var FROM t")
+@query("incremental_pushforward", "WITH BASE SELECT world, round(CASE WHEN o_orderstatus = 'F' THEN var ELSE 0 END, 2) AS var FROM t LEFT JOIN orders ON o_orderkey = world")
 def incremental_pushforward(spark, d):
     l = w.lines(spark, d)
     jac, cov = w.total_rows(l), w.prior(l)[1]
     before = jac.select("world", "r").distinct().withColumn("v", F.lit(0.0))
-    return belief.incremental_pushforward(jac, cov, before, before.filter("world % 10 = 0").select("world", "r")).select("world", r("v", 2).alias("var"))
+    dirty = w.table(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("world"))
+    return belief.incremental_pushforward(jac, cov, before, before.join(dirty, "world", "left_semi").select("world", "r")).select("world", r("v", 2).alias("var"))
 
 
 @query("cov_pairs_topk", """WITH BASE, c AS (SELECT a.world, 'net:' || a.line AS i, 'net:' || b.line AS k, a.net * b.net * 0.0004e0 / sqrt((a.own + a.net * a.net * 0.0004e0) * (b.own + b.net * b.net * 0.0004e0)) AS corr
@@ -201,12 +220,13 @@ def change_impact(spark, d):
     return belief.change_impact(row(1.0), row(1.1), none, none).select("world", r("mu_before", 3).alias("mu_before"), r("mu_after", 3).alias("mu_after"), "changed")
 
 
-@query("selectivity_check", "WITH BASE SELECT world, 'f' AS i FROM t WHERE world % 7 = 0")
+@query("selectivity_check", "WITH BASE SELECT world, 'f' AS i FROM t LEFT JOIN orders ON o_orderkey = world WHERE o_orderpriority IS DISTINCT FROM '1-URGENT'")
 def selectivity_check(spark, d):
     l = w.lines(spark, d)
     mean, cov = w.prior(l)
     after = belief.shift_parameter(mean, cov, _targets(l, delta=0.25))[0]
-    return belief.selectivity_violations(mean, after, _targets(l).filter("world % 7 <> 0")).select("world", "i")
+    declared = w.table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("world"), F.lit("f").alias("i"))
+    return belief.selectivity_violations(mean, after, declared).select("world", "i")
 
 
 # --- graph -----------------------------------------------------------------------------------------------------------
@@ -345,10 +365,11 @@ def decision_minimum(spark, d):
 DIFF = numeric.probability_above_sql("(a - b)", "sqrt(1e4 + 4e4 - 2 * 5e3)", "100e0")
 
 
-@query("decision_difference", f"WITH x AS (SELECT c_custkey AS id, c_acctbal AS a, s_acctbal AS b FROM customer JOIN supplier ON c_custkey % 100 = s_suppkey), p AS (SELECT id, {DIFF} AS p FROM x) SELECT id, round(p, 6) AS p, {VERDICT('p', 0.9)} AS verdict FROM p")
+@query("decision_difference", f"WITH x AS (SELECT c_custkey AS id, c_acctbal AS a, s_acctbal AS b FROM customer JOIN (SELECT s_nationkey, max(s_acctbal) AS s_acctbal FROM supplier GROUP BY s_nationkey) ON c_nationkey = s_nationkey), p AS (SELECT id, {DIFF} AS p FROM x) SELECT id, round(p, 6) AS p, {VERDICT('p', 0.9)} AS verdict FROM p")
 def decision_difference(spark, d):
     c, s = w.table(spark, d, "customer"), w.table(spark, d, "supplier")
-    x = c.join(s, c.c_custkey % 100 == s.s_suppkey).select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("lhs"), F.col("s_acctbal").alias("rhs"), F.lit(1e4).alias("var_lhs"), F.lit(4e4).alias("var_rhs"), F.lit(5e3).alias("cov"))
+    best = s.groupBy("s_nationkey").agg(F.max("s_acctbal").alias("s_acctbal"))
+    x = c.join(best, c.c_nationkey == best.s_nationkey).select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("lhs"), F.col("s_acctbal").alias("rhs"), F.lit(1e4).alias("var_lhs"), F.lit(4e4).alias("var_rhs"), F.lit(5e3).alias("cov"))
     return decide.difference(x, 100.0, 0.9).select("id", r("p", 6).alias("p"), "verdict")
 
 
@@ -405,9 +426,10 @@ def acceptance_case(spark, d):
     return _accepted(spark, d).select("id", "disposition")
 
 
-@query("geometry_gate", f"WITH {ACCEPT} SELECT id, CASE WHEN disposition = 'ACCEPT' AND id % 3 = 0 AND id % 5 <> 0 THEN 'REQUEST_EVIDENCE' ELSE disposition END AS gated FROM a")
+@query("geometry_gate", f"WITH {ACCEPT} SELECT id, CASE WHEN disposition = 'ACCEPT' AND c_mktsegment = 'HOUSEHOLD' AND c_nationkey >= 5 THEN 'REQUEST_EVIDENCE' ELSE disposition END AS gated FROM a JOIN customer ON id = c_custkey")
 def geometry_gate(spark, d):
-    cases = _accepted(spark, d).withColumns({"has_clearance": F.col("id") % 3 == 0, "authority": F.when(F.col("id") % 5 == 0, "SWEPT_SOLID").otherwise("BOX"), "scan_receipt": F.lit(False)})
+    c = w.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_mktsegment") == "HOUSEHOLD").alias("has_clearance"), F.when(F.col("c_nationkey") < 5, "SWEPT_SOLID").otherwise("BOX").alias("authority"), F.lit(False).alias("scan_receipt"))
+    cases = _accepted(spark, d).join(c, "id")
     return decide.geometry_gate(cases).select("id", "gated")
 
 
@@ -594,12 +616,12 @@ def entity_census(spark, d):
     return inventory.census(w.table(spark, d, "part").select(F.col("p_type").alias("ifc_class")))
 
 
-@query("inventory_diff", """WITH a AS (SELECT p_partkey AS id, p_brand AS brand FROM part WHERE p_partkey % 7 <> 0), b AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 11 = 0 THEN 'other' ELSE p_brand END AS brand FROM part WHERE p_partkey % 13 <> 0)
+@query("inventory_diff", """WITH a AS (SELECT p_partkey AS id, p_brand AS brand FROM part WHERE p_size <> 7), b AS (SELECT p_partkey AS id, CASE WHEN p_size = 11 THEN 'other' ELSE p_brand END AS brand FROM part WHERE p_size <> 13)
 SELECT coalesce(a.id, b.id) AS id, CASE WHEN b.id IS NULL THEN 'left_only' WHEN a.id IS NULL THEN 'right_only' ELSE 'mismatch' END AS difference FROM a FULL JOIN b ON a.id = b.id WHERE a.id IS NULL OR b.id IS NULL OR a.brand <> b.brand""")
 def inventory_diff(spark, d):
-    p = w.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("brand"))
-    other = p.filter("id % 13 <> 0").withColumn("brand", F.when(F.col("id") % 11 == 0, "other").otherwise(F.col("brand")))
-    return inventory.inventory_diff(p.filter("id % 7 <> 0"), other, ["id"], ["brand"])
+    p = w.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("brand"), "p_size")
+    other = p.filter("p_size <> 13").withColumn("brand", F.when(F.col("p_size") == 11, "other").otherwise(F.col("brand")))
+    return inventory.inventory_diff(p.filter("p_size <> 7"), other, ["id"], ["brand"])
 
 
 @query("portable_digest", "SELECT c_nationkey AS world, sha256(string_agg(c_custkey || ':' || c_mktsegment, chr(10) ORDER BY c_custkey || ':' || c_mktsegment)) AS digest FROM customer GROUP BY c_nationkey")
@@ -644,8 +666,7 @@ def i32_jvp(spark, d):
 
 @query("sample_report")
 def sample_report(spark, d):
-    l = w.lines(spark, d).filter("world % 50 = 0")
-    draws = dense.sample_worlds(*(x.filter("i = 'f'") for x in w.prior(l)), n=64)
+    draws = dense.sample_worlds(*(x.filter("i = 'f'") for x in w.prior(w.lines(spark, d))), n=32)
     limits = spark.createDataFrame([("f", 0.98)], "i string, least double")
     return dense.sample_report(draws, limits)
 
@@ -666,9 +687,10 @@ def observability(spark, d):
 
 @query("registration_em")
 def registration_em(spark, d):
+    """Each label's boxes as one scan, moved a little, onto the labels' mean positions."""
     b = w.boxes(spark, d)
-    model = geometry.tile(b.filter("id < 6"), 0.2).select("px", "py", "pz", "w")
-    points = model.select(F.lit(1).cast("long").alias("scan"), (F.col("px") + 0.02).alias("x"), (F.col("py") - 0.01).alias("y"), F.col("pz").alias("z"))
+    model = geometry.moment_match(geometry.tile(b, 0.2).join(b.select("id", "label"), "id"), ["label"]).select(F.col("mean_x").alias("px"), F.col("mean_y").alias("py"), F.col("mean_z").alias("pz"), "w")
+    points = b.select(F.col("label").cast("long").alias("scan"), (F.col("x") + 0.02).alias("x"), (F.col("y") - 0.01).alias("y"), "z")
     return dense.register(points, model)
 
 

@@ -21,9 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(world, line, q, p, d, f)."""
-    t = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount")
-    return t.select(F.col("l_orderkey").alias("world"), F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey").alias("line"), F.col("l_quantity").alias("q"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("p"), F.col("l_discount").alias("d"), F.lit(1.0).alias("f"))
+    """(world, line, q, p, d, f); rows of one order with equal line, part and supplier are one line."""
+    t = table(spark, sf_dir, "lineitem")
+    g = t.groupBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").agg(F.sum("l_quantity").alias("q"), F.sum("l_extendedprice").alias("x"), F.min("l_discount").alias("d"))
+    return g.select(F.col("l_orderkey").alias("world"), F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey").alias("line"), "q", (F.col("x") / F.col("q")).alias("p"), "d", F.lit(1.0).alias("f"))
 
 
 def sigma(kind: str, p: str = "p"):
