@@ -149,15 +149,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = materialize(docs.mapInArrow(_sketch_batches, "doc long, n long, f1 long, f2 long, sketch array<long>"), "near-sets")
     reps = materialize(sets.filter("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc").alias("rep"), F.first("sketch").alias("sketch")), "near-classes")
     prefix = materialize(_distinct_lists(materialize(_prefixes(reps), "near-prefixes")), "near-lists")
+    # only classes in some list are ever compared: their texts are taken out once
+    texts = materialize(docs.join(prefix.select(F.col("rep").alias("doc")).distinct(), "doc", "left_semi"), "near-texts")
     links = tested = labels = None
     for pivots in WAVES:
-        pairs = materialize(_star_pairs(prefix) if labels is None else _open_pairs(prefix, labels, tested, pivots, docs), "near-candidates")
+        pairs = materialize(_star_pairs(prefix) if labels is None else _open_pairs(prefix, labels, tested, pivots, texts), "near-candidates")
         if pairs.isEmpty():
             if tested is None:
                 break
             continue
         tested = pairs if tested is None else tested.union(pairs)
-        found = _links(pairs, reps, docs)
+        found = _links(pairs, reps, texts)
         links = found if links is None else links.union(found)
         labels = components(links)
     member = sets.select("doc", "n", "f1", "f2").join(reps.select("n", "f1", "f2", "rep"), ["n", "f1", "f2"], "left")
