@@ -191,7 +191,7 @@ def read_texts(texts: DataFrame, file: str = "file", text: str = "text") -> Data
 
 def load(spark: SparkSession, path: str) -> DataFrame:
     """All STEP files of a folder or pattern, through Spark's own file readers."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     return read_texts(whole.select(F.input_file_name().alias("file"), F.col("value").alias("text")))
 
 
