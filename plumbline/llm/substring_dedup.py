@@ -125,7 +125,7 @@ def _within(row: np.ndarray, key: np.ndarray, lists: pa.ListArray) -> np.ndarray
     return np.isin(tie(key, row), tie(values, np.repeat(np.arange(len(sizes)), sizes)))
 
 
-def _repeated(later_only: bool):
+def _repeated(later_only: bool, groups: int):
     """Of one partition: per document the keys that several documents have, or that a smaller document has too."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -146,19 +146,30 @@ def _repeated(later_only: bool):
             differs = np.bincount(run_, doc != doc[first], int(run_[-1]) + 1 if len(run_) else 1) > 0
             hit = done | differs[run_]
         doc, key = doc[hit], key[hit]
-        order = np.argsort(doc, kind="stable")
-        doc, key = doc[order], key[order]
-        begin = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else np.zeros(0, int)
-        lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(key)).astype(np.int32)), pa.array(key))
-        return pa.table({"doc": pa.array(doc[begin]), "keys": lists})
+        # back to the documents: one row for each group of documents that has any
+        group = (mix(doc.astype(np.uint64)) % np.uint64(groups)).astype(np.int32)
+        order = np.argsort(group, kind="stable")
+        group, doc, key = group[order], doc[order], key[order]
+        begin = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))) if len(group) else np.zeros(0, int)
+        blobs = [pa.array([a[x:y].tobytes() for x, y in zip(begin, np.append(begin[1:], len(group)), strict=True)], pa.binary()) for a in (doc, key)]
+        return pa.table({"group": pa.array(group[begin]), "doc": blobs[0], "key": blobs[1]})
 
     return run
 
 
-def _round(rows: DataFrame, collect, buckets: int, later_only: bool, name: str) -> DataFrame:
+def _gathered(table: pa.Table) -> pa.Table:
+    """Of one group of documents: each document's keys as a list."""
+    doc, key = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.int64) for c in ("doc", "key"))
+    order = np.argsort(doc, kind="stable")
+    doc, key = doc[order], key[order]
+    begin = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else np.zeros(0, int)
+    return pa.table({"doc": pa.array(doc[begin]), "keys": pa.ListArray.from_arrays(pa.array(np.append(begin, len(key)).astype(np.int32)), pa.array(key))})
+
+
+def _round(rows: DataFrame, collect, buckets: int, later_only: bool) -> DataFrame:
     sent = rows.mapInArrow(_sender(collect, buckets, later_only), KEYS)
-    found = sent.groupBy("bucket").applyInArrow(_repeated(later_only), "doc long, keys array<long>")
-    return found.groupBy("doc").agg(F.flatten(F.collect_list("keys")).alias("keys"))
+    found = sent.groupBy("bucket").applyInArrow(_repeated(later_only, buckets), "group int, doc binary, key binary")
+    return found.groupBy("group").applyInArrow(_gathered, "doc long, keys array<long>")
 
 
 def cut(data: np.ndarray, off: np.ndarray, s: np.ndarray, e: np.ndarray, row: np.ndarray, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -203,9 +214,9 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     while buckets * PARTITION_DOCS < docs.count():
         buckets *= 2
     known = docs.filter(F.col("doc").isNotNull())
-    grams = _round(known, _grams, buckets, False, "grams")
+    grams = _round(known, _grams, buckets, False)
     shared = materialize(grams, "suffix-grams")
-    trees = materialize(_round(known.join(shared, "doc").select("doc", "text", "keys"), _paths, buckets, True, "paths"), "suffix-nodes")
+    trees = materialize(_round(known.join(shared, "doc").select("doc", "text", "keys"), _paths, buckets, True), "suffix-nodes")
     drop(shared)
     marked = docs.join(trees.withColumnRenamed("doc", "d"), F.col("doc") == F.col("d"), "left").select("doc", "text", "keys")
     return marked.mapInArrow(_cut_batches(with_text), "doc long, n_words long, n_removed long, kept string").withColumnRenamed("doc", id_col)
