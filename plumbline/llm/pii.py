@@ -122,7 +122,8 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     found = find_pii(docs, text_col)
     text = F.col(text_col)
     for kind in PATTERNS:
-        text = F.aggregate(f"pii_{kind}", text, lambda t, s, kind=kind: F.replace(t, s["value"], F.lit(f"<{kind}>")))
+        mark = F.lit(f"<{kind}>")
+        text = F.aggregate(f"pii_{kind}", text, lambda t, s: F.replace(t, s["value"], mark))  # noqa: B023
     return found.withColumn(text_col, text).select(*docs.columns)
 
 

@@ -151,7 +151,8 @@ def _repeated(later_only: bool, groups: int):
         order = np.argsort(group, kind="stable")
         group, doc, key = group[order], doc[order], key[order]
         begin = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))) if len(group) else np.zeros(0, int)
-        blobs = [pa.array([a[x:y].tobytes() for x, y in zip(begin, np.append(begin[1:], len(group)), strict=True)], pa.binary()) for a in (doc, key)]
+        end = np.append(begin, len(group))[1:]
+        blobs = [pa.array([a[x:y].tobytes() for x, y in zip(begin, end, strict=True)], pa.binary()) for a in (doc, key)]
         return pa.table({"group": pa.array(group[begin]), "doc": blobs[0], "key": blobs[1]})
 
     return run
