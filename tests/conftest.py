@@ -19,7 +19,3 @@ def spark(tmp_path_factory):
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
-
-
-def rows(df):
-    return sorted((tuple(r) for r in df.collect()), key=str)

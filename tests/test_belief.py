@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from conftest import rows
+from helpers import rows
 
 from plumbline.functions.expr import Expr, const, mean, scaled_sum, var
 from plumbline.functions.numeric import chi2_sf_3_sql, erf_sql, normal_cdf
