@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import materialize, shared_dir
 
-#: Buckets of an index; each is one sorted file per batch.
-BUCKETS = 16
+#: Buckets of an index, each one sorted file per batch: at least so many, and one for so many rows of the first batch.
+BUCKETS, BUCKET_ROWS = 16, 250_000
 #: A text held by more than one in HOT documents is joined by broadcast: there are at most HOT such texts.
 HOT = 500
 
@@ -33,7 +33,14 @@ class DigestIndex:
         self.path = path or f"{shared_dir(spark)}/plumbline/{self.name}"
 
     def exists(self) -> bool:
-        return self.spark.catalog.tableExists(self.name)
+        """Whether the index has been written; one that an earlier application left at ``path`` is attached."""
+        if self.spark.catalog.tableExists(self.name):
+            return True
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(path):
+            return False
+        self.spark.sql(f"CREATE TABLE {self.name} (digest BINARY, keep_id BIGINT, group_size BIGINT, batch STRING) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'")
+        return True
 
     def read(self) -> DataFrame:
         return self.spark.table(self.name)
@@ -66,8 +73,8 @@ def groups(rows: DataFrame, index: DigestIndex) -> DataFrame:
 
 def exact_duplicates(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Adds the texts of ``docs`` to the index and returns, per row: id, digest, keep_id, group_size."""
-    index = index or DigestIndex(docs.sparkSession)
     rows = materialize(digests(docs, id_col, text_col), "digests")
+    index = index or DigestIndex(docs.sparkSession, buckets=max(BUCKETS, rows.count() // BUCKET_ROWS))
     index.append(rows)
     return groups(rows, index)
 

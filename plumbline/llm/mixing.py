@@ -10,8 +10,8 @@ digits of the id's MD5), so that no task handles a whole source: the number of d
 ids, sources and sizes are shuffled, not texts.
 
 Cases: null texts and texts without words have size 0 and are taken like others, adding no words; a null source is a
-source of its own, ordered last; rows with equal ids are told apart by nothing, so which of them is taken is not
-defined, but how many is; with no words at all nothing is taken; an empty table gives an empty table; other columns are
+source of its own, ordered last; of rows with equal ids and sizes which one is taken is not defined, but
+how many is; with no words at all nothing is taken; an empty table gives an empty table; other columns are
 kept as they are.
 """
 
@@ -89,8 +89,8 @@ def _offset(source: Column, seed: int) -> Column:
 
 
 def mix_plan(docs: DataFrame, id_col: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, repeat: int = REPEAT, seed: int = 1) -> DataFrame:
-    """Per row of ``docs``: id, source, size, source_size, target, copies, taken."""
-    rows = materialize(docs.select(F.col(id_col).alias("id"), "source", word_count(F.col("text")).alias("size")), "sizes")
+    """Per row of ``docs``: id, source, size, row_hash (of id and text), source_size, target, copies, taken."""
+    rows = materialize(docs.select(F.col(id_col).alias("id"), "source", word_count(F.col("text")).alias("size"), _row_hash(docs, id_col).alias("row_hash")), "sizes")
     plan = materialize(shares(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, repeat), "shares")
     rates = plan.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
     got = sample_copies(rows, rates, seed).drop("rate")
@@ -100,9 +100,17 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", weights: tuple[int, ...] =
 
 def mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The mixed rows: each document as often as the plan takes it, with all its columns."""
-    plan = mix_plan(docs, id_col, **options).filter("copies > 0").select(F.col("id").alias("_mix_id"), F.col("copies").alias("_copies"))
-    out = docs.join(plan, docs[id_col].eqNullSafe(F.col("_mix_id"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    return out.select(*docs.columns)
+    plan = mix_plan(docs, id_col, **options).groupBy("row_hash").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).filter("_copies > 0")
+    found = docs.withColumn("_hash", _row_hash(docs, id_col)).join(plan, F.col("_hash") == F.col("row_hash"))
+    # equal rows share their copies
+    place = F.row_number().over(Window.partitionBy("_hash").orderBy(F.lit(0)))
+    own = F.floor(F.col("_copies") / F.col("_rows")) + F.when(place <= F.col("_copies") % F.col("_rows"), 1).otherwise(0)
+    found = found.withColumn("_own", own.cast("int")).filter("_own > 0")
+    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_own")))).select(*docs.columns)
+
+
+def _row_hash(docs: DataFrame, id_col: str) -> Column:
+    return F.xxhash64(docs[id_col], docs["text"])
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

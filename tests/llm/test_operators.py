@@ -53,6 +53,9 @@ def test_index_takes_new_texts_only(spark, none):
     assert index.read().count() == 3
     assert table(exact_dedup.groups(batch([(7, "a"), (8, "b")]), index), "id", "keep_id") == {7: (2,), 8: (5,)}
     assert exact_dedup.exact_duplicates(none).count() == 0
+    spark.sql(f"DROP TABLE {index.name}")
+    again = exact_dedup.DigestIndex(spark, index.name, index.path, 4)
+    assert again.exists() and again.read().count() == 3
     plan = batch([(9, "c")]).join(index.read().select("digest").hint("merge"), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan
 
@@ -72,6 +75,8 @@ def test_mix_meets_targets(spark, none):
     assert table(plan, "id", "taken") == table(mixing.mix_plan(rows.drop("copies", "size").repartition(7)), "id", "taken")
     mixed = mixing.mix(rows)
     assert mixed.columns == rows.columns and mixed.count() == plan.agg(F.sum("copies")).first()[0]
+    twice = rows.unionAll(rows)
+    assert mixing.mix(twice).count() == mixing.mix_plan(twice).agg(F.sum("copies")).first()[0]
     assert mixing.mix_plan(none).count() == 0 and mixing.mix(none).count() == 0
 
 
