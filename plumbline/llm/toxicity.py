@@ -7,7 +7,8 @@ state, and transition scores; it is trained by gradient ascent on the conditiona
 forward-backward. A document's score is a logistic function, fitted on the same sample, of its most toxic marginal and of
 the sum of its marginals; offending spans are runs of tokens with a marginal of at least SPAN_AT.
 
-The fit reads at most SAMPLE documents of each label, the first in order of a hash, with their whole texts; the model is
+The fit reads at most SAMPLE toxic and twice as many other documents, the first in order of a hash, with their whole texts
+(of equal texts one); the model is
 a table of fixed size. Scoring covers every token of every text. Forward and backward passes run over blocks of tokens
 side by side; a block starts WARM tokens early, by when the start state is forgotten.
 
@@ -29,13 +30,13 @@ from pyspark.sql import types as T
 
 from plumbline.llm.common import mix, slices, spans, text_buffers, word_hashes
 
-#: Documents of each label that the fit reads at most.
-SAMPLE = 1_500
+#: Toxic documents that the fit reads at most; of others it reads twice as many.
+SAMPLE = 1_000
 TABLE = 1 << 18
 #: Leading letters (bytes) that are features; 0 is the whole token.
 AFFIXES = (0, 3, 4, 5, 6, 7, 8)
 #: An affix marks tokens if so many toxic documents have it and its share among toxic ones is so many times that elsewhere.
-SUPPORT, RATIO = 5, 15.0
+SUPPORT, RATIO = 6, 20.0
 BLOCK, WARM = 96, 16
 SPAN_AT = 0.5
 STEPS, RATE, DECAY = 40, 0.35, 1e-4
@@ -50,15 +51,23 @@ _UPPER[65:91] = True
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of each token, and its feature numbers (one column per affix, 0 where the token is too short)."""
+    """Start, end and row of each token, and its feature numbers (one row per affix, 0 where the token is too short)."""
     s, e, row = spans(data, offsets, _BREAK)
     cols = []
     for k in AFFIXES:
         end = e if k == 0 else np.minimum(e, s + k)
         h = mix(word_hashes(data, s, end, lower=True) + np.uint64(k))
-        f = (h >> np.uint64(46)).astype(np.int64) % (TABLE - 1) + 1
-        cols.append(f if k == 0 else np.where(e - s > k, f, 0))
-    return s, e, row, np.stack(cols, 1) if len(s) else np.zeros((0, len(AFFIXES)), np.int64)
+        f = ((h >> np.uint64(46)) % np.uint64(TABLE - 1) + np.uint64(1)).astype(np.int32)
+        cols.append(f if k == 0 else np.where(e - s > k, f, np.int32(0)))
+    return s, e, row, np.stack(cols)
+
+
+def _emit(w: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """Each token's score: the sum of its features' weights."""
+    out = np.zeros(f.shape[1])
+    for row in f:
+        out += w[row]
+    return out
 
 
 def marginals(emit: np.ndarray, row: np.ndarray, trans: np.ndarray, start: np.ndarray, pairs: bool = False):
@@ -118,42 +127,49 @@ def fit(texts: list[str | None], toxic: np.ndarray) -> dict:
         return none
     data, offsets = text_buffers(pa.array([t or "" for t in texts]))
     rows, feats = [], []
+    df = np.zeros((2, TABLE), np.int64)  # documents of each label with a feature
     for i, _, part, off in slices(data, offsets):
         _, _, row, f = features(part, off)
         rows.append(row + i)
         feats.append(f)
-    row, f = np.concatenate(rows), np.concatenate(feats)
-    seen = np.unique(np.stack([np.repeat(row, f.shape[1]), f.ravel()], 1), axis=0)
-    seen = seen[seen[:, 1] > 0]
-    df = [np.bincount(seen[toxic[seen[:, 0]] == k, 1], minlength=TABLE) for k in (False, True)]
+        seen = np.unique((row * TABLE + f).ravel())
+        for k in (False, True):
+            df[int(k)] += np.bincount(seen[toxic[seen // TABLE + i] == k] % TABLE, minlength=TABLE)
+    row, f = np.concatenate(rows), np.concatenate(feats, 1)
+    del rows, feats
     share = (df[1] / toxic.sum()) / ((df[0] + 0.5) / (~toxic).sum())
     marks = (df[1] >= SUPPORT) & (share >= RATIO)
     marks[0] = False
-    y = toxic[row] & marks[f].any(1)
+    y = toxic[row].copy()
+    y &= np.logical_or.reduce([marks[k] for k in f])
     first = np.ones(len(row), bool)
     first[1:] = row[1:] != row[:-1]
     prev = np.flatnonzero(~first)
     seen_pairs = np.array([[(~y[prev - 1] & ~y[prev]).sum(), (~y[prev - 1] & y[prev]).sum()], [(y[prev - 1] & ~y[prev]).sum(), (y[prev - 1] & y[prev]).sum()]], float)
     seen_start = np.array([(~y[first]).sum(), y[first].sum()], float)
-    used, flat = np.unique(f, return_inverse=True)
-    flat = flat.reshape(f.shape)
-    count = lambda v: np.bincount(flat.ravel(), np.repeat(v, f.shape[1]), len(used))
-    seen_w, size = count(y.astype(float)), np.bincount(flat.ravel(), minlength=len(used))
+    used = np.unique(f)
+    number = np.zeros(TABLE, np.int32)
+    number[used] = np.arange(len(used))
+    f = number[f]
+
+    def count(v: np.ndarray) -> np.ndarray:
+        return sum(np.bincount(k, v, len(used)) for k in f)
+
+    seen_w, size = count(y.astype(float)), count(np.ones(len(row)))
     w, trans, start = np.zeros(len(used)), np.log((seen_pairs + 0.1) / (seen_pairs + 0.1).sum(1, keepdims=True)), np.log((seen_start + 0.1) / (seen_start.sum() + 0.2))
     step = RATE / np.sqrt(size / len(row) + 1e-4)
     velocity = np.zeros(len(used))
     for _ in range(STEPS):
-        p, joint, begin = marginals(w[flat].sum(1), row, trans, start, pairs=True)
+        p, joint, begin = marginals(_emit(w, f), row, trans, start, pairs=True)
         grad = (seen_w - count(p)) / len(row) * 100 - DECAY * w
-        grad[used == 0] = 0
+        grad[used == 0] = 0  # the feature of tokens that are too short for an affix
         velocity = 0.8 * velocity + step * grad
         w += np.clip(velocity, -1, 1)
         trans += 0.5 * (seen_pairs - joint) / len(row)
         start += 0.5 * (seen_start - begin) / len(toxic)
     model = {"w": np.zeros(TABLE, np.float32), "trans": trans, "start": start, "doc": None}
     model["w"][used] = w
-    model["w"][0] = 0
-    top, total = _gather(marginals(model["w"][f].sum(1), row, trans, start), row, len(toxic))
+    top, total = _gather(marginals(_emit(w, f), row, trans, start), row, len(toxic))
     x = np.stack([top, np.log1p(total), np.ones(len(toxic))], 1)
     c = np.zeros(3)
     for _ in range(50):  # Newton's method with a small ridge
@@ -175,7 +191,7 @@ def tag(texts: pa.Array, model: dict) -> tuple[np.ndarray, list[list[dict]]]:
     scores, found = [], []
     for i, j, part, off in slices(data, offsets):
         s, e, row, f = features(part, off)
-        p = marginals(model["w"][f].sum(1), row, model["trans"], model["start"])
+        p = marginals(_emit(model["w"], f), row, model["trans"], model["start"])
         top, total = _gather(p, row, j - i)
         x = model["doc"][0] * top + model["doc"][1] * np.log1p(total) + model["doc"][2]
         scores.append(1 / (1 + np.exp(-np.clip(x, -30, 30))))
@@ -196,11 +212,11 @@ def tag(texts: pa.Array, model: dict) -> tuple[np.ndarray, list[list[dict]]]:
 
 
 def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> pd.DataFrame:
-    """Labelled texts for the fit: rows whose crc32(doc_id) leaves a remainder by 5, at most ``most`` of each label."""
+    """Labelled texts for the fit: rows whose crc32(doc_id) leaves a remainder by 5, at most ``most`` toxic ones and twice as many others."""
     train = labels.filter(F.col("toxic").isNotNull() & ~held_out("doc_id")).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    picked = [train.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for k in (0, 1)]
+    picked = [train.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most * (2 - k)) for k in (0, 1)]
     ids = picked[0].union(picked[1])
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").toPandas().sort_values(["toxic", "doc_id"], kind="stable")
+    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").toPandas().sort_values(["toxic", "doc_id"], kind="stable").drop_duplicates(["text", "toxic"])
 
 
 def held_out(column: str):
