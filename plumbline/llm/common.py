@@ -6,6 +6,7 @@ single text) and not the batch. All hashes are 64-bit and computed without a Pyt
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text handled at once inside a Python worker.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Java regular expression for a word; the same six separators everywhere.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -40,6 +41,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def lean(spark: SparkSession) -> None:
+    """Keep batches between Spark and its Python workers small: whole texts are large rows.
+
+    Memory on both sides follows the batch; a session that has set smaller limits keeps them.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1_000), ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)):
+        now = int(re.sub("[^0-9-]", "", str(spark.conf.get(key))))
+        if now <= 0 or now > most:
+            spark.conf.set(key, most)
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables made by :func:`materialize` that no later plan reads."""
     for df in tables:

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.llm.common import lean
+
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[/!?a-zA-Z][^>]*+>?""", re.S)
 _ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
 _WORD = re.compile(r"[a-z]+")
@@ -245,9 +247,15 @@ def decode(odds: np.ndarray, parent: np.ndarray) -> np.ndarray:
     return kept
 
 
+@cache
+def _vocabulary() -> list[str]:
+    rng = np.random.default_rng(1)
+    return ["".join(rng.choice(list("abcdefghilmnoprstu"), rng.integers(2, 9))) for _ in range(3_000)]
+
+
 def training_page(rng: np.random.Generator) -> str:
     """A page from templates; what is main text carries the attribute data-main on its container."""
-    words = lambda n: " ".join("".join(rng.choice(list("abcdefghilmnoprstu"), rng.integers(2, 9))) for _ in range(n))
+    words = lambda n: " ".join(_vocabulary()[i] for i in rng.integers(0, len(_vocabulary()), n))
     pick = lambda *a: a[rng.integers(len(a))]
     sentence = lambda: words(int(rng.integers(1, 25))) + pick(". ", ", ", "! ", " &amp; ")
     prose = lambda most: "".join(sentence() for _ in range(int(rng.integers(1, most))))
@@ -336,6 +344,7 @@ def main_texts(pages: list[str | None], trees: Boosted) -> list[str]:
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """``pages`` with main_text."""
+    lean(pages.sparkSession)
     trees = pages.sparkSession.sparkContext.broadcast(model())
     at = pages.columns.index(html_col)
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import slices, text_buffers
+from plumbline.llm.common import lean, slices, text_buffers
 
 UNIT, RATE_IN, RATE_OUT = 192, 24_000, 16_000
 OUT = UNIT * RATE_OUT // RATE_IN
@@ -155,6 +155,7 @@ MEDIA = "id long, n_bytes long, media binary, payload_bytes long, payload_sha256
 
 def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: the stored file, what is read back from it, a digest of its features, and its loud segments."""
+    lean(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).mapInArrow(_media_batches, MEDIA)
 
 
@@ -178,6 +179,7 @@ def _block_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def mel_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Blocks of FRAMES x MELS log-mel values (the last of a row is padded) with their time spans."""
+    lean(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).mapInArrow(_block_batches, "id long, start_s double, end_s double, log_mel array<float>")
 
 

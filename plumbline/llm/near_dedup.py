@@ -11,7 +11,7 @@ pair out. Each pair passes a filter that estimates the overlap on the union sket
 similarity of the full sets decides.
 
 Cases: null or empty texts and texts without words have no shingles and are linked with nothing; fewer than five words
-make one shingle; repeated rows share a class; an empty table gives an empty table; columns other than the id and the
+make one shingle; repeated rows share a class, and rows with one id count as one document; an empty table gives an empty table; columns other than the id and the
 text are not read.
 """
 
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import drop, gram_hashes, materialize, mix, slices, spans, text_buffers, whole_grams, word_hashes
+from plumbline.llm.common import drop, gram_hashes, lean, materialize, mix, slices, spans, text_buffers, whole_grams, word_hashes
 
 #: Retained hash values, and how many of them a partner shares at least.
 K, T = 64, 32
@@ -145,12 +145,14 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_shingles and component_id (smallest id that it reaches by links, itself included)."""
+    lean(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     sets = materialize(docs.mapInArrow(_sketch_batches, "doc long, n long, f1 long, f2 long, sketch array<long>"), "near-sets")
     reps = materialize(sets.filter("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc").alias("rep"), F.first("sketch").alias("sketch")), "near-classes")
     prefix = materialize(_distinct_lists(materialize(_prefixes(reps), "near-prefixes")), "near-lists")
     # only classes in some list are ever compared: their texts are taken out once
-    texts = materialize(docs.join(prefix.select(F.col("rep").alias("doc")).distinct(), "doc", "left_semi"), "near-texts")
+    listed = prefix.select(F.col("rep").alias("doc")).distinct().hint("merge")  # grows with the corpus: the same join at every size
+    texts = materialize(docs.join(listed, "doc", "left_semi"), "near-texts")
     links = tested = labels = None
     for pivots in WAVES:
         pairs = materialize(_star_pairs(prefix) if labels is None else _open_pairs(prefix, labels, tested, pivots, texts), "near-candidates")

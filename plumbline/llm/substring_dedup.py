@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import drop, gram_hashes, materialize, mix, slices, spans, text_buffers, whole_grams, word_hashes
+from plumbline.llm.common import drop, gram_hashes, lean, materialize, mix, slices, spans, text_buffers, whole_grams, word_hashes
 
 WINDOW, GRAM = 13, 5
 #: Documents whose suffixes make up a partition, about.
@@ -210,6 +210,7 @@ def _cut_batches(with_text: bool):
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
     """Per row: id, n_words, n_removed and the kept words joined by spaces (or, without text, their SHA-256)."""
+    lean(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     buckets = 16
     while buckets * PARTITION_DOCS < docs.count():

@@ -25,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from plumbline.llm.common import mix, running_hash, slices, span_hashes, text_buffers, word_hashes
+from plumbline.llm.common import lean, mix, running_hash, slices, span_hashes, text_buffers, word_hashes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA, BYTE_COST = 1.5, 8.0
 #: Bytes of text whose distinct words are built at once.
-SLICE = 6 << 20
+SLICE = 4 << 20
 MARK = "▁".encode()
 _SPACE = np.zeros(256, bool)
 _SPACE[32] = True
@@ -213,6 +213,7 @@ def decode(piece: np.ndarray, poff: np.ndarray, pieces: Pieces) -> tuple[np.ndar
 
 def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, seed: int = 0) -> DataFrame:
     """``docs`` with pieces, an array of piece numbers."""
+    lean(docs.sparkSession)
     i_id, i_text = docs.columns.index(id_col), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,6 +231,7 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def decode_texts(rows: DataFrame, pieces_col: str = "pieces", model: str = MODEL) -> DataFrame:
     """``rows`` with decoded, the text of the pieces."""
+    lean(rows.sparkSession)
     at = rows.columns.index(pieces_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,5 +280,6 @@ def _digest_batches(model: str, seed: int):
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str, model: str = MODEL) -> DataFrame:
     """Every document's sampled pieces (their number, byte pieces among them, digest) and a digest of the text decoded from them."""
+    lean(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return docs.mapInArrow(_digest_batches(model, 0), "doc_id long, n_pieces long, n_bytes long, pieces_sha256 string, decoded_sha256 string, lossless boolean")

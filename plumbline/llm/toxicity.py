@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import mix, slices, spans, text_buffers, word_hashes
+from plumbline.llm.common import lean, mix, slices, spans, text_buffers, word_hashes
 
 #: Toxic documents that the fit reads at most; of others it reads twice as many.
 SAMPLE = 1_000
@@ -225,6 +225,7 @@ def held_out(column: str):
 
 def score(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     """``docs`` with toxicity (0 to 1) and toxic_spans."""
+    lean(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
