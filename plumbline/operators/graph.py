@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,11 +33,11 @@ def within(rel: DataFrame, entities: DataFrame) -> DataFrame:
     return rel.join(entities, F.col("src") == F.col("node"), "left_semi").join(entities, F.col("dst") == F.col("node"), "left_semi")
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, most: int = 64) -> DataFrame:
+def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(node, level): what can be reached from ``seeds`` (node) along edges (src, dst), without the seeds, at the first level."""
     seen = _cut(seeds.select("node", F.lit(0).alias("level")).distinct())
     front = seen
-    for level in range(1, most + 1):
+    for level in count(1):
         new = edges.join(front, F.col("src") == F.col("node")).select(F.col("dst").alias("node")).distinct()
         front = _cut(new.join(seen, "node", "left_anti").withColumn("level", F.lit(level)))
         if front.isEmpty():
@@ -45,7 +46,7 @@ def reachable(edges: DataFrame, seeds: DataFrame, most: int = 64) -> DataFrame:
     return seen.filter("level > 0")
 
 
-def peel(edges: DataFrame, most: int = 1_000) -> tuple[DataFrame, DataFrame]:
+def peel(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(levels, rest): nodes with the length of their longest path from a source; edges that lie on or behind cycles.
 
     Each round removes nodes that nothing leads to any more.
@@ -53,7 +54,7 @@ def peel(edges: DataFrame, most: int = 1_000) -> tuple[DataFrame, DataFrame]:
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
     left, levels = _cut(nodes), None
     rest = edges
-    for level in range(most):
+    for level in count():
         ready = _cut(left.join(rest.select(F.col("dst").alias("node")).distinct(), "node", "left_anti"))
         if ready.isEmpty():
             break
@@ -66,17 +67,16 @@ def peel(edges: DataFrame, most: int = 1_000) -> tuple[DataFrame, DataFrame]:
     return levels, rest
 
 
-def connected(edges: DataFrame, nodes: DataFrame | None = None, most: int = 100) -> DataFrame:
+def connected(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(node, component): the smallest node of each connected component, by label exchange with pointer jumping."""
     both = _cut(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
     all_nodes = both.select(F.col("src").alias("node")).union(nodes.select("node")) if nodes is not None else both.select(F.col("src").alias("node"))
     labels = _cut(all_nodes.distinct().withColumn("component", F.col("node")))
-    for _ in range(most):
+    while True:
         near = both.join(labels, F.col("dst") == F.col("node")).groupBy("src").agg(F.min("component").alias("m"))
         low = labels.join(near, F.col("node") == F.col("src"), "left").select("node", "component", F.least("component", F.coalesce("m", "component")).alias("low"))
         jump = labels.select(F.col("node").alias("n"), F.col("component").alias("c"))
         new = _cut(low.join(jump, F.col("low") == F.col("n"), "left").select("node", F.least("low", F.coalesce("c", "low")).alias("component"), F.col("component").alias("was")))
         labels = new.select("node", "component")
         if new.filter("component <> was").isEmpty():
-            break
-    return labels
+            return labels
