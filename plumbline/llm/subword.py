@@ -30,7 +30,7 @@ from plumbline.llm.common import lean, mix, running_hash, slices, span_hashes, t
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA, BYTE_COST = 1.5, 8.0
 #: Bytes of text whose distinct words are built at once.
-SLICE = 4 << 20
+SLICE = 1 << 20
 MARK = "▁".encode()
 _SPACE = np.zeros(256, bool)
 _SPACE[32] = True
@@ -112,12 +112,13 @@ class Lattices:
                 edges.append((x, x + np.int32(n), found[hit]))
         edges.append((start, start + np.int32(1), p.byte_id[raw]))
         x, y, piece = (np.concatenate(c) for c in zip(*edges, strict=True))
+        del edges, c, left, start, raw
         order = np.argsort(y, kind="stable")  # a merge of sorted runs
         x, y, piece = x[order], y[order], piece[order]
         depth = within[y - 1]  # place of the edge's end in its word, less one
         deepest = int(depth.max())
         order = np.argsort(depth.astype(np.int16) if deepest < 2**15 else depth, kind="stable")
-        total = np.full(len(raw), -np.inf)  # log weight of all ways to the place after each byte
+        total = np.full(len(within), -np.inf)  # log weight of all ways to the place after each byte
         ways = p.weight[piece]
         inner = within[x] > 0
         cut = np.concatenate(([0], np.cumsum(np.bincount(depth, minlength=deepest + 1))))
