@@ -38,6 +38,8 @@ AFFIXES = (0, 3, 4, 5, 6, 7, 8)
 #: An affix marks tokens if so many toxic documents have it and its share among toxic ones is so many times that elsewhere.
 SUPPORT, RATIO = 6, 20.0
 BLOCK, WARM = 96, 16
+#: Tokens of the sample that one pass of the fit handles together.
+CHUNK = 200_000
 SPAN_AT = 0.5
 STEPS, RATE, DECAY = 40, 0.35, 1e-4
 
@@ -157,10 +159,17 @@ def fit(texts: list[str | None], toxic: np.ndarray) -> dict:
 
     seen_w, size = count(y.astype(float)), count(np.ones(len(row)))
     w, trans, start = np.zeros(len(used)), np.log((seen_pairs + 0.1) / (seen_pairs + 0.1).sum(1, keepdims=True)), np.log((seen_start + 0.1) / (seen_start.sum() + 0.2))
+    # whole documents of about CHUNK tokens at a time
+    cuts = np.unique(np.append(np.flatnonzero(first)[np.searchsorted(np.flatnonzero(first), np.arange(0, len(row), CHUNK)).clip(max=first.sum() - 1)], len(row)))
+
+    def passes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        parts = [marginals(_emit(w, f[:, i:j]), row[i:j], trans, start, pairs=True) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+        return np.concatenate([x[0] for x in parts]), sum(x[1] for x in parts), sum(x[2] for x in parts)
+
     step = RATE / np.sqrt(size / len(row) + 1e-4)
     velocity = np.zeros(len(used))
     for _ in range(STEPS):
-        p, joint, begin = marginals(_emit(w, f), row, trans, start, pairs=True)
+        p, joint, begin = passes()
         grad = (seen_w - count(p)) / len(row) * 100 - DECAY * w
         grad[used == 0] = 0  # the feature of tokens that are too short for an affix
         velocity = 0.8 * velocity + step * grad
@@ -169,7 +178,7 @@ def fit(texts: list[str | None], toxic: np.ndarray) -> dict:
         start += 0.5 * (seen_start - begin) / len(toxic)
     model = {"w": np.zeros(TABLE, np.float32), "trans": trans, "start": start, "doc": None}
     model["w"][used] = w
-    top, total = _gather(marginals(_emit(w, f), row, trans, start), row, len(toxic))
+    top, total = _gather(passes()[0], row, len(toxic))
     x = np.stack([top, np.log1p(total), np.ones(len(toxic))], 1)
     c = np.zeros(3)
     for _ in range(50):  # Newton's method with a small ridge
