@@ -69,10 +69,13 @@ def cons_01(values: DataFrame, tol: float = TOL) -> DataFrame:
     return _rows(values, "CONS-01", F.concat_ws("/", "world", "i"), s, F.col("mu"))
 
 
-def cons_02(pairs: DataFrame, tol: float = TOL) -> DataFrame:
-    """pairs (world, i, lhs, rhs, var_lhs, var_rhs, cov): lhs <= rhs, with the joint variance of the difference."""
+def cons_02(pairs: DataFrame, tol: float = TOL, slack: float = 0.0) -> DataFrame:
+    """pairs (world, i, lhs, rhs, var_lhs, var_rhs, cov): lhs <= rhs, with the joint variance of the difference.
+
+    A bound that two spreads pass by at most ``slack`` times the right side counts as met exactly, which is a PASS.
+    """
     d, v = F.col("lhs") - F.col("rhs"), F.greatest(F.lit(0.0), F.col("var_lhs") + F.col("var_rhs") - 2 * F.col("cov"))
-    return _rows(pairs, "CONS-02", F.concat_ws("/", "world", "i"), F.when(d > tol, "FAIL").when(d + 2 * F.sqrt(v) > 0, "WARN").otherwise("PASS"), d)
+    return _rows(pairs, "CONS-02", F.concat_ws("/", "world", "i"), F.when(d > tol, "FAIL").when(d + 2 * F.sqrt(v) > (slack * F.abs("rhs") if slack else 0), "WARN").otherwise("PASS"), d)
 
 
 def cons_03(pairs: DataFrame, tol: float = TOL) -> DataFrame:
