@@ -38,15 +38,19 @@ def set_digest(rows: DataFrame, by: str, line: Column) -> DataFrame:
     return rows.select(by, line.alias("l")).groupBy(by).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("l")), "\n"), 256).alias("digest"))
 
 
-def colour_refinement(nodes: DataFrame, edges: DataFrame, rounds: int = 3) -> DataFrame:
+def colour_refinement(nodes: DataFrame, edges: DataFrame, rounds: int = 3, counted: bool = False) -> DataFrame:
     """(node, colour) after ``rounds`` of hashing each node's colour with its neighbours' sorted colours: names don't matter.
 
-    nodes (node, label), edges (src, dst, kind).
+    nodes (node, label), edges (src, dst, kind). With ``counted``, equal neighbours are hashed as one with their number, so
+    that a node of many neighbours holds only their different colours.
     """
     colours = nodes.select("node", F.sha2(F.col("label").cast("string"), 256).alias("colour"))
     both = edges.select("src", "dst", F.concat(F.lit("+"), "kind").alias("kind")).union(edges.select("dst", "src", F.concat(F.lit("-"), "kind")))
     for _ in range(rounds):
-        near = both.join(colours.select(F.col("node").alias("dst"), "colour"), "dst").groupBy("src").agg(F.array_join(F.array_sort(F.collect_list(F.concat("kind", "colour"))), ",").alias("around"))
+        near = both.join(colours.select(F.col("node").alias("dst"), "colour"), "dst").select("src", F.concat("kind", "colour").alias("near"))
+        if counted:
+            near = near.groupBy("src", "near").agg(F.count("*").alias("n")).select("src", F.concat("near", F.lit("*"), F.col("n").cast("string")).alias("near"))
+        near = near.groupBy("src").agg(F.array_join(F.array_sort(F.collect_list("near")), ",").alias("around"))
         colours = colours.join(near, F.col("node") == F.col("src"), "left").select("node", F.sha2(F.concat_ws("|", "colour", F.coalesce("around", F.lit(""))), 256).alias("colour"))
     return colours
 

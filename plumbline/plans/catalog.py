@@ -649,11 +649,19 @@ def belief_digest(spark, d):
 x AS (SELECT s, '+aggregates' || c AS l FROM e JOIN n ON t = node UNION ALL SELECT t, '-aggregates' || c FROM e JOIN n ON s = node), g AS (SELECT s, string_agg(l, ',' ORDER BY l) AS a FROM x GROUP BY s)
 SELECT node, sha256(c || '|' || coalesce(a, '')) AS colour FROM n LEFT JOIN g ON node = s""")
 def wl_colours(spark, d):
+    """One round over regions and nations, as its SQL says; :func:`wl_colours_all` has every node and edge."""
     rel = w.containment(spark, d).filter("kind = 'aggregates'")
     nodes = w.nodes(spark, d).filter("node NOT LIKE 'c%'").withColumn("label", F.substring("node", 1, 1))
     return inventory.colour_refinement(nodes, rel, 1)
 
 
+@query("wl_colours_all")
+def wl_colours_all(spark, d):
+    """Three rounds over regions, nations and customers with all edges between them."""
+    nodes = w.nodes(spark, d).withColumn("label", F.substring("node", 1, 1))
+    return inventory.colour_refinement(nodes, w.containment(spark, d), 3, counted=True)
+
+
 @query("closed_json", "SELECT event_id, (props->>'k')::INT AS k FROM events")
 def closed_json(spark, d):
     return inventory.closed_json(w.table(spark, d, "events"), "props", "k int", ["k"]).select("event_id", F.col("record.k").alias("k"))
