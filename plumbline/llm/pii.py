@@ -6,7 +6,8 @@ so that no long run of characters is tried from each of its positions: a run is
 (or where the last match ended) and is never given back.
 
 Kinds: email, ip (parts at most 255), card (13 to 19 digits, Luhn), phone (9 to 15 digits), and iban (mod-97), which
-the method adds. A span's score starts at its kind's prior; a passed checksum and a context word in the CONTEXT code
+the method adds. An iban may start at any place that looks like one; it ends at its country's length, or in a country not
+in LENGTHS at the last end of a word that passes the checksum. Of ibans that overlap the first stays. A span's score starts at its kind's prior; a passed checksum and a context word in the CONTEXT code
 points before it raise it, a word that speaks for something else lowers it. Base kinds are kept whatever their score;
 an iban needs THRESHOLD.
 
@@ -27,9 +28,17 @@ PATTERNS = {
     "ip": (r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", r"[0-9]\.[0-9]"),
     "card": (r"[0-9](?:[\x20-]?[0-9])++", r"[0-9](?:[\x20-]?[0-9]){12}"),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "+"),
-    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11}"),
+    # a match is the first letter only, so that what follows can start a match too; the group holds what may belong to it
+    "iban": (r"(?<![A-Za-z0-9])[A-Z](?=([A-Z][0-9]{2}(?:\x20?[A-Z0-9]){11,30}+[A-Za-z0-9]?))", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11}"),
 }
 BASE = ("email", "ip", "card", "phone")
+#: Letters and digits of an account number, by country.
+LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
 #: Kind: prior score, words that raise it, words that lower it (looked for in the code points before the span).
 CONTEXT = 40
 RUN = 128
@@ -57,6 +66,22 @@ def _mod97(text: Column) -> Column:
     return F.aggregate(F.split(moved, ""), F.lit(0), lambda rest, c: F.when(c == "", rest).otherwise(step(rest, c))) == 1
 
 
+def _account(run: Column) -> Column:
+    """The account number that ``run`` starts with: it ends where no letter or digit follows. Null if there is none."""
+    known = F.create_map(*(F.lit(x) for n, names in LENGTHS.items() for c in names.split() for x in (c, n)))
+    size = F.element_at(known, F.substring(run, 1, 2))
+    sizes = F.when(size.isNull(), F.sequence(F.lit(34), F.lit(15), F.lit(-1))).otherwise(F.array(size))
+    head = lambda n: F.call_function("regexp_extract", run, F.concat(F.lit(r"^(?:[A-Z0-9]\x20?){"), (n - 1).cast("string"), F.lit("}[A-Z0-9](?![A-Za-z0-9])")), F.lit(0))
+    return F.get(F.filter(F.transform(sizes, head), lambda v: (v != "") & _mod97(v)), F.lit(0))
+
+
+def _apart(spans: Column) -> Column:
+    """``spans`` in order of their starts without those that start inside one that stays."""
+    meet = F.exists(F.arrays_zip(spans.alias("s"), F.slice(spans, 2, F.greatest(F.size(spans), F.lit(1))).alias("t")), lambda x: x["t"]["start"] < x["s"]["end"])
+    one = F.aggregate(spans, F.slice(spans, 1, 0), lambda kept, s: F.when((F.size(kept) == 0) | (s["start"] >= F.get(kept, F.size(kept) - 1)["end"]), F.concat(kept, F.array(s))).otherwise(kept))
+    return F.when(meet, one).otherwise(spans)
+
+
 def _valid(kind: str, m: Column) -> Column:
     if kind == "ip":
         # no part above 255: at most three digits once leading zeros are gone
@@ -67,7 +92,7 @@ def _valid(kind: str, m: Column) -> Column:
     if kind == "phone":
         return F.length(_digits(m)).between(9, 15)
     if kind == "iban":
-        return F.length(F.regexp_replace(m, " ", "")).between(15, 34) & _mod97(m)
+        return m.isNotNull()
     return F.lit(True)
 
 
@@ -105,8 +130,14 @@ def _kind_spans(text: Column, kind: str) -> Column:
     pieces, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     # one lambda variable holds the pieces and matches, or each use would run the patterns again
     found = F.element_at(F.transform(F.array(F.arrays_zip(pieces.alias("p"), matches.alias("m"))), _positions), 1)
+    if kind == "iban":
+        tails = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+        whole = lambda s, tail: F.transform(F.array(_account(F.concat(s["value"], tail))), lambda v: F.struct(s["start"].alias("start"), (s["start"] + F.length(v)).alias("end"), s["before"].alias("before"), v.alias("value")))[0]
+        found = F.zip_with(found, tails, whole)
     found = F.filter(found, lambda s: _valid(kind, s["value"]))
     scored = F.transform(found, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), _score(kind, s["before"]).alias("score"), s["value"].alias("value")))
+    if kind == "iban":
+        scored = F.element_at(F.transform(F.array(scored), _apart), 1)
     return F.when(likely, scored).otherwise(F.array().cast(SPAN)).cast(SPAN)
 
 
