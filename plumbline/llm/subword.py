@@ -1,7 +1,7 @@
 """SentencePiece encoding by sampling from the piece lattice, and lossless decoding.
 
-A space becomes the word mark of the piece model and pieces cross no mark but at their start, so the lattice of a text
-falls into the lattices of its words. Forward filtering sums, for each place in a word, the weights of all ways to reach
+A space becomes the word mark of the piece model and in pieces no mark follows another character, so the lattice of a text
+falls into the lattices of its words, each with all the spaces before it. Forward filtering sums, for each place in a word, the weights of all ways to reach
 it; backward sampling starts at the word's end and draws one incoming piece at a time with the probability of its ways.
 Draws come from a counter-based generator keyed by the row's key, the word's place and the step, so a row is always cut
 the same way, whatever partition it is in. The lattices of a slice's distinct words are built together as arrays of states and
@@ -54,7 +54,9 @@ class Pieces:
                 self.text[i] = bytes([int(piece[3:5], 16)])
             elif not (model.is_unknown(i) or model.is_control(i) or model.is_unused(i)):
                 self.text[i] = piece.replace("▁", " ").encode()
-                if b" " not in self.text[i][1:]:
+                if b" " in self.text[i].lstrip(b" "):
+                    raise ValueError(f"a mark follows another character in piece {i}: texts don't fall into words")
+                if self.text[i]:
                     by_len.setdefault(len(self.text[i]), []).append(i)
         self.weight = -alpha * np.log(np.arange(n) + 2.0)
         self.weight[self.byte_id] = -alpha * np.log(n) - BYTE_COST
@@ -180,8 +182,9 @@ def _of(path: str) -> Pieces:
 
 
 def _word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words with their leading space: a word starts at each space and at each text's start."""
+    """Words with their leading spaces: a word starts at each run of spaces and at each text's start."""
     first = _SPACE[data]
+    first[1:] &= ~_SPACE[data[:-1]]
     full = off[:-1][off[1:] > off[:-1]]
     first[full] = True
     s = np.flatnonzero(first)
