@@ -157,9 +157,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for pivots in WAVES:
         pairs = materialize(_star_pairs(prefix) if labels is None else _open_pairs(prefix, labels, tested, pivots, texts), "near-candidates")
         if pairs.isEmpty():
-            if tested is None:
+            if prefix.isEmpty():
                 break
-            continue
+            if tested is not None:
+                continue
+        # a first wave without pairs links nothing, and the later waves compare what the lists hold all the same
         tested = pairs if tested is None else tested.union(pairs)
         found = _links(pairs, reps, texts)
         links = found if links is None else links.union(found)
