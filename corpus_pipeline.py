@@ -6,7 +6,7 @@ piece numbers. A document that the mix takes several times has that many equal r
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm import exact_dedup, mixing, near_dedup, subword, toxicity
@@ -16,9 +16,16 @@ from plumbline.llm.common import materialize
 TOXIC = 0.5
 
 
-def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is in ``ids`` (column id)."""
-    return docs.join(ids, docs.doc_id.eqNullSafe(ids.id), "left_semi")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with _key: the id, which may be null or stand on several texts, and the text's digest."""
+    return docs.withColumn("_key", F.struct(F.col("doc_id").alias("id"), F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)).alias("digest")))
+
+
+def _kept(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each _key in ``keys``: of rows with one id and text the first by their other columns."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text", "_key")]
+    first = F.row_number().over(Window.partitionBy("_key").orderBy(*rest, "text"))
+    return docs.join(keys, "_key", "left_semi").withColumn("_first", first).filter("_first = 1").drop("_first")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,13 +37,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest id stays."""
     found = exact_dedup.exact_duplicates(docs)
-    return _kept(docs, found.filter(F.col("id").eqNullSafe(F.col("keep_id"))).select("id"))
+    return _kept(_keyed(docs), found.filter(F.col("id").eqNullSafe(F.col("keep_id"))).select(F.struct("id", "digest").alias("_key"))).select(docs.columns)
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the row with the smallest id stays."""
-    found = near_dedup.near_duplicates(docs)
-    return _kept(docs, found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("id")))
+    """Of each group of near duplicates the row with the smallest id stays; a row without an id counts as the largest."""
+    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 OR doc_id IS NULL").isEmpty():
+        found = near_dedup.near_duplicates(docs)
+        ids = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id")
+        return docs.join(ids, "doc_id", "left_semi").select(docs.columns)
+    # ids don't tell the rows apart: numbers in the order of ids and digests stand for them
+    keyed = _keyed(docs)
+    order = keyed.select("_key").distinct().orderBy(F.asc_nulls_last("_key.id"), "_key.digest")
+    number = materialize(order.withColumn("_n", F.monotonically_increasing_id()), "row-numbers")
+    found = near_dedup.near_duplicates(keyed.join(number, "_key"), "_n")
+    keys = number.join(found.filter(F.col("_n") == F.col("component_id")).select("_n"), "_n", "left_semi").select("_key")
+    return _kept(keyed, keys).select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
