@@ -41,3 +41,16 @@ def test_colours_of_all_nodes(spark, tmp_path):
     assert got == refined(labels, edges, 3)
     # customers tell nations apart
     assert got["n0"] != got["n6"] and got["n7"] not in (got["n1"], got["n4"]) and got["c0"] != got["c30"]
+
+
+def test_reports_see_lines_without_an_order(spark, tmp_path):
+    for name, data, schema in (
+        ("region", [(1,)], "r_regionkey long"), ("nation", [(1, 1)], "n_nationkey long, n_regionkey long"), ("customer", [(1, 1)], "c_custkey long, c_nationkey long"), ("orders", [(1,)], "o_orderkey long"),
+        ("lineitem", [(1, 1, 1, 1, 2.0, 20.0, 0.05), (1, 2, 1, 2, 3.0, 33.0, 0.0), (2, 1, 1, 1, 1.0, 9.0, 0.01)], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double"),
+    ):
+        spark.createDataFrame(data, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    run = lambda name: entry_module.queries()[name](spark, str(tmp_path))
+    passed = {(r, "PASS") for r in ("STRUCT-01", "STRUCT-02", "GAUSS-02", "CONS-01")}
+    assert set(rows(run("verification_report"))) == passed | {("QTY-01", "FAIL")}
+    passed = {(r, "", "PASS") for r in ("STRUCT-01", "STRUCT-02", "STRUCT-03", "GAUSS-01", "GAUSS-02", "GAUSS-03", "CONS-03")}
+    assert set(rows(run("verification_report_all"))) == passed | {("QTY-01", "2", "FAIL"), ("CONS-01", "1/d:2-2-1", "WARN"), ("CONS-02", "1/2-2-1", "WARN")}
