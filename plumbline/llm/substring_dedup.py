@@ -1,13 +1,12 @@
-"""Substring deduplication by prefix-partitioned suffix trees.
+"""Substring deduplication by a join on the hashes of word windows; it stands for suffix trees cut off at depth WINDOW.
 
-Suffixes start at words and matter to a depth of WINDOW words: a node at that depth with leaves in several documents is
-a repeat. A suffix's group is its prefix of variable length, up to the end of the lowest-ranked GRAM-word gram among its
-first WINDOW words; groups are dealt to partitions of bounded size by a hash of the prefix.
+A window is the first WINDOW words of a suffix; one that stands in several documents is a repeat. No tree is built and
+no suffix is ordered by its words: equal windows are found by a 64-bit hash of all their words.
 
-Two rounds. The first finds prefix grams that occur in one document only: such suffixes are leaves, and most of a corpus
-is settled here with one small key per run of suffixes. The second builds the trees of the others: within a partition
-suffixes are sorted by their path to depth WINDOW, so that equal paths, the deep internal nodes, lie together, and the
-smallest document of each node keeps the passage. Both rounds combine on the map side: of the suffixes of one node in one
+Two rounds. The first finds lowest-ranked GRAM-word grams of windows (the smallest hash, which equal windows share) that
+occur in one document only: such windows are no repeats, and most of a corpus is settled here with one small key per run
+of suffixes. The second groups the others: within a partition windows are sorted by their hash, so that equal ones lie
+together, and the smallest document of each group keeps the passage. Partitions are dealt by the top bits of the hash. Both rounds combine on the map side: of the suffixes of one window in one
 task all but the one with the smallest document are settled at once, so that a passage that a third of all documents
 share sends one row per task. The last step marks the words under repeated windows and cuts them out.
 
