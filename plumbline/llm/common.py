@@ -15,7 +15,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: A key held by more than one in HOT rows is hot: there are at most HOT such keys.
+HOT = 500
 #: Bytes of text handled at once inside a Python worker.
 SLICE_BYTES = 1 << 20
 #: Java regular expression for a word; the same six separators everywhere.
@@ -23,9 +26,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where it is unset, as in tests, a temporary one is set."""
+    """The folder named by ``spark.checkpoint.dir``; only a session on one machine, as in tests, may leave it unset."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="plumbline-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -55,9 +60,36 @@ def lean(spark: SparkSession) -> None:
 def drop(*tables: DataFrame) -> None:
     """Delete tables made by :func:`materialize` that no later plan reads."""
     for df in tables:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-        path = jvm.org.apache.hadoop.fs.Path(df._plumbline_path)
-        path.getFileSystem(conf).delete(path, True)
+        delete(df.sparkSession, df._plumbline_path)
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def others(df: DataFrame, *results: str) -> list[str]:
+    """The columns of ``df`` but for those that have a result's name: the result replaces them. Case does not count."""
+    taken = {r.lower() for r in results}
+    return [c for c in df.columns if c.lower() not in taken]
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """``df`` as one column, row: helper columns beside it can't clash with its own."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
+
+
+def hot_join(rows: DataFrame, keyed: DataFrame, key: str, count: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``keyed``, which has one row (or a few) per key and in ``count`` how many rows hold the key.
+
+    Keys that more than one in HOT of ``total`` rows hold are at most HOT and are joined by broadcast, so that no task gets
+    all rows of such a key; the others are joined by sort-merge. ``how``: inner or left_semi.
+    """
+    is_hot = F.col(count) * HOT > total
+    hot = keyed.filter(is_hot)
+    first = rows.join(F.broadcast(hot), key, how)
+    rest = rows.join(F.broadcast(hot.select(key).distinct()), key, "left_anti")
+    return first.unionByName(rest.join(keyed.filter(~is_hot).hint("merge"), key, how))
 
 
 # --- text as arrays -------------------------------------------------------------------------------------------------

@@ -16,7 +16,6 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op1_mixing": mixing.OP1_SQL,
-    "op2_toxicity": toxicity.op2_toxicity,
     "op3_url_filter": url_filter.OP3_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
 }
