@@ -8,13 +8,12 @@ forward-backward. A document's score is a logistic function, fitted on the same
 the sum of its marginals; offending spans are runs of tokens with a marginal of at least SPAN_AT.
 
 The fit reads at most SAMPLE toxic and twice as many other documents, the first in order of a hash, with their whole texts
-(of equal texts one); the model is
-a table of fixed size. Scoring covers every token of every text. Forward and backward passes run over blocks of tokens
-side by side; a block starts WARM tokens early, by when the start state is forgotten.
+(of equal texts one), and no more than SAMPLE_BYTES of them; the model is a table of fixed size. Scoring covers every
+token of every text, with exact forward and backward passes.
 
 Cases: null and empty texts have no tokens and get the score of an all-clean document; repeated rows get equal scores;
 several label rows of a document count one by one; without labelled rows of both kinds every score is 0; an empty table
-gives an empty table; other columns are kept.
+gives an empty table; columns named toxicity or toxic_spans are replaced, other columns are kept.
 """
 
 from __future__ import annotations
@@ -24,20 +23,23 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import lean, mix, slices, spans, text_buffers, word_hashes
+from plumbline.llm.common import lean, mix, others, slices, spans, text_buffers, word_hashes
 
 #: Toxic documents that the fit reads at most; of others it reads twice as many.
 SAMPLE = 1_000
+#: Bytes of text that the fit reads at most.
+SAMPLE_BYTES = 64 << 20
 TABLE = 1 << 18
 #: Leading letters (bytes) that are features; 0 is the whole token.
 AFFIXES = (0, 3, 4, 5, 6, 7, 8)
 #: An affix marks tokens if so many toxic documents have it and its share among toxic ones is so many times that elsewhere.
 SUPPORT, RATIO = 6, 20.0
-BLOCK, WARM = 96, 16
+#: Tokens of a document that one block of the forward and backward passes holds.
+BLOCK = 128
 #: Tokens of the sample that one pass of the fit handles together.
 CHUNK = 200_000
 SPAN_AT = 0.5
@@ -75,41 +77,82 @@ def _emit(w: np.ndarray, f: np.ndarray) -> np.ndarray:
 def marginals(emit: np.ndarray, row: np.ndarray, trans: np.ndarray, start: np.ndarray, pairs: bool = False):
     """P(toxic) of each token; with ``pairs`` also the expected number of each transition and of each start state.
 
-    ``emit`` is the toxic state's score over the clean one's, ``trans`` (2, 2) and ``start`` (2,) are scores.
+    ``emit`` is the toxic state's score over the clean one's, ``trans`` (2, 2) and ``start`` (2,) are scores. A document's
+    tokens fall into blocks counted from its first token; all blocks are worked through side by side. Each block's
+    product of transfer matrices, carried along the document, gives the state in which the next block starts, so that
+    the passes are exact, and equal documents get equal values wherever they stand.
     """
     n = len(emit)
     if not n:
         return (np.zeros(0), np.zeros((2, 2)), np.zeros(2)) if pairs else np.zeros(0)
     first = np.ones(n, bool)
     first[1:] = row[1:] != row[:-1]
-    last = np.ones(n, bool)
-    last[:-1] = first[1:]
-    w, t, p0 = np.exp(np.clip(emit, -30, 30)), np.exp(trans), np.exp(start)
-    m = -(-n // BLOCK)
-    size = m * BLOCK
-    pad = lambda a, v: np.concatenate((np.full(WARM, v, a.dtype), a, np.full(size - n + WARM, v, a.dtype)))
-    w_, first_, last_ = pad(w, 1.0), pad(first, True), pad(last, True)
+    begin = np.flatnonzero(first)
+    length = np.diff(np.append(begin, n))
+    w, t, p0 = np.exp(np.clip(emit, -30, 30)), np.exp(trans - trans.max()), np.exp(start - start.max())
+    # blocks in order of their sizes, so that those with a k-th token are the first ``active[k]``
+    blocks = -(-length // BLOCK)
+    base = np.concatenate(([0], np.cumsum(blocks)))[:-1]  # of each document's first block
+    doc = np.repeat(np.arange(len(begin)), blocks)
+    within = np.arange(len(doc)) - base[doc]
+    size = np.minimum(BLOCK, length[doc] - within * BLOCK)
+    order = np.argsort(-size, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    active = np.searchsorted(-size[order], -np.arange(size.max()), "left")
+    token = np.arange(n) - np.repeat(begin, length)
+    at = (token % BLOCK, place[np.repeat(base, length) + token // BLOCK])
+    m, depth = len(doc), int(size.max())
+    wk = np.ones((depth, m))
+    wk[at] = w
+    opens = (within == 0)[order]
     # ratios of toxic to clean: r forward (with the token's own score), b backward (without it)
-    r, b = np.empty(size + 2 * WARM), np.empty(size + 2 * WARM)
-    at = np.arange(m) * BLOCK
-    cur = np.full(m, p0[1] / p0[0])
-    for k in range(WARM + BLOCK):
-        j = at + k
-        step = np.where(first_[j], p0[1] / p0[0], (t[0, 1] + cur * t[1, 1]) / (t[0, 0] + cur * t[1, 0]))
-        cur = step * w_[j]
-        if k >= WARM:
-            r[j] = cur
-    cur = np.ones(m)
-    for k in range(WARM + BLOCK - 1, -1, -1):
-        j = at + WARM + k
-        if k < BLOCK:
-            b[j] = np.where(last_[j], 1.0, cur)
-            own = b[j]
-        else:
-            own = np.where(last_[j], 1.0, cur)
-        v = own * w_[j]
-        cur = (t[1, 0] + t[1, 1] * v) / (t[0, 0] + t[0, 1] * v)
-    r, b = r[WARM : WARM + n], b[WARM : WARM + n]
+    enter, leave = np.full(m, p0[1] / p0[0]), np.ones(m)
+    if blocks.max() > 1:
+        # rows of the products: what clean and toxic before the block lead to at its last token
+        x0, x1, y0, y1 = np.ones(m), np.zeros(m), np.zeros(m), np.ones(m)
+        for k in range(depth):
+            c = active[k]
+            a0, a1, v = x0[:c].copy(), x1[:c].copy(), wk[k, :c]
+            x0[:c], x1[:c] = a0 * t[0, 0] + a1 * t[1, 0], (a0 * t[0, 1] + a1 * t[1, 1]) * v
+            a0, a1 = y0[:c].copy(), y1[:c].copy()
+            y0[:c], y1[:c] = a0 * t[0, 0] + a1 * t[1, 0], (a0 * t[0, 1] + a1 * t[1, 1]) * v
+            if k == 0:  # a document's first token comes from the start state, whatever stood before
+                o = np.flatnonzero(opens[:c])
+                x0[o] = y0[o] = p0[0]
+                x1[o] = y1[o] = p0[1] * v[o]
+            if k % 4 == 3:
+                s = x0[:c] + x1[:c] + y0[:c] + y1[:c]
+                x0[:c] /= s
+                x1[:c] /= s
+                y0[:c] /= s
+                y1[:c] /= s
+        with np.errstate(over="ignore"):
+            for k in range(1, int(blocks.max())):
+                j = np.flatnonzero(blocks > k)
+                i, now = place[base[j] + k - 1], place[base[j] + k]
+                q = 0.0 if k == 1 else enter[i]
+                enter[now] = (x1[i] + q * y1[i]) / (x0[i] + q * y0[i])
+            for k in range(int(blocks.max()) - 1, 0, -1):
+                j = np.flatnonzero(blocks > k)
+                i, now = place[base[j] + k], place[base[j] + k - 1]
+                leave[now] = (y0[i] + y1[i] * leave[i]) / (x0[i] + x1[i] * leave[i])
+    r, b = np.ones((depth, m)), np.ones((depth, m))
+    cur = enter
+    for k in range(depth):
+        c = active[k]
+        step = (t[0, 1] + cur[:c] * t[1, 1]) / (t[0, 0] + cur[:c] * t[1, 0])
+        if k == 0:
+            step = np.where(opens[:c], p0[1] / p0[0], step)
+        cur = step * wk[k, :c]
+        r[k, :c] = cur
+    cur = leave
+    for k in range(depth - 1, -1, -1):
+        c = active[k]
+        b[k, :c] = cur[:c]
+        v = cur[:c] * wk[k, :c]
+        cur[:c] = (t[1, 0] + t[1, 1] * v) / (t[0, 0] + t[0, 1] * v)
+    r, b = r[at], b[at]
     odds = r * b
     p = odds / (1 + odds)
     if not pairs:
@@ -221,11 +264,19 @@ def tag(texts: pa.Array, model: dict) -> tuple[np.ndarray, list[list[dict]]]:
 
 
 def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> pd.DataFrame:
-    """Labelled texts for the fit: rows whose crc32(doc_id) leaves a remainder by 5, at most ``most`` toxic ones and twice as many others."""
+    """Labelled texts for the fit: rows whose crc32(doc_id) leaves a remainder by 5, at most ``most`` toxic ones and twice as many others.
+
+    Of equal texts with one label one stays; toxic ones first and then in order of a hash they are taken while they fit
+    into SAMPLE_BYTES together, so that a few very long ones (or an id on many rows) can't fill the driver.
+    """
     train = labels.filter(F.col("toxic").isNotNull() & ~held_out("doc_id")).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     picked = [train.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most * (2 - k)) for k in (0, 1)]
     ids = picked[0].union(picked[1])
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").toPandas().sort_values(["toxic", "doc_id"], kind="stable").drop_duplicates(["text", "toxic"])
+    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").filter("text <> ''")
+    found = found.groupBy("toxic", F.sha2("text", 256).alias("digest")).agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    order = Window.orderBy(F.desc("toxic"), F.xxhash64("doc_id"), "digest").rowsBetween(Window.unboundedPreceding, 0)
+    found = found.withColumn("read", F.sum(F.octet_length("text")).over(order)).filter(F.col("read") <= SAMPLE_BYTES)
+    return found.select("doc_id", "text", "toxic").toPandas().sort_values(["toxic", "doc_id"], kind="stable")
 
 
 def held_out(column: str):
@@ -236,7 +287,8 @@ def score(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     """``docs`` with toxicity (0 to 1) and toxic_spans."""
     lean(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text_col)
+    kept = others(docs, "toxicity", "toxic_spans")
+    docs, at = docs.select(*(F.col(f"`{c}`") for c in kept)), kept.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
@@ -244,7 +296,7 @@ def score(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
             scores, found = tag(batch.column(at), shared.value)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), pa.array(found, kind)], [*batch.schema.names, "toxicity", "toxic_spans"])
 
-    schema = docs.select(*docs.columns).schema.add("toxicity", "double").add("toxic_spans", SPANS)
+    schema = T.StructType(list(docs.schema.fields)).add("toxicity", "double").add("toxic_spans", SPANS)
     return docs.mapInArrow(run, schema)
 
 
