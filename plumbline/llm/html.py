@@ -1,21 +1,24 @@
 """Main text of HTML pages by gradient-boosted trees over DOM nodes.
 
 A page becomes a tree of block elements with anonymous text blocks. Each node has features of its tag, the tokens of its
-class, id and role, its depth and place among its siblings, and its subtree (text, link density, tags, punctuation,
-kinds of tokens below). Boosted regression trees on histograms give each node's log odds of being main text; they are
+class, id and role, its depth and place among its siblings, and its subtree (text, link density, tags, punctuation).
+Tokens are hashed into BUCKETS; the TOKENS buckets that tell most about the labels of the training pages are features of
+the node itself and of what stands above and below it. Boosted regression trees on histograms give each node's log odds of being main text; they are
 trained on pages generated here from templates with many layouts and naming habits, whose labels are known. Decoding is
 hierarchical: the labelling with the best total log likelihood in which no kept node has a dropped ancestor, found by
 one pass up and one down the tree.
 
 Cases: null and empty pages, and pages without main text, give the empty string; unclosed and stray tags are repaired
-as browsers do it, roughly; very long pages are handled whole; repeated rows give equal texts; an empty table gives an
-empty table; other columns are kept.
+as browsers do it, roughly: what follows an unclosed script, style or other element of raw text is part of it; very
+long pages are handled whole; repeated rows give equal texts; an empty table gives an empty table; a column named
+main_text is replaced, other columns are kept.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+import zlib
 from collections.abc import Iterator
 from functools import cache
 
@@ -23,14 +26,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from plumbline.llm.common import lean
+from plumbline.llm.common import lean, others
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[/!?a-zA-Z][^>]*+>?""", re.S)
 _ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
 _WORD = re.compile(r"[a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object canvas select option button".split())
+#: Elements whose content is no text of the page; those of HIDDEN hold raw text and reach to the page's end if unclosed.
+HIDDEN = frozenset("script style textarea title noscript iframe".split())
+RAW = HIDDEN | frozenset("template svg math object canvas select option button".split())
+_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*+>?", re.I) for tag in RAW}
 BLOCK = frozenset("html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"thead", "tr", "td", "th"}}
 HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr"}, "th": {"tr"}, "tbody": {"table"}}
@@ -38,16 +45,9 @@ KINDS = (
     frozenset("article main".split()), frozenset("nav menu".split()), frozenset(("footer",)), frozenset(("header",)), frozenset(("aside",)), frozenset("form fieldset dialog".split()),
     frozenset("h1 h2 h3 h4 h5 h6".split()), frozenset(("p", "blockquote", "pre")), frozenset("ul ol dl".split()), frozenset("li dt dd".split()), frozenset("table tbody tr td th".split()), frozenset("div section".split()), frozenset(("#text",)),
 )
-#: Tokens of class, id and role, by what they speak for.
-TOKENS = (
-    frozenset("article content main post entry story body text prose".split()),
-    frozenset("nav menu navigation breadcrumb breadcrumbs navbar pagination pager tabs links".split()),
-    frozenset("footer header masthead banner copyright legal colophon topbar".split()),
-    frozenset("sidebar aside related widget widgets rail recommended trending".split()),
-    frozenset("ad ads advert advertisement promo sponsor sponsored".split()),
-    frozenset("comment comments reply replies discussion disqus responses".split()),
-    frozenset("cookie cookies consent notice alert newsletter subscribe signup login search share social popup modal".split()),
-)
+_KIND = {tag: k for k, kind in enumerate(KINDS) for tag in kind}
+#: Buckets that tokens of class, id and role are hashed into, and how many of them are features.
+BUCKETS, TOKENS = 4_096, 64
 
 
 class Node:
@@ -62,8 +62,9 @@ class Node:
 def parse(page: str) -> Node:
     """The tree of block elements; text stands in ``#text`` nodes, one for each run between block boundaries."""
     root = Node("html", None)
-    at, pos, skip, links = root, 0, "", 0
+    at, pos, links = root, 0, 0
     run: Node | None = None
+    unclosed: set[str] = set()  # raw elements without an end tag in the rest of the page
 
     def add(text: str) -> None:
         nonlocal run
@@ -85,9 +86,10 @@ def parse(page: str) -> Node:
         if not tag:
             continue
         if tag in RAW and not m[1]:
-            # what stands in these is no text of the page; without an end tag only the tag itself goes
-            end = re.compile(rf"</{tag}\s*+>", re.I).search(page, pos)
-            pos = end.end() if end else pos
+            end = None if tag in unclosed else _END[tag].search(page, pos)
+            if end is None:
+                unclosed.add(tag)
+            pos = end.end() if end else len(page) if tag in HIDDEN else pos
             continue
         if tag == "a":
             links = 0 if m[1] else 1
@@ -135,25 +137,37 @@ def nodes_of(root: Node) -> list[Node]:
     return out
 
 
-def features(nodes: list[Node]) -> tuple[np.ndarray, np.ndarray]:
-    """A row of features and the parent's number for each node."""
+@cache
+def _bucket(token: str) -> int:
+    return zlib.crc32(token.encode()) % BUCKETS
+
+
+def tokens(node: Node) -> set[int]:
+    """Buckets of the tokens of a node's class, id and role."""
+    out: set[int] = set()
+    if node.attrs:
+        for name, value in _ATTR.findall(node.attrs):
+            if name.lower() in ("class", "id", "role"):
+                out.update(_bucket(w) for w in _WORD.findall(value.lower()))
+    return out
+
+
+def features(nodes: list[Node], buckets: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """A row of features and the parent's number for each node; ``buckets`` are those of the tokens that count."""
     n = len(nodes)
     number = {id(x): i for i, x in enumerate(nodes)}
+    place = {b: len(KINDS) + k for k, b in enumerate(buckets)}
     parent = np.array([number[id(x.parent)] if x.parent is not None else -1 for x in nodes])
-    own = np.zeros((n, len(KINDS) + len(TOKENS)))
-    sums = np.zeros((n, 5 + len(TOKENS) + 4))  # text, link text, nodes, punctuation, paragraphs; then tokens and some kinds below
+    own = np.zeros((n, len(KINDS) + len(buckets)))
+    sums = np.zeros((n, 5 + len(buckets) + 4))  # text, link text, nodes, punctuation, paragraphs; then tokens and some kinds below
     depth, index, siblings = np.zeros(n), np.zeros(n), np.zeros(n)
     for i, x in enumerate(nodes):
-        for k, kind in enumerate(KINDS):
-            if x.tag in kind:
-                own[i, k] = 1
+        if x.tag in _KIND:
+            own[i, _KIND[x.tag]] = 1
         if x.attrs:
-            for name, value in _ATTR.findall(x.attrs):
-                if name.lower() in ("class", "id", "role"):
-                    for w in _WORD.findall(value.lower()):
-                        for k, tokens in enumerate(TOKENS):
-                            if w in tokens:
-                                own[i, len(KINDS) + k] = 1
+            for b in tokens(x):
+                if b in place:
+                    own[i, place[b]] = 1
         if x.text:
             sums[i, :2] = len(x.text), min(x.link, len(x.text))
             sums[i, 3] = x.text.count(".") + x.text.count(",")
@@ -163,8 +177,8 @@ def features(nodes: list[Node]) -> tuple[np.ndarray, np.ndarray]:
         for k, c in enumerate(x.children):
             j = number[id(c)]
             index[j], siblings[j] = k, len(x.children)
-    sums[:, 5 : 5 + len(TOKENS)] = own[:, len(KINDS) :]
-    sums[:, 5 + len(TOKENS) :] = own[:, 1:5]
+    sums[:, 5 : 5 + len(buckets)] = own[:, len(KINDS) :]
+    sums[:, 5 + len(buckets) :] = own[:, 1:5]
     above = own.copy()
     for i in range(n - 1, 0, -1):
         sums[parent[i]] += sums[i]
@@ -176,7 +190,7 @@ def features(nodes: list[Node]) -> tuple[np.ndarray, np.ndarray]:
     total = max(1.0, text[0])
     share = text / np.maximum(1, text[np.maximum(parent, 0)])
     extra = np.stack([depth, index, siblings, np.log1p(text), sums[:, 1] / np.maximum(1, text), text / sums[:, 2], sums[:, 3] / np.maximum(1, text), np.log1p(sums[:, 4]), share, text / total, before / total], 1)
-    return np.hstack([own, np.minimum(above, 1), np.log1p(sums[:, 5:]), extra]), parent
+    return np.hstack([own, np.minimum(above, 1), np.minimum(sums[:, 5 : 5 + len(buckets)], 1), np.log1p(sums[:, 5 + len(buckets) :]), extra]), parent
 
 
 class Boosted:
@@ -186,8 +200,12 @@ class Boosted:
         self.trees, self.depth, self.rate, self.bins = trees, depth, rate, bins
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
-        self.edges = [np.unique(np.quantile(c, np.linspace(0, 1, self.bins + 1)[1:-1])) for c in x.T]
+        flags = ((x == 0) | (x == 1)).all(0)
+        self.edges = [np.array([0.5]) if f else np.unique(np.quantile(c, np.linspace(0, 1, self.bins + 1)[1:-1])) for f, c in zip(flags, x.T, strict=True)]
         b = self._bin(x)
+        flag, level_of = np.flatnonzero(flags), np.flatnonzero(~flags)
+        set_ = x[:, flag].astype(np.float32)
+        every = np.arange(len(y))
         self.base = float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
         f = np.full(len(y), self.base)
         self.nodes = []
@@ -197,19 +215,28 @@ class Boosted:
             at = np.zeros(len(y), int)
             feature, cut = np.zeros(2**self.depth - 1, int), np.full(2**self.depth - 1, 255)
             for level in range(self.depth):
-                for k in range(2**level - 1, 2 ** (level + 1) - 1):
-                    rows = np.flatnonzero(at == k)
+                low, wide = 2**level - 1, 2**level
+                here = np.flatnonzero((at >= low) & (at < low + wide))
+                # sums of both gradients over the rows of each tree node, and over those whose flag is set
+                parts = np.zeros((len(y), 2 * wide), np.float32)
+                parts[here, at[here] - low], parts[here, wide + at[here] - low] = g[here], h[here]
+                held = (set_.T @ parts).astype(float)
+                for k in range(low, low + wide):
+                    rows = every[at == k]
                     if len(rows) < 20:
                         continue
                     best = 1e-9
                     gs, hs = g[rows].sum(), h[rows].sum()
-                    for c in range(b.shape[1]):
-                        gl = np.cumsum(np.bincount(b[rows, c], g[rows], self.bins))[:-1]
-                        hl = np.cumsum(np.bincount(b[rows, c], h[rows], self.bins))[:-1]
-                        gain = gl**2 / (hl + 1) + (gs - gl) ** 2 / (hs - hl + 1) - gs**2 / (hs + 1)
-                        if gain.max() > best:
-                            best, feature[k], cut[k] = gain.max(), c, int(gain.argmax())
-                inner = at >= 2**level - 1
+                    gain = lambda gl, hl: gl**2 / (hl + 1) + (gs - gl) ** 2 / (hs - hl + 1) - gs**2 / (hs + 1)  # noqa: B023, E731
+                    if len(flag):
+                        gains = gain(gs - held[:, k - low], np.maximum(hs - held[:, wide + k - low], 0))
+                        if gains.max() > best:
+                            best, feature[k], cut[k] = gains.max(), flag[gains.argmax()], 0
+                    for c in level_of:
+                        gains = gain(*(np.cumsum(np.bincount(b[rows, c], v[rows], self.bins))[:-1] for v in (g, h)))
+                        if gains.max() > best:
+                            best, feature[k], cut[k] = gains.max(), c, int(gains.argmax())
+                inner = at >= low
                 at[inner] = 2 * at[inner] + 1 + (b[inner, feature[at[inner]]] > cut[at[inner]])
             leaf = at - (2**self.depth - 1)
             value = self.rate * np.bincount(leaf, g, 2**self.depth) / (np.bincount(leaf, h, 2**self.depth) + 1)
@@ -272,6 +299,8 @@ def training_page(rng: np.random.Generator) -> str:
             return "<ul>" + "".join(f"<li>{prose(3)}</li>" for _ in range(rng.integers(1, 6))) + "</ul>"
         return pick(f"<blockquote>{prose(4)}</blockquote>", f"<pre>{prose(3)}</pre>", f"<table><tr><td>{words(3)}<td>{words(2)}</table>", f"<div>{prose(4)}</div>")
 
+    if rng.random() < 0.05:  # a page of nothing but text
+        return "<body>" + "".join(re.sub(r"^<(\w+)", r"<\1 data-main", block()) for _ in range(rng.integers(1, 6)))
     body = (f"<h1>{words(int(rng.integers(1, 12)))}</h1>" if rng.random() < 0.9 else "") + "".join(block() for _ in range(rng.integers(1, 25)))
     main = pick(f"<article data-main>{body}</article>", f"<main data-main>{body}</main>", f"<main><article data-main>{body}</article></main>", f"<div{named('content', 'post', 'entry', 'article', 'story')} data-main>{body}</div>", f"<section{named('content', 'text')} data-main>{body}</section>")
     junk = {
@@ -288,13 +317,15 @@ def training_page(rng: np.random.Generator) -> str:
         "side": junk["side"],
         "ad": junk["ad"],
     }
+    marked = lambda t: re.sub(r"^<(\w+)", r"<\1 data-junk", t)
+
     def inside(t: str) -> str:
         if rng.random() < 0.2:
-            t = t.replace("<p>", junk[pick(*junk)]() + "<p>", 1)
+            t = t.replace("<p>", marked(junk[pick(*junk)]()) + "<p>", 1)
         if rng.random() < 0.25:
             close = max(t.rfind(c) for c in ("</article>", "</div>", "</section>", "</main>"))
             close = t.rfind("</article>") if "</article></main>" in t else close
-            t = t[:close] + after[pick(*after)]() + t[close:]
+            t = t[:close] + marked(after[pick(*after)]()) + t[close:]
         return t
 
     some = lambda kinds, p: "".join(kinds[k]() for k in kinds if rng.random() < p)
@@ -302,37 +333,53 @@ def training_page(rng: np.random.Generator) -> str:
     return f"<body>{pick('', f'<div{named(chr(112) + chr(97) + chr(103) + chr(101))}>')}{page}</body>"
 
 
-def _labels(nodes: list[Node], x: np.ndarray, parent: np.ndarray) -> np.ndarray:
-    """1 for nodes in the marked container (but not in junk inside it), and for what leads to it."""
-    bad = x[:, [1, 2, 3, 4, 5]].any(1) | x[:, len(KINDS) + 1 : len(KINDS) + len(TOKENS)].any(1)
+def _labels(nodes: list[Node]) -> np.ndarray:
+    """1 for nodes in the marked container (but not in marked junk inside it), and for what leads to it."""
+    number = {id(x): i for i, x in enumerate(nodes)}
     y = np.zeros(len(nodes))
-    inside = np.zeros(len(nodes), bool)
     for i, node in enumerate(nodes):
-        inside[i] = "data-main" in node.attrs or (parent[i] >= 0 and inside[parent[i]] and not bad[i])
-    y[inside] = 1
+        within = node.parent is not None and y[number[id(node.parent)]] > 0
+        y[i] = "data-junk" not in node.attrs and ("data-main" in node.attrs or within)
     for i in range(len(nodes) - 1, 0, -1):
         if y[i]:
-            y[parent[i]] = 1
+            y[number[id(nodes[i].parent)]] = 1
     return y
 
 
+def _telling(pages: list[list[Node]], labels: list[np.ndarray]) -> tuple[int, ...]:
+    """The TOKENS buckets whose tokens tell most about the labels of the nodes that have them or stand below them."""
+    seen, main = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for nodes, y in zip(pages, labels, strict=True):
+        number = {id(x): i for i, x in enumerate(nodes)}
+        held: list[set[int]] = []
+        for i, x in enumerate(nodes):
+            held.append(tokens(x) | (held[number[id(x.parent)]] if x.parent is not None else set()))
+            for b in held[i]:
+                seen[b] += 1
+                main[b] += y[i]
+    base = sum(y.sum() for y in labels) / sum(len(y) for y in labels)
+    part = lambda q, p: np.where(q > 0, q * np.log(np.maximum(q, 1e-12) / p), 0)
+    rate = main / np.maximum(seen, 1)
+    told = seen * (part(rate, base) + part(1 - rate, 1 - base))
+    return tuple(sorted(int(b) for b in np.argsort(-told, kind="stable")[:TOKENS] if seen[b]))
+
+
 @cache
 def model(pages: int = 400, seed: int = 5) -> Boosted:
-    """The trees, trained on ``pages`` generated pages."""
+    """The trees, trained on ``pages`` generated pages, with the buckets of tokens that they know."""
     rng = np.random.default_rng(seed)
-    xs, ys = [], []
-    for _ in range(pages):
-        nodes = nodes_of(parse(training_page(rng)))
-        x, parent = features(nodes)
-        xs.append(x)
-        ys.append(_labels(nodes, x, parent))
-    return Boosted().fit(np.concatenate(xs), np.concatenate(ys))
+    made = [nodes_of(parse(training_page(rng))) for _ in range(pages)]
+    labels = [_labels(nodes) for nodes in made]
+    buckets = _telling(made, labels)
+    trees = Boosted().fit(np.concatenate([features(nodes, buckets)[0] for nodes in made]), np.concatenate(labels))
+    trees.buckets = buckets
+    return trees
 
 
 def main_texts(pages: list[str | None], trees: Boosted) -> list[str]:
     """The kept blocks of each page, one a line."""
     parsed = [nodes_of(parse(p or "")) for p in pages]
-    made = [features(n) for n in parsed]
+    made = [features(n, trees.buckets) for n in parsed]
     odds = trees.log_odds(np.concatenate([x for x, _ in made])) if made else np.zeros(0)
     out, at = [], 0
     for nodes, (x, parent) in zip(parsed, made, strict=True):
@@ -346,7 +393,8 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """``pages`` with main_text."""
     lean(pages.sparkSession)
     trees = pages.sparkSession.sparkContext.broadcast(model())
-    at = pages.columns.index(html_col)
+    kept = others(pages, "main_text")
+    pages, at = pages.select(*(F.col(f"`{c}`") for c in kept)), kept.index(html_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -355,7 +403,7 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
                 texts += main_texts(batch.column(at).slice(i, 64).to_pylist(), trees.value)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "main_text"])
 
-    return pages.mapInArrow(run, pages.select(*pages.columns).schema.add("main_text", "string"))
+    return pages.mapInArrow(run, T.StructType(list(pages.schema.fields)).add("main_text", "string"))
 
 
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
