@@ -3,12 +3,15 @@
 A payload is stored as an 8-bit mono WAV file at RATE_IN. Features: polyphase resampling to RATE_OUT (two phases of a
 windowed sinc, applied as one banded matrix to units of UNIT samples with their surroundings), overlapped frames of two
 output units under a Hann window, log energies of MELS mel bands, and segments of loud frames by hysteresis: a segment
-starts where the energy exceeds the upper threshold and lasts while it stays above the lower one. Features leave as
-fixed-shape blocks of FRAMES x MELS with their time spans, which :func:`tensors` turns into an Arrow tensor column.
+starts where the energy exceeds the upper threshold and lasts while it stays above the lower one. A row's features are
+stored as an Arrow stream (Spark has no tensor type): one row per block of FRAMES frames with its time span and the bands
+as a fixed-shape tensor of FRAMES x MELS; the loud spans stand beside it. :func:`tensors` reads such a column back, and
+the query's digest is of what is read back.
 
 Cases: null and empty texts make one unit of spaces; equal payloads give equal values, wherever they stand in a batch
-(values are rounded far above the precision of the sums); very long payloads are worked through in parts of whole rows;
-an empty table gives an empty table; columns other than the id and the text are not read.
+(values are rounded far above the precision of the sums); the units of a payload are worked through in runs of RUN, so that
+beside the payload and its stored forms memory does not follow its length; an empty table gives an empty table; columns
+other than the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -30,6 +33,11 @@ OUT = UNIT * RATE_OUT // RATE_IN
 REACH, MELS, FRAMES = 24, 40, 32
 #: Hysteresis thresholds in standard deviations from a payload's mean log energy.
 UPPER, LOWER = 0.5, -0.25
+#: Units that are transformed at once.
+RUN = 4_096
+#: One block of features: its time span in seconds, and log-mel values in hundredths of a decade; the last is padded.
+BLOCK = pa.schema([("start_s", pa.float64()), ("end_s", pa.float64()), ("log_mel", pa.fixed_shape_tensor(pa.int16(), (FRAMES, MELS)))])
+SILENCE = -600
 
 
 def _resampler() -> np.ndarray:
@@ -70,29 +78,39 @@ def samples(file: bytes) -> bytes:
     raise ValueError("no samples")
 
 
+def _transformed(raw: np.ndarray, first: np.ndarray, last: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mel bands and log energies of the frames that start at units lo to hi, each with the unit after it."""
+    n = len(first)
+    a, b = max(0, lo - 1), min(n, hi + 2)  # one unit more before, two after: for the surroundings, and for the last frame
+    body = (raw[a * UNIT : b * UNIT].reshape(-1, UNIT).astype(np.float64) - 128) / 128
+    want = np.arange(lo, min(n, hi + 1))
+    x = np.zeros((len(want), UNIT + 2 * REACH))
+    x[:, REACH:-REACH] = body[want - a]
+    inner = np.flatnonzero(~first[want])
+    x[inner, :REACH] = body[want[inner] - 1 - a, -REACH:]
+    inner = np.flatnonzero(~last[want])
+    x[inner, -REACH:] = body[want[inner] + 1 - a, :REACH]
+    y = x @ _RESAMPLE
+    frames = np.zeros((hi - lo, 2 * OUT))
+    frames[:, :OUT] = y[: hi - lo]
+    inner = np.flatnonzero(~last[lo:hi])
+    frames[inner, OUT:] = y[inner + 1]
+    spectrum = np.fft.rfft(frames * _HANN, axis=1)
+    power = spectrum.real**2 + spectrum.imag**2
+    return np.round(np.log10(power @ _MEL + 1e-6) * 100).astype(np.int16), np.round(np.log10((frames**2).sum(1) + 1e-6) * 1000)
+
+
 def features(raw: np.ndarray, units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of samples (uint8) of several payloads, whose first units are ``units[:-1]``: mel bands in hundredths of a
     decade (frames x MELS, int16), whether each frame is loud, and the payload of each frame. A frame starts at each unit.
     """
     n = len(raw) // UNIT
-    x = np.zeros((n, UNIT + 2 * REACH))
-    body = (raw.reshape(n, UNIT).astype(np.float64) - 128) / 128
-    x[:, REACH:-REACH] = body
     first, last = np.zeros(n, bool), np.zeros(n, bool)
     first[units[:-1]] = True
     last[units[1:] - 1] = True
-    inner = np.flatnonzero(~first)
-    x[inner, :REACH] = body[inner - 1, -REACH:]
-    inner = np.flatnonzero(~last)
-    x[inner, -REACH:] = body[inner + 1, :REACH]
-    y = x @ _RESAMPLE
-    frames = np.zeros((n, 2 * OUT))
-    frames[:, :OUT] = y
-    frames[inner, OUT:] = y[inner + 1]
-    spectrum = np.fft.rfft(frames * _HANN, axis=1)
-    power = spectrum.real**2 + spectrum.imag**2
-    mel = np.round(np.log10(power @ _MEL + 1e-6) * 100).astype(np.int16)
-    energy = np.round(np.log10((frames**2).sum(1) + 1e-6) * 1000)
+    mel, energy = np.empty((n, MELS), np.int16), np.empty(n)
+    for lo in range(0, n, RUN):
+        mel[lo : lo + RUN], energy[lo : lo + RUN] = _transformed(raw, first, last, lo, min(lo + RUN, n))
     of = np.repeat(np.arange(len(units) - 1), np.diff(units))
     count = np.diff(units)
     mean = np.add.reduceat(energy, units[:-1]) / count
@@ -127,71 +145,88 @@ def _stored(batch: pa.RecordBatch) -> Iterator[tuple]:
         yield i, texts, files, back, units, *features(np.frombuffer(b"".join(back), np.uint8), units)
 
 
+def to_stream(mel: np.ndarray) -> bytes:
+    """The Arrow stream of one payload's bands (frames x MELS)."""
+    n = len(mel)
+    start = np.arange(0, n, FRAMES)
+    block = np.full((len(start) * FRAMES, MELS), SILENCE, np.int16)
+    block[:n] = mel
+    storage = pa.FixedSizeListArray.from_arrays(pa.array(block.ravel()), FRAMES * MELS)
+    bands = pa.ExtensionArray.from_storage(BLOCK.field("log_mel").type, storage)
+    times = [pa.array(x * UNIT / RATE_IN) for x in (start, np.minimum(start + FRAMES, n))]
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, BLOCK) as out:
+        out.write_batch(pa.RecordBatch.from_arrays([*times, bands], schema=BLOCK))
+    return sink.getvalue().to_pybytes()
+
+
+def from_stream(stream: bytes) -> pa.Table:
+    """The blocks of one row, with their bands as a tensor column."""
+    return pa.ipc.open_stream(stream).read_all()
+
+
+def bands(blocks: pa.Table) -> np.ndarray:
+    """(blocks, FRAMES, MELS) of a table of blocks."""
+    return blocks.column("log_mel").combine_chunks().to_numpy_ndarray()
+
+
 def _media_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))
     for batch in batches:
         for i, texts, files, back, units, mel, loud, _ in _stored(batch):
             n = len(texts)
             rows = list(zip(units[:-1], units[1:], strict=True))
-            spans = [segments(loud[a:b]) for a, b in rows]
-            marks = [f"{b - a}:{len(s)}:{int(loud[a:b].sum())}:{hashlib.sha256(mel[a:b].tobytes()).hexdigest()}" for (a, b), s in zip(rows, spans, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(i, n),
                     pa.array([len(t) for t in texts], pa.int64()),
-                    pa.array(files, pa.binary()),
+                    pa.array(files, pa.large_binary()),
                     pa.array([len(p) for p in back], pa.int64()),
                     pa.array([hashlib.sha256(p).hexdigest() for p in back]),
                     pa.array([zlib.crc32(p[-16:]) for p in back], pa.int64()),
-                    pa.array(marks),
-                    pa.array([[{"start_s": a, "end_s": b} for a, b in s] for s in spans], span),
+                    pa.array([to_stream(mel[a:b]) for a, b in rows], pa.large_binary()),
+                    pa.array([[{"start_s": s, "end_s": e} for s, e in segments(loud[a:b])] for a, b in rows], span),
                 ],
-                ["id", "n_bytes", "media", "payload_bytes", "payload_sha256", "tail_crc32", "feature", "segments"],
+                ["id", "n_bytes", "media", "payload_bytes", "payload_sha256", "tail_crc32", "log_mel", "segments"],
             )
 
 
-MEDIA = "id long, n_bytes long, media binary, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string, segments array<struct<start_s:double,end_s:double>>"
+MEDIA = "id long, n_bytes long, media binary, payload_bytes long, payload_sha256 string, tail_crc32 long, log_mel binary, segments array<struct<start_s:double,end_s:double>>"
 
 
 def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: the stored file, what is read back from it, a digest of its features, and its loud segments."""
+    """Per row: the stored file, what is read back from it, its blocks of log-mel bands as an Arrow stream, and its loud spans."""
     lean(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).mapInArrow(_media_batches, MEDIA)
 
 
-def _block_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i, _, _, _, units, mel, _, of in _stored(batch):
-            within = np.arange(len(of)) - units[of]
-            first = np.flatnonzero(within % FRAMES == 0)
-            size = np.minimum(FRAMES, units[of[first] + 1] - first)
-            block = np.full((len(first), FRAMES, MELS), -600, np.float32)
-            for k in range(FRAMES):
-                has = size > k
-                block[has, k] = mel[first[has] + k]
-            start = within[first] * UNIT / RATE_IN
-            values = pa.array((block / 100).ravel())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(i + of[first])), pa.array(start), pa.array(start + size * UNIT / RATE_IN), pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1, dtype=np.int32) * FRAMES * MELS), values)],
-                ["id", "start_s", "end_s", "log_mel"],
-            )
-
-
-def mel_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Blocks of FRAMES x MELS log-mel values (the last of a row is padded) with their time spans."""
-    lean(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).mapInArrow(_block_batches, "id long, start_s double, end_s double, log_mel array<float>")
+def tensors(media: pa.Table) -> pa.Table:
+    """The blocks of all rows of a table with id and log_mel: id, start_s, end_s, log_mel as a fixed-shape tensor column."""
+    parts = []
+    for key, stream in zip(media.column("id"), media.column("log_mel"), strict=True):
+        blocks = from_stream(stream.as_py())
+        parts.append(blocks.add_column(0, "id", pa.array([key.as_py()] * len(blocks), pa.int64())))
+    return pa.concat_tables(parts) if parts else BLOCK.empty_table().add_column(0, "id", pa.array([], pa.int64()))
 
 
-def tensors(blocks: pa.Table) -> pa.Table:
-    """``blocks`` with log_mel as a fixed-shape tensor column."""
-    flat = blocks.column("log_mel").combine_chunks().flatten().cast(pa.float32())
-    storage = pa.FixedSizeListArray.from_arrays(flat, FRAMES * MELS)
-    column = pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.float32(), (FRAMES, MELS)), storage)
-    return blocks.set_column(blocks.schema.get_field_index("log_mel"), "log_mel", column)
+def _digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of :func:`to_media` without the stored forms, with their sizes and digests."""
+    for media in _media_batches(batches):
+        column = {name: media.column(k) for k, name in enumerate(media.schema.names)}
+        marks = []
+        for stream, spans in zip(column["log_mel"], column["segments"], strict=True):
+            blocks, loud = from_stream(stream.as_py()), spans.as_py()
+            seconds = round(sum(s["end_s"] - s["start_s"] for s in loud), 6)
+            marks.append(f"{blocks.column('end_s')[-1].as_py()}:{len(loud)}:{seconds}:{hashlib.sha256(bands(blocks).tobytes()).hexdigest()}")
+        files = [f.as_py() for f in column["media"]]
+        yield pa.RecordBatch.from_arrays(
+            [*(column[c] for c in ("id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32")), pa.array([len(f) for f in files], pa.int64()), pa.array([hashlib.sha256(f).hexdigest() for f in files]), pa.array(marks, pa.string())],
+            ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
+        )
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's stored payload and features."""
-    media = to_media(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    return media.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature")
+    """Every document's stored payload and features: sizes and digests, taken where the columns are made."""
+    lean(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long"), "text")
+    return docs.mapInArrow(_digest_batches, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
