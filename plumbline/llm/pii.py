@@ -5,14 +5,18 @@ and of the matches alternate, and their running sum gives each start and end in
 so that no long run of characters is tried from each of its positions: a run is entered at its first character only
 (or where the last match ended) and is never given back.
 
-Kinds: email, ip (parts at most 255), card (13 to 19 digits, Luhn), phone (9 to 15 digits), and iban (mod-97), which
-the method adds. An iban may start at any place that looks like one; it ends at its country's length, or in a country not
-in LENGTHS at the last end of a word that passes the checksum. Of ibans that overlap the first stays. A span's score starts at its kind's prior; a passed checksum and a context word in the CONTEXT code
-points before it raise it, a word that speaks for something else lowers it. Base kinds are kept whatever their score;
-an iban needs THRESHOLD.
+Kinds of the base: email, ip (parts at most 255), card (13 to 19 digits, Luhn), phone (9 to 15 digits). The method adds
+iban (mod-97), ssn (United States social security numbers of a possible area, group and serial) and routing (nine digits
+with the weighted sum of bank routing numbers). An iban may start at any place that looks like one; it ends at its
+country's length, or in a country not in LENGTHS at the last end of a word that passes the checksum. Of ibans that
+overlap the first stays.
+
+A span's score starts at its kind's prior; a context word in the CONTEXT code points before it raises it, a word that
+speaks for something else lowers it. Base kinds are kept whatever their score; of the others only spans with THRESHOLD:
+an iban goes where the words before it speak against it, an ssn or a routing number stays only where they speak for it.
 
 Cases: null and empty texts have no spans; ties cannot occur within a kind, spans of different kinds may overlap; an
-empty table gives an empty table; other columns are kept.
+empty table gives an empty table; columns named pii_<kind> are replaced, other columns are kept.
 """
 
 from __future__ import annotations
@@ -22,6 +26,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.llm.common import others
+
 #: Kind: pattern, a test that is cheap and that every text with a match passes.
 PATTERNS = {
     "email": (r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@"),
@@ -29,6 +35,8 @@ PATTERNS = {
     "card": (r"[0-9](?:[\x20-]?[0-9])++", r"[0-9](?:[\x20-]?[0-9]){12}"),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "+"),
     # a match is the first letter only, so that what follows can start a match too; the group holds what may belong to it
+    "ssn": (r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])", r"[0-9]{3}-[0-9]{2}-[0-9]{4}"),
+    "routing": (r"(?<![0-9A-Za-z.-])[0-9]{9}(?![0-9A-Za-z-])", r"[0-9]{9}"),
     "iban": (r"(?<![A-Za-z0-9])[A-Z](?=([A-Z][0-9]{2}(?:\x20?[A-Z0-9]){11,30}+[A-Za-z0-9]?))", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11}"),
 }
 BASE = ("email", "ip", "card", "phone")
@@ -47,6 +55,8 @@ SCORES = {
     "ip": (0.5, r"(?i)\bip\b|address|host|server", r"(?i)version|release"),
     "card": (0.7, r"(?i)card|visa|credit|payment", r"(?i)order|tracking|serial"),
     "phone": (0.6, r"(?i)phone|call|tel|mobile|fax", r"(?i)isbn|serial"),
+    "ssn": (0.4, r"(?i)\bssn\b|social security|taxpayer", r"(?i)part|model|order|serial"),
+    "routing": (0.4, r"(?i)routing|\baba\b|\brtn\b", r"(?i)phone|order|serial|tracking"),
     "iban": (0.7, r"(?i)iban|bank|account|konto|cuenta|compte", r"(?i)token|key|serial|hash"),
 }
 RAISE, LOWER, THRESHOLD = 0.2, 0.3, 0.5
@@ -91,6 +101,12 @@ def _valid(kind: str, m: Column) -> Column:
         return F.length(d).between(13, 19) & F.coalesce(F.call_function("luhn_check", d), F.lit(False))
     if kind == "phone":
         return F.length(_digits(m)).between(9, 15)
+    if kind == "ssn":
+        return ~m.rlike(r"^(000|666|9..)|-00-|-0000$")
+    if kind == "routing":
+        digit = lambda k: F.substring(m, k, 1).cast("int")
+        weighted = reduce(lambda x, y: x + y, (digit(k) * (3, 7, 1)[(k - 1) % 3] for k in range(1, 10)))
+        return (weighted > 0) & (weighted % 10 == 0)
     if kind == "iban":
         return m.isNotNull()
     return F.lit(True)
@@ -99,7 +115,7 @@ def _valid(kind: str, m: Column) -> Column:
 def _score(kind: str, before: Column) -> Column:
     prior, up, down = SCORES[kind]
     raised = F.when(before.rlike(up), RAISE).otherwise(0.0) - F.when(before.rlike(down), LOWER).otherwise(0.0)
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.lit(prior) + raised + (0.1 if kind in ("card", "iban") else 0.0)))
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.lit(prior) + raised))
 
 
 SPAN = "array<struct<kind:string,start:int,end:int,score:double,value:string>>"
@@ -114,13 +130,17 @@ def _positions(pairs: Column) -> Column:
     sums = F.transform(runs, lambda i: F.aggregate(run(i), F.lit(0), lambda n, x: n + width(x)))
     starts = F.aggregate(sums, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
     none = F.array().cast("array<struct<start:int,end:int,before:string,value:string>>")
+    last = lambda x: F.right(x, F.lit(CONTEXT))
+    # the text before a run: eight pieces with their matches are longer than the context
+    lead = lambda i: F.when(i == 0, "").otherwise(last(F.array_join(F.transform(F.slice(pairs, F.greatest(i * RUN - 7, F.lit(1)), F.lit(8)), lambda x: F.concat(x["p"], F.coalesce(x["m"], F.lit("")))), "")))
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + F.length(x["p"])
-        one = F.array(F.struct(begin.alias("start"), (acc["at"] + width(x)).alias("end"), F.right(x["p"], F.lit(CONTEXT)).alias("before"), x["m"].alias("value")))
-        return F.struct((acc["at"] + width(x)).alias("at"), F.when(x["m"].isNull(), acc["found"]).otherwise(F.concat(acc["found"], one)).alias("found"))
+        before = last(F.concat(acc["tail"], x["p"]))
+        one = F.array(F.struct(begin.alias("start"), (acc["at"] + width(x)).alias("end"), before.alias("before"), x["m"].alias("value")))
+        return F.struct((acc["at"] + width(x)).alias("at"), last(F.concat(before, F.coalesce(x["m"], F.lit("")))).alias("tail"), F.when(x["m"].isNull(), acc["found"]).otherwise(F.concat(acc["found"], one)).alias("found"))
 
-    return F.flatten(F.transform(F.arrays_zip(runs.alias("i"), starts.alias("at")), lambda r: F.when(r["i"].isNull(), none).otherwise(F.aggregate(run(r["i"]), F.struct(r["at"].alias("at"), none.alias("found")), step, lambda acc: acc["found"]))))
+    return F.flatten(F.transform(F.arrays_zip(runs.alias("i"), starts.alias("at")), lambda r: F.when(r["i"].isNull(), none).otherwise(F.aggregate(run(r["i"]), F.struct(r["at"].alias("at"), lead(r["i"]).alias("tail"), none.alias("found")), step, lambda acc: acc["found"]))))
 
 
 def _kind_spans(text: Column, kind: str) -> Column:
@@ -144,18 +164,22 @@ def _kind_spans(text: Column, kind: str) -> Column:
 def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with one array of spans (kind, start, end, score, value) per kind, in columns ``pii_<kind>``."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    out = docs.withColumns({f"pii_{kind}": _kind_spans(text, kind) for kind in PATTERNS})
-    return out.withColumn("pii_iban", F.filter("pii_iban", lambda s: s["score"] >= THRESHOLD))
+    kept = [F.col(f"`{c}`") for c in others(docs, *(f"pii_{kind}" for kind in PATTERNS))]
+    sure = lambda kind: _kind_spans(text, kind) if kind in BASE else F.filter(_kind_spans(text, kind), lambda s: s["score"] >= THRESHOLD)
+    return docs.select(*kept, *(sure(kind).alias(f"pii_{kind}") for kind in PATTERNS))
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with each confirmed value in the text replaced by its kind in angle brackets."""
-    found = find_pii(docs, text_col)
-    text = F.col(text_col)
-    for kind in PATTERNS:
-        mark = F.lit(f"<{kind}>")
-        text = F.aggregate(f"pii_{kind}", text, lambda t, s: F.replace(t, s["value"], mark))  # noqa: B023
-    return found.withColumn(text_col, text).select(*docs.columns)
+    """``docs`` with what the spans cover in the text replaced: each run of overlapping spans by its first one's kind in angle brackets."""
+    found = find_pii(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).alias("text")))
+    one = lambda kind: F.transform(f"pii_{kind}", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"<{kind}>").alias("mark")))
+    spans = F.array_sort(reduce(F.concat, map(one, PATTERNS)))
+    joined = F.aggregate(spans, F.slice(spans, 1, 0), lambda kept, s: F.when((F.size(kept) > 0) & (s["start"] < F.element_at(kept, -1)["end"]), F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(F.struct(F.element_at(kept, -1)["start"].alias("start"), F.greatest(F.element_at(kept, -1)["end"], s["end"]).alias("end"), F.element_at(kept, -1)["mark"].alias("mark"))))).otherwise(F.concat(kept, F.array(s))))
+    part = lambda start, end: F.substring(F.col("text"), start + 1, end - start)
+    pieces = F.transform(F.col("spans"), lambda s, i: F.concat(part(F.when(i > 0, F.get(F.col("spans"), i - 1)["end"]).otherwise(0), s["start"]), s["mark"]))
+    text = F.concat(F.array_join(pieces, ""), part(F.element_at("spans", -1)["end"], F.length("text")))
+    out = found.withColumn("spans", joined).withColumn("text", F.when(F.size("spans") > 0, text).otherwise(F.col("text")))
+    return out.select(*(F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,4 +187,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", *(f"pii_{k}" for k in PATTERNS))
     listed = lambda kinds: F.array_join(F.transform(reduce(F.concat, [F.col(f"pii_{k}") for k in kinds]), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     counts = [F.size(f"pii_{k}").cast("long").alias(f"n_{k}") for k in BASE]
-    return found.select("doc_id", *counts, F.sha2(listed(BASE), 256).alias("base_sha256"), listed(PATTERNS).alias("spans"))
+    scores = F.array_join(F.transform(reduce(F.concat, [F.col(f"pii_{k}") for k in PATTERNS]), lambda s: F.format_number(s["score"], 2)), ",")
+    return found.select("doc_id", *counts, F.sha2(listed(BASE), 256).alias("base_sha256"), listed(PATTERNS).alias("spans"), scores.alias("scores"))
