@@ -10,9 +10,10 @@ digits of the id's MD5), so that no task handles a whole source: the number of d
 ids, sources and sizes are shuffled, not texts.
 
 Cases: null texts and texts without words have size 0 and are taken like others, adding no words; a null source is a
-source of its own, ordered last; of rows with equal ids and sizes which one is taken is not defined, but
-how many is; with no words at all nothing is taken; an empty table gives an empty table; other columns are
-kept as they are.
+source of its own, ordered last; rows without an id are ordered by their texts; of rows with equal ids and sizes which one
+is taken in the plan is not defined, but how many is, and of those with equal ids and texts the mix takes them in the
+order of a hash of all columns; with no words at all nothing is taken; an empty table gives an empty table; other columns
+are kept as they are, whatever their names (a map can't be hashed: such columns don't count in that order).
 """
 
 from __future__ import annotations
@@ -62,9 +63,12 @@ def _size_class(size: Column) -> Column:
 
 
 def sample_copies(rows: DataFrame, rates: DataFrame, seed: int = 1) -> DataFrame:
-    """``rows`` (id, source, size) with copies; ``rates`` gives each source's expected copies of a document."""
+    """``rows`` (id, source, size, order) with copies; ``rates`` gives each source's expected copies of a document.
+
+    ``order`` is a hash of the id in hexadecimal digits, or of the text where there is no id.
+    """
     key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
-    rows = rows.select("*", key.alias("key"), _size_class(F.col("size")).alias("class"), F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")).alias("order"))
+    rows = rows.select("*", key.alias("key"), _size_class(F.col("size")).alias("class"))
     digits, n = 0, rows.count()
     while n > CELL_ROWS * 16**digits:
         digits += 1
@@ -90,7 +94,8 @@ def _offset(source: Column, seed: int) -> Column:
 
 def mix_plan(docs: DataFrame, id_col: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, repeat: int = REPEAT, seed: int = 1) -> DataFrame:
     """Per row of ``docs``: id, source, size, row_hash (of id and text), source_size, target, copies, taken."""
-    rows = materialize(docs.select(F.col(id_col).alias("id"), "source", word_count(F.col("text")).alias("size"), _row_hash(docs, id_col).alias("row_hash")), "sizes")
+    order = F.md5(F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("t"), F.coalesce("text", F.lit("")))).cast("binary"))
+    rows = materialize(docs.select(F.col(id_col).alias("id"), "source", word_count(F.col("text")).alias("size"), _row_hash(docs, id_col).alias("row_hash"), order.alias("order")), "sizes")
     plan = materialize(shares(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, repeat), "shares")
     rates = plan.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
     got = sample_copies(rows, rates, seed).drop("rate")
@@ -100,13 +105,15 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", weights: tuple[int, ...] =
 
 def mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The mixed rows: each document as often as the plan takes it, with all its columns."""
-    plan = mix_plan(docs, id_col, **options).groupBy("row_hash").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).filter("_copies > 0")
-    found = docs.withColumn("_hash", _row_hash(docs, id_col)).join(plan, F.col("_hash") == F.col("row_hash"))
+    plan = mix_plan(docs, id_col, **options).groupBy("row_hash").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).filter("copies > 0")
+    hashed = [f for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    every = F.xxhash64(*(F.col(f"`{f.name}`") for f in hashed))
+    found = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), _row_hash(docs, id_col).alias("row_hash"), every.alias("every")).join(plan, "row_hash")
     # equal rows share their copies
-    place = F.row_number().over(Window.partitionBy("_hash").orderBy(F.lit(0)))
-    own = F.floor(F.col("_copies") / F.col("_rows")) + F.when(place <= F.col("_copies") % F.col("_rows"), 1).otherwise(0)
-    found = found.withColumn("_own", own.cast("int")).filter("_own > 0")
-    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_own")))).select(*docs.columns)
+    place = F.row_number().over(Window.partitionBy("row_hash").orderBy("every"))
+    own = F.floor(F.col("copies") / F.col("rows")) + F.when(place <= F.col("copies") % F.col("rows"), 1).otherwise(0)
+    found = found.withColumn("own", own.cast("int")).filter("own > 0")
+    return found.select("row", F.explode(F.sequence(F.lit(1), F.col("own")))).select("row.*")
 
 
 def _row_hash(docs: DataFrame, id_col: str) -> Column:
@@ -120,7 +127,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP1_SQL = r"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+WITH d AS (SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 p AS (SELECT *, CASE (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w,
         source_size::DOUBLE * 3 AS cap FROM s),
@@ -130,7 +137,7 @@ f AS (SELECT coalesce(min_by(level, cap / w) FILTER (level * w <= cap), 0) AS fr
 t AS (SELECT source, source_size, least(cap, free * w) AS target,
         ('0x' || substr(md5('1:' || coalesce(source, '')), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE AS u FROM l, f),
 r AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.u, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
-        row_number() OVER (PARTITION BY d.source ORDER BY CASE WHEN d.size < 16 THEN d.size ELSE length(bin(d.size)) * 16 + (d.size >> (length(bin(d.size)) - 5)::BIGINT) - 16 END, md5(coalesce(d.doc_id::VARCHAR, '')), d.doc_id) AS rank
+        row_number() OVER (PARTITION BY d.source ORDER BY CASE WHEN d.size < 16 THEN d.size ELSE length(bin(d.size)) * 16 + (d.size >> (length(bin(d.size)) - 5)::BIGINT) - 16 END, md5(coalesce(d.doc_id::VARCHAR, 't' || coalesce(d.text, ''))), d.doc_id) AS rank
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, ((floor(rank * rate + u) - floor((rank - 1) * rate + u)) * size)::BIGINT AS taken FROM r
 """

@@ -9,10 +9,12 @@ edges; all words of the slice are then sampled side by side.
 
 Weights: a piece of the model has the probability of its rank in a Zipf law (the model is a merge list, its scores are
 ranks), raised to ALPHA; a byte piece is BYTE_COST less likely, so that it is used where nothing else fits or, now and
-then, by sampling. A mark in the text itself is written in byte pieces only, so that decoding gives back each byte.
+then, by sampling. A mark in the text itself is written in byte pieces only, so that decoding gives back each byte. No mark
+is put before a text that starts without a space, for the same reason.
 
 Cases: null gives no pieces and decodes to the empty text; empty texts likewise; very long words work like others;
-repeated rows with one key get equal pieces; an empty table gives an empty table; other columns are kept.
+repeated rows with one key get equal pieces, and a null key counts as -1; an empty table gives an empty table; a column
+named as the result (pieces, decoded) is replaced, other columns are kept.
 """
 
 from __future__ import annotations
@@ -23,9 +25,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import lean, mix, running_hash, slices, span_hashes, text_buffers, word_hashes
+from plumbline.llm.common import lean, mix, others, running_hash, slices, span_hashes, text_buffers, word_hashes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA, BYTE_COST = 1.5, 8.0
@@ -218,7 +221,8 @@ def decode(piece: np.ndarray, poff: np.ndarray, pieces: Pieces) -> tuple[np.ndar
 def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, seed: int = 0) -> DataFrame:
     """``docs`` with pieces, an array of piece numbers."""
     lean(docs.sparkSession)
-    i_id, i_text = docs.columns.index(id_col), docs.columns.index(text_col)
+    kept = others(docs, "pieces")
+    docs, i_id, i_text = docs.select(*(F.col(f"`{c}`") for c in kept)), kept.index(id_col), kept.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _of(model)
@@ -230,13 +234,14 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 part_batch = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*part_batch.columns, pa.ListArray.from_arrays(pa.array(poff.astype(np.int32)), pa.array(piece))], [*batch.schema.names, "pieces"])
 
-    return docs.mapInArrow(run, docs.select(*docs.columns).schema.add("pieces", T.ArrayType(T.IntegerType())))
+    return docs.mapInArrow(run, T.StructType(list(docs.schema.fields)).add("pieces", T.ArrayType(T.IntegerType())))
 
 
 def decode_texts(rows: DataFrame, pieces_col: str = "pieces", model: str = MODEL) -> DataFrame:
     """``rows`` with decoded, the text of the pieces."""
     lean(rows.sparkSession)
-    at = rows.columns.index(pieces_col)
+    kept = others(rows, "decoded")
+    rows, at = rows.select(*(F.col(f"`{c}`") for c in kept)), kept.index(pieces_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _of(model)
@@ -248,7 +253,7 @@ def decode_texts(rows: DataFrame, pieces_col: str = "pieces", model: str = MODEL
             texts = pa.array([whole[a:b].decode() for a, b in zip(off[:-1], off[1:], strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, "decoded"])
 
-    return rows.mapInArrow(run, rows.select(*rows.columns).schema.add("decoded", "string"))
+    return rows.mapInArrow(run, T.StructType(list(rows.schema.fields)).add("decoded", "string"))
 
 
 def _digest_batches(model: str, seed: int):
