@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import drop, gram_hashes, lean, materialize, mix, slices, spans, text_buffers, whole_grams, word_hashes
+from plumbline.llm.common import drop, gram_hashes, hot_join, lean, materialize, mix, slices, spans, text_buffers, whole_grams, word_hashes
 
 #: Retained hash values, and how many of them a partner shares at least.
 K, T = 64, 32
@@ -149,13 +149,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     sets = materialize(docs.mapInArrow(_sketch_batches, "doc long, n long, f1 long, f2 long, sketch array<long>"), "near-sets")
     reps = materialize(sets.filter("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc").alias("rep"), F.first("sketch").alias("sketch")), "near-classes")
-    prefix = materialize(_distinct_lists(materialize(_prefixes(reps), "near-prefixes")), "near-lists")
+    ranked = materialize(_prefixes(reps), "near-prefixes")
+    prefix = materialize(_distinct_lists(ranked), "near-lists")
+    drop(ranked)
     # only classes in some list are ever compared: their texts are taken out once
     listed = prefix.select(F.col("rep").alias("doc")).distinct().hint("merge")  # grows with the corpus: the same join at every size
     texts = materialize(docs.join(listed, "doc", "left_semi"), "near-texts")
-    links = tested = labels = None
+    made, links, tested, labels = [sets, reps, prefix, texts], None, None, None
     for pivots in WAVES:
-        pairs = materialize(_star_pairs(prefix) if labels is None else _open_pairs(prefix, labels, tested, pivots, texts), "near-candidates")
+        pairs = materialize(_star_pairs(prefix) if labels is None else _open_pairs(prefix, labels, tested, pivots, texts, made), "near-candidates")
+        made.append(pairs)
         if pairs.isEmpty():
             if prefix.isEmpty():
                 break
@@ -164,14 +167,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         # a first wave without pairs links nothing, and the later waves compare what the lists hold all the same
         tested = pairs if tested is None else tested.union(pairs)
         found = _links(pairs, reps, texts)
+        made.append(found)
         links = found if links is None else links.union(found)
+        if labels is not None:
+            drop(labels)
         labels = components(links)
     member = sets.select("doc", "n", "f1", "f2").join(reps.select("n", "f1", "f2", "rep"), ["n", "f1", "f2"], "left")
     if labels is not None:
+        made.append(labels)
         member = member.join(labels, F.col("rep") == F.col("node"), "left")
     else:
         member = member.withColumn("label", F.lit(None).cast("long"))
-    return member.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("label", "rep", "doc").alias("component_id"))
+    out = materialize(member.select("doc", "n", F.coalesce("label", "rep", "doc").alias("component")), "near-components")
+    drop(*made)
+    return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def _needed(n: Column) -> Column:
@@ -182,8 +191,8 @@ def _needed(n: Column) -> Column:
 def _prefixes(reps: DataFrame) -> DataFrame:
     """(value, rep, n, score): the rarest shared values of each class, as many as the filter needs."""
     postings = reps.select("rep", "n", F.explode("sketch").alias("value"))
-    held = postings.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
-    shared = postings.join(held, "value")
+    held = materialize(postings.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1"), "near-values")
+    shared = hot_join(postings, held, "value", "df", held.agg(F.sum("df")).first()[0] or 0)
     own = Window.partitionBy("rep")
     ranked = shared.select("value", "rep", "n", F.row_number().over(own.orderBy("df", "value")).alias("rank"), F.count("*").over(own).alias("m"), F.sum("df").over(own).alias("score"))
     size = F.least("n", F.lit(K))
@@ -194,7 +203,7 @@ def _distinct_lists(prefix: DataFrame) -> DataFrame:
     """One list of those with the same members: the shingles of a shared passage give the same pairs."""
     h = F.xxhash64("rep")
     lists = prefix.groupBy("value").agg(F.count("*").alias("l"), F.bit_xor(h).alias("x"), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias("s")).filter("l > 1")
-    return prefix.join(lists.groupBy("l", "x", "s").agg(F.min("value").alias("value")).select("value"), "value", "left_semi")
+    return hot_join(prefix, lists.groupBy("l", "x", "s").agg(F.min("value").alias("value")).select("value", "l"), "value", "l", prefix.count(), "left_semi")
 
 
 def _near_sizes(a: str, b: str) -> Column:
@@ -204,7 +213,7 @@ def _near_sizes(a: str, b: str) -> Column:
 def _star_pairs(prefix: DataFrame) -> DataFrame:
     """Every member of a list with the list's most central member."""
     centre = prefix.groupBy("value").agg(F.max(F.struct("score", F.col("rep").alias("c"), F.col("n").alias("nc"))).alias("p"), F.count("*").alias("l")).filter("l > 1")
-    pairs = prefix.join(centre, "value").filter((F.col("rep") != F.col("p.c")) & _near_sizes("n", "p.nc"))
+    pairs = hot_join(prefix, centre, "value", "l", prefix.count()).filter((F.col("rep") != F.col("p.c")) & _near_sizes("n", "p.nc"))
     return pairs.select(F.least("rep", "p.c").alias("a"), F.greatest("rep", "p.c").alias("b")).distinct()
 
 
@@ -257,25 +266,32 @@ def _block_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
-def _open_pairs(prefix: DataFrame, labels: DataFrame, tested: DataFrame, pivots: int | None, docs: DataFrame) -> DataFrame:
-    """Pairs of different components in lists that still hold several."""
+def _open_pairs(prefix: DataFrame, labels: DataFrame, tested: DataFrame, pivots: int | None, docs: DataFrame, made: list[DataFrame]) -> DataFrame:
+    """Pairs of different components in lists that still hold several; tables go to ``made``."""
     known = prefix.join(labels, F.col("rep") == F.col("node"), "left").select("value", "rep", "n", "score", F.coalesce("label", "rep").alias("label"))
     mixed = known.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("l")).filter("lo <> hi")
-    known = materialize(known.join(mixed.select("value", "l"), "value"), "near-open")
+    known = materialize(hot_join(known, mixed.select("value", "l"), "value", "l", prefix.count()).withColumn("part", F.pmod(F.xxhash64("rep"), F.ceil(F.col("l") / BLOCK))), "near-open")
+    made.append(known)
     if pivots is not None:
-        rank = F.row_number().over(Window.partitionBy("value").orderBy(F.desc("score"), "rep"))
-        left, right = (known.select("value", *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "n", "label"))) for x in "ab")
-        left = known.withColumn("r", rank).filter(F.col("r") <= pivots).select("value", *(F.col(c).alias(f"{c}_a") for c in ("rep", "n", "label")))
-        cross = left.join(right, [left.value == right.value, F.col("label_a") != F.col("label_b"), _near_sizes("n_a", "n_b")])
+        # the first of each part of a list, and of those the first of the list
+        for by in (["value", "part"], ["value"]):
+            rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "rep"))
+            left = (known if by[1:] else left).withColumn("r", rank).filter(F.col("r") <= pivots).drop("r")
+        left = left.select("value", "l", *(F.col(c).alias(f"{c}_a") for c in ("rep", "n", "label")))
+        right = known.select("value", *(F.col(c).alias(f"{c}_b") for c in ("rep", "n", "label")))
+        cross = hot_join(right, left, "value", "l", known.count()).filter((F.col("label_a") != F.col("label_b")) & _near_sizes("n_a", "n_b"))
         pairs = cross.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"))
     else:
         # an intersection holds no shingle that only one list member has, and none in a range that the partner doesn't touch
         bounds = known.join(_own(known.select("rep").distinct(), docs), F.col("rep") == F.col("own"))
         member = F.struct("rep", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most"), "label", "bits")
-        block = F.pmod(F.xxhash64("rep"), F.ceil(F.col("l") / BLOCK))
-        blocks = materialize(bounds.groupBy("value", block.alias("k")).agg(F.collect_list(member).alias("m")), "near-blocks")
-        x, y = blocks.select("value", F.col("k").alias("kx"), F.col("m").alias("x")), blocks.select(F.col("value").alias("v"), F.col("k").alias("ky"), F.col("m").alias("y"))
-        pairs = x.join(y, [F.col("value") == F.col("v"), F.col("kx") <= F.col("ky")]).select("x", "y", (F.col("kx") == F.col("ky")).alias("same")).mapInArrow(_block_batches, "a long, b long")
+        blocks = materialize(bounds.groupBy("value", "part").agg(F.collect_list(member).alias("m"), F.ceil(F.first("l") / BLOCK).alias("parts")), "near-blocks")
+        made.append(blocks)
+        # each pair of a list's blocks meets under its own key
+        lower, upper = F.sequence(F.col("part"), F.col("parts") - 1), F.sequence(F.lit(0).cast("long"), F.col("part"))
+        x = blocks.select("value", F.col("part").alias("kx"), F.explode(lower).alias("ky"), F.col("m").alias("x"))
+        y = blocks.select("value", F.col("part").alias("ky"), F.explode(upper).alias("kx"), F.col("m").alias("y"))
+        pairs = x.join(y, ["value", "kx", "ky"]).select("x", "y", (F.col("kx") == F.col("ky")).alias("same")).mapInArrow(_block_batches, "a long, b long")
     return pairs.distinct().join(tested, ["a", "b"], "left_anti")
 
 
