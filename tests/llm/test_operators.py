@@ -51,15 +51,44 @@ def test_index_takes_new_texts_only(spark, none):
     assert index.append(batch([(1, "a"), (2, "a"), (3, None)])).count() == 2
     assert index.append(batch([(4, "a"), (5, "b"), (6, "")])).count() == 1
     assert index.read().count() == 3
-    assert table(exact_dedup.groups(batch([(7, "a"), (8, "b")]), index), "id", "keep_id") == {7: (2,), 8: (5,)}
+    # of all batches the largest id stays, and the sizes add up
+    assert table(exact_dedup.groups(batch([(7, "a"), (8, "b")]), index), "id", "keep_id", "group_size") == {7: (4, 3), 8: (5, 1)}
     assert exact_dedup.exact_duplicates(none).count() == 0
     spark.sql(f"DROP TABLE {index.name}")
     again = exact_dedup.DigestIndex(spark, index.name, index.path, 4)
     assert again.exists() and again.read().count() == 3
-    plan = batch([(9, "c")]).join(index.read().select("digest").hint("merge"), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
+    plan = batch([(9, "c")]).join(index.known().hint("merge"), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan
 
 
+def test_attached_index_keeps_its_buckets(spark):
+    """An index written with 40 buckets and attached with the default number knows all its texts."""
+    texts = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
+    rows = exact_dedup.digests(texts)
+    index = exact_dedup.DigestIndex(spark, buckets=40)
+    assert index.append(rows).count() == 400
+    spark.sql(f"DROP TABLE {index.name}")
+    again = exact_dedup.DigestIndex(spark, index.name, index.path)
+    assert again.exists() and again.buckets == 40
+    assert exact_dedup.groups(rows, again).count() == 400
+    assert again.append(rows.withColumn("id", F.col("id") + 1000)).count() == 0
+    assert again.read().agg(F.sum("group_size"), F.min("keep_id")).first()[:] == (800, 1000)
+    again.remove()
+    assert not spark.catalog.tableExists(index.name)
+
+
+def test_one_text_on_most_rows(spark):
+    """A text on two thirds of the rows, null ids and columns with the names of results."""
+    rows = [(i if i % 7 else None, "same" if i % 3 else f"t{i}", i, "x") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, keep_id long, digest string")
+    got = sorted(str(tuple(r)) for r in exact_dedup.exact_duplicates(df).select("id", "keep_id", "group_size").collect())
+    groups = defaultdict(list)
+    for i, t, *_ in rows:
+        groups[t].append(i)
+    want = [(i, max((x for x in groups[t] if x is not None), default=None), len(groups[t])) for i, t, *_ in rows]
+    assert got == sorted(map(str, want))
+
+
 # --- 1 ---
 
 
@@ -80,6 +109,16 @@ def test_mix_meets_targets(spark, none):
     assert mixing.mix_plan(none).count() == 0 and mixing.mix(none).count() == 0
 
 
+def test_mix_handles_null_ids_ties_and_clashing_names(spark):
+    rows = [(None if i % 3 == 0 else i // 2, f"w{i % 9} " * (i % 9), None if i % 5 == 0 else f"s{i % 2}", i % 4, "h", i) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, row_hash long, _hash string, copies long")
+    for c in ("_copies", "_rows", "_own", "_copy", "row", "every"):
+        df = df.withColumn(c, F.lit("x"))
+    first, again = mixing.mix(df), mixing.mix(df.repartition(5).orderBy(F.desc("copies")))
+    assert first.columns == df.columns and sorted(map(str, first.collect())) == sorted(map(str, again.collect()))
+    assert first.count() == mixing.mix_plan(df).agg(F.sum("copies")).first()[0] > 0
+
+
 # --- 3 ---
 
 URLS = [None, "", "nothing", "http://", "HTTP://A.NET/x", "x://net", "x://net/", "x://www.example.net/en/a?b", "x://example.net/en", "x://EXAMPLE.net/EN/", "x://notexample.net/en/", "x://example.com/de/x", "x://a.b.example.com/de/", "x://b.org/fr/#x", "x://org?x/fr/", "x://a://b.net/", "x://u@h.net:80/p", "x://example.com/de/", "x://example.com/de/", "é://straße.net/ü"]
@@ -108,6 +147,20 @@ def test_urls(spark, tmp_path):
     assert table(url_filter.rules_by_join(df, rules), "page_id", "rule", "verdict") == {i: rule_of(u)[2:] for i, u in enumerate(URLS)}
 
 
+def test_long_lists_and_clashing_names(spark, monkeypatch):
+    """Lists beyond the constants' limit go through the join with the same result; result names are replaced."""
+    df = spark.createDataFrame([(i, u, "mine", "mine", i, "b") for i, u in enumerate(URLS)], "page_id long, url string, host string, verdict string, n long, b string")
+    want = {i: rule_of(u) for i, u in enumerate(URLS)}
+    got = url_filter.judge(df)
+    assert sorted(got.columns) == sorted([*df.columns, "path", "rule"]) and table(got, "page_id", "host", "path", "rule", "verdict") == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" not in plan.replace("Scan ExistingRDD[page_id", "") and "Join" not in plan
+    monkeypatch.setattr(url_filter, "MAX_BLOCKS", 0)
+    assert url_filter.Cascade.build(url_filter._values(spark, ["a"]), url_filter._values(spark, ["a", "b"])) is None
+    joined = url_filter.judge(df)
+    assert joined.columns == got.columns and table(joined, "page_id", "host", "path", "rule", "verdict", "n", "b") == {i: (*want[i], i, "b") for i in want}
+
+
 def test_cascade_is_exact(spark):
     universe = spark.range(20_000).select(F.concat(F.lit("k"), "id").alias("key"))
     listed = universe.filter("pmod(hash(key), 4) = 0")
@@ -153,13 +206,37 @@ def test_private_data(spark, tmp_path):
 
 
 def test_checksums_and_context(spark):
-    df = spark.createDataFrame([(1, "iban DE89 3704 0044 0532 0130 00 end"), (2, "iban DE88370400440532013000"), (3, "serial token key GB82WEST12345698765432")], "doc_id long, text string")
+    df = spark.createDataFrame([(1, "iban DE89 3704 0044 0532 0130 00 end"), (2, "iban DE88370400440532013000"), (3, "serial token key GB82WEST12345698765432"), (4, "GB82WEST12345698765432")], "doc_id long, text string")
     found = {r.doc_id: r.pii_iban for r in pii.find_pii(df).collect()}
     assert [(s.start, s.end) for s in found[1]] == [(5, 32)] and not found[2]
-    assert found[1][0].score > (found[3][0].score if found[3] else 0)
+    # the words before it decide: an account number in doubt goes, one without context stays below one with it
+    assert not found[3] and found[1][0].score > found[4][0].score > pii.THRESHOLD
     assert pii.redact(df).filter("doc_id = 1").first().text == "iban <iban> end"
 
 
+def test_context_decides(spark):
+    texts = ["My SSN is 123-45-6789.", "part no 123-45-6789", "123-45-6789", "social security 000-45-6789 and 666-11-1111, 123-00-4567", "routing 021000021 and order 021000021", "021000021", "ABA 021000022", "é ssn 123-45-6789, 078-05-1120"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r for r in pii.find_pii(df).collect()}
+    assert [[(s.start, s.end) for s in found[i].pii_ssn] for i in range(8)] == [[(10, 21)], [], [], [], [], [], [], [(6, 17), (19, 30)]]
+    assert [[(s.start, s.end) for s in found[i].pii_routing] for i in range(8)] == [[], [], [], [], [(8, 17)], [], [], []]
+
+
+def test_redaction_cuts_spans(spark):
+    texts = ["1.2.3.4 then 1.2.3.45", "a@b.cc xa@b.cc", "", None, "none here", "é 4111 1111 1111 1111é", "+1 555 123 4567 a@b.cc", "x 4111.1.1.1 4111 1111 1111 1111 end"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("pii_ip", F.lit("mine"))
+    got = pii.redact(df)
+    assert got.columns == df.columns and {r.pii_ip for r in got.collect()} == {"mine"}
+    assert [r.text for r in got.orderBy("doc_id").collect()][:7] == ["<ip> then <ip>", "<email> <email>", "", None, "none here", "é <card>é", "<phone> <email>"]
+    spans = {r.doc_id: [(s.start, s.end) for k in pii.PATTERNS for s in r[f"pii_{k}"]] for r in pii.find_pii(df).collect()}
+    for i, text in enumerate(texts):
+        left = [c for k, c in enumerate(text or "") if not any(a <= k < b for a, b in spans[i])]
+        out = got.filter(F.col("doc_id") == i).first().text or ""
+        for kind in pii.PATTERNS:
+            out = out.replace(f"<{kind}>", "")
+        assert out == "".join(left)
+
+
 # --- 5 ---
 
 
@@ -208,6 +285,23 @@ def test_group_of_near_copies(spark):
     assert table(near_dedup.near_duplicates(df), "doc_id", "n_shingles", "component_id") == components(rows)
 
 
+def test_long_lists_are_split(spark, monkeypatch):
+    """One list of many members in blocks of a few: the waves and block pairs give the links of brute force."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    monkeypatch.setattr(near_dedup, "WAVES", (1, None))
+    rng = np.random.default_rng(11)
+    shared = [f"c{i}" for i in range(30)]
+    rows = []
+    for k in range(12):  # families of texts around one common passage, near copies within a family
+        own = [f"f{k}x{i}" for i in range(25)]
+        for j in range(4):
+            w = [*shared, *own]
+            w[40 + int(rng.integers(0, 10))] = f"e{k}x{j}"
+            rows.append((k * 4 + j, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("value", F.lit(1)).withColumn("n", F.lit("x"))
+    assert table(near_dedup.near_duplicates(df), "doc_id", "n_shingles", "component_id") == components(rows)
+
+
 # --- 8 ---
 
 
@@ -259,17 +353,63 @@ def test_forward_backward_equals_enumeration():
     assert np.allclose(p, want) and np.allclose(joint, pairs) and np.allclose(first, firsts)
 
 
-def test_blocks_forget_their_start():
+def naive_marginals(emit, trans, start):
+    w, t, p0 = np.exp(np.clip(emit, -30, 30)), np.exp(trans), np.exp(start)
+    n = len(emit)
+    a, b = np.zeros((n, 2)), np.ones((n, 2))
+    for k in range(n):
+        a[k] = (p0 if k == 0 else a[k - 1] @ t) * [1, w[k]]
+        a[k] /= a[k].sum()
+    for k in range(n - 2, -1, -1):
+        b[k] = t @ (b[k + 1] * [1, w[k + 1]])
+        b[k] /= b[k].sum()
+    return (a * b)[:, 1] / (a * b).sum(1)
+
+
+@pytest.mark.parametrize("stay", [(0.99, 0.98), (0.9, 0.4)])
+def test_passes_are_exact_across_blocks(stay):
+    """Chains with a long memory, over texts of many sizes; equal texts get equal values wherever they stand."""
     rng = np.random.default_rng(1)
-    emit, row = rng.normal(size=1000) * 2, np.zeros(1000, int)
-    trans, start = np.log([[0.9, 0.1], [0.4, 0.6]]), np.log([0.9, 0.1])
-    old = toxicity.BLOCK
-    try:
-        p = toxicity.marginals(emit, row, trans, start)
-        toxicity.BLOCK = 4096
-        assert np.abs(p - toxicity.marginals(emit, row, trans, start)).max() < 1e-3
-    finally:
-        toxicity.BLOCK = old
+    trans, start = np.log([[stay[0], 1 - stay[0]], [1 - stay[1], stay[1]]]), np.log([0.9, 0.1])
+    same = rng.normal(size=5 * toxicity.BLOCK + 7)
+    parts = [same, *(rng.normal(size=k) * 3 for k in (1, 2, toxicity.BLOCK, toxicity.BLOCK + 1, 3_000, 17)), same]
+    p = toxicity.marginals(np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(x) for x in parts]), trans, start)
+    cut = np.cumsum([0, *map(len, parts)])
+    for k, x in enumerate(parts):
+        assert np.abs(p[cut[k] : cut[k + 1]] - naive_marginals(x, trans, start)).max() < 1e-12
+    assert (p[: len(same)] == p[-len(same) :]).all()
+
+
+def test_scores_and_spans_follow_the_marginals():
+    """tag against a loop over documents and tokens."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(["bad", "good", "été", "worse", "fine", "x"], k)) for k in (0, 1, 5, 400)] + [None, "!?", "bad-bad good"]
+    model = {"w": np.zeros(toxicity.TABLE, np.float32), "trans": np.log([[0.8, 0.2], [0.3, 0.7]]), "start": np.log([0.7, 0.3]), "doc": np.array([1.5, 0.7, -2.0])}
+    model["w"][1:] = rng.normal(size=toxicity.TABLE - 1)
+    scores, found = toxicity.tag(pa.array(texts), model)
+    for text, got, spans in zip(texts, scores, found, strict=True):
+        raw = (text or "").encode()
+        s, e, _, f = toxicity.features(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        p = naive_marginals(sum(model["w"][k].astype(float) for k in f), model["trans"], model["start"]) if len(s) else np.zeros(0)
+        top, total = max([x for x in p if x > 0.001], default=0.0), p.sum()
+        assert abs(got - 1 / (1 + math.exp(-(1.5 * top + 0.7 * math.log1p(total) - 2.0)))) < 1e-9
+        want = []
+        for k in range(len(s)):
+            if p[k] >= toxicity.SPAN_AT:
+                at = [len(raw[: x[k]].decode()) for x in (s, e)]
+                if want and k and p[k - 1] >= toxicity.SPAN_AT:
+                    want[-1][1] = at[1]
+                else:
+                    want.append(at)
+        assert [[x["start"], x["end"]] for x in spans] == want
+
+
+def test_a_fit_reads_no_more_than_its_bound(toxic, monkeypatch):
+    docs, labels, _ = toxic
+    whole = toxicity.sample(docs, labels)
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 5_000)
+    some = toxicity.sample(docs, labels)
+    assert 0 < some["text"].str.len().sum() <= 5_000 < whole["text"].str.len().sum()
 
 
 @pytest.fixture(scope="module")
@@ -357,6 +497,22 @@ def test_odd_texts_round_trip(text):
     assert back.tobytes().decode() == text * 2 and list(boff) == list(off) and list(piece[: poff[1]]) == list(piece[poff[2] :])
 
 
+def test_result_names_are_replaced(spark, toxic):
+    docs, labels, _ = toxic
+    some = docs.limit(5)
+    model = toxicity.trained(docs, labels)
+    plain = table(toxicity.score(some, model), "doc_id", "toxicity")
+    odd = some.withColumn("Toxicity", F.lit("x")).withColumn("toxic_spans", F.lit(1)).withColumn("row", F.lit(2))
+    got = toxicity.score(odd, model)
+    assert got.columns == [*some.columns, "row", "toxicity", "toxic_spans"] and table(got, "doc_id", "toxicity") == plain
+    coded = subword.encode_texts(some.withColumn("pieces", F.lit("x")))
+    assert coded.columns == [*some.columns, "pieces"]
+    back = subword.decode_texts(coded.withColumn("decoded", F.lit(3)))
+    assert table(back, "doc_id", "decoded") == {r.doc_id: (r.text or "",) for r in some.collect()}
+    page = spark.createDataFrame([(1, "<article><p>Some text here.</article>", "x")], "page_id long, html string, main_text string")
+    assert pages.extract(page).columns == ["page_id", "html", "main_text"] and pages.extract(page).first().main_text == "Some text here."
+
+
 # --- 6 ---
 
 PAGES = [
@@ -379,15 +535,35 @@ def test_trees_hold_on_new_pages():
     right = total = 0
     for _ in range(40):
         nodes = pages.nodes_of(pages.parse(pages.training_page(rng)))
-        x, parent = pages.features(nodes)
+        x, parent = pages.features(nodes, pages.model().buckets)
         kept = pages.decode(pages.model().log_odds(x), parent)
         text = np.array([bool(n.text) for n in nodes])
-        right += int((kept == pages._labels(nodes, x, parent).astype(bool))[text].sum())
+        right += int((kept == pages._labels(nodes).astype(bool))[text].sum())
         total += int(text.sum())
         assert all(kept[parent[i]] for i in range(1, len(nodes)) if kept[i])
     assert right / total > 0.95
 
 
+def test_what_follows_an_unclosed_script_is_no_text():
+    text = lambda page: pages.main_texts([page], pages.model())[0]
+    head = "<article><h1>T</h1><p>Some text of the story, long enough.</p><p>More of it, here.</p>"
+    want = "T\nSome text of the story, long enough.\nMore of it, here."
+    assert text(head + "<script>var a=1; more();</article>") == want
+    assert text(head + "<style>p {} </article><p>x") == want
+    assert text(head + "<script>a</script ></article>") == text(head + "<SCRIPT x='y'>a</SCRIPT\n></article>") == want
+    assert text("<button>" * 50_000 + head) == want  # no search to the end of the page for each of them
+
+
+def test_the_likeliest_consistent_labelling():
+    """Decoding against all labellings in which a kept node's parent is kept."""
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        parent = np.array([-1, *(rng.integers(0, k) for k in range(1, 9))])
+        odds = rng.normal(size=9) * 2
+        best = max((m for m in range(1, 512, 2) if all(not m >> k & 1 or m >> parent[k] & 1 for k in range(1, 9))), key=lambda m: sum(-np.logaddexp(0, -odds[k] if m >> k & 1 else odds[k]) for k in range(9)))
+        assert [bool(best >> k & 1) for k in range(9)] == pages.decode(odds, parent).tolist()
+
+
 # --- 7 ---
 
 
@@ -400,13 +576,63 @@ def test_media_round_trip(docs, none, spark):
         assert r.n_bytes == len(raw) and media.samples(bytes(r.media)) == payload and r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.tail_crc32 == zlib.crc32(payload[-16:])
     by_text = defaultdict(set)
     for r in rows:
-        by_text[texts[r.id]].add(r.feature)
+        by_text[texts[r.id]].add((bytes(r.log_mel), str(r.segments)))
     assert all(len(v) == 1 for v in by_text.values()) and media.to_media(none).count() == 0
-    blocks = media.tensors(media.mel_blocks(docs).toArrow())
+    blocks = media.tensors(media.to_media(docs).select("id", "log_mel").toArrow())
     assert blocks.schema.field("log_mel").type.shape == [media.FRAMES, media.MELS]
     assert len(blocks) == sum(-(-r.payload_bytes // (192 * media.FRAMES)) for r in rows)
 
 
+def test_media_digests_are_of_what_is_stored(docs, saved, spark):
+    stored = {r.id: r for r in media.to_media(docs).collect()}
+    for r in media.op7_media(spark, saved).collect():
+        m = stored[r.doc_id]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (m.n_bytes, m.payload_bytes, m.payload_sha256, m.tail_crc32)
+        assert (r.media_bytes, r.media_sha256) == (len(m.media), hashlib.sha256(m.media).hexdigest())
+        end, n, loud, digest = r.feature.split(":")
+        blocks = media.from_stream(bytes(m.log_mel))
+        assert float(end) == m.payload_bytes / media.RATE_IN and int(n) == len(m.segments)
+        assert abs(float(loud) - sum(x.end_s - x.start_s for x in m.segments)) < 1e-6 and digest == hashlib.sha256(media.bands(blocks).tobytes()).hexdigest()
+
+
+def test_features_equal_plain_sums():
+    """Resampling, window, Fourier sums, bands and hysteresis as loops over one payload."""
+    rng = np.random.default_rng(6)
+    raw = rng.integers(0, 256, media.UNIT * 9).astype(np.uint8)
+    raw[media.UNIT * 3 : media.UNIT * 6] = 128 + raw[media.UNIT * 3 : media.UNIT * 6] // 64
+    x = (raw.astype(float) - 128) / 128
+    half, ratio = media.REACH, media.UNIT / media.OUT
+    y = np.zeros(9 * media.OUT)
+    for k in range(len(y)):
+        unit, within = divmod(k, media.OUT)
+        at = [(unit * media.UNIT + j, j - within * ratio) for j in range(-half, media.UNIT + half)]
+        taps = [np.sinc(t / ratio) * (0.5 + 0.5 * math.cos(math.pi * t / half)) if abs(t) < half else 0.0 for _, t in at]
+        y[k] = sum(c * x[i] for c, (i, _) in zip(taps, at, strict=True) if 0 <= i < len(x)) / sum(taps)
+    y = np.append(y, np.zeros(media.OUT))
+    mel, energy = [], []
+    for u in range(9):
+        f = y[u * media.OUT : (u + 2) * media.OUT]
+        n = len(f)
+        bins = [abs(sum(f[i] * (0.5 - 0.5 * math.cos(2 * math.pi * i / (n - 1))) * np.exp(-2j * math.pi * b * i / n) for i in range(n))) ** 2 for b in range(n // 2 + 1)]
+        mel.append([round(100 * math.log10(sum(p * media._MEL[b, m] for b, p in enumerate(bins)) + 1e-6)) for m in range(media.MELS)])
+        energy.append(round(1000 * math.log10((f**2).sum() + 1e-6)))
+    mean, sd, on, loud = np.mean(energy), np.std(energy), False, []
+    for e in energy:
+        on = True if e > mean + media.UPPER * sd else False if e < mean + media.LOWER * sd else on
+        loud.append(on)
+    got = media.features(raw, np.array([0, 9]))
+    assert np.abs(got[0] - np.array(mel)).max() <= 1 and got[1].tolist() == loud and 0 < sum(loud) < 9
+
+
+def test_runs_of_units_leave_no_trace(monkeypatch):
+    rng = np.random.default_rng(5)
+    units = np.array([0, 1, 4, 30, 47])
+    raw = rng.integers(0, 256, media.UNIT * 47).astype(np.uint8)
+    whole = media.features(raw, units)
+    monkeypatch.setattr(media, "RUN", 3)
+    assert all((a == b).all() for a, b in zip(whole, media.features(raw, units), strict=True))
+
+
 def test_tone_lands_in_its_band():
     t = np.arange(media.UNIT * 20) / media.RATE_IN
     raw = (128 + 100 * np.sin(2 * np.pi * 1000 * t)).astype(np.uint8)
