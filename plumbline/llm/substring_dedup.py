@@ -1,23 +1,34 @@
-"""Substring deduplication by a join on the hashes of word windows; it stands for suffix trees cut off at depth WINDOW.
-
-A window is the first WINDOW words of a suffix; one that stands in several documents is a repeat. No tree is built and
-no suffix is ordered by its words: equal windows are found by a 64-bit hash of all their words.
-
-Two rounds. The first finds lowest-ranked GRAM-word grams of windows (the smallest hash, which equal windows share) that
-occur in one document only: such windows are no repeats, and most of a corpus is settled here with one small key per run
-of suffixes. The second groups the others: within a partition windows are sorted by their hash, so that equal ones lie
-together, and the smallest document of each group keeps the passage. Partitions are dealt by the top bits of the hash. Both rounds combine on the map side: of the suffixes of one window in one
-task all but the one with the smallest document are settled at once, so that a passage that a third of all documents
-share sends one row per task. The last step marks the words under repeated windows and cuts them out.
+"""Substring deduplication by prefix-partitioned suffix trees.
+
+A suffix starts at each word of a document. The nodes of the suffix tree that lie WINDOW words deep or deeper and have
+leaves of several documents are the passages that documents share; the smallest document below such a node keeps the
+passage, the others lose it. The trees need the first WINDOW words of a suffix only, as a deeper node cuts no word that
+its ancestor at that depth does not cut; the passages themselves, as long as they go on, are the runs of cut words.
+
+1. A filter finds the lowest-ranked GRAM-word grams of windows (the smallest hash, which equal windows share) that occur
+   in one document only: their suffixes are leaves near the root and are dropped.
+2. The other suffixes are dealt to groups by a prefix of their words. A prefix that more suffixes share than a group
+   should hold is lengthened by a word, and again, up to the whole window. Suffixes of equal windows in one task are
+   combined before they are counted or sent: all but the one of the smallest document are settled, so that a passage that
+   a third of all documents share sends one suffix per task.
+3. In each group suffixes are sorted by their words, the longest common prefixes of neighbours give the tree's deep
+   internal nodes, and each node's leaves but those of its smallest document are repeats. A 64-bit hash of the window only
+   drops leaves whose hash no other suffix has; equal hashes are never taken for equal words.
+4. Each document marks the words under its repeated windows, found by hash and compared word by word with the suffix that
+   was sent, and cuts them out.
+
+Words stand for themselves by 64-bit hashes throughout. Documents are dealt by id into a bucketed table once; the later
+passes read it without a shuffle of texts.
 
 Cases: null and empty texts and texts of fewer than WINDOW words lose nothing; windows are judged on the input; repeats
 within one document don't count; rows with the same id don't repeat each other; rows without an id neither give nor lose
-words; an empty table gives an empty table; columns other than the id and the text are not read.
+words; an empty table gives an empty table; columns other than the id and the text are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,18 +36,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import drop, gram_hashes, lean, materialize, mix, slices, spans, text_buffers, whole_grams, word_hashes
+from plumbline.llm.common import _MULT, delete, drop, gram_hashes, lean, materialize, mix, shared_dir, slices, spans, text_buffers, whole_grams, word_hashes
 
 WINDOW, GRAM = 13, 5
-#: Documents whose suffixes make up a partition, about.
-PARTITION_DOCS = 4_096
+#: Suffixes that a group should hold at most, but no more than GROUPS groups: the table of long prefixes follows their number.
+SUFFIXES, GROUPS = 1 << 18, 1 << 20
 #: Suffixes that a task combines before it sends them.
 FLUSH = 1 << 20
-KEYS = "bucket int, settled boolean, doc binary, key binary"
+#: Bytes of text in one bucket of the documents, about, and in one word of it.
+BUCKET_BYTES, WORD_BYTES = 32 << 20, 6
+#: Bits of a window's hash that are used; fewer make collisions.
+HASH = np.uint64(2**64 - 1)
+SENT = "bucket long, settled boolean, doc binary, key binary, place binary, code binary, word binary"
+FOUND = "bucket long, doc binary, key binary, place binary"
 
 
 def _windows(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Words (start, end, row) and, of each suffix of at least WINDOW words: position, lowest gram's hash, path hash."""
+    """Words (start, end, row, hash) and, of each suffix of at least WINDOW words: position, lowest gram's hash, window's hash."""
     s, e, row = spans(data, off)
     w = word_hashes(data, s, e)
     at = whole_grams(row, WINDOW)
@@ -44,132 +60,303 @@ def _windows(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     low = g[: max(0, len(w) - WINDOW + 1)].copy()
     for k in range(1, WINDOW - GRAM + 1):
         np.minimum(low, g[k : k + len(low)], out=low)
-    return s, e, row, at, low[at], gram_hashes(w, WINDOW)[at]
+    return s, e, row, w, at, low[at], gram_hashes(w, WINDOW)[at] & HASH
 
 
-def _sent(doc: np.ndarray, key: np.ndarray, buckets: int, later_only: bool) -> Iterator[pa.RecordBatch]:
-    """Rows of KEYS for the pairs (doc, key): settled ones, and of each key the smallest document.
+def _blobs(bucket: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, list[pa.Array]]:
+    """The different buckets, and of each column (sorted by bucket) the bytes of each bucket's part."""
+    begin = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, np.int64)
+    end = np.append(begin, len(bucket))[1:]
+    return bucket[begin], [pa.array([c[x:y].tobytes() for x, y in zip(begin, end, strict=True)], pa.binary()) for c in columns]
+
+
+def _column(table: pa.Table, name: str, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+
+
+# --- 1: grams of one document --------------------------------------------------------------------------------------
+
+
+def _gram_batches(buckets: int):
+    """(doc, lowest gram) of each run of suffixes, dealt by gram; of equal grams in a task the first and one other document."""
+
+    def send(doc: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((doc, key))
+        doc, key = doc[order], key[order]
+        again = np.zeros(len(key), bool)
+        again[1:] = (key[1:] == key[:-1]) & (doc[1:] == doc[:-1])
+        doc, key = doc[~again], key[~again]
+        lead = np.ones(len(key), bool)
+        lead[1:] = key[1:] != key[:-1]
+        # grams of several documents of this task are shared: one row goes to the others, all of them back to their documents
+        shared = ~lead
+        shared[:-1] |= ~lead[1:]
+        parts = []
+        for settled, d, k in ((False, doc[lead], key[lead]), (True, doc[shared], key[shared])):
+            bucket = (mix(d.view(np.uint64) if settled else k) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            names, (ds, ks) = _blobs(bucket[order], d[order], k[order])
+            none = pa.array([b""] * len(names), pa.binary())
+            parts.append(pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([settled] * len(names), pa.bool_()), ds, ks, none, none, none], ["bucket", "settled", "doc", "key", "place", "code", "word"]))
+        return parts
 
-    With ``later_only`` the smallest document of a key is not settled by larger ones.
-    """
-    order = np.lexsort((doc, key))
-    doc, key = doc[order], key[order]
-    again = np.zeros(len(key), bool)
-    again[1:] = (key[1:] == key[:-1]) & (doc[1:] == doc[:-1])
-    doc, key = doc[~again], key[~again]
-    lead = np.ones(len(key), bool)
-    lead[1:] = key[1:] != key[:-1]
-    settle = ~lead
-    if not later_only:
-        settle[:-1] |= ~lead[1:]
-    shift = np.uint64(64 - (buckets - 1).bit_length()) if buckets > 1 else None
-    for settled, d, k in ((False, doc[lead], key[lead]), (True, doc[settle], key[settle])):
-        if not len(d):
-            continue
-        place = mix(d.astype(np.uint64)) if settled else k
-        bucket = (place >> shift).astype(np.int32) if shift is not None else np.zeros(len(d), np.int32)
-        order = np.argsort(bucket, kind="stable")
-        bucket, d, k = bucket[order], d[order], k[order]
-        begin = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-        end = np.append(begin[1:], len(bucket))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(bucket[begin]), pa.array([settled] * len(begin)), *(pa.array([a[x:y].tobytes() for x, y in zip(begin, end, strict=True)], pa.binary()) for a in (d, k))],
-            ["bucket", "settled", "doc", "key"],
-        )
-
-
-def _sender(collect: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray]]], buckets: int, later_only: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held, size = [], 0
         for batch in batches:
-            for pair in collect(batch):
-                held.append(pair)
-                if sum(len(p[0]) for p in held) >= FLUSH:
-                    yield from _sent(*map(np.concatenate, zip(*held, strict=True)), buckets, later_only)
-                    held = []
-        if held:
-            yield from _sent(*map(np.concatenate, zip(*held, strict=True)), buckets, later_only)
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            data, offsets = text_buffers(batch.column(1))
+            for i, _, part, off in slices(data, offsets):
+                _, _, row, _, at, low, _ = _windows(part, off)
+                new = np.ones(len(at), bool)
+                new[1:] = (low[1:] != low[:-1]) | (row[at[1:]] != row[at[:-1]])
+                held.append((ids[i + row[at[new]]].astype(np.int64), low[new]))
+                size += int(new.sum())
+                if size >= FLUSH:
+                    yield from send(*map(np.concatenate, zip(*held, strict=True)))
+                    held, size = [], 0
+        if size:
+            yield from send(*map(np.concatenate, zip(*held, strict=True)))
 
     return run
 
 
-def _grams(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(doc, lowest gram) of each run of suffixes."""
-    ids = batch.column(0).to_numpy(zero_copy_only=False)
-    data, offsets = text_buffers(batch.column(1))
-    for i, _, part, off in slices(data, offsets):
-        _, _, row, at, low, _ = _windows(part, off)
-        new = np.ones(len(at), bool)
-        new[1:] = (low[1:] != low[:-1]) | (row[at[1:]] != row[at[:-1]])
-        yield ids[i + row[at[new]]], low[new]
+def _back(doc: np.ndarray, key: np.ndarray, place: np.ndarray, groups: int) -> pa.Table:
+    """Keys on their way back to groups of documents."""
+    group = (mix(doc.view(np.uint64)) % np.uint64(groups)).astype(np.int64)
+    order = np.argsort(group, kind="stable")
+    names, blobs = _blobs(group[order], doc[order], key[order], place[order])
+    return pa.table({"bucket": pa.array(names, pa.int64()), "doc": blobs[0], "key": blobs[1], "place": blobs[2]})
 
 
-def _paths(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(doc, path) of the suffixes whose prefix gram occurs in several documents."""
-    ids = batch.column(0).to_numpy(zero_copy_only=False)
-    data, offsets = text_buffers(batch.column(1))
-    for i, j, part, off in slices(data, offsets):
-        _, _, row, at, low, path = _windows(part, off)
-        hit = _within(row[at], low, batch.column(2).slice(i, j - i))
-        yield ids[i + row[at[hit]]], path[hit]
+def _shared_grams(groups: int):
+    """Of one bucket: per document the grams that several documents have."""
 
+    def run(table: pa.Table) -> pa.Table:
+        settled = np.repeat(table.column("settled").to_numpy(zero_copy_only=False), [len(x.as_py()) // 8 for x in table.column("doc")])
+        doc, key = _column(table, "doc", np.int64), _column(table, "key", np.uint64)
+        order = np.lexsort((doc, key, settled))
+        doc, key, settled = doc[order], key[order], settled[order]
+        same = np.zeros(len(key), bool)
+        same[1:] = (key[1:] == key[:-1]) & (settled[1:] == settled[:-1])
+        run_ = np.cumsum(~same) - 1
+        first = np.flatnonzero(~same)[run_] if len(key) else run_
+        several = np.bincount(run_, doc != doc[first]) > 0 if len(key) else np.zeros(0, bool)
+        hit = settled | several[run_] if len(key) else settled
+        return _back(doc[hit], key[hit], np.zeros(int(hit.sum()), np.int32), groups)
 
-def _within(row: np.ndarray, key: np.ndarray, lists: pa.ListArray) -> np.ndarray:
-    """Which keys stand in the list of their row."""
+    return run
+
+
+def _gathered(table: pa.Table) -> pa.Table:
+    """Of one group of documents: each document's keys and places as lists."""
+    doc, key, place = _column(table, "doc", np.int64), _column(table, "key", np.int64), _column(table, "place", np.int32)
+    order = np.argsort(doc, kind="stable")
+    doc, key, place = doc[order], key[order], place[order]
+    begin = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else np.zeros(0, np.int64)
+    cut = pa.array(np.append(begin, len(key)).astype(np.int32))
+    return pa.table({"d": pa.array(doc[begin], pa.int64()), "keys": pa.ListArray.from_arrays(cut, pa.array(key)), "places": pa.ListArray.from_arrays(cut, pa.array(place))})
+
+
+# --- 2: suffixes dealt by prefixes ---------------------------------------------------------------------------------
+
+
+def _entries(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and value of all list entries."""
     sizes = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
-    values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-    if not len(values) or not len(key):
-        return np.zeros(len(key), bool)
-    tie = lambda k, r: mix(k ^ mix(r.astype(np.uint64) + np.uint64(1)))
-    return np.isin(tie(key, row), tie(values, np.repeat(np.arange(len(sizes)), sizes)))
+    return np.repeat(np.arange(len(sizes)), sizes), lists.flatten().to_numpy(zero_copy_only=False)
 
 
-def _repeated(later_only: bool, groups: int):
-    """Of one partition: per document the keys that several documents have, or that a smaller document has too."""
+def _tied(key: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """One hash of a key and the row that it stands in."""
+    return mix(key ^ mix(row.astype(np.uint64) + np.uint64(1)))
 
-    def run(table: pa.Table) -> pa.Table:
-        settled = table.column("settled").to_numpy(zero_copy_only=False)
-        d = np.array([len(x.as_py()) // 8 for x in table.column("doc")], np.int64)
-        doc, key = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.int64) for c in ("doc", "key"))
-        done = np.repeat(settled, d)
-        order = np.lexsort((doc, key, done))
-        doc, key, done = doc[order], key[order], done[order]
+
+class Suffixes:
+    """Suffixes of a task: document, window's hash, place of the first word in its text, and the words."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.size = self.words = 0
+
+    def add(self, doc: np.ndarray, key: np.ndarray, place: np.ndarray, at: np.ndarray, w: np.ndarray) -> None:
+        if len(doc):
+            self.parts.append((doc, key, place, at + self.words, w))
+            self.size += len(doc)
+            self.words += len(w)
+
+    def combined(self) -> tuple[np.ndarray, ...]:
+        """(doc, key, place, words (n, WINDOW)) of the smallest document of each window; (doc, key, place) of the others."""
+        doc, key, place, at, w = map(np.concatenate, zip(*self.parts, strict=True))
+        order = np.lexsort((doc, key))
+        doc, key, place, at = doc[order], key[order], place[order], at[order]
         same = np.zeros(len(key), bool)
-        same[1:] = (key[1:] == key[:-1]) & (done[1:] == done[:-1])
-        if later_only:
-            first = np.maximum.accumulate(np.where(~same, np.arange(len(key)), 0))
-            hit = done | (doc > doc[first])
-        else:
-            run_ = np.cumsum(~same)
-            first = np.maximum.accumulate(np.where(~same, np.arange(len(key)), 0))
-            differs = np.bincount(run_, doc != doc[first], int(run_[-1]) + 1 if len(run_) else 1) > 0
-            hit = done | differs[run_]
-        doc, key = doc[hit], key[hit]
-        # back to the documents: one row for each group of documents that has any
-        group = (mix(doc.astype(np.uint64)) % np.uint64(groups)).astype(np.int32)
-        order = np.argsort(group, kind="stable")
-        group, doc, key = group[order], doc[order], key[order]
-        begin = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))) if len(group) else np.zeros(0, int)
-        end = np.append(begin, len(group))[1:]
-        blobs = [pa.array([a[x:y].tobytes() for x, y in zip(begin, end, strict=True)], pa.binary()) for a in (doc, key)]
-        return pa.table({"group": pa.array(group[begin]), "doc": blobs[0], "key": blobs[1]})
+        same[1:] = key[1:] == key[:-1]
+        near = np.flatnonzero(same)
+        for k in range(WINDOW):
+            near = near[w[at[near] + k] == w[at[near - 1] + k]]
+        same[:] = False
+        same[near] = True
+        again = same.copy()
+        again[1:] &= doc[1:] == doc[:-1]
+        settled = same & ~again
+        return doc[~same], key[~same], place[~same], w[at[~same][:, None] + np.arange(WINDOW)], doc[settled], key[settled], place[settled]
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[Suffixes]:
+    """Suffixes of documents (doc, text, keys) whose windows' lowest grams are among the keys, in parts of about FLUSH."""
+    held = Suffixes()
+    for batch in batches:
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        data, offsets = text_buffers(batch.column(1))
+        for i, j, part, off in slices(data, offsets):
+            _, _, row, w, at, low, path = _windows(part, off)
+            r, k = _entries(batch.column(2).slice(i, j - i))
+            hit = np.isin(_tied(low, row[at]), _tied(k.view(np.uint64), r))
+            at, path = at[hit], path[hit]
+            first = np.searchsorted(row, row[at])
+            held.add(ids[i + row[at]].astype(np.int64), path, (at - first).astype(np.int32), at, w)
+            if held.size >= FLUSH:
+                yield held
+                held = Suffixes()
+    if held.size:
+        yield held
+
+
+def _prefixes(words: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(length, hash) of the prefixes of the rows, each longer by a word."""
+    total = np.zeros(len(words), np.uint64)
+    for d in range(1, WINDOW):
+        total = total + words[:, d - 1] * _MULT[d]
+        yield d, mix(total + np.uint64(d))
+
+
+def _count_batches(least: int):
+    """(length, prefix, n): how many suffixes share a prefix, where a part has at least ``least``; length 0 counts all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _candidates(batches):
+            _, _, _, words, *_ = part.combined()
+            out = [(0, 0, len(words))]
+            left = np.arange(len(words))
+            for d, prefix in _prefixes(words):
+                names, which, n = np.unique(prefix[left], return_inverse=True, return_counts=True)
+                many = n >= least
+                out += [(d, int(p), int(k)) for p, k in zip(names[many].view(np.int64), n[many], strict=True)]
+                left = left[many[which]]
+                if not len(left):
+                    break
+            yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], t) for c, t in enumerate((pa.int32(), pa.int64(), pa.int64()))], ["length", "prefix", "n"])
 
     return run
 
 
-def _gathered(table: pa.Table) -> pa.Table:
-    """Of one group of documents: each document's keys as a list."""
-    doc, key = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.int64) for c in ("doc", "key"))
-    order = np.argsort(doc, kind="stable")
-    doc, key = doc[order], key[order]
-    begin = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else np.zeros(0, int)
-    return pa.table({"doc": pa.array(doc[begin]), "keys": pa.ListArray.from_arrays(pa.array(np.append(begin, len(key)).astype(np.int32)), pa.array(key))})
+def _send_batches(long: list[np.ndarray], groups: int):
+    """Suffixes by the group of their prefix; ``long`` has the sorted prefixes of each length that are to be lengthened."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _candidates(batches):
+            doc, key, place, words, *settled = part.combined()
+            group, left = np.empty(len(doc), np.int64), np.arange(len(doc))
+            for d, prefix in _prefixes(words):
+                goes_on = np.isin(prefix[left], long[d])
+                group[left[~goes_on]] = (mix(prefix[left[~goes_on]]) % np.uint64(groups)).astype(np.int64)
+                left = left[goes_on]
+                if not len(left):
+                    break
+            group[left] = (mix(key[left]) % np.uint64(groups)).astype(np.int64)  # the whole window
+            order = np.argsort(group, kind="stable")
+            names, (docs, keys, places) = _blobs(group[order], doc[order], key[order], place[order])
+            begin = np.append(np.searchsorted(group[order], names), len(group))
+            codes, dictionaries = [], []
+            for x, y in zip(begin[:-1], begin[1:], strict=True):
+                different, code = np.unique(words[order[x:y]], return_inverse=True)
+                codes.append(code.astype(np.uint16 if len(different) <= 1 << 16 else np.uint32).tobytes())
+                dictionaries.append(different.tobytes())
+            cols = ["bucket", "settled", "doc", "key", "place", "code", "word"]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([False] * len(names), pa.bool_()), docs, keys, places, pa.array(codes, pa.binary()), pa.array(dictionaries, pa.binary())], cols)
+            bucket = (mix(settled[0].view(np.uint64)) % np.uint64(groups)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            names, blobs = _blobs(bucket[order], *(c[order] for c in settled))
+            none = pa.array([b""] * len(names), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([True] * len(names), pa.bool_()), *blobs, none, none], cols)
+
+    return run
+
+
+# --- 3: the deep nodes of a group's tree -----------------------------------------------------------------------------
+
+
+def deep_nodes(words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes in the order of their words, and where a node of depth WINDOW begins: at a common prefix that is shorter."""
+    order = np.lexsort((doc, *(words[:, k] for k in range(WINDOW - 1, -1, -1))))
+    sorted_ = words[order]
+    common = np.zeros(len(order), np.int64)
+    common[1:] = np.cumprod(sorted_[1:] == sorted_[:-1], axis=1).sum(1)
+    return order, common < WINDOW
 
 
-def _round(rows: DataFrame, collect, buckets: int, later_only: bool) -> DataFrame:
-    sent = rows.mapInArrow(_sender(collect, buckets, later_only), KEYS)
-    found = sent.groupBy("bucket").applyInArrow(_repeated(later_only, buckets), "group int, doc binary, key binary")
-    return found.groupBy("group").applyInArrow(_gathered, "doc long, keys array<long>")
+def _repeated(groups: int):
+    """Of one group: the suffixes whose window a smaller document has too."""
+
+    def run(table: pa.Table) -> pa.Table:
+        settled = table.column("settled").to_numpy(zero_copy_only=False)
+        done, rest = table.filter(pa.array(settled)), table.filter(pa.array(~settled))
+        out = [[_column(done, c, t)] for c, t in (("doc", np.int64), ("key", np.uint64), ("place", np.int32))]
+        if len(rest):
+            doc, key, place = (_column(rest, c, t) for c, t in (("doc", np.int64), ("key", np.uint64), ("place", np.int32)))
+            order = np.argsort(key, kind="stable")
+            alone = np.ones(len(key), bool)
+            equal = np.flatnonzero(key[order][1:] == key[order][:-1])
+            alone[order[equal]] = alone[order[equal + 1]] = False
+            left, at, words = np.flatnonzero(~alone), 0, []
+            for code, word in zip(rest.column("code"), rest.column("word"), strict=True):
+                w = np.frombuffer(word.as_py(), np.uint64)
+                c = np.frombuffer(code.as_py(), np.uint16 if len(w) <= 1 << 16 else np.uint32).reshape(-1, WINDOW)
+                mine = left[np.searchsorted(left, at) : np.searchsorted(left, at + len(c))] - at
+                words.append(w[c[mine]])
+                at += len(c)
+            doc, key, place = doc[left], key[left], place[left]
+            order, opens = deep_nodes(np.concatenate(words), doc)
+            doc, key, place = doc[order], key[order], place[order]
+            first = np.maximum.accumulate(np.where(opens, np.arange(len(doc)), 0))
+            hit = doc > doc[first]
+            for o, c in zip(out, (doc, key, place), strict=True):
+                o.append(c[hit])
+        return _back(*map(np.concatenate, out), groups)
+
+    return run
+
+
+# --- 4: words under repeats ------------------------------------------------------------------------------------------
+
+
+def _cut_places(row: np.ndarray, w: np.ndarray, at: np.ndarray, path: np.ndarray, keys: pa.ListArray, places: pa.ListArray) -> np.ndarray:
+    """The windows (of ``at``) that equal a listed one of their row: by hash, then word by word where the listed one stands in the row."""
+    r, key = _entries(keys)
+    _, place = _entries(places)
+    if not len(r) or not len(at):
+        return np.zeros(0, np.int64)
+    key = key.view(np.uint64)
+    begin = np.searchsorted(row, np.arange(len(keys) + 1))
+    told = begin[r] + place  # where the listed window should start
+    slot = np.minimum(np.searchsorted(at, told), len(at) - 1)
+    here = (at[slot] == told) & (path[slot] == key) & (place >= 0) & (told < begin[r + 1])
+    tie = _tied(key, r)
+    order = np.argsort(tie, kind="stable")
+    tie, told, here = tie[order], told[order], here[order]
+    mine = _tied(path, row[at])
+    lo, hi = np.searchsorted(tie, mine, "left"), np.searchsorted(tie, mine, "right")
+    hit = np.zeros(len(at), bool)
+    left = np.flatnonzero(hi > lo)
+    while len(left):
+        x = lo[left]
+        same = np.ones(len(left), bool)
+        for k in range(WINDOW):
+            same &= ~here[x] | (w[np.minimum(told[x] + k, len(w) - 1)] == w[at[left] + k])
+        hit[left[same]] = True
+        lo[left] += 1
+        left = left[~same & (lo[left] < hi[left])]
+    return at[hit]
 
 
 def cut(data: np.ndarray, off: np.ndarray, s: np.ndarray, e: np.ndarray, row: np.ndarray, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -191,8 +378,8 @@ def _cut_batches(with_text: bool):
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
             for i, j, part, off in slices(data, offsets):
-                s, e, row, at, _, path = _windows(part, off)
-                hit = at[_within(row[at], path, batch.column(2).slice(i, j - i))]
+                s, e, row, w, at, _, path = _windows(part, off)
+                hit = _cut_places(row, w, at, path, *(batch.column(k).slice(i, j - i) for k in (2, 3)))
                 edge = np.zeros(len(s) + WINDOW + 1, np.int32)
                 np.add.at(edge, hit, 1)
                 np.add.at(edge, hit + WINDOW, -1)
@@ -200,30 +387,76 @@ def _cut_batches(with_text: bool):
                 kept, koff = cut(part, off, s, e, row, gone)
                 raw = kept.tobytes()
                 texts = [raw[a:b] for a, b in zip(koff[:-1], koff[1:], strict=True)]
-                last = pa.array([t.decode() for t in texts]) if with_text else pa.array([hashlib.sha256(t).hexdigest() for t in texts])
                 count = lambda rows, m=j - i: pa.array(np.bincount(rows, minlength=m).astype(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), count(row), count(row[gone]), last], ["doc", "n_words", "n_removed", "kept"])
+                out = [batch.column(0).slice(i, j - i), count(row), count(row[gone])]
+                if with_text:
+                    # runs of cut words: the repeated passages, as first word and end
+                    opens = np.flatnonzero(gone & ~np.concatenate(([False], gone[:-1] & (row[1:] == row[:-1])))) if len(row) else np.zeros(0, np.int64)
+                    ends = np.flatnonzero(gone & ~np.concatenate((gone[1:] & (row[1:] == row[:-1]), [False]))) + 1 if len(row) else opens
+                    first = np.searchsorted(row, row[opens])
+                    bounds = pa.array(np.searchsorted(row[opens], np.arange(j - i + 1)).astype(np.int32))
+                    pairs = pa.StructArray.from_arrays([pa.array((opens - first).astype(np.int32)), pa.array((ends - first).astype(np.int32))], ["start", "end"])
+                    out += [pa.array([t.decode() for t in texts], pa.string()), pa.ListArray.from_arrays(bounds, pairs)]
+                else:
+                    out.append(pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()))
+                yield pa.RecordBatch.from_arrays(out, ["doc", "n_words", "n_removed", "kept", "passages"][: len(out)])
 
     return run
 
 
-def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
-    """Per row: id, n_words, n_removed and the kept words joined by spaces (or, without text, their SHA-256)."""
-    lean(docs.sparkSession)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    buckets = 16
-    while buckets * PARTITION_DOCS < docs.count():
-        buckets *= 2
-    known = docs.filter(F.col("doc").isNotNull())
-    grams = _round(known, _grams, buckets, False)
-    shared = materialize(grams, "suffix-grams")
-    trees = materialize(_round(known.join(shared, "doc").select("doc", "text", "keys"), _paths, buckets, True), "suffix-nodes")
+def _marked(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Callable[[], None]]:
+    """(doc, text, keys, places) of every row with its repeated windows, and what deletes the tables behind it."""
+    spark = docs.sparkSession
+    lean(spark)
+    doc = F.col(id_col).cast("long")
+    # rows without an id are dealt by their texts
+    rows = docs.select(doc.alias("doc"), F.col(text_col).alias("text"), F.coalesce(doc, F.xxhash64(F.col(text_col))).alias("slot"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = max(16, -(-size // BUCKET_BYTES))
+    name = f"suffix_docs_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/plumbline/{name}"
+    rows.repartition(buckets, "slot").write.format("parquet").option("path", path).bucketBy(buckets, "slot").sortBy("slot").saveAsTable(name)
+    rows = spark.table(name)
+    known = rows.filter("doc IS NOT NULL")
+    suffixes = size // WORD_BYTES
+    most = max(SUFFIXES, suffixes // GROUPS)
+    groups = max(16, suffixes // most)
+
+    grams = known.select("doc", "text").mapInArrow(_gram_batches(groups), SENT).groupBy("bucket").applyInArrow(_shared_grams(groups), FOUND)
+    shared = materialize(grams.groupBy("bucket").applyInArrow(_gathered, "d long, keys array<long>, places array<int>"), "suffix-grams")
+    listed = known.join(shared.hint("merge"), F.col("slot") == F.col("d")).select("doc", "text", "keys")
+
+    # a prefix of more than a quarter of a group's suffixes is lengthened; parts with few of them needn't tell
+    parts = suffixes // FLUSH + buckets
+    counts = listed.mapInArrow(_count_batches(max(1, most // (8 * parts))), "length int, prefix long, n long").groupBy("length", "prefix").agg(F.sum("n").alias("n")).filter(f"length = 0 OR n >= {most // 8}").collect()
+    total = sum(r.n for r in counts if r.length == 0)
+    long = [np.sort(np.array([r.prefix for r in counts if r.length == d], np.int64).view(np.uint64)) for d in range(WINDOW)]
+    trees = max(16, -(-4 * total // most))
+    sent = listed.mapInArrow(_send_batches(long, trees), SENT).groupBy("bucket").applyInArrow(_repeated(groups), FOUND)
+    found = materialize(sent.groupBy("bucket").applyInArrow(_gathered, "d long, keys array<long>, places array<int>"), "suffix-nodes")
     drop(shared)
-    marked = docs.join(trees.withColumnRenamed("doc", "d"), F.col("doc") == F.col("d"), "left").select("doc", "text", "keys")
-    return marked.mapInArrow(_cut_batches(with_text), "doc long, n_words long, n_removed long, kept string").withColumnRenamed("doc", id_col)
+
+    def clear() -> None:
+        drop(found)
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        delete(spark, path)
+
+    of = lambda c: F.when(F.col("doc").isNotNull(), F.col(c)).alias(c)
+    return rows.join(found.hint("merge"), F.col("slot") == F.col("d"), "left").select("doc", "text", of("keys"), of("places")), clear
+
+
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, n_words, n_removed, the kept words joined by spaces, and the cut passages (first word, end).
+
+    The tables behind the result stay until the shared folder is cleared.
+    """
+    marked, _ = _marked(docs, id_col, text_col)
+    return marked.mapInArrow(_cut_batches(True), "doc long, n_words long, n_removed long, kept string, passages array<struct<start:int,end:int>>").withColumnRenamed("doc", id_col)
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its words, the words under repeats of earlier documents, and a digest of the rest."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return cut_repeats(docs, with_text=False).withColumnRenamed("kept", "kept_sha256")
+    marked, clear = _marked(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id", "text")
+    out = materialize(marked.mapInArrow(_cut_batches(False), "doc_id long, n_words long, n_removed long, kept_sha256 string"), "suffix-cut")
+    clear()
+    return out

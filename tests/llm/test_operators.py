@@ -321,14 +321,86 @@ def removed(rows):
     return out
 
 
-def test_substrings_equal_brute_force(docs, none):
+def test_substrings_equal_brute_force(docs, none, saved, spark):
     rows = [tuple(r) for r in docs.collect()]
-    assert table(substring_dedup.cut_repeats(docs), "doc_id", "n_words", "n_removed", "kept") == removed(rows)
-    digest = table(substring_dedup.cut_repeats(docs, with_text=False), "doc_id", "kept")
-    assert digest == {i: (hashlib.sha256(k.encode()).hexdigest(),) for i, (_, _, k) in removed(rows).items()}
+    got = substring_dedup.cut_repeats(docs.withColumn("slot", F.lit(1)).withColumn("keys", F.lit("x")))
+    assert table(got, "doc_id", "n_words", "n_removed", "kept") == removed(rows)
+    for r in got.collect():
+        ends = [x for p in r.passages for x in (p.start, p.end)]
+        assert sum(p.end - p.start for p in r.passages) == r.n_removed and ends == sorted(ends) and all(p.end - p.start >= 13 for p in r.passages)
+    digest = table(substring_dedup.op8_substring_dedup(spark, saved), "doc_id", "n_removed", "kept_sha256")
+    assert digest == {i: (n, hashlib.sha256(k.encode()).hexdigest()) for i, (_, n, k) in removed(rows).items()}
     assert substring_dedup.cut_repeats(none).count() == 0
 
 
+def removed_rows(rows):
+    """The same for rows whose ids may repeat or be null."""
+    words = [WORD.findall(t or "") for _, t in rows]
+    first = {}
+    for (i, _), w in zip(rows, words, strict=True):
+        for k in range(len(w) - 12):
+            if i is not None:
+                key = tuple(w[k : k + 13])
+                first[key] = min(first.get(key, i), i)
+    out = []
+    for (i, _), w in zip(rows, words, strict=True):
+        gone = [False] * len(w)
+        for k in range(len(w) - 12):
+            if i is not None and first[tuple(w[k : k + 13])] < i:
+                gone[k : k + 13] = [True] * 13
+        out.append((i, len(w), sum(gone), " ".join(x for x, g in zip(w, gone, strict=True) if not g)))
+    return sorted(map(str, out))
+
+
+def test_groups_split_by_longer_prefixes(spark, monkeypatch):
+    """Groups of a few suffixes, so that prefixes grow up to the whole window; null and repeated ids; a hot passage."""
+    rng = np.random.default_rng(8)
+    words = lambda k, v: [f"w{x}" for x in rng.integers(0, v, k)]
+    hot, rows = words(30, 1000), []
+    for i in range(60):
+        w = words(int(rng.integers(0, 60)), 3)
+        if i % 3 == 0:
+            w = [*w[:10], *hot, *w[10:]]
+        rows.append((None if i % 11 == 5 else i % 50, " ".join(w)))
+    rows += [(70, " ".join(["a"] * 400)), (71, " ".join(["a"] * 14)), (72, None), (73, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    monkeypatch.setattr(substring_dedup, "SUFFIXES", 16)
+    monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", 2_000)
+    got = substring_dedup.cut_repeats(df)
+    assert sorted(str((r.doc_id, r.n_words, r.n_removed, r.kept)) for r in got.collect()) == removed_rows(rows)
+
+
+def test_equal_hashes_are_not_equal_words(monkeypatch):
+    """Hashes of four bits: every step still tells windows apart by their words."""
+    monkeypatch.setattr(substring_dedup, "HASH", np.uint64(15))
+    rng = np.random.default_rng(9)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 2, 40)) + " " + " ".join(f"s{x}" for x in range(20 * (i % 2))) for i in range(40)]
+    docs = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(texts)], ["doc", "text"])
+    w = lambda table: pa.Table.from_batches(list(table))
+    grams = substring_dedup._shared_grams(1)(w(substring_dedup._gram_batches(1)(iter([docs]))))
+    shared = {r["d"]: r["keys"] for r in substring_dedup._gathered(grams).to_pylist()}
+    listed = pa.RecordBatch.from_arrays([*docs.columns, pa.array([shared.get(i, []) for i in range(40)], pa.list_(pa.int64()))], ["doc", "text", "keys"])
+    none = [np.zeros(0, np.uint64)] * 13
+    # two tasks, so that windows meet in the trees too
+    sent = [b for part in (listed.slice(0, 25), listed.slice(25)) for b in substring_dedup._send_batches(none, 1)(iter([part]))]
+    found = {r["d"]: r for r in substring_dedup._gathered(substring_dedup._repeated(1)(w(sent))).to_pylist()}
+    lists = [pa.array([found[i][c] if i in found else None for i in range(40)], pa.list_(t)) for c, t in (("keys", pa.int64()), ("places", pa.int32()))]
+    marked = pa.RecordBatch.from_arrays([*docs.columns, *lists], ["doc", "text", "keys", "places"])
+    got = {r["doc"]: (r["n_words"], r["n_removed"], r["kept"]) for b in substring_dedup._cut_batches(True)(iter([marked])) for r in b.to_pylist()}
+    want = removed(list(enumerate(texts)))
+    assert got == want and 0 < sum(n for _, n, _ in want.values()) < sum(n for n, _, _ in want.values())
+
+
+def test_deep_nodes_are_runs_of_equal_windows():
+    rng = np.random.default_rng(10)
+    words, doc = rng.integers(0, 2, (300, 13)).astype(np.uint64), rng.integers(0, 50, 300)
+    words[:100] = words[rng.integers(200, 300, 100)]
+    order, opens = substring_dedup.deep_nodes(words, doc)
+    rows = [tuple(words[i]) for i in order]
+    assert rows == sorted(rows) and opens.tolist() == [k == 0 or rows[k] != rows[k - 1] for k in range(300)]
+    assert all(doc[order[k]] >= doc[order[k - 1]] for k in range(1, 300) if not opens[k])
+
+
 # --- 2 ---
 
 
