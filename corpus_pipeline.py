@@ -6,62 +6,84 @@ piece numbers. A document that the mix takes several times has that many equal r
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import exact_dedup, mixing, near_dedup, subword, toxicity
-from plumbline.llm.common import materialize
+from plumbline.llm.common import drop, materialize
 
 #: Documents with at least this toxicity go.
 TOXIC = 0.5
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with _key: the id, which may be null or stand on several texts, and the text's digest."""
-    return docs.withColumn("_key", F.struct(F.col("doc_id").alias("id"), F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)).alias("digest")))
+def _packed(docs: DataFrame) -> DataFrame:
+    """row, and key: the id, which may be null or stand on several texts, and the text's digest."""
+    digest = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.struct(F.col("doc_id").alias("id"), digest.alias("digest")).alias("key"))
 
 
-def _kept(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """One row of ``docs`` for each _key in ``keys``: of rows with one id and text the first by their other columns."""
-    rest = [c for c in docs.columns if c not in ("doc_id", "text", "_key")]
-    first = F.row_number().over(Window.partitionBy("_key").orderBy(*rest, "text"))
-    return docs.join(keys, "_key", "left_semi").withColumn("_first", first).filter("_first = 1").drop("_first")
+def _kept(packed: DataFrame, keys: DataFrame) -> DataFrame:
+    """One row of ``packed`` for each key in ``keys``: of rows with one id and text the first by all their columns."""
+    first = packed.join(keys, "key", "left_semi").groupBy("key").agg(F.min("row").alias("row"))
+    return first.select("row.*")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the model of the labels finds toxic go."""
+    """Documents that the model of the labels finds toxic go.
+
+    Null and empty texts stay; repeated rows are judged alike; without labels of both kinds, or with an empty table, nothing
+    goes; all columns stay as they are, but one named as a result of the scoring (toxicity, toxic_spans) is an error.
+    """
+    clash = {"toxicity", "toxic_spans"} & {c.lower() for c in docs.columns}
+    if clash:
+        raise ValueError(f"documents have columns with the names of results: {sorted(clash)}")
     model = toxicity.trained(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model).filter(F.col("toxicity") < TOXIC).select(*docs.columns)
+    return toxicity.score(docs, model).filter(F.col("toxicity") < TOXIC).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest id stays."""
+    """Of equal texts the row with the largest id stays.
+
+    Null counts as the empty text; a row without an id stays only if no other has its text; of rows with one id and text the
+    first by all columns stays; an empty table stays empty; columns of any name are kept.
+    """
     found = exact_dedup.exact_duplicates(docs)
-    return _kept(_keyed(docs), found.filter(F.col("id").eqNullSafe(F.col("keep_id"))).select(F.struct("id", "digest").alias("_key"))).select(docs.columns)
+    return _kept(_packed(docs), found.filter(F.col("id").eqNullSafe(F.col("keep_id"))).select(F.struct("id", "digest").alias("key")))
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the row with the smallest id stays; a row without an id counts as the largest."""
+    """Of each group of near duplicates the row with the smallest id stays; a row without an id counts as the largest.
+
+    Null and empty texts are linked with nothing and stay; an id on several texts is one document for each of them; of rows
+    with one id and text the first by all columns stays; an empty table stays empty; columns of any name are kept.
+    """
     if docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 OR doc_id IS NULL").isEmpty():
-        found = near_dedup.near_duplicates(docs)
+        found = near_dedup.near_duplicates(docs.select("doc_id", "text"))
         ids = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id")
-        return docs.join(ids, "doc_id", "left_semi").select(docs.columns)
+        return docs.join(ids, "doc_id", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
     # ids don't tell the rows apart: numbers in the order of ids and digests stand for them
-    keyed = _keyed(docs)
-    order = keyed.select("_key").distinct().orderBy(F.asc_nulls_last("_key.id"), "_key.digest")
-    number = materialize(order.withColumn("_n", F.monotonically_increasing_id()), "row-numbers")
-    found = near_dedup.near_duplicates(keyed.join(number, "_key"), "_n")
-    keys = number.join(found.filter(F.col("_n") == F.col("component_id")).select("_n"), "_n", "left_semi").select("_key")
-    return _kept(keyed, keys).select(docs.columns)
+    packed = _packed(docs)
+    order = packed.select("key").distinct().orderBy(F.asc_nulls_last("key.id"), "key.digest")
+    number = materialize(order.withColumn("n", F.monotonically_increasing_id()), "row-numbers")
+    found = near_dedup.near_duplicates(packed.join(number, "key").select("n", "row.text"), "n")
+    keys = number.join(found.filter(F.col("n") == F.col("component_id")).select("n"), "n", "left_semi").select("key")
+    return _kept(packed, keys)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's target takes them."""
+    """Documents as often as their source's target takes them.
+
+    A null source is one of its own; texts without words are taken like others; equal rows share their copies; an empty
+    table stays empty; columns of any name are kept.
+    """
     return mixing.mix(docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with sampled pieces."""
+    """Documents with sampled pieces.
+
+    Null and empty texts have no pieces; equal rows get equal pieces; a column named pieces is replaced, others are kept.
+    """
     return subword.encode_texts(docs)
 
 
@@ -73,6 +95,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            drop(before)
+        before = docs
     return docs
