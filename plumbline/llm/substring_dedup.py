@@ -5,15 +5,17 @@ leaves of several documents are the passages that documents share; the smallest
 passage, the others lose it. The trees need the first WINDOW words of a suffix only, as a deeper node cuts no word that
 its ancestor at that depth does not cut; the passages themselves, as long as they go on, are the runs of cut words.
 
-1. A filter finds the lowest-ranked GRAM-word grams of windows (the smallest hash, which equal windows share) that occur
-   in one document only: their suffixes are leaves near the root and are dropped.
-2. The other suffixes are dealt to groups by a prefix of their words. A prefix that more suffixes share than a group
-   should hold is lengthened by a word, and again, up to the whole window. Suffixes of equal windows in one task are
-   combined before they are counted or sent: all but the one of the smallest document are settled, so that a passage that
-   a third of all documents share sends one suffix per task.
-3. In each group suffixes are sorted by their words, the longest common prefixes of neighbours give the tree's deep
-   internal nodes, and each node's leaves but those of its smallest document are repeats. A 64-bit hash of the window only
-   drops leaves whose hash no other suffix has; equal hashes are never taken for equal words.
+1. Two filters drop suffixes that are leaves. The first finds the lowest-ranked GRAM-word grams of windows (the smallest
+   hash, which equal windows share) that occur in one document only, with one small key per run of suffixes; the second
+   finds, among the others, hashes of whole windows that occur in one document only. Equal hashes are not taken for equal
+   words: what passes goes into the trees.
+2. The others are dealt to groups by a prefix of variable length. A window is read from its anchor, the first word of its
+   lowest gram, on; so windows that follow each other mostly go to one group, and are sent as one run of words. A prefix
+   that more windows share than a group should hold is lengthened by a word, and again, up to the whole gram and then to
+   the whole window. Equal windows in one task are combined before they are counted or sent: all but the one of the
+   smallest document are settled, so that a passage that a third of all documents share goes out once per task.
+3. In each group the suffixes of its runs are sorted by their words, the longest common prefixes of neighbours give the
+   tree's deep internal nodes, and each node's leaves but those of its smallest document are repeats.
 4. Each document marks the words under its repeated windows, found by hash and compared word by word with the suffix that
    was sent, and cuts them out.
 
@@ -43,12 +45,15 @@ WINDOW, GRAM = 13, 5
 SUFFIXES, GROUPS = 1 << 18, 1 << 20
 #: Suffixes that a task combines before it sends them.
 FLUSH = 1 << 20
+#: Words that are sent as codes of two bytes: the most frequent ones, any other goes as its hash.
+CODES = (1 << 16) - 1
 #: Bytes of text in one bucket of the documents, about, and in one word of it.
 BUCKET_BYTES, WORD_BYTES = 32 << 20, 6
 #: Bits of a window's hash that are used; fewer make collisions.
 HASH = np.uint64(2**64 - 1)
 SENT = "bucket long, settled boolean, doc binary, key binary, place binary, code binary, word binary"
 FOUND = "bucket long, doc binary, key binary, place binary"
+LISTS = "d long, keys array<long>, places array<int>"
 
 
 def _windows(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -63,22 +68,56 @@ def _windows(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     return s, e, row, w, at, low[at], gram_hashes(w, WINDOW)[at] & HASH
 
 
+def _pack(values: np.ndarray) -> bytes:
+    raw = values.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpack(packed: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), "zstd", asbytes=True), kind)
+
+
 def _blobs(bucket: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, list[pa.Array]]:
-    """The different buckets, and of each column (sorted by bucket) the bytes of each bucket's part."""
+    """The different buckets, and of each column (sorted by bucket) each bucket's part, packed."""
     begin = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, np.int64)
     end = np.append(begin, len(bucket))[1:]
-    return bucket[begin], [pa.array([c[x:y].tobytes() for x, y in zip(begin, end, strict=True)], pa.binary()) for c in columns]
+    return bucket[begin], [pa.array([_pack(c[x:y]) for x, y in zip(begin, end, strict=True)], pa.binary()) for c in columns]
+
+
+def _parts(table: pa.Table, name: str, kind: type) -> list[np.ndarray]:
+    return [np.zeros(0, kind), *(_unpack(x.as_py(), kind) for x in table.column(name))]
 
 
 def _column(table: pa.Table, name: str, kind: type) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+    return np.concatenate(_parts(table, name, kind))
+
 
+# --- 1: keys of one document only ----------------------------------------------------------------------------------
 
-# --- 1: grams of one document --------------------------------------------------------------------------------------
 
+def _grams(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(doc, lowest gram) of each run of suffixes."""
+    ids = batch.column(0).to_numpy(zero_copy_only=False)
+    data, offsets = text_buffers(batch.column(1))
+    for i, _, part, off in slices(data, offsets):
+        _, _, row, _, at, low, _ = _windows(part, off)
+        new = np.ones(len(at), bool)
+        new[1:] = (low[1:] != low[:-1]) | (row[at[1:]] != row[at[:-1]])
+        yield ids[i + row[at[new]]].astype(np.int64), low[new]
 
-def _gram_batches(buckets: int):
-    """(doc, lowest gram) of each run of suffixes, dealt by gram; of equal grams in a task the first and one other document."""
+
+def _paths(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(doc, window's hash) of the suffixes of documents (doc, text, keys) whose lowest grams are among the keys."""
+    ids = batch.column(0).to_numpy(zero_copy_only=False)
+    data, offsets = text_buffers(batch.column(1))
+    for i, j, part, off in slices(data, offsets):
+        _, _, row, _, at, low, path = _windows(part, off)
+        hit = _listed(low, row[at], batch.column(2).slice(i, j - i))
+        yield ids[i + row[at[hit]]].astype(np.int64), path[hit]
+
+
+def _key_batches(collect: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray]]], buckets: int):
+    """The pairs (doc, key) of ``collect`` dealt by key; of equal keys in a task the first, the others are settled."""
 
     def send(doc: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
         order = np.lexsort((doc, key))
@@ -88,7 +127,7 @@ def _gram_batches(buckets: int):
         doc, key = doc[~again], key[~again]
         lead = np.ones(len(key), bool)
         lead[1:] = key[1:] != key[:-1]
-        # grams of several documents of this task are shared: one row goes to the others, all of them back to their documents
+        # keys of several documents of this task are shared: one row goes to the others, all of them back to their documents
         shared = ~lead
         shared[:-1] |= ~lead[1:]
         parts = []
@@ -103,14 +142,9 @@ def _gram_batches(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            data, offsets = text_buffers(batch.column(1))
-            for i, _, part, off in slices(data, offsets):
-                _, _, row, _, at, low, _ = _windows(part, off)
-                new = np.ones(len(at), bool)
-                new[1:] = (low[1:] != low[:-1]) | (row[at[1:]] != row[at[:-1]])
-                held.append((ids[i + row[at[new]]].astype(np.int64), low[new]))
-                size += int(new.sum())
+            for doc, key in collect(batch):
+                held.append((doc, key))
+                size += len(doc)
                 if size >= FLUSH:
                     yield from send(*map(np.concatenate, zip(*held, strict=True)))
                     held, size = [], 0
@@ -128,12 +162,13 @@ def _back(doc: np.ndarray, key: np.ndarray, place: np.ndarray, groups: int) -> p
     return pa.table({"bucket": pa.array(names, pa.int64()), "doc": blobs[0], "key": blobs[1], "place": blobs[2]})
 
 
-def _shared_grams(groups: int):
-    """Of one bucket: per document the grams that several documents have."""
+def _shared(groups: int):
+    """Of one bucket: per document the keys that several documents have."""
 
     def run(table: pa.Table) -> pa.Table:
-        settled = np.repeat(table.column("settled").to_numpy(zero_copy_only=False), [len(x.as_py()) // 8 for x in table.column("doc")])
-        doc, key = _column(table, "doc", np.int64), _column(table, "key", np.uint64)
+        docs = _parts(table, "doc", np.int64)
+        settled = np.repeat(table.column("settled").to_numpy(zero_copy_only=False), [len(x) for x in docs[1:]])
+        doc, key = np.concatenate(docs), _column(table, "key", np.uint64)
         order = np.lexsort((doc, key, settled))
         doc, key, settled = doc[order], key[order], settled[order]
         same = np.zeros(len(key), bool)
@@ -171,6 +206,12 @@ def _tied(key: np.ndarray, row: np.ndarray) -> np.ndarray:
     return mix(key ^ mix(row.astype(np.uint64) + np.uint64(1)))
 
 
+def _listed(key: np.ndarray, row: np.ndarray, lists: pa.ListArray) -> np.ndarray:
+    """Which keys stand in the list of their row."""
+    r, k = _entries(lists)
+    return np.isin(_tied(key, row), _tied(k.view(np.uint64), r))
+
+
 class Suffixes:
     """Suffixes of a task: document, window's hash, place of the first word in its text, and the words."""
 
@@ -185,7 +226,7 @@ class Suffixes:
             self.words += len(w)
 
     def combined(self) -> tuple[np.ndarray, ...]:
-        """(doc, key, place, words (n, WINDOW)) of the smallest document of each window; (doc, key, place) of the others."""
+        """Words; (doc, key, place, position among the words) of the smallest document of each window; (doc, key, place) of the others."""
         doc, key, place, at, w = map(np.concatenate, zip(*self.parts, strict=True))
         order = np.lexsort((doc, key))
         doc, key, place, at = doc[order], key[order], place[order], at[order]
@@ -199,19 +240,18 @@ class Suffixes:
         again = same.copy()
         again[1:] &= doc[1:] == doc[:-1]
         settled = same & ~again
-        return doc[~same], key[~same], place[~same], w[at[~same][:, None] + np.arange(WINDOW)], doc[settled], key[settled], place[settled]
+        return w, doc[~same], key[~same], place[~same], at[~same], doc[settled], key[settled], place[settled]
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[Suffixes]:
-    """Suffixes of documents (doc, text, keys) whose windows' lowest grams are among the keys, in parts of about FLUSH."""
+    """Suffixes of documents (doc, text, keys) whose windows' hashes are among the keys, in parts of about FLUSH."""
     held = Suffixes()
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         data, offsets = text_buffers(batch.column(1))
         for i, j, part, off in slices(data, offsets):
-            _, _, row, w, at, low, path = _windows(part, off)
-            r, k = _entries(batch.column(2).slice(i, j - i))
-            hit = np.isin(_tied(low, row[at]), _tied(k.view(np.uint64), r))
+            _, _, row, w, at, _, path = _windows(part, off)
+            hit = _listed(path, row[at], batch.column(2).slice(i, j - i))
             at, path = at[hit], path[hit]
             first = np.searchsorted(row, row[at])
             held.add(ids[i + row[at]].astype(np.int64), path, (at - first).astype(np.int32), at, w)
@@ -222,58 +262,85 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[Suffixes]:
         yield held
 
 
-def _prefixes(words: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(length, hash) of the prefixes of the rows, each longer by a word."""
-    total = np.zeros(len(words), np.uint64)
-    for d in range(1, WINDOW):
-        total = total + words[:, d - 1] * _MULT[d]
+def _anchors(w: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of each window the position of its lowest gram, the first of equal ones."""
+    g = gram_hashes(w, GRAM)
+    best, where = g[at], at.copy()
+    for k in range(1, WINDOW - GRAM + 1):
+        lower = g[at + k] < best
+        best[lower], where[lower] = g[at[lower] + k], at[lower] + k
+    return where
+
+
+def _prefixes(w: np.ndarray, anchor: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(length, hash) of the words from the anchors on, each longer by a word."""
+    total = np.zeros(len(anchor), np.uint64)
+    for d in range(1, GRAM + 1):
+        total = total + w[anchor + d - 1] * _MULT[d]
         yield d, mix(total + np.uint64(d))
 
 
 def _count_batches(least: int):
-    """(length, prefix, n): how many suffixes share a prefix, where a part has at least ``least``; length 0 counts all."""
+    """(length, prefix, n): how many suffixes share a prefix, where a part has at least ``least``.
+
+    Length 0 counts all suffixes, length -1 the part's most frequent words.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _candidates(batches):
-            _, _, _, words, *_ = part.combined()
-            out = [(0, 0, len(words))]
-            left = np.arange(len(words))
-            for d, prefix in _prefixes(words):
+            w, doc, _, _, at, *_ = part.combined()
+            anchor = _anchors(w, at)
+            names, n = np.unique(w[at], return_counts=True)
+            top = np.argsort(-n, kind="stable")[:CODES]
+            lengths, prefixes, counts = [np.full(len(top), -1), [0]], [names[top].view(np.int64), [0]], [n[top], [len(at)]]
+            left = np.arange(len(at))
+            for d, prefix in _prefixes(w, anchor):
                 names, which, n = np.unique(prefix[left], return_inverse=True, return_counts=True)
                 many = n >= least
-                out += [(d, int(p), int(k)) for p, k in zip(names[many].view(np.int64), n[many], strict=True)]
+                lengths.append(np.full(int(many.sum()), d))
+                prefixes.append(names[many].view(np.int64))
+                counts.append(n[many])
                 left = left[many[which]]
                 if not len(left):
                     break
-            yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], t) for c, t in enumerate((pa.int32(), pa.int64(), pa.int64()))], ["length", "prefix", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in ((lengths, pa.int64()), (prefixes, pa.int64()), (counts, pa.int64()))], ["length", "prefix", "n"])
 
     return run
 
 
-def _send_batches(long: list[np.ndarray], groups: int):
-    """Suffixes by the group of their prefix; ``long`` has the sorted prefixes of each length that are to be lengthened."""
+def _send_batches(long: list[np.ndarray], book: np.ndarray, groups: int):
+    """Runs of windows by the group of their prefix; ``long`` has the sorted prefixes of each length that are to be lengthened.
+
+    The column key holds the number of windows of each run. A word of the sorted ``book`` is written as its place there plus 1, any other as 0 and its hash beside it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cols = ["bucket", "settled", "doc", "key", "place", "code", "word"]
         for part in _candidates(batches):
-            doc, key, place, words, *settled = part.combined()
+            w, doc, key, place, at, *settled = part.combined()
             group, left = np.empty(len(doc), np.int64), np.arange(len(doc))
-            for d, prefix in _prefixes(words):
+            for d, prefix in _prefixes(w, _anchors(w, at)):
                 goes_on = np.isin(prefix[left], long[d])
                 group[left[~goes_on]] = (mix(prefix[left[~goes_on]]) % np.uint64(groups)).astype(np.int64)
                 left = left[goes_on]
                 if not len(left):
                     break
             group[left] = (mix(key[left]) % np.uint64(groups)).astype(np.int64)  # the whole window
-            order = np.argsort(group, kind="stable")
-            names, (docs, keys, places) = _blobs(group[order], doc[order], key[order], place[order])
-            begin = np.append(np.searchsorted(group[order], names), len(group))
-            codes, dictionaries = [], []
-            for x, y in zip(begin[:-1], begin[1:], strict=True):
-                different, code = np.unique(words[order[x:y]], return_inverse=True)
-                codes.append(code.astype(np.uint16 if len(different) <= 1 << 16 else np.uint32).tobytes())
-                dictionaries.append(different.tobytes())
-            cols = ["bucket", "settled", "doc", "key", "place", "code", "word"]
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([False] * len(names), pa.bool_()), docs, keys, places, pa.array(codes, pa.binary()), pa.array(dictionaries, pa.binary())], cols)
+            slot = np.minimum(np.searchsorted(book, w), max(len(book) - 1, 0))
+            code = np.where(book[slot] == w, slot + 1, 0).astype(np.uint16) if len(book) else np.zeros(len(w), np.uint16)
+            order = np.lexsort((at, group))
+            group, at = group[order], at[order]
+            opens = np.flatnonzero(np.concatenate(([True], (group[1:] != group[:-1]) | (at[1:] != at[:-1] + 1))))
+            count = np.diff(np.append(opens, len(at)))
+            group, doc, place = group[opens], doc[order][opens], place[order][opens]
+            names, (docs, counts, places) = _blobs(group, doc, count.astype(np.int32), place)
+            size = count + WINDOW - 1
+            end = np.cumsum(size)
+            words = np.arange(int(end[-1])) + np.repeat(at[opens] - (end - size), size)
+            begin = np.concatenate(([0], end))[np.append(np.searchsorted(group, names), len(group))]
+            codes = [_pack(code[words[x:y]]) for x, y in zip(begin[:-1], begin[1:], strict=True)]
+            others = [_pack(w[words[x:y]][code[words[x:y]] == 0]) for x, y in zip(begin[:-1], begin[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([False] * len(names), pa.bool_()), docs, counts, places, pa.array(codes, pa.binary()), pa.array(others, pa.binary())], cols)
             bucket = (mix(settled[0].view(np.uint64)) % np.uint64(groups)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             names, blobs = _blobs(bucket[order], *(c[order] for c in settled))
@@ -283,19 +350,41 @@ def _send_batches(long: list[np.ndarray], groups: int):
     return run
 
 
+def _words(rows: pa.Table, book: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of the runs that :func:`_send_batches` wrote: as hashes, and as codes of which equal words share one."""
+    code, word = _column(rows, "code", np.uint16).astype(np.int64), _column(rows, "word", np.uint64)
+    w = np.zeros(len(code), np.uint64)
+    known = code > 0
+    w[known] = book[code[known] - 1]
+    w[~known] = word
+    code[~known] = len(book) + 1 + np.unique(word, return_inverse=True)[1]
+    return w, code
+
+
 # --- 3: the deep nodes of a group's tree -----------------------------------------------------------------------------
 
 
 def deep_nodes(words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes in the order of their words, and where a node of depth WINDOW begins: at a common prefix that is shorter."""
-    order = np.lexsort((doc, *(words[:, k] for k in range(WINDOW - 1, -1, -1))))
+    """Suffixes (n, WINDOW) in the order of their words, and where a node of depth WINDOW begins: at a common prefix that is shorter.
+
+    Words are codes from 0 on; as many as fit into 63 bits are compared at once.
+    """
+    bits = max(1, int(words.max()).bit_length()) if words.size else 1
+    at_once = 63 // bits
+    keys = [doc]
+    for k in reversed(range(0, WINDOW, at_once)):
+        key = words[:, k].copy()
+        for j in range(k + 1, min(WINDOW, k + at_once)):
+            key = key << bits | words[:, j]
+        keys.append(key)
+    order = np.lexsort(keys)
     sorted_ = words[order]
     common = np.zeros(len(order), np.int64)
     common[1:] = np.cumprod(sorted_[1:] == sorted_[:-1], axis=1).sum(1)
     return order, common < WINDOW
 
 
-def _repeated(groups: int):
+def _repeated(book: np.ndarray, groups: int):
     """Of one group: the suffixes whose window a smaller document has too."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -303,20 +392,14 @@ def _repeated(groups: int):
         done, rest = table.filter(pa.array(settled)), table.filter(pa.array(~settled))
         out = [[_column(done, c, t)] for c, t in (("doc", np.int64), ("key", np.uint64), ("place", np.int32))]
         if len(rest):
-            doc, key, place = (_column(rest, c, t) for c, t in (("doc", np.int64), ("key", np.uint64), ("place", np.int32)))
-            order = np.argsort(key, kind="stable")
-            alone = np.ones(len(key), bool)
-            equal = np.flatnonzero(key[order][1:] == key[order][:-1])
-            alone[order[equal]] = alone[order[equal + 1]] = False
-            left, at, words = np.flatnonzero(~alone), 0, []
-            for code, word in zip(rest.column("code"), rest.column("word"), strict=True):
-                w = np.frombuffer(word.as_py(), np.uint64)
-                c = np.frombuffer(code.as_py(), np.uint16 if len(w) <= 1 << 16 else np.uint32).reshape(-1, WINDOW)
-                mine = left[np.searchsorted(left, at) : np.searchsorted(left, at + len(c))] - at
-                words.append(w[c[mine]])
-                at += len(c)
-            doc, key, place = doc[left], key[left], place[left]
-            order, opens = deep_nodes(np.concatenate(words), doc)
+            count = _column(rest, "key", np.int32).astype(np.int64)
+            w, code = _words(rest, book)
+            end = np.cumsum(count)
+            within = np.arange(int(end[-1])) - np.repeat(end - count, count)
+            start = np.repeat(np.cumsum(count + WINDOW - 1) - (count + WINDOW - 1), count) + within
+            doc, place = np.repeat(_column(rest, "doc", np.int64), count), (np.repeat(_column(rest, "place", np.int32), count) + within).astype(np.int32)
+            key = gram_hashes(w, WINDOW)[start] & HASH
+            order, opens = deep_nodes(code[start[:, None] + np.arange(WINDOW)], doc)
             doc, key, place = doc[order], key[order], place[order]
             first = np.maximum.accumulate(np.where(opens, np.arange(len(doc)), 0))
             hit = doc > doc[first]
@@ -422,19 +505,30 @@ def _marked(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Cal
     most = max(SUFFIXES, suffixes // GROUPS)
     groups = max(16, suffixes // most)
 
-    grams = known.select("doc", "text").mapInArrow(_gram_batches(groups), SENT).groupBy("bucket").applyInArrow(_shared_grams(groups), FOUND)
-    shared = materialize(grams.groupBy("bucket").applyInArrow(_gathered, "d long, keys array<long>, places array<int>"), "suffix-grams")
-    listed = known.join(shared.hint("merge"), F.col("slot") == F.col("d")).select("doc", "text", "keys")
+    def shared(rows: DataFrame, collect, label: str) -> DataFrame:
+        found = rows.mapInArrow(_key_batches(collect, groups), SENT).groupBy("bucket").applyInArrow(_shared(groups), FOUND)
+        return materialize(found.groupBy("bucket").applyInArrow(_gathered, LISTS), label)
+
+    def listed(keys: DataFrame) -> DataFrame:
+        return known.join(keys.hint("merge"), F.col("slot") == F.col("d")).select("doc", "text", "keys")
+
+    grams = shared(known.select("doc", "text"), _grams, "suffix-grams")
+    windows = shared(listed(grams), _paths, "suffix-windows")
+    drop(grams)
+    left = listed(windows)
 
-    # a prefix of more than a quarter of a group's suffixes is lengthened; parts with few of them needn't tell
+    # a prefix of more than an eighth of a group's suffixes is lengthened; parts with few of them needn't tell
     parts = suffixes // FLUSH + buckets
-    counts = listed.mapInArrow(_count_batches(max(1, most // (8 * parts))), "length int, prefix long, n long").groupBy("length", "prefix").agg(F.sum("n").alias("n")).filter(f"length = 0 OR n >= {most // 8}").collect()
-    total = sum(r.n for r in counts if r.length == 0)
-    long = [np.sort(np.array([r.prefix for r in counts if r.length == d], np.int64).view(np.uint64)) for d in range(WINDOW)]
-    trees = max(16, -(-4 * total // most))
-    sent = listed.mapInArrow(_send_batches(long, trees), SENT).groupBy("bucket").applyInArrow(_repeated(groups), FOUND)
-    found = materialize(sent.groupBy("bucket").applyInArrow(_gathered, "d long, keys array<long>, places array<int>"), "suffix-nodes")
-    drop(shared)
+    counts = left.mapInArrow(_count_batches(max(1, most // (8 * parts))), "length long, prefix long, n long").groupBy("length", "prefix").agg(F.sum("n").alias("n"))
+    counts = materialize(counts, "suffix-prefixes")
+    many = counts.filter(f"length = 0 OR length > 0 AND n >= {most // 8}").collect()
+    book = np.sort(np.array([r.prefix for r in counts.filter("length = -1").orderBy(F.desc("n"), "prefix").limit(CODES).collect()], np.int64).view(np.uint64))
+    long = [np.sort(np.array([r.prefix for r in many if r.length == d], np.int64).view(np.uint64)) for d in range(GRAM + 1)]
+    trees = max(16, -(-4 * sum(r.n for r in many if r.length == 0) // most))
+    drop(counts)
+    sent = left.mapInArrow(_send_batches(long, book, trees), SENT).groupBy("bucket").applyInArrow(_repeated(book, groups), FOUND)
+    found = materialize(sent.groupBy("bucket").applyInArrow(_gathered, LISTS), "suffix-nodes")
+    drop(windows)
 
     def clear() -> None:
         drop(found)

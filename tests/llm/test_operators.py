@@ -377,13 +377,14 @@ def test_equal_hashes_are_not_equal_words(monkeypatch):
     texts = [" ".join(f"w{x}" for x in rng.integers(0, 2, 40)) + " " + " ".join(f"s{x}" for x in range(20 * (i % 2))) for i in range(40)]
     docs = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(texts)], ["doc", "text"])
     w = lambda table: pa.Table.from_batches(list(table))
-    grams = substring_dedup._shared_grams(1)(w(substring_dedup._gram_batches(1)(iter([docs]))))
-    shared = {r["d"]: r["keys"] for r in substring_dedup._gathered(grams).to_pylist()}
-    listed = pa.RecordBatch.from_arrays([*docs.columns, pa.array([shared.get(i, []) for i in range(40)], pa.list_(pa.int64()))], ["doc", "text", "keys"])
-    none = [np.zeros(0, np.uint64)] * 13
+    shared = lambda rows, collect: {r["d"]: r["keys"] for r in substring_dedup._gathered(substring_dedup._shared(1)(w(substring_dedup._key_batches(collect, 1)(iter([rows]))))).to_pylist()}
+    listed = lambda lists: pa.RecordBatch.from_arrays([*docs.columns, pa.array([lists.get(i, []) for i in range(40)], pa.list_(pa.int64()))], ["doc", "text", "keys"])
+    listed = listed(shared(listed(shared(docs, substring_dedup._grams)), substring_dedup._paths))
+    none = [np.zeros(0, np.uint64)] * 6
     # two tasks, so that windows meet in the trees too
-    sent = [b for part in (listed.slice(0, 25), listed.slice(25)) for b in substring_dedup._send_batches(none, 1)(iter([part]))]
-    found = {r["d"]: r for r in substring_dedup._gathered(substring_dedup._repeated(1)(w(sent))).to_pylist()}
+    book = np.sort(substring_dedup.word_hashes(np.frombuffer(b"w0s3", np.uint8), np.array([0, 2]), np.array([2, 4])))
+    sent = [b for part in (listed.slice(0, 25), listed.slice(25)) for b in substring_dedup._send_batches(none, book, 1)(iter([part]))]
+    found = {r["d"]: r for r in substring_dedup._gathered(substring_dedup._repeated(book, 1)(w(sent))).to_pylist()}
     lists = [pa.array([found[i][c] if i in found else None for i in range(40)], pa.list_(t)) for c, t in (("keys", pa.int64()), ("places", pa.int32()))]
     marked = pa.RecordBatch.from_arrays([*docs.columns, *lists], ["doc", "text", "keys", "places"])
     got = {r["doc"]: (r["n_words"], r["n_removed"], r["kept"]) for b in substring_dedup._cut_batches(True)(iter([marked])) for r in b.to_pylist()}
@@ -393,7 +394,7 @@ def test_equal_hashes_are_not_equal_words(monkeypatch):
 
 def test_deep_nodes_are_runs_of_equal_windows():
     rng = np.random.default_rng(10)
-    words, doc = rng.integers(0, 2, (300, 13)).astype(np.uint64), rng.integers(0, 50, 300)
+    words, doc = rng.integers(0, 2, (300, 13)) * 70_000, rng.integers(0, 50, 300)
     words[:100] = words[rng.integers(200, 300, 100)]
     order, opens = substring_dedup.deep_nodes(words, doc)
     rows = [tuple(words[i]) for i in order]
