@@ -120,7 +120,7 @@ def _key_batches(collect: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray,
     """The pairs (doc, key) of ``collect`` dealt by key; of equal keys in a task the first, the others are settled."""
 
     def send(doc: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
-        order = np.lexsort((doc, key))
+        order = _by_key(doc, key)
         doc, key = doc[order], key[order]
         again = np.zeros(len(key), bool)
         again[1:] = (key[1:] == key[:-1]) & (doc[1:] == doc[:-1])
@@ -169,7 +169,8 @@ def _shared(groups: int):
         docs = _parts(table, "doc", np.int64)
         settled = np.repeat(table.column("settled").to_numpy(zero_copy_only=False), [len(x) for x in docs[1:]])
         doc, key = np.concatenate(docs), _column(table, "key", np.uint64)
-        order = np.lexsort((doc, key, settled))
+        order = _by_key(doc, key)
+        order = np.concatenate((order[~settled[order]], order[settled[order]]))
         doc, key, settled = doc[order], key[order], settled[order]
         same = np.zeros(len(key), bool)
         same[1:] = (key[1:] == key[:-1]) & (settled[1:] == settled[:-1])
@@ -206,30 +207,49 @@ def _tied(key: np.ndarray, row: np.ndarray) -> np.ndarray:
     return mix(key ^ mix(row.astype(np.uint64) + np.uint64(1)))
 
 
+def _by_key(doc: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The order by key and document."""
+    order = np.argsort(key)
+    equal = key[order][1:] == key[order][:-1]
+    tied = np.flatnonzero(np.concatenate(([False], equal)) | np.concatenate((equal, [False]))) if len(key) else np.zeros(0, np.int64)
+    rows = order[tied]
+    order[tied] = rows[np.lexsort((doc[rows], key[rows]))]
+    return order
+
+
 def _listed(key: np.ndarray, row: np.ndarray, lists: pa.ListArray) -> np.ndarray:
     """Which keys stand in the list of their row."""
     r, k = _entries(lists)
-    return np.isin(_tied(key, row), _tied(k.view(np.uint64), r))
+    want, got = np.sort(_tied(k.view(np.uint64), r)), _tied(key, row)
+    hit = np.zeros(len(key), bool)
+    if len(want):
+        # most others are told by a few bits
+        mask = np.uint64((1 << max(10, (8 * len(want)).bit_length())) - 1)
+        some = np.zeros(int(mask) + 1, bool)
+        some[(want & mask).astype(np.int64)] = True
+        near = np.flatnonzero(some[(got & mask).astype(np.int64)])
+        hit[near] = want[np.minimum(np.searchsorted(want, got[near]), len(want) - 1)] == got[near]
+    return hit
 
 
 class Suffixes:
-    """Suffixes of a task: document, window's hash, place of the first word in its text, and the words."""
+    """Suffixes of a task: document, window's hash, place of the first word in its text, anchor, and the words."""
 
     def __init__(self):
         self.parts: list[tuple[np.ndarray, ...]] = []
         self.size = self.words = 0
 
-    def add(self, doc: np.ndarray, key: np.ndarray, place: np.ndarray, at: np.ndarray, w: np.ndarray) -> None:
+    def add(self, doc: np.ndarray, key: np.ndarray, place: np.ndarray, at: np.ndarray, anchor: np.ndarray, w: np.ndarray) -> None:
         if len(doc):
-            self.parts.append((doc, key, place, at + self.words, w))
+            self.parts.append((doc, key, place, at + self.words, anchor + self.words, w))
             self.size += len(doc)
             self.words += len(w)
 
     def combined(self) -> tuple[np.ndarray, ...]:
-        """Words; (doc, key, place, position among the words) of the smallest document of each window; (doc, key, place) of the others."""
-        doc, key, place, at, w = map(np.concatenate, zip(*self.parts, strict=True))
-        order = np.lexsort((doc, key))
-        doc, key, place, at = doc[order], key[order], place[order], at[order]
+        """Words; (doc, key, place, position and anchor among the words) of the smallest document of each window; (doc, key, place) of the others."""
+        doc, key, place, at, anchor, w = map(np.concatenate, zip(*self.parts, strict=True))
+        order = _by_key(doc, key)
+        doc, key, place, at, anchor = doc[order], key[order], place[order], at[order], anchor[order]
         same = np.zeros(len(key), bool)
         same[1:] = key[1:] == key[:-1]
         near = np.flatnonzero(same)
@@ -240,7 +260,7 @@ class Suffixes:
         again = same.copy()
         again[1:] &= doc[1:] == doc[:-1]
         settled = same & ~again
-        return w, doc[~same], key[~same], place[~same], at[~same], doc[settled], key[settled], place[settled]
+        return w, doc[~same], key[~same], place[~same], at[~same], anchor[~same], doc[settled], key[settled], place[settled]
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[Suffixes]:
@@ -250,11 +270,11 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[Suffixes]:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         data, offsets = text_buffers(batch.column(1))
         for i, j, part, off in slices(data, offsets):
-            _, _, row, w, at, _, path = _windows(part, off)
+            _, _, row, w, at, low, path = _windows(part, off)
             hit = _listed(path, row[at], batch.column(2).slice(i, j - i))
             at, path = at[hit], path[hit]
-            first = np.searchsorted(row, row[at])
-            held.add(ids[i + row[at]].astype(np.int64), path, (at - first).astype(np.int32), at, w)
+            first = np.searchsorted(row, np.arange(j - i))[row[at]]
+            held.add(ids[i + row[at]].astype(np.int64), path, (at - first).astype(np.int32), at, _anchors(w, at, low[hit]), w)
             if held.size >= FLUSH:
                 yield held
                 held = Suffixes()
@@ -262,13 +282,13 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[Suffixes]:
         yield held
 
 
-def _anchors(w: np.ndarray, at: np.ndarray) -> np.ndarray:
+def _anchors(w: np.ndarray, at: np.ndarray, low: np.ndarray) -> np.ndarray:
     """Of each window the position of its lowest gram, the first of equal ones."""
-    g = gram_hashes(w, GRAM)
-    best, where = g[at], at.copy()
+    g, where = gram_hashes(w, GRAM), at.copy()
+    left = np.flatnonzero(g[at] != low)
     for k in range(1, WINDOW - GRAM + 1):
-        lower = g[at + k] < best
-        best[lower], where[lower] = g[at[lower] + k], at[lower] + k
+        where[left] = at[left] + k
+        left = left[g[where[left]] != low[left]]
     return where
 
 
@@ -288,12 +308,11 @@ def _count_batches(least: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _candidates(batches):
-            w, doc, _, _, at, *_ = part.combined()
-            anchor = _anchors(w, at)
-            names, n = np.unique(w[at], return_counts=True)
+            w, _, _, _, at, anchor, *_ = part.combined()
+            names, which, n = np.unique(w[anchor], return_inverse=True, return_counts=True)
             top = np.argsort(-n, kind="stable")[:CODES]
             lengths, prefixes, counts = [np.full(len(top), -1), [0]], [names[top].view(np.int64), [0]], [n[top], [len(at)]]
-            left = np.arange(len(at))
+            left = np.flatnonzero((n >= least)[which])
             for d, prefix in _prefixes(w, anchor):
                 names, which, n = np.unique(prefix[left], return_inverse=True, return_counts=True)
                 many = n >= least
@@ -317,9 +336,9 @@ def _send_batches(long: list[np.ndarray], book: np.ndarray, groups: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols = ["bucket", "settled", "doc", "key", "place", "code", "word"]
         for part in _candidates(batches):
-            w, doc, key, place, at, *settled = part.combined()
+            w, doc, key, place, at, anchor, *settled = part.combined()
             group, left = np.empty(len(doc), np.int64), np.arange(len(doc))
-            for d, prefix in _prefixes(w, _anchors(w, at)):
+            for d, prefix in _prefixes(w, anchor):
                 goes_on = np.isin(prefix[left], long[d])
                 group[left[~goes_on]] = (mix(prefix[left[~goes_on]]) % np.uint64(groups)).astype(np.int64)
                 left = left[goes_on]
@@ -428,9 +447,10 @@ def _cut_places(row: np.ndarray, w: np.ndarray, at: np.ndarray, path: np.ndarray
     order = np.argsort(tie, kind="stable")
     tie, told, here = tie[order], told[order], here[order]
     mine = _tied(path, row[at])
-    lo, hi = np.searchsorted(tie, mine, "left"), np.searchsorted(tie, mine, "right")
+    left = np.flatnonzero(_listed(path, row[at], keys))
+    lo, hi = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+    lo[left], hi[left] = (np.searchsorted(tie, mine[left], side) for side in ("left", "right"))
     hit = np.zeros(len(at), bool)
-    left = np.flatnonzero(hi > lo)
     while len(left):
         x = lo[left]
         same = np.ones(len(left), bool)
@@ -463,9 +483,7 @@ def _cut_batches(with_text: bool):
             for i, j, part, off in slices(data, offsets):
                 s, e, row, w, at, _, path = _windows(part, off)
                 hit = _cut_places(row, w, at, path, *(batch.column(k).slice(i, j - i) for k in (2, 3)))
-                edge = np.zeros(len(s) + WINDOW + 1, np.int32)
-                np.add.at(edge, hit, 1)
-                np.add.at(edge, hit + WINDOW, -1)
+                edge = np.bincount(hit, minlength=len(s) + WINDOW) - np.bincount(hit + WINDOW, minlength=len(s) + WINDOW)
                 gone = np.cumsum(edge)[: len(s)] > 0
                 kept, koff = cut(part, off, s, e, row, gone)
                 raw = kept.tobytes()
