@@ -37,6 +37,18 @@ def erf_sql(x: str) -> str:
     return f"(2e0 * {normal_cdf_sql(f'(({x}) * 1.4142135623730951e0)')} - 1e0)"
 
 
+def softplus_sql(x: str, s: float = 0.02) -> str:
+    """A smooth max(0, x) of width s; far above zero it is x itself."""
+    z = f"(({x}) / {lit(s)})"
+    return f"(CASE WHEN {z} > 40e0 THEN ({x}) ELSE {lit(s)} * ln(1e0 + exp(least({z}, 40e0))) END)"
+
+
+def sigmoid_sql(x: str, s: float = 0.02) -> str:
+    """A smooth step of width s, which is flat beyond 40 widths."""
+    z = f"(({x}) / {lit(s)})"
+    return f"(CASE WHEN {z} > 40e0 THEN 1e0 WHEN {z} < -40e0 THEN 0e0 ELSE 1e0 / (1e0 + exp(-greatest(least({z}, 40e0), -40e0))) END)"
+
+
 def chi2_sf_3_sql(x: str) -> str:
     """P(a chi-square variable with three degrees of freedom exceeds x)."""
     return f"(CASE WHEN ({x}) <= 0e0 THEN 1e0 ELSE 2e0 * (1e0 - {normal_cdf_sql(f'sqrt({x})')}) + sqrt(2e0 * ({x}) / 3.141592653589793e0) * exp(-({x}) / 2e0) END)"

@@ -115,3 +115,47 @@ def calibrated(seen: DataFrame) -> DataFrame:
     """seen (indicated, unit, expected_unit, scale, offset): the calibrated value; another unit is an error."""
     ok = F.when(F.col("unit") == F.col("expected_unit"), F.lit(True)).otherwise(F.raise_error(F.lit("the unit differs from the calibration's")))
     return seen.withColumn("value", F.when(ok, F.col("scale") * F.col("indicated") + F.col("offset")))
+
+
+def clearance_check(bounds: DataFrame) -> DataFrame:
+    """bounds (lower, upper) on a violation as bounds on its absence: the check asks that nothing is violated."""
+    return bounds.withColumns({"satisfied_at_least": 1 - F.col("upper"), "satisfied_at_most": 1 - F.col("lower")})
+
+
+def coverage(needed: DataFrame, reached: DataFrame, by: list[str]) -> DataFrame:
+    """(by, needed, covered, missing) of a plan: which needed coordinates (by, c) its observations reach (by, c)."""
+    have = reached.select(*by, "c").distinct().withColumn("got", F.lit(True))
+    both = needed.select(*by, "c").distinct().join(have, [*by, "c"], "left")
+    return both.groupBy(*by).agg(F.count("*").alias("needed"), F.count("got").alias("covered"), F.count_if(F.col("got").isNull()).alias("missing"))
+
+
+def inspectability(targets: DataFrame, planned: DataFrame, done: DataFrame, key: str) -> DataFrame:
+    """targets (key) as INSPECTED, PLANNED or BLIND: whether an observation of them exists, is planned, or neither."""
+    flag = lambda df, name: df.select(key).distinct().withColumn(name, F.lit(True))
+    out = targets.select(key).distinct().join(flag(done, "d"), key, "left").join(flag(planned, "p"), key, "left")
+    return out.select(key, F.when(F.col("d"), "INSPECTED").when(F.col("p"), "PLANNED").otherwise("BLIND").alias("state"))
+
+
+def cited_budget(cited: DataFrame, budgets: DataFrame) -> DataFrame:
+    """cited (digest, quantity, unit, u_c) against budgets of the same columns: whether it may be used, or what differs first."""
+    b = budgets.select("digest", *(F.col(c).alias(f"b_{c}") for c in ("quantity", "unit", "u_c")))
+    out = cited.join(b, "digest", "left")
+    reason = F.when(F.col("b_quantity").isNull(), "NO_BUDGET").when(F.col("b_quantity") != F.col("quantity"), "QUANTITY").when(F.col("b_unit") != F.col("unit"), "UNIT").when(F.col("b_u_c") != F.col("u_c"), "UNCERTAINTY").otherwise("OBSERVE")
+    return out.withColumn("outcome", reason).drop("b_quantity", "b_unit", "b_u_c")
+
+
+def survey_ticks(ticks: DataFrame) -> DataFrame:
+    """ticks (acquisition, x, y, sx, sy, sxy, angle) that were received, turned into the site's axes; nothing is filled in."""
+    c, s = F.cos("angle"), F.sin("angle")
+    got = ticks.filter("acquisition = 'received'")
+    return got.withColumns({
+        "site_x": c * F.col("x") - s * F.col("y"), "site_y": s * F.col("x") + c * F.col("y"),
+        "site_sx": c * c * F.col("sx") - 2 * c * s * F.col("sxy") + s * s * F.col("sy"), "site_sy": s * s * F.col("sx") + 2 * c * s * F.col("sxy") + c * c * F.col("sy"),
+    })
+
+
+def changed_decisions(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """before, after (key, verdict, mu, sd): decisions that differ, with how belief moved; one side may lack a key."""
+    side = lambda df, x: df.select(key, *(F.col(c).alias(f"{c}_{x}") for c in ("verdict", "mu", "sd")))
+    both = side(before, "before").join(side(after, "after"), key, "full")
+    return both.filter(~F.col("verdict_before").eqNullSafe(F.col("verdict_after"))).withColumns({"moved": F.col("mu_after") - F.col("mu_before"), "narrowed": F.col("sd_before") - F.col("sd_after")})

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.numeric import normal_cdf
+from plumbline.functions.numeric import erf_sql, lit, normal_cdf
 
 PENETRATION = 0.01
 
@@ -70,7 +70,7 @@ def proposed(boxes: DataFrame, proposal: dict[str, float], clearance: float, sd:
 
 
 def tile(boxes: DataFrame, spacing: float) -> DataFrame:
-    """Gaussian primitives on a grid in each box: centre, variances along the box's axes, weight (volume share)."""
+    """Gaussian primitives on a grid in each box: centre, variances along the box's axes, covariance in the world, weight (volume share)."""
     n = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / spacing).cast("int"))
     t = boxes.withColumns({"nx": n("ex"), "ny": n("ey"), "nz": n("ez")})
     for d in "xyz":
@@ -80,16 +80,18 @@ def tile(boxes: DataFrame, spacing: float) -> DataFrame:
     c, s = F.cos("angle"), F.sin("angle")
     return t.select(
         "id", "kx", "ky", "kz", (F.col("x") + at("x") * c - at("y") * s).alias("px"), (F.col("y") + at("x") * s + at("y") * c).alias("py"), (F.col("z") + at("z")).alias("pz"),
-        var("x").alias("vx"), var("y").alias("vy"), var("z").alias("vz"), (F.col("ex") * F.col("ey") * F.col("ez") / (F.col("nx") * F.col("ny") * F.col("nz"))).alias("w"),
+        var("x").alias("vx"), var("y").alias("vy"), var("z").alias("vz"),
+        (c * c * var("x") + s * s * var("y")).alias("cxx"), (c * s * (var("x") - var("y"))).alias("cxy"), F.lit(0.0).alias("cxz"), (s * s * var("x") + c * c * var("y")).alias("cyy"), F.lit(0.0).alias("cyz"), var("z").alias("czz"),
+        (F.col("ex") * F.col("ey") * F.col("ez") / (F.col("nx") * F.col("ny") * F.col("nz"))).alias("w"),
     )
 
 
 def moment_match(primitives: DataFrame, by: list[str]) -> DataFrame:
-    """One Gaussian per group of primitives (px, py, pz, vx, vy, vz, w): weight, mean, covariance (upper triangle)."""
+    """One Gaussian per group of primitives (px, py, pz, cxx, cxy, cxz, cyy, cyz, czz, w): weight, mean, covariance (upper triangle)."""
     w = F.col("w")
     sums = [F.sum(w).alias("w")] + [F.sum(w * F.col(f"p{d}")).alias(f"m{d}") for d in "xyz"]
     pairs = [("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("y", "z"), ("z", "z")]
-    sums += [F.sum(w * (F.col(f"p{a}") * F.col(f"p{b}") + (F.col(f"v{a}") if a == b else F.lit(0.0)))).alias(f"s{a}{b}") for a, b in pairs]
+    sums += [F.sum(w * (F.col(f"p{a}") * F.col(f"p{b}") + F.col(f"c{a}{b}"))).alias(f"s{a}{b}") for a, b in pairs]
     g = primitives.groupBy(*by).agg(*sums)
     mean = {d: F.col(f"m{d}") / F.col("w") for d in "xyz"}
     return g.select(*by, "w", *(mean[d].alias(f"mean_{d}") for d in "xyz"), *((F.col(f"s{a}{b}") / F.col("w") - mean[a] * mean[b]).alias(f"cov_{a}{b}") for a, b in pairs))
@@ -98,7 +100,7 @@ def moment_match(primitives: DataFrame, by: list[str]) -> DataFrame:
 def levels_of_detail(primitives: DataFrame, outer: str, inner: str) -> DataFrame:
     """The match per inner group, per outer group and overall, in one rollup."""
     w = F.col("w")
-    g = primitives.rollup(outer, inner).agg(F.grouping_id().alias("level"), F.sum("w").alias("w_sum"), *(F.sum(w * F.col(f"p{d}")).alias(f"m{d}") for d in "xyz"), *(F.sum(w * (F.col(f"p{d}") ** 2 + F.col(f"v{d}"))).alias(f"s{d}") for d in "xyz"))
+    g = primitives.rollup(outer, inner).agg(F.grouping_id().alias("level"), F.sum("w").alias("w_sum"), *(F.sum(w * F.col(f"p{d}")).alias(f"m{d}") for d in "xyz"), *(F.sum(w * (F.col(f"p{d}") ** 2 + F.col(f"c{d}{d}"))).alias(f"s{d}") for d in "xyz"))
     return g.select(outer, inner, "level", F.col("w_sum").alias("w"), *((F.col(f"m{d}") / F.col("w_sum")).alias(f"mean_{d}") for d in "xyz"), *((F.col(f"s{d}") / F.col("w_sum") - (F.col(f"m{d}") / F.col("w_sum")) ** 2).alias(f"var_{d}") for d in "xyz"))
 
 
@@ -136,3 +138,89 @@ def polygon(vertices: DataFrame, by: list[str]) -> DataFrame:
     e = e.withColumn("cross", cross)
     g = e.groupBy(*by).agg((F.sum("cross") / 2).alias("area"), F.sum((F.col("x") + F.col("nx")) * F.col("cross")).alias("sx"), F.sum((F.col("y") + F.col("ny")) * F.col("cross")).alias("sy"), (F.sum((F.col("y") ** 2 + F.col("y") * F.col("ny") + F.col("ny") ** 2) * F.col("cross")) / 12).alias("ixx"), (F.sum((F.col("x") ** 2 + F.col("x") * F.col("nx") + F.col("nx") ** 2) * F.col("cross")) / 12).alias("iyy"))
     return g.select(*by, "area", (F.col("sx") / (6 * F.col("area"))).alias("cx"), (F.col("sy") / (6 * F.col("area"))).alias("cy"), "ixx", "iyy")
+
+
+# --- whole covariances: six entries of a symmetric 3 x 3 matrix, as SQL text that any engine evaluates alike -----------
+
+SIX = ("xx", "xy", "xz", "yy", "yz", "zz")
+
+
+def det_sql(m: dict[str, str]) -> str:
+    return f"({m['xx']} * ({m['yy']} * {m['zz']} - {m['yz']} * {m['yz']}) - {m['xy']} * ({m['xy']} * {m['zz']} - {m['yz']} * {m['xz']}) + {m['xz']} * ({m['xy']} * {m['yz']} - {m['yy']} * {m['xz']}))"
+
+
+def inverse_sql(m: dict[str, str]) -> dict[str, str]:
+    """The inverse by cofactors; without one every entry is null."""
+    minor = {"xx": "yy zz yz yz", "xy": "xz yz xy zz", "xz": "xy yz xz yy", "yy": "xx zz xz xz", "yz": "xy xz xx yz", "zz": "xx yy xy xy"}
+    out = {}
+    for k, names in minor.items():
+        a, b, c, d = (m[n] for n in names.split())
+        out[k] = f"(({a} * {b} - {c} * {d}) / nullif({det_sql(m)}, 0e0))"
+    return out
+
+
+def form_sql(m: dict[str, str], u: dict[str, str], v: dict[str, str]) -> str:
+    """u' m v."""
+    return "(" + " + ".join(f"{u[a]} * {m[min(a, b) + max(a, b)]} * {v[b]}" for a in "xyz" for b in "xyz") + ")"
+
+
+def mahalanobis_sql(d: dict[str, str], s: dict[str, str]) -> str:
+    return form_sql(inverse_sql(s), d, d)
+
+
+def log_product_sql(d: dict[str, str], s: dict[str, str]) -> str:
+    """The logarithm of the integral of the product of two Gaussians, with difference d and summed covariance s."""
+    return f"(-0.5e0 * (3 * ln(2 * pi()) + ln({det_sql(s)}) + {mahalanobis_sql(d, s)}))"
+
+
+def bhattacharyya_sql(d: dict[str, str], p: dict[str, str], q: dict[str, str]) -> str:
+    mean = {k: f"(({p[k]} + {q[k]}) / 2)" for k in SIX}
+    return f"({mahalanobis_sql(d, mean)} / 8 + 0.5e0 * (ln({det_sql(mean)}) - 0.5e0 * (ln({det_sql(p)}) + ln({det_sql(q)}))))"
+
+
+def kl_sql(d: dict[str, str], p: dict[str, str], q: dict[str, str]) -> str:
+    """KL(p || q) of two Gaussians, d being the difference of their means."""
+    i = inverse_sql(q)
+    trace = " + ".join(f"{2 if k[0] != k[1] else 1} * {i[k]} * {p[k]}" for k in SIX)
+    return f"(0.5e0 * ({trace} + {form_sql(i, d, d)} - 3 + ln({det_sql(q)}) - ln({det_sql(p)})))"
+
+
+def ray_depth_sql(d: dict[str, str], s: dict[str, str], u: tuple[float, float, float], length: float) -> str:
+    """The integral of a Gaussian of covariance s along a ray of unit direction u, d being the ray's origin less the mean."""
+    i, way = inverse_sql(s), dict(zip("xyz", map(lit, u), strict=True))
+    a, b, c = form_sql(i, way, way), form_sql(i, way, d), form_sql(i, d, d)
+    span = f"({erf_sql(f'(({a} * {lit(length)} + {b}) / sqrt(2 * {a}))')} - {erf_sql(f'({b} / sqrt(2 * {a}))')})"
+    return f"(power(2 * pi(), -1.5e0) / sqrt({det_sql(s)}) * exp(-0.5e0 * ({c} - {b} * {b} / {a})) * sqrt(pi() / (2 * {a})) * {span})"
+
+
+def support_radius_sql(u: tuple[float, float, float]) -> str:
+    """How far a yawed box (angle, ex, ey, ez) reaches from its centre along u."""
+    x, y, z = map(lit, u)
+    return f"(abs({x} * cos(angle) + {y} * sin(angle)) * ex / 2 + abs({y} * cos(angle) - {x} * sin(angle)) * ey / 2 + abs({z}) * ez / 2)"
+
+
+def extent_jacobian(boxes: DataFrame, fx: str = "fx", fy: str = "fy", fz: str = "fz") -> DataFrame:
+    """How a point at fractions (fx, fy, fz, from -0.5 to 0.5) of a box moves with its extents and its yaw."""
+    c, s, lx, ly = F.cos("angle"), F.sin("angle"), F.col(fx) * F.col("ex"), F.col(fy) * F.col("ey")
+    return boxes.withColumns({
+        "dx_dex": c * F.col(fx), "dy_dex": s * F.col(fx), "dx_dey": -s * F.col(fy), "dy_dey": c * F.col(fy), "dz_dez": F.col(fz),
+        "dx_dangle": -s * lx - c * ly, "dy_dangle": c * lx - s * ly,
+    })
+
+
+def moved(primitives: DataFrame, angle: float, shift: tuple[float, float, float], scale: float = 1.0) -> DataFrame:
+    """Primitives under a turn about z, a scale and a shift; weights scale as volumes."""
+    import math
+
+    c, s = scale * math.cos(angle), scale * math.sin(angle)
+    m = [[c, -s, 0.0], [s, c, 0.0], [0.0, 0.0, scale]]
+    cov = lambda a, b: F.col("c" + "".join(sorted("xyz"[a] + "xyz"[b])))
+    total = lambda terms: sum(terms[1:], terms[0])
+    point = {f"p{d}": total([F.col(f"p{e}") * m[i][j] for j, e in enumerate("xyz")]) + shift[i] for i, d in enumerate("xyz")}
+    spread = {"c" + "xyz"[i] + "xyz"[k]: total([cov(a, b) * (m[i][a] * m[k][b]) for a in range(3) for b in range(3)]) for i in range(3) for k in range(i, 3)}
+    return primitives.withColumns({**point, **spread, "w": F.col("w") * abs(scale) ** 3})
+
+
+def payload(primitives: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, payload): the mean of a value of primitives, by weight."""
+    return primitives.groupBy(by).agg((F.sum(F.col("w") * F.col(value)) / F.nullif(F.sum("w"), F.lit(0.0))).alias("payload"))

@@ -14,6 +14,8 @@ def _cut(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="plumbline-"))
     return df.checkpoint()
 
@@ -33,16 +35,65 @@ def within(rel: DataFrame, entities: DataFrame) -> DataFrame:
     return rel.join(entities, F.col("src") == F.col("node"), "left_semi").join(entities, F.col("dst") == F.col("node"), "left_semi")
 
 
+#: One-hop questions: which kind of edge to follow, and from which end.
+HOPS = {
+    "openings_of_wall": ("voids", "dst"), "wall_of_opening": ("voids", "src"), "fillers_of_opening": ("fills", "dst"), "opening_of_filler": ("fills", "src"),
+    "bounding_walls": ("bounds", "dst"), "spaces_of_wall": ("bounds", "src"), "contained_elements": ("contains", "src"), "container_of": ("contains", "dst"), "aggregated_children": ("aggregates", "src"),
+}
+SPATIAL = ("aggregates", "contains")
+
+
+def hop(rel: DataFrame, question: str, nodes: DataFrame) -> DataFrame:
+    """(node, answer): the named one-hop question for every node of ``nodes`` (node)."""
+    kind, end = HOPS[question]
+    other = "dst" if end == "src" else "src"
+    edges = rel.filter(F.col("kind") == kind).select(F.col(end).alias("node"), F.col(other).alias("answer"))
+    return edges.join(nodes.select("node"), "node", "left_semi")
+
+
+def spatial_edges(rel: DataFrame) -> DataFrame:
+    return rel.filter(F.col("kind").isin(*SPATIAL)).select("src", "dst")
+
+
+def external(entities: DataFrame, boundaries: DataFrame) -> DataFrame:
+    """entities (node) with external: whether any boundary (src, side) of theirs is EXTERNAL."""
+    out = boundaries.filter("side = 'EXTERNAL'").select(F.col("src").alias("node")).distinct().withColumn("external", F.lit(True))
+    return entities.join(out, "node", "left").withColumn("external", F.coalesce("external", F.lit(False)))
+
+
+def affinity(rel: DataFrame) -> DataFrame:
+    """(a, b, strength), both ways: 1 between a wall and its space and a door and its wall, 0.5 between walls of a space."""
+    bounds = rel.filter("kind = 'bounds'").select(F.col("src").alias("wall"), F.col("dst").alias("space")).distinct()
+    voids, fills = (rel.filter(F.col("kind") == k).select(F.col("src").alias(a), F.col("dst").alias(b)) for k, a, b in (("voids", "opening", "wall"), ("fills", "door", "opening")))
+    doors = fills.join(voids, "opening").select(F.col("door").alias("a"), F.col("wall").alias("b"), F.lit(1.0).alias("strength"))
+    near = bounds.join(bounds.withColumnRenamed("wall", "other"), "space").filter("wall < other").select(F.col("wall").alias("a"), F.col("other").alias("b"), F.lit(0.5).alias("strength"))
+    one = bounds.select(F.col("wall").alias("a"), F.col("space").alias("b"), F.lit(1.0).alias("strength")).unionByName(doors).unionByName(near)
+    both = one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"), "strength")).filter("a <> b")
+    return both.groupBy("a", "b").agg(F.max("strength").alias("strength"))
+
+
+def factor_inventory(rel: DataFrame, entities: DataFrame) -> DataFrame:
+    """One row: groups of each kind of edge, and entities on no such edge."""
+    ends = {"contains": "src", "voids": "dst", "fills": "src"}
+    counts = rel.agg(*(F.count_distinct(F.when(F.col("kind") == k, F.col(end))).alias(f"{k}_cliques") for k, end in ends.items()))
+    held = rel.filter(F.col("kind").isin(*ends))
+    alone = entities.join(held.select(F.col("src").alias("node")).union(held.select("dst")), "node", "left_anti").agg(F.count("*").alias("isolated"))
+    return counts.join(F.broadcast(alone))  # one row with one row
+
+
 def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(node, level): what can be reached from ``seeds`` (node) along edges (src, dst), without the seeds, at the first level."""
-    seen = _cut(seeds.select("node", F.lit(0).alias("level")).distinct())
-    front = seen
+    """(node, level): what can be reached from ``seeds`` (node) along edges (src, dst), without the seeds, at the first level.
+
+    Each level is written once; what has been seen is the union of the levels.
+    """
+    front = _cut(seeds.select("node", F.lit(0).alias("level")).distinct())
+    seen = front
     for level in count(1):
         new = edges.join(front, F.col("src") == F.col("node")).select(F.col("dst").alias("node")).distinct()
         front = _cut(new.join(seen, "node", "left_anti").withColumn("level", F.lit(level)))
         if front.isEmpty():
             break
-        seen = _cut(seen.unionByName(front))
+        seen = seen.unionByName(front)
     return seen.filter("level > 0")
 
 

@@ -74,3 +74,12 @@ def fixed_point_product(rows: DataFrame, a: str, b: str, divisor: int) -> DataFr
     r = p - q * divisor
     up = (2 * r > divisor) | ((2 * r == divisor) & (q % 2 == 1))
     return rows.withColumn("product", (q + F.when(up, 1).otherwise(0)).cast("decimal(38,0)"))
+
+
+def lyapunov_i32(rows: DataFrame, a: tuple, p: tuple) -> DataFrame:
+    """rows (x, y) with v = x'Px, vn the same after x+ = Ax, and whether it falls: in 32-bit integers, where an overflow is an error."""
+    whole = lambda c: c.cast("int")
+    x, y = F.col("x"), F.col("y")
+    nx, ny = (whole(F.lit(m) * x + F.lit(n) * y) for m, n in a)
+    form = lambda u, v: whole(u * (F.lit(p[0][0]) * u + F.lit(p[0][1]) * v) + v * (F.lit(p[1][0]) * u + F.lit(p[1][1]) * v))
+    return rows.withColumns({"v": form(x, y), "vn": form(nx, ny)}).withColumn("decreases", F.col("vn") < F.col("v"))

@@ -77,10 +77,55 @@ def merkle_levels(leaves: DataFrame, by: str) -> DataFrame:
         wide = layer.groupBy(by).agg(F.count("*").alias("n")).filter("n > 1").select(by)
         if wide.isEmpty():
             return out
-        above = pairs.join(wide, by, "left_semi").select(by, F.sha2(F.concat("l", "r"), 256).alias("hash"), F.col("p").cast("int").alias("pos"))
+        above = pairs.join(wide, by, "left_semi").select(by, _pair("l", "r").alias("hash"), F.col("p").cast("int").alias("pos"))
         layer = _cut(above.withColumn("level", F.lit(out.agg(F.max("level")).first()[0] + 1)).select(*layer.columns))
         out = out.unionByName(layer)
 
 
-def merkle_root(leaves: DataFrame, by: str) -> DataFrame:
-    return merkle_levels(leaves, by).groupBy(by).agg(F.max_by("hash", "level").alias("root"))
+#: Fixed value: the root of no leaves, the digest of an empty JSON list.
+NO_LEAVES = "4f53cda18c2baa0c0354bb5f9a3ecbe5ed12ab4d8e11ba873c2f11161202b945"
+
+
+def _pair(left: str, right: str):
+    """The hash of two nodes: of their 64 bytes, not of their text."""
+    return F.sha2(F.concat(F.unhex(left), F.unhex(right)), 256)
+
+
+def merkle_root(leaves: DataFrame, by: str, groups: DataFrame | None = None) -> DataFrame:
+    """(by, root); of ``groups`` (by), those without leaves get the root of an empty set."""
+    roots = merkle_levels(leaves, by).groupBy(by).agg(F.max_by("hash", "level").alias("root"))
+    if groups is None:
+        return roots
+    return groups.select(by).distinct().join(roots, by, "left").select(by, F.coalesce("root", F.lit(NO_LEAVES)).alias("root"))
+
+
+def merkle_proofs(leaves: DataFrame, by: str) -> DataFrame:
+    """(by, digest, path): of each leaf the sibling hashes up to the root, with the side on which each stands."""
+    nodes = _cut(merkle_levels(leaves, by))
+    top = nodes.groupBy(by).agg(F.max("level").alias("top"))
+    at = nodes.filter("level = 0").join(top, by).select(by, F.col("hash").alias("digest"), F.explode_outer(F.when(F.col("top") > 0, F.sequence(F.lit(0), F.col("top") - 1))).alias("level"), "pos")
+    at = at.withColumn("p", F.expr("shiftright(pos, coalesce(level, 0))"))
+    side = nodes.select(by, "level", F.col("pos").alias("q"), F.col("hash").alias("sibling"))
+    own = nodes.select(by, "level", F.col("pos").alias("p"), F.col("hash").alias("own"))
+    steps = at.withColumn("q", F.expr("p ^ 1")).join(side, [by, "level", "q"], "left").join(own, [by, "level", "p"], "left")
+    step = F.struct("level", F.coalesce("sibling", "own").alias("hash"), (F.col("p") % 2 == 1).alias("left"))
+    paths = steps.groupBy(by, "digest").agg(F.array_sort(F.collect_list(F.when(F.col("level").isNotNull(), step))).alias("path"))
+    return paths
+
+
+def merkle_verify(proofs: DataFrame, roots: DataFrame, by: str) -> DataFrame:
+    """proofs (by, digest, path) with whether the path leads from the leaf to the group's root (by, root)."""
+    join = lambda node, s: F.when(s["left"], F.sha2(F.concat(F.unhex(s["hash"]), F.unhex(node)), 256)).otherwise(F.sha2(F.concat(F.unhex(node), F.unhex(s["hash"])), 256))
+    return proofs.join(roots, by, "left").withColumn("valid", F.coalesce(F.aggregate("path", F.col("digest"), join) == F.col("root"), F.lit(False)))
+
+
+def elapsed(steps: DataFrame, by: str, order: list[str], seconds: str, value: str) -> DataFrame:
+    """steps with the seconds up to each, and the change of ``value`` from the step before."""
+    w = Window.partitionBy(by).orderBy(*order)
+    return steps.withColumns({"elapsed": F.sum(seconds).over(w.rowsBetween(Window.unboundedPreceding, 0)), "delta": F.col(value) - F.lag(value).over(w)})
+
+
+def receipts(cited: DataFrame, ledger: DataFrame) -> DataFrame:
+    """cited (case, event_hash, result) with whether the ledger (event_hash, result) has that transition with that result."""
+    known = ledger.select("event_hash", F.col("result").alias("recorded"))
+    return cited.join(known, "event_hash", "left").withColumn("binding", F.when(F.col("recorded").isNull(), "UNKNOWN").when(F.col("recorded") == F.col("result"), "BOUND").otherwise("MISMATCH")).drop("recorded")

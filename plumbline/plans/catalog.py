@@ -28,7 +28,7 @@ def query(name: str, sql: str | None = None):
     def register(f):
         QUERIES[name] = f
         if sql is not None:
-            ORACLE_SQL[name] = _rounded(sql.replace("WITH BASE", f"WITH {BASE}"))
+            ORACLE_SQL[name] = _rounded(sql.replace("WITH BASE", f"WITH {BASE}").replace("WITH RECURSIVE BASE", f"WITH RECURSIVE {BASE}"))
         return f
 
     return register
@@ -630,13 +630,16 @@ def ledger_timeline(spark, d):
     return ledger.timeline(e, "user_id").select("event_id")
 
 
-@query("merkle_root")
+@query("merkle_root", """WITH RECURSIVE s AS (SELECT DISTINCT user_id, sha256(event_id || '|' || event_type) AS h FROM events),
+l AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY h) - 1 AS pos, h, count(*) OVER (PARTITION BY user_id) AS n FROM s
+UNION ALL SELECT user_id, pos // 2, sha256(unhex(min_by(h, pos)) || unhex(max_by(h, pos))), (any_value(n) + 1) // 2 FROM l WHERE n > 1 GROUP BY user_id, pos // 2)
+SELECT user_id, h AS root FROM l WHERE n = 1""")
 def merkle_root(spark, d):
     return ledger.merkle_root(_events(spark, d), "user_id")
 
 
 @query("merkle_pairs", """WITH s AS (SELECT event_type, sha256(event_type || '|' || user_id) AS h FROM events GROUP BY event_type, user_id), p AS (SELECT event_type, h, row_number() OVER (PARTITION BY event_type ORDER BY h) - 1 AS k FROM s)
-SELECT event_type, k // 2 AS pos, sha256(min_by(h, k) || max_by(h, k)) AS hash FROM p GROUP BY event_type, k // 2""")
+SELECT event_type, k // 2 AS pos, sha256(unhex(min_by(h, k)) || unhex(max_by(h, k))) AS hash FROM p GROUP BY event_type, k // 2""")
 def merkle_pairs(spark, d):
     leaves = w.table(spark, d, "events").select("event_type", F.sha2(F.concat_ws("|", "event_type", "user_id"), 256).alias("digest"))
     return ledger.merkle_levels(leaves, "event_type").filter("level = 1").select("event_type", F.col("pos").cast("long").alias("pos"), "hash")
@@ -743,3 +746,5 @@ def registration_em(spark, d):
 
 
 FLAGSHIP = "decision_minimum"
+
+from plumbline.plans import more  # noqa: E402, F401  (registers further queries)

@@ -6,10 +6,10 @@ import hashlib
 import struct
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.operators.belief import belief_digest, top_correlations
+from plumbline.operators.belief import belief_digest, correlations
 
 
 def write_snapshot(mean: DataFrame, cov: DataFrame, path: str) -> None:
@@ -33,10 +33,11 @@ def append_ledger(events: DataFrame, path: str) -> None:
 
 
 def state_json(mean: DataFrame, cov: DataFrame, k: int = 200, floor: float = 0.2) -> DataFrame:
-    """(world, state): each world's quantities and its strongest correlations among the ``k`` strongest of all, as JSON."""
+    """(world, state): each world's quantities and its ``k`` strongest correlations, as JSON."""
     sd = cov.filter("i = k").select("world", "i", F.sqrt("v").alias("sd"))
     q = mean.join(sd, ["world", "i"]).groupBy("world").agg(F.array_sort(F.collect_list(F.struct("i", "mu", "sd"))).alias("quantities"))
-    c = top_correlations(cov, k, floor).groupBy("world").agg(F.array_sort(F.collect_list(F.struct("i", "k", "corr"))).alias("correlations"))
+    rank = F.row_number().over(Window.partitionBy("world").orderBy(F.desc(F.abs("corr")), "i", "k"))
+    c = correlations(cov, floor).withColumn("rank", rank).filter(F.col("rank") <= k).groupBy("world").agg(F.array_sort(F.collect_list(F.struct("i", "k", "corr"))).alias("correlations"))
     return q.join(c, "world", "left").select("world", F.to_json(F.struct("quantities", F.coalesce("correlations", F.array().cast("array<struct<i:string,k:string,corr:double>>")).alias("correlations"))).alias("state"))
 
 
@@ -53,11 +54,12 @@ def splat(rows: list[tuple[float, ...]]) -> bytes:
 def topics(requests: DataFrame, case: str, check: str, title: str) -> DataFrame:
     """One issue topic per evidence request, its id derived from the case and the check, so that reruns agree."""
 
-    @F.udf("string")
-    def topic(a: str, b: str) -> str:
-        return str(uuid.uuid5(uuid.NAMESPACE_URL, f"{a}/{b}"))
-
-    return requests.select(topic(F.col(case).cast("string"), F.col(check).cast("string")).alias("topic_id"), F.col(title).alias("title"), F.lit("Open").alias("status"))
+    # a name-based UUID of version 5: the first 16 bytes of a SHA-1, with version and variant set
+    space = F.unhex(F.lit(uuid.NAMESPACE_URL.hex))
+    digest = F.sha1(F.concat(space, F.concat_ws("/", F.col(case).cast("string"), F.col(check).cast("string")).cast("binary")))
+    variant = F.lower(F.hex((F.conv(F.substring(digest, 17, 1), 16, 10).cast("int") % 4 + 8).cast("long")))
+    topic = F.concat_ws("-", F.substring(digest, 1, 8), F.substring(digest, 9, 4), F.concat(F.lit("5"), F.substring(digest, 14, 3)), F.concat(variant, F.substring(digest, 18, 3)), F.substring(digest, 21, 12))
+    return requests.select(topic.alias("topic_id"), F.col(title).alias("title"), F.lit("Open").alias("status"))
 
 
 def file_digest(raw: bytes) -> str:

@@ -8,6 +8,7 @@ A file is one task; files spread over executors.
 from __future__ import annotations
 
 import json
+import os
 import re
 from collections.abc import Iterator
 
@@ -160,7 +161,10 @@ class StepSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(json.loads(self.options["paths"]) if "paths" in self.options else [self.options["path"]])
+        if "paths" in self.options:
+            return _Reader(json.loads(self.options["paths"]))
+        path = self.options["path"]
+        return _Reader([os.path.join(path, f) for f in sorted(os.listdir(path)) if not f.startswith((".", "_"))] if os.path.isdir(path) else [path])
 
 
 class _Reader(DataSourceReader):

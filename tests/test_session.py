@@ -1,10 +1,13 @@
+import json
+import uuid
+
 import numpy as np
 import pytest
 from helpers import rows
 
 from plumbline import session
 from plumbline.operators import verify
-from plumbline.sources import ply, sinks
+from plumbline.sources import ply, sinks, step
 from pyspark.sql import functions as F
 
 
@@ -41,4 +44,22 @@ def test_snapshots_and_exports(spark, world, tmp_path):
     assert '"corr":0.5' in sinks.state_json(world.mean, world.cov).first().state
     assert np.allclose(ply.points(sinks.splat([(1.0, 2.0, 3.0, 0.1, 0.1, 0.1, 0.5)])), [[1, 2, 3]])
     r = spark.createDataFrame([("c", "k", "t")], "case string, check string, title string")
-    assert rows(sinks.topics(r, "case", "check", "title")) == rows(sinks.topics(r, "case", "check", "title"))
+    assert rows(sinks.topics(r, "case", "check", "title")) == [(str(uuid.uuid5(uuid.NAMESPACE_URL, "c/k")), "t", "Open")]
+
+
+def test_state_ranks_correlations_by_world(spark):
+    names = "abcd"
+    strong = lambda w, i, k: 1.0 if i == k else 0.9 if w == 1 else 0.3
+    mean = spark.createDataFrame([(w, i, 1.0) for w in (1, 2) for i in names], "world long, i string, mu double")
+    cov = spark.createDataFrame([(w, i, k, strong(w, i, k)) for w in (1, 2) for i in names for k in names], "world long, i string, k string, v double")
+    found = {r.world: json.loads(r.state) for r in sinks.state_json(mean, cov, 3).collect()}
+    assert [len(found[w]["correlations"]) for w in (1, 2)] == [3, 3]
+
+
+def test_a_folder_of_step_files(spark, tmp_path):
+    text = step.write([("FILE_SCHEMA", [["IFC4"]])], [(1, "IFCWALL", ["g", None, "w"])])
+    for name in ("a.ifc", "b.ifc"):
+        (tmp_path / name).write_text(text)
+    spark.dataSource.register(step.StepSource)
+    assert spark.read.format("step").load(str(tmp_path)).count() == 2
+    assert spark.read.format("step").load(str(tmp_path / "a.ifc")).count() == 1

@@ -133,7 +133,8 @@ def test_ledger(spark):
 
     sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
     leaves = sorted({sha("a"), sha("b"), sha("c")})
-    top = sha(sha(leaves[0] + leaves[1]) + sha(leaves[2] + leaves[2]))
+    pair = lambda x, y: hashlib.sha256(bytes.fromhex(x) + bytes.fromhex(y)).hexdigest()
+    top = pair(pair(leaves[0], leaves[1]), pair(leaves[2], leaves[2]))
     df = spark.createDataFrame([("g", sha(x)) for x in "abca"] + [("h", sha("z"))], "g string, digest string")
     assert dict(rows(ledger.merkle_root(df, "g"))) == {"g": top, "h": sha("z")}
 
