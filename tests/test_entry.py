@@ -36,3 +36,8 @@ def test_query_equals_sql(spark, duck, name):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 def test_flagship(spark):
     assert entry_module.entry(spark).count() > 0
+
+
+def test_every_oracle_is_sql_of_a_query():
+    found = entry_module.oracle_sql()
+    assert all(isinstance(sql, str) for sql in found.values()) and set(found) <= set(entry_module.queries())
