@@ -34,6 +34,32 @@ def test_execute_replay_and_refuse(world):
         session.decode('{"kind":"shift_parameter","i":"a","delta":1.0,"more":2}')
 
 
+def test_observations_and_process_steps(world):
+    """One variance of 1 and a covariance of 0.5: seen with noise 1, then moved on, then replayed with a refusal."""
+    low = lambda mean, cov: verify.cons_01(mean.withColumn("sd", F.lit(0.0)))
+    after = session.execute(world, [session.encode("observe_quantity", "a", y=3.0, noise=1.0)], [low])
+    assert rows(after.mean)[:2] == [(1, "a", 2.0), (1, "b", 2.5)]
+    assert {(r.i, r.k): round(r.v, 9) for r in after.cov.filter("world = 1").collect()} == {("a", "a"): 0.5, ("a", "b"): 0.25, ("b", "a"): 0.25, ("b", "b"): 0.875}
+    after = session.execute(after, [session.encode("evolve_linear_gaussian", "b", factor=2.0, offset=-1.0, noise=0.5)], [low])
+    assert rows(after.mean)[:2] == [(1, "a", 2.0), (1, "b", 4.0)]
+    assert {(r.i, r.k): round(r.v, 9) for r in after.cov.filter("world = 2").collect()} == {("a", "a"): 0.5, ("a", "b"): 0.5, ("b", "a"): 0.5, ("b", "b"): 4.0}
+    after = session.attempt(after, [session.encode("shift_parameter", "a", delta=-9.0)], [low])
+    assert [e["kind"] for e in after.ledger] == ["transition", "transition", "rejection"] and "CONS-01" in after.ledger[2]["error"]
+    again = session.replay(world, after.ledger, [low])
+    assert again.ledger == after.ledger and again.mark() == after.mark() != world.mark()
+    bent = [dict(after.ledger[0], result="0" * 64), *after.ledger[1:]]
+    with pytest.raises(session.StepError, match="hashed"):
+        session.check_ledger(bent)
+    with pytest.raises(session.StepError, match="recorded"):
+        session.replay(session.World(world.mean.withColumn("mu", F.col("mu") + 1), world.cov), after.ledger, [low])
+
+
+def test_forecast(spark, world):
+    targets = world.mean.filter("i = 'a'").select("world", "i", F.lit(0.5).alias("factor"), F.lit(1.0).alias("offset"), F.lit(0.25).alias("noise"), F.lit(60.0).alias("seconds"))
+    got = rows(session.forecast(world.mean, world.cov, targets, 2).filter("world = 1").select("step", "elapsed", "mu", F.round(F.col("sd") ** 2, 9).alias("v")))
+    assert got == [(1, 60.0, 1.5, 0.5), (2, 120.0, 1.75, 0.375)]
+
+
 def test_snapshots_and_exports(spark, world, tmp_path):
     sinks.write_snapshot(world.mean, world.cov, str(tmp_path))
     mean, cov = sinks.read_snapshot(spark, str(tmp_path))
