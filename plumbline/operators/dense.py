@@ -22,15 +22,42 @@ def matrix(pdf: pd.DataFrame, rows: str = "i", cols: str = "k", value: str = "v"
     return names, m
 
 
-def cholesky(m: np.ndarray) -> tuple[np.ndarray, float]:
-    """A factor of a semidefinite matrix and the shift that it took; an error past the last shift."""
-    scale = max(np.trace(m) / max(1, len(m)), 1.0)
-    for j in JITTER:
-        try:
-            return np.linalg.cholesky((m + m.T) / 2 + j * scale * np.eye(len(m))), j * scale
-        except np.linalg.LinAlgError:
-            continue
-    raise np.linalg.LinAlgError("the covariance is not positive semidefinite")
+def symmetric(m: np.ndarray) -> np.ndarray:
+    """The symmetric part of a matrix of finite numbers."""
+    if not np.isfinite(m).all():
+        raise ValueError("the matrix has entries that are not finite")
+    return (m + m.T) / 2
+
+
+def factor(m: np.ndarray) -> tuple[np.ndarray, float]:
+    """A lower triangular factor of a semidefinite matrix, and the diagonal shift that its least eigenvalue asks for.
+
+    The factor comes from the eigenvectors, stretched by the roots of the shifted eigenvalues, by one QR step. A least
+    eigenvalue below the last shift is an error.
+    """
+    values, vectors = np.linalg.eigh(symmetric(m))
+    n = len(values)
+    unit = max(values.sum() / max(n, 1), 1.0)
+    least = values[0] - n * np.finfo(float).eps * max(values[-1], 0.0) if n else 0.0
+    enough = [j * unit for j in JITTER if least + j * unit > 0 or not n]
+    if not enough:
+        raise np.linalg.LinAlgError("the covariance is not positive semidefinite")
+    upper = np.linalg.qr((vectors * np.sqrt(values + enough[0])).T, mode="r")
+    return (upper * np.where(np.diag(upper) < 0, -1.0, 1.0)[:, None]).T, enough[0]
+
+
+def solve(cov: DataFrame, rhs: DataFrame) -> DataFrame:
+    """(world, i, x): the solution of each world's system with its covariance (world, i, k, v) and right side (world, i, y)."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        names, m = matrix(pdf[pdf["k"].notna()])
+        y = pdf[pdf["k"].isna()].set_index("i")["v"].reindex(names).fillna(0.0).to_numpy()
+        low = factor(m)[0]
+        x = np.linalg.solve(low.T, np.linalg.solve(low, y))
+        return pd.DataFrame({"world": pdf["world"].iloc[0], "i": names, "x": x})
+
+    both = cov.select("world", "i", "k", "v").unionByName(rhs.select("world", "i", F.lit(None).cast("string").alias("k"), F.col("y").alias("v")))
+    return both.groupBy("world").applyInPandas(one, "world long, i string, x double")
 
 
 def psd(cov: DataFrame) -> DataFrame:
@@ -39,7 +66,7 @@ def psd(cov: DataFrame) -> DataFrame:
     def check(pdf: pd.DataFrame) -> pd.DataFrame:
         names, m = matrix(pdf)
         try:
-            jitter, ok = cholesky(m)[1], True
+            jitter, ok = factor(m)[1], True
         except np.linalg.LinAlgError:
             jitter, ok = float("nan"), False
         return pd.DataFrame({"world": [pdf["world"].iloc[0]], "n": [len(names)], "jitter": [jitter], "psd": [ok]})
@@ -81,7 +108,7 @@ def sample_worlds(mean: DataFrame, cov: DataFrame, n: int, seed: int = 0) -> Dat
         names, m = matrix(pdf[pdf["k"].notna()])
         mu = pdf[pdf["k"].isna()].set_index("i")["v"].reindex(names).to_numpy()
         world = int(pdf["world"].iloc[0])
-        x = mu + np.random.default_rng([seed, world & 0xFFFFFFFF]).standard_normal((n, len(names))) @ cholesky(m)[0].T
+        x = mu + np.random.default_rng([seed, world & 0xFFFFFFFF]).standard_normal((n, len(names))) @ factor(m)[0].T
         return pd.DataFrame({"world": world, "draw": np.repeat(np.arange(n), len(names)), "i": np.tile(names, n), "x": x.ravel()})
 
     both = cov.select("world", "i", "k", "v").unionByName(mean.select("world", "i", F.lit(None).cast("string").alias("k"), F.col("mu").alias("v")))

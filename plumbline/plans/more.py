@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import numeric
 from plumbline.functions.dual import along
-from plumbline.operators import belief, decide, geometry, graph, inventory, ledger, verify
+from plumbline import session
+from plumbline.operators import belief, decide, dense, geometry, graph, inventory, ledger, verify
 from plumbline.plans import worlds as w
 from plumbline.plans.catalog import BOX, MACHINE, NOISE, P_MIN, VERDICT, _events, _near, _order_totals, _total_belief, query, r
 
@@ -172,6 +173,27 @@ def impact_of_observation(spark, d):
     return out.select("world", "i", r("mu_before", 3).alias("mu_before"), r("mu_after", 3).alias("mu_after"), r("sd_before").alias("sd_before"), r("sd_after").alias("sd_after"), "target", "affected", "changed")
 
 
+@query("dense_solve", "SELECT c_custkey AS world, round((3 * c_acctbal - (c_nationkey + 1)) / (3 * (c_nationkey + 2) - 1), 6) AS xa, round(((c_nationkey + 2) * (c_nationkey + 1) - c_acctbal) / (3 * (c_nationkey + 2) - 1), 6) AS xb FROM customer")
+def dense_solve(spark, d):
+    """Two equations per customer, with the symmetric matrix (nation + 2, 1; 1, 3)."""
+    c = w.table(spark, d, "customer").select(F.col("c_custkey").alias("world"), F.col("c_nationkey").cast("double").alias("n"), "c_acctbal")
+    cell = lambda i, k, v: F.struct(F.lit(i).alias("i"), F.lit(k).alias("k"), v.cast("double").alias("v"))
+    cov = c.select("world", F.explode(F.array(cell("a", "a", F.col("n") + 2), cell("a", "b", F.lit(1)), cell("b", "a", F.lit(1)), cell("b", "b", F.lit(3)))).alias("s")).select("world", "s.*")
+    right = c.select("world", F.explode(F.array(F.struct(F.lit("a").alias("i"), F.col("c_acctbal").alias("y")), F.struct(F.lit("b").alias("i"), (F.col("n") + 1).alias("y")))).alias("s")).select("world", "s.*")
+    x = dense.solve(cov, right)
+    return x.groupBy("world").agg(r(F.max(F.when(F.col("i") == "a", F.col("x"))), 6).alias("xa"), r(F.max(F.when(F.col("i") == "b", F.col("x"))), 6).alias("xb"))
+
+
+@query("forecast_process", "WITH BASE, s AS (SELECT unnest([1, 2, 3]) AS step) SELECT world, step, round(step * 60e0, 1) AS elapsed, round(power(0.5e0, step) + 2 * (1 - power(0.5e0, step)), 8) AS mu, round(sqrt(0.0004e0 * power(0.25e0, step) + 0.01e0 * (1 - power(0.25e0, step)) / 0.75e0), 8) AS sd FROM t, s")
+def forecast_process(spark, d):
+    """The price level of each order after one to three process steps."""
+    mean, cov = w.prior(w.lines(spark, d))
+    level = mean.filter("i = 'f'")
+    targets = level.select("world", "i", F.lit(0.5).alias("factor"), F.lit(1.0).alias("offset"), F.lit(0.01).alias("noise"), F.lit(60.0).alias("seconds"))
+    got = session.forecast(level, cov.filter("i = 'f'"), targets, 3)
+    return got.select("world", "step", r("elapsed", 1).alias("elapsed"), r("mu", 8).alias("mu"), r("sd", 8).alias("sd"))
+
+
 @query("dual_numbers", "SELECT p_partkey AS id, round(exp(sin(p_size)) / sqrt(p_retailprice) + ln(p_retailprice) * cos(p_size), 8) AS val, round(exp(sin(p_size)) * cos(p_size) / sqrt(p_retailprice) - 0.5e0 * exp(sin(p_size)) * 2 * power(p_retailprice, -1.5e0) + 2 * cos(p_size) / p_retailprice - ln(p_retailprice) * sin(p_size), 8) AS eps FROM part")
 def dual_numbers(spark, d):
     """exp(sin x) / sqrt y + ln y cos x, and its derivative along (1, 2)."""

@@ -153,3 +153,22 @@ def test_registration_finds_the_shift(spark):
     points = spark.createDataFrame([(1, *map(float, p)) for p in x], "scan long, x double, y double, z double")
     r = dense.register(points, model).first()
     assert abs(r.yaw - yaw) < 1e-3 and abs(r.dx - 0.4) < 1e-2 and abs(r.dy + 0.2) < 1e-2
+
+
+def test_factor_and_its_shifts():
+    """Definite, singular and slightly indefinite matrices take the least shift that their eigenvalues ask for."""
+    from plumbline.operators import dense
+
+    rng = np.random.default_rng(0)
+    a = rng.normal(size=(5, 5))
+    turn = np.linalg.qr(a)[0]
+    low, shift = dense.factor(a @ a.T)
+    assert shift == 0 and np.allclose(low @ low.T, a @ a.T) and np.allclose(low, np.tril(low))
+    for least, want in ((0.0, 1e-12), (-5e-13, 1e-12), (-5e-11, 1e-10)):
+        m = turn @ np.diag([1.0, 1.0, 1.0, 1.0, least]) @ turn.T
+        low, shift = dense.factor(m)
+        assert shift == want and np.allclose(low @ low.T, m, atol=1e-8)
+    with pytest.raises(np.linalg.LinAlgError):
+        dense.factor(turn @ np.diag([1.0, 1.0, 1.0, 1.0, -1e-3]) @ turn.T)
+    with pytest.raises(ValueError, match="finite"):
+        dense.factor(np.array([[np.nan]]))
