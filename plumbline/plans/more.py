@@ -11,6 +11,7 @@ from plumbline import session
 from plumbline.operators import belief, decide, dense, geometry, graph, inventory, ledger, verify
 from plumbline.plans import worlds as w
 from plumbline.plans.catalog import BOX, MACHINE, NOISE, P_MIN, VERDICT, _events, _near, _order_totals, _total_belief, query, r
+from plumbline.sources import scene, step
 
 # --- rules that find planted faults ------------------------------------------------------------------------------------
 
@@ -425,3 +426,25 @@ def i32_lyapunov(spark, d):
     """V = x'Px before and after x+ = Ax in checked 32-bit arithmetic, with A a quarter turn."""
     p = w.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("int").alias("x"), (F.col("p_size") % 7 - 3).cast("int").alias("y"))
     return inventory.lyapunov_i32(p, ((0, -1), (1, 0)), ((2, 1), (1, 3))).select("id", "v", "vn", "decreases")
+
+
+def _models(spark, d):
+    """A STEP text for each customer: a unit, a site turned by the angle of (0.6, 0.8), a storey turned back, a wall in it."""
+    c = w.table(spark, d, "customer")
+    key, prefix = F.col("c_custkey"), F.when(F.col("c_custkey") % 2 == 0, ".MILLI.").otherwise("$")
+    real = lambda x: F.concat(x.cast("string"), F.lit("."))
+    said = [
+        "ISO-10303-21;HEADER;FILE_DESCRIPTION(('m'),'2;1');ENDSEC;DATA;#1=IFCPROJECT('P',$,$,$,$,$,$,$,#2);#2=IFCUNITASSIGNMENT((#3));#3=IFCSIUNIT(*,.LENGTHUNIT.,", prefix,
+        ",.METRE.);#4=IFCDIRECTION((0.6,0.8,0.));#5=IFCDIRECTION((0.6,-0.8));#10=IFCCARTESIANPOINT((", real(key % 1000), ",", real(F.col("c_nationkey")),
+        ",0.));#11=IFCAXIS2PLACEMENT3D(#10,$,#4);#12=IFCLOCALPLACEMENT($,#11);#20=IFCCARTESIANPOINT((10.,", real(key % 7), ",3.));#21=IFCAXIS2PLACEMENT3D(#20,$,#5);#22=IFCLOCALPLACEMENT(#12,#21);",
+        "#30=IFCCARTESIANPOINT((", real(key % 13), ",5.,", real(key % 3), "));#31=IFCAXIS2PLACEMENT3D(#30,$,$);#32=IFCLOCALPLACEMENT(#22,#31);#40=IFCWALL('W", key.cast("string"), "',$,$,$,$,#32,$,$);ENDSEC;END-ISO-10303-21;",
+    ]
+    return c.select(key.cast("string").alias("file"), F.concat(*(F.lit(s) if isinstance(s, str) else s for s in said)).alias("text"))
+
+
+@query("placed_walls", """SELECT 'W' || c_custkey AS global_id, round(s * (c_custkey % 1000 + 6e0 - 0.8e0 * (c_custkey % 7) + c_custkey % 13), 6) AS x,
+round(s * (c_nationkey + 8e0 + 0.6e0 * (c_custkey % 7) + 5e0), 6) AS y, round(s * (3e0 + c_custkey % 3), 6) AS z FROM (SELECT *, CASE WHEN c_custkey % 2 = 0 THEN 0.001e0 ELSE 1e0 END AS s FROM customer)""")
+def placed_walls(spark, d):
+    """Model texts parsed, their units resolved, their chains of placements composed: each wall's place in metres."""
+    rows = graph._cut(step.read_texts(_models(spark, d)))  # texts are parsed once, types are read from the table
+    return scene.placed(rows, step.entities(rows)).select("global_id", *(r(c, 6).alias(c) for c in "xyz"))

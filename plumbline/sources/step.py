@@ -223,7 +223,7 @@ def _ref(i: int, json_col: str = "args"):
 
 def entities(rows: DataFrame, scope: list[str] | None = None) -> DataFrame:
     """(file, step_id, ifc_class, global_id, name) of the products; a scope of global ids filters before any join."""
-    e = rows.filter(F.col("type_name").isin(list(PRODUCTS))).select("file", "step_id", F.col("type_name").alias("ifc_class"), F.get_json_object("args", "$[0]").alias("global_id"), F.get_json_object("args", "$[2]").alias("name"))
+    e = rows.filter(F.col("type_name").isin(list(PRODUCTS))).select("file", "step_id", F.col("type_name").alias("ifc_class"), F.get_json_object("args", "$[0]").alias("global_id"), F.nullif(F.get_json_object("args", "$[2]"), F.lit("null")).alias("name"))
     return e.filter(F.col("global_id").isin(scope)) if scope is not None else e
 
 
