@@ -314,12 +314,6 @@ def cons01(spark, d):
     return verify.cons_01(values).select("subject", "status")
 
 
-@query("cons02", "WITH BASE SELECT world || '/' || line AS subject, CASE WHEN net - q * p > 1e-9 THEN 'FAIL' WHEN net - q * p + 2 * q * p * 0.005e0 > 0 THEN 'WARN' ELSE 'PASS' END AS status FROM n WHERE abs(d - 0.01e0) > 1e-6")
-def cons02(spark, d):
-    """Lines off the boundary between WARN and PASS, which its SQL leaves out; :func:`cons02_all` has every line."""
-    return verify.cons_02(_net_bounds(w.lines(spark, d).filter("abs(d - 0.01) > 1e-6"))).select("subject", "status")
-
-
 def _net_bounds(l):
     """Each line's net and the gross value that bounds it."""
     g = F.col("q") * F.col("p")
@@ -678,17 +672,15 @@ def belief_digest(spark, d):
     return belief.belief_digest(*w.prior(w.lines(spark, d)))
 
 
-@query("wl_colours", """WITH n AS (SELECT 'n' || n_nationkey AS node, sha256('n') AS c FROM nation UNION ALL SELECT 'r' || r_regionkey, sha256('r') FROM region), e AS (SELECT 'r' || n_regionkey AS s, 'n' || n_nationkey AS t FROM nation),
-x AS (SELECT s, '+aggregates' || c AS l FROM e JOIN n ON t = node UNION ALL SELECT t, '-aggregates' || c FROM e JOIN n ON s = node), g AS (SELECT s, string_agg(l, ',' ORDER BY l) AS a FROM x GROUP BY s)
-SELECT node, sha256(c || '|' || coalesce(a, '')) AS colour FROM n LEFT JOIN g ON node = s""")
-def wl_colours(spark, d):
-    """One round over regions and nations, as its SQL says; :func:`wl_colours_all` has every node and edge."""
-    rel = w.containment(spark, d).filter("kind = 'aggregates'")
-    nodes = w.nodes(spark, d).filter("node NOT LIKE 'c%'").withColumn("label", F.substring("node", 1, 1))
-    return inventory.colour_refinement(nodes, rel, 1)
+def _rounds_sql(rounds: int) -> str:
+    """Colours c0 to c``rounds`` as table expressions, each from the one before."""
+    near = "SELECT s, k || colour || '*' || count(*) AS l FROM (SELECT s, '+' || kind AS k, colour FROM e JOIN c{0} ON t = node UNION ALL SELECT t, '-' || kind, colour FROM e JOIN c{0} ON s = node) GROUP BY s, k, colour"
+    step = "c{1} AS (SELECT node, sha256(colour || '|' || coalesce(a, '')) AS colour FROM c{0} LEFT JOIN (SELECT s, string_agg(l, ',' ORDER BY l) AS a FROM (" + near + ") GROUP BY s) ON node = s)"
+    return ", ".join(step.format(k, k + 1) for k in range(rounds))
 
 
-@query("wl_colours_all")
+@query("wl_colours_all", f"""WITH e AS (SELECT 'aggregates' AS kind, 'r' || n_regionkey AS s, 'n' || n_nationkey AS t FROM nation UNION ALL SELECT 'contains', 'n' || c_nationkey, 'c' || c_custkey FROM customer),
+c0 AS (SELECT 'r' || r_regionkey AS node, sha256('r') AS colour FROM region UNION ALL SELECT 'n' || n_nationkey, sha256('n') FROM nation UNION ALL SELECT 'c' || c_custkey, sha256('c') FROM customer), {_rounds_sql(3)} SELECT node, colour FROM c3""")
 def wl_colours_all(spark, d):
     """Three rounds over regions, nations and customers with all edges between them."""
     nodes = w.nodes(spark, d).withColumn("label", F.substring("node", 1, 1))
