@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.graph import _cut
+from plumbline.sources import step
 from plumbline.sources.step import _ref, by_type
 
 #: SI prefixes.
@@ -124,3 +125,31 @@ def placed(rows: DataFrame, products: DataFrame) -> DataFrame:
     j = products.join(at, ["file", "step_id"]).join(own, ["file", "placement"], "left")
     wrong = F.col("placement").isNotNull() & F.col("x").isNull()
     return j.select(*products.columns, *(F.when(wrong, _fail("no such placement")).otherwise(F.coalesce(F.col(c), F.lit(0.0))).alias(c) for c in ("x", "y", "z", "angle")))
+
+
+#: Standard deviations in metres of quantities that state none.
+SIGMAS = {
+    ("IFCBUILDINGSTOREY", "ClearHeight"): 0.01, ("IFCWALL", "Length"): 0.005, ("IFCWALL", "Width"): 0.002, ("IFCOPENINGELEMENT", "Width"): 0.005, ("IFCOPENINGELEMENT", "Height"): 0.005,
+    ("IFCDOOR", "Width"): 0.003, ("IFCDOOR", "Height"): 0.003, ("IFCSPACE", "Length"): 0.005, ("IFCSPACE", "Width"): 0.005, ("IFCBEAM", "Length"): 0.005,
+}
+COST_SIGMA = 0.08  # of the mean
+LENGTHS = ("ClearHeight", "Length", "Width", "Height")
+
+
+def priors(rows: DataFrame, products: DataFrame, stated: tuple[str, ...] = ("Posterior", "Uncertainty")) -> DataFrame:
+    """(file, step_id, quantity, mu, sigma): the products' lengths in metres and unit costs, with standard deviations.
+
+    ``stated`` names property sets that hold a quantity's deviation as "<quantity>Sigma" in file units, the first that has
+    one counts; else the default of the class counts. Quantities without a default are left out, as no model uses them.
+    """
+    q = step.quantities(rows).withColumnRenamed("product", "step_id").join(products.select("file", "step_id", "ifc_class"), ["file", "step_id"])
+    q = q.join(length_units(rows).select("file", "scale"), "file").withColumn("unit", F.when(F.col("quantity").isin(*LENGTHS), F.col("scale")).otherwise(1.0))
+    for k, name in enumerate(stated):
+        own = rows.filter((F.col("type_name") != "IFCELEMENTQUANTITY") & ((F.col("type_name") != "IFCPROPERTYSET") | _json("$[2]").eqNullSafe(name)))
+        said = step.quantities(own).filter("quantity LIKE '%Sigma'").select("file", F.col("product").alias("step_id"), F.regexp_replace("quantity", "Sigma$", "").alias("quantity"), F.col("value").alias(f"s{k}"))
+        q = q.join(said, ["file", "step_id", "quantity"], "left")
+    known = F.create_map(*(F.lit(x) for (c, n), v in SIGMAS.items() for x in (f"{c}.{n}", v)))
+    mu = F.col("value") * F.col("unit")
+    default = F.when(F.col("quantity") == "UnitCost", F.greatest(F.abs(mu) * COST_SIGMA, F.lit(1e-6))).otherwise(F.try_element_at(known, F.concat_ws(".", "ifc_class", "quantity")))
+    sigma = F.coalesce(*(F.col(f"s{k}") * F.col("unit") for k in range(len(stated))), default)
+    return q.select("file", "step_id", "quantity", mu.alias("mu"), sigma.alias("sigma")).filter("sigma IS NOT NULL")

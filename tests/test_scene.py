@@ -67,3 +67,18 @@ def test_units(spark):
     for said, model in wrong.items():
         with pytest.raises(Exception, match=said):
             scene.length_units(table(spark, model)).collect()
+
+
+def test_priors_in_metres_with_stated_and_default_deviations(spark):
+    number = lambda name, v: ("IFCPROPERTYSINGLEVALUE", [name, None, {"type": "IFCREAL", "args": [v]}, None])
+    to = lambda n, s: ("IFCRELDEFINESBYPROPERTIES", ["r", None, None, None, [REF(n)], REF(s)])
+    model = [
+        (1, "IFCSIUNIT", SI("MILLI")), (2, "IFCWALL", ["W", None, "w"]),
+        (3, "IFCQUANTITYLENGTH", ["Length", None, None, 9000.0, None]), (4, "IFCQUANTITYLENGTH", ["Width", None, None, 300.0, None]), (5, *number("UnitCost", 250.0)),
+        (6, "IFCELEMENTQUANTITY", ["q", None, "Base", None, None, [REF(3), REF(4)]]), (7, "IFCPROPERTYSET", ["p", None, "Cost", None, [REF(5)]]),
+        (8, *number("LengthSigma", 7.0)), (9, *number("LengthSigma", 4.0)), (10, "IFCPROPERTYSET", ["u", None, "Uncertainty", None, [REF(8)]]), (11, "IFCPROPERTYSET", ["o", None, "Posterior", None, [REF(9)]]),
+        *((20 + k, *to(2, s)) for k, s in enumerate((6, 7, 10, 11))),
+    ]
+    t = table(spark, model)
+    got = {r.quantity: (r.mu, r.sigma) for r in scene.priors(t, step.entities(t)).collect()}
+    assert got == {"Length": pytest.approx((9.0, 0.004)), "Width": pytest.approx((0.3, 0.002)), "UnitCost": pytest.approx((250.0, 20.0))}
