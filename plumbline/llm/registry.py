@@ -1,6 +1,6 @@
 """Queries of the corpus operators and, where SQL can express one, the SQL."""
 
-from plumbline.llm import exact_dedup, html, media, mixing, near_dedup, pii, substring_dedup, subword, toxicity, url_filter
+from plumbline.llm import collocation, exact_dedup, html, media, mixing, near_dedup, pii, substring_dedup, subword, toxicity, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -13,9 +13,11 @@ QUERIES = {
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_pii": pii.op10_pii,
+    "op12_collocations": collocation.op12_collocations,
 }
 ORACLE_SQL = {
     "op1_mixing": mixing.OP1_SQL,
     "op3_url_filter": url_filter.OP3_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
+    "op12_collocations": collocation.OP12_SQL,
 }
