@@ -1,6 +1,6 @@
 """Queries of the corpus operators and, where SQL can express one, the SQL."""
 
-from plumbline.llm import collocation, exact_dedup, html, media, mixing, near_dedup, pii, substring_dedup, subword, toxicity, url_filter
+from plumbline.llm import collocation, exact_dedup, html, langid, media, mixing, near_dedup, pii, substring_dedup, subword, toxicity, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_pii": pii.op10_pii,
+    "op11_language": langid.op11_language,
     "op12_collocations": collocation.op12_collocations,
 }
 ORACLE_SQL = {
