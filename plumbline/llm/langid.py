@@ -240,24 +240,26 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
     kept = others(docs, "lang_pred", "lang_score", "lang_rejected")
     at = kept.index(text_col)
     rows = docs.select(*(F.col(f"`{c}`") for c in kept))
-    schema = T.StructType(list(rows.schema.fields)).add("lang_pred", "string").add("lang_score", "double").add("lang_rejected", "boolean")
+    names = [*kept, "lang_pred", "lang_score", "lang_rejected"]
     if model is None:
-        return rows.withColumns({"lang_pred": F.lit(UNKNOWN), "lang_score": F.lit(0.0), "lang_rejected": F.lit(True)})
+        return rows.select("*", F.lit(UNKNOWN), F.lit(0.0), F.lit(True)).toDF(*names)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    # the last column by place: its name may be any column's
-    letters = rows.select("*", F.coalesce(F.col(f"`{text_col}`").rlike(r"\p{L}"), F.lit(False)).alias("has letters"))
+    # columns go by place, as their names may be any
+    rows = rows.toDF(*(f"c{i}" for i in range(len(kept))))
+    schema = T.StructType(list(rows.schema.fields)).add("pred", "string").add("score", "double").add("rejected", "boolean")
+    rows = rows.withColumn("letters", F.coalesce(F.col(f"c{at}").rlike(r"\p{L}"), F.lit(False)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        names = pa.array(model.languages)
+        languages = pa.array(model.languages)
         for batch in batches:
-            *columns, letter = batch.columns
+            *columns, letters = batch.columns
             best, score = model.predict(batch.column(at))
-            lang = pc.if_else(letter, names.take(pa.array(best)), UNKNOWN)
-            score = np.where(letter.to_numpy(zero_copy_only=False), score, 0.0)
+            lang = pc.if_else(letters, languages.take(pa.array(best)), UNKNOWN)
+            score = np.where(letters.to_numpy(zero_copy_only=False), score, 0.0)
             yield pa.RecordBatch.from_arrays([*columns, lang, pa.array(score), pa.array(score < model.threshold)], schema.names)
 
-    return letters.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).toDF(*names)
 
 
 def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
