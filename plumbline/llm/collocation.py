@@ -2,8 +2,8 @@
 
 Every word of a piece starts a suffix of at most LONGEST words. Suffixes are dealt by language and first word, sorted in
 reverse lexicographic order, and one pass with a stack of LONGEST open prefixes counts every phrase; the frequencies of a
-phrase's parts are joined afterwards. Equal suffixes of an Arrow batch are counted before the shuffle, and suffixes with
-one first word and one count travel as one row. A first word with more than one in HOT_SHARE of all occurrences (and more
+phrase's parts are joined afterwards. Equal suffixes are counted before the shuffle, and suffixes with one first word and
+one count travel as one row. A first word with more than one in HOT_SHARE of all occurrences (and more
 than PART_WORDS) is dealt further by a hash of the words after it; the partial counts of its prefixes are added up
 afterwards, all others are whole. The table of such words has at most HOT_SHARE rows.
 
@@ -12,8 +12,8 @@ longer phrase that holds it is nearly as frequent.
 
 Cases: null texts are empty; a null language is ``und`` and counts with rows that say so; repeated rows count each;
 scores that tie go by frequency, then by the phrase's bytes; a text without words has no phrases; a table without phrases
-gives no rows; columns other than language and text are not read, whatever their names. A long text is cut into runs of
-CHUNK words, which overlap so that no suffix is lost.
+gives no rows; columns other than language and text are not read, whatever their names. A text of more than GATHER words
+is cut into runs, which overlap so that no suffix is lost.
 """
 
 from __future__ import annotations
@@ -36,8 +36,8 @@ COVER = 80
 SCALE = 2_000_000
 #: First words that are dealt further: more occurrences than PART_WORDS and than one in HOT_SHARE.
 PART_WORDS, HOT_SHARE = 1 << 16, 20_000
-#: Words of a text handled at once, and suffixes counted together before the shuffle.
-CHUNK, GATHER = 1 << 17, 1 << 20
+#: Words whose suffixes a worker handles at once, and runs copied at once.
+GATHER, BLOCK = 1 << 19, 1 << 16
 #: Groups per language of the first of two rankings.
 RANK_GROUPS = 1_024
 
@@ -51,38 +51,92 @@ _LOWER[65:91] += 32
 
 
 def _strings(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> pa.Array:
-    """The runs of bytes from ``s`` to ``e`` as an Arrow string column."""
+    """The runs of bytes from ``s`` to ``e`` as an Arrow string column; indices are made for BLOCK runs at a time."""
     size = e - s
     off = np.concatenate(([0], np.cumsum(size))).astype(np.int64)
-    at = np.arange(off[-1]) + np.repeat(s - off[:-1], size)
-    return pa.LargeStringArray.from_buffers(len(s), pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(data[at]))).cast(pa.string())
+    out = np.empty(off[-1], np.uint8)
+    for a in range(0, len(s), BLOCK):
+        b = min(len(s), a + BLOCK)
+        out[off[a] : off[b]] = data[np.arange(off[a], off[b]) + np.repeat(s[a:b] - off[a:b], size[a:b])]
+    return pa.LargeStringArray.from_buffers(len(s), pa.py_buffer(off), pa.py_buffer(out)).cast(pa.string())
 
 
-def _words(text: pa.Array, longest: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
-    """Per run of words: lower-case bytes, start, end, row and piece of each word, and how many of them are the run's own.
+def _order(first: np.ndarray, levels: list[np.ndarray], size: int) -> np.ndarray:
+    """Order by ``first`` and then by the levels, whose numbers are below ``size``; as one number where they fit into it."""
+    keys = levels
+    if size ** len(levels) < 1 << 62:
+        keys = [np.zeros(len(first), np.int64)]
+        for v in levels:
+            keys[0] = keys[0] * size + v
+    return np.lexsort((*keys[::-1], first))
 
-    After its own words a run has up to ``longest`` - 1 of the next run.
+
+class _Words:
+    """Words of one or more runs of texts, each ended by a tab in ``line``: a suffix is one run of its bytes.
+
+    ``code`` numbers equal words alike, ``words`` holds them by number; ``lang`` is a number of ``langs``; ``reach`` says how many
+    words follow in the same piece, up to ``longest`` - 1; ``own`` are the words from which suffixes start.
     """
-    data, offsets = text_buffers(text)
-    for i, _, part, off in slices(data, offsets):
-        s, e, row = spans(part, off, _BREAK)
-        piece = np.cumsum(_END[part], dtype=np.int32)[s] if len(s) else np.zeros(0, np.int32)
-        for a in range(0, len(s), CHUNK):
-            b = min(len(s), a + CHUNK)
-            c = min(len(s), b + longest - 1)
-            low, high = s[a], e[c - 1]
-            yield _LOWER[part[low:high]], s[a:c] - low, e[a:c] - low, row[a:c] + i, piece[a:c], b - a
+
+    def __init__(self, runs: list[tuple], langs: list[str], longest: int):
+        data, size = np.concatenate([r[0] for r in runs]), np.concatenate([r[2] - r[1] for r in runs])
+        base = np.concatenate(([0], np.cumsum([len(r[0]) for r in runs])))
+        start = np.concatenate([r[1] + k for r, k in zip(runs, base, strict=False)])
+        self.begin = np.concatenate(([0], np.cumsum(size + 1)))
+        self.line = np.full(self.begin[-1], 9, np.uint8)
+        for a in range(0, len(size), BLOCK):
+            z, s, t = size[a : a + BLOCK], start[a : a + BLOCK], self.begin[a : a + BLOCK + 1]
+            at = np.arange(z.sum()) - np.repeat(np.cumsum(z) - z, z)
+            self.line[at + np.repeat(t[: len(z)], z)] = _LOWER[data[at + np.repeat(s, z)]]
+        self.langs, self.lang = langs, np.concatenate([r[3] for r in runs])
+        coded = _strings(self.line, self.begin[:-1], self.begin[1:] - 1).dictionary_encode()
+        self.words, self.code = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+        joined = np.concatenate([r[4] for r in runs])  # with the word after it, in one piece
+        self.own = np.flatnonzero(np.concatenate([r[5] for r in runs]))
+        self.reach, further = np.zeros(len(size), np.int64), np.ones(len(size), bool)
+        for k in range(longest - 1):
+            further[: len(further) - k] &= joined[k:]
+            further[len(further) - k :] = False
+            self.reach += further
+
+    def firsts(self) -> np.ndarray:
+        """A number for language and first word of the own words."""
+        return self.code[self.own] * len(self.langs) + self.lang[self.own]
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[_Words]:
+    """The words of (lang, text), about GATHER at a time. A longer text is cut; cuts overlap by ``longest`` - 1 words."""
+    runs, n, number = [], 0, {}
+    for batch in batches:
+        coded = batch.column(0).dictionary_encode()
+        spoken = np.array([number.setdefault(k, len(number)) for k in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy()]
+        data, offsets = text_buffers(batch.column(1))
+        for i, _, part, off in slices(data, offsets):
+            s, e, row = spans(part, off, _BREAK)
+            if not len(s):
+                continue
+            piece = np.cumsum(_END[part], dtype=np.int32)[s]
+            joined = np.zeros(len(s), bool)
+            joined[:-1] = (row[1:] == row[:-1]) & (piece[1:] == piece[:-1])
+            for a in range(0, len(s), GATHER):
+                b = min(len(s), a + GATHER)
+                c = min(len(s), b + longest - 1)
+                follows = joined[a:c].copy()
+                follows[-1] = False
+                runs.append((part[s[a] : e[c - 1]], s[a:c] - s[a], e[a:c] - s[a], spoken[row[a:c] + i], follows, np.arange(c - a) < b - a))
+                n += b - a
+                if n >= GATHER:
+                    yield _Words(runs, list(number), longest)
+                    runs, n = [], 0
+    if runs:
+        yield _Words(runs, list(number), longest)
 
 
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, text) to (lang, word, c), counted within each batch."""
-    for batch in batches:
-        found = []
-        for data, s, e, row, _, own in _words(batch.column(1)):
-            found.append(pa.table({"lang": batch.column(0).take(pa.array(row[:own])), "word": _strings(data, s[:own], e[:own])}).group_by(["lang", "word"]).aggregate([([], "count_all")]))
-        if found:
-            t = pa.concat_tables(found).group_by(["lang", "word"]).aggregate([("count_all", "sum")])
-            yield from t.rename_columns(["lang", "word", "c"]).combine_chunks().to_batches()
+    """(lang, text) to (lang, word, c), counted within each part."""
+    for w in _gathered(batches, 1):
+        first, c = np.unique(w.firsts(), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(w.langs).take(pa.array(first % len(w.langs))), w.words.take(pa.array(first // len(w.langs))), pa.array(c)], ["lang", "word", "c"])
 
 
 def suffixes(hot: dict[tuple[str, str], int], longest: int = LONGEST):
@@ -91,132 +145,131 @@ def suffixes(hot: dict[tuple[str, str], int], longest: int = LONGEST):
     ``rests`` holds the words after the first, each ended by a tab, one suffix a line. ``hot``: parts of each hot first word.
     """
 
-    def packed(tables: list[pa.Table]) -> Iterator[pa.RecordBatch]:
-        keys = ["lang", "first", "salt", "rest"]
-        t = pa.concat_tables(tables).group_by(keys).aggregate([([], "count_all")])
-        t = t.sort_by([("first", "ascending"), ("lang", "ascending"), ("salt", "ascending"), ("count_all", "ascending")]).combine_chunks()
-        cols = [t.column(k).combine_chunks() for k in ("lang", "first", "salt", "count_all")]
-        new = np.ones(len(t), bool)
-        codes = [c.dictionary_encode().indices.to_numpy() if pa.types.is_string(c.type) else c.to_numpy() for c in cols]
-        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in codes])
-        at = np.flatnonzero(new)
-        rests = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(at, len(t)), pa.int32()), t.column("rest").combine_chunks()), "\n")
-        lang, first, salt, c = (x.take(pa.array(at)) for x in cols)
-        split = pc.greater_equal(salt, 0)
-        yield from pa.table({"lang": lang, "first": first, "salt": salt, "split": split, "c": c, "rests": rests}).to_batches()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for batch in batches:
-            for data, s, e, row, piece, own in _words(batch.column(1), longest):
-                # every word ended by one tab, so that a suffix is one run of bytes
-                size = e - s + 1
-                begin = np.concatenate(([0], np.cumsum(size)))
-                at = np.arange(begin[-1]) + np.repeat(s - begin[:-1], size)
-                line = np.append(data, np.uint8(9))[np.minimum(at, len(data))]
-                line[begin[1:] - 1] = 9
-                last = np.arange(own)
-                for k in range(1, longest):
-                    more = np.flatnonzero(last == np.arange(own) + k - 1)
-                    more = more[more + k < len(s)]
-                    more = more[(row[more + k] == row[more]) & (piece[more + k] == piece[more])]
-                    last[more] += 1
-                lang, first = batch.column(0).take(pa.array(row[:own])), _strings(line, begin[:own], begin[1 : own + 1] - 1)
-                salt = np.full(own, -1, np.int32)
-                if hot:
-                    code = first.dictionary_encode()
-                    speech = lang.dictionary_encode()
-                    pair = speech.indices.to_numpy().astype(np.int64) * len(code.dictionary) + code.indices.to_numpy()
-                    known, back = np.unique(pair, return_inverse=True)
-                    langs, firsts = speech.dictionary.to_pylist(), code.dictionary.to_pylist()
-                    parts = np.array([hot.get((langs[k // len(firsts)], firsts[k % len(firsts)]), 0) for k in known.tolist()], np.int64)[back]
-                    split = np.flatnonzero(parts)
-                    if len(split):
-                        h = span_hashes(running_hash(line), begin[split + 1], begin[last[split] + 1])
-                        salt[split] = (h % parts[split].astype(np.uint64)).astype(np.int32)
-                held.append(pa.table({"lang": lang, "first": first, "salt": pa.array(salt), "rest": _strings(line, begin[1 : own + 1], begin[last + 1])}))
-                n += own
-                if n >= GATHER:
-                    yield from packed(held)
-                    held, n = [], 0
-        if held:
-            yield from packed(held)
+        for w in _gathered(batches, longest):
+            first, own = w.firsts(), w.own
+            levels = [np.where(w.reach[own] >= k, w.code[np.minimum(own + k, len(w.code) - 1)] + 1, 0) for k in range(1, longest)]
+            order = _order(first, levels, len(w.words) + 1)
+            first, at = first[order], own[order]
+            start = np.flatnonzero(np.append(True, np.logical_or.reduce([x[1:] != x[:-1] for x in (first, *(v[order] for v in levels))])))
+            c = np.diff(np.append(start, len(order)))
+            first, at = first[start], at[start]
+            low, high = w.begin[at + 1], w.begin[at + w.reach[at] + 1]
+            salt = np.full(len(at), -1, np.int32)
+            if hot:
+                known, back = np.unique(first, return_inverse=True)
+                words = w.words.take(pa.array(known // len(w.langs))).to_pylist()
+                parts = np.array([hot.get((w.langs[k], word), 0) for k, word in zip((known % len(w.langs)).tolist(), words, strict=True)], np.int64)[back]
+                split = np.flatnonzero(parts)
+                if len(split):
+                    salt[split] = (span_hashes(running_hash(w.line), low[split], high[split]) % parts[split].astype(np.uint64)).astype(np.int32)
+            # those with one count and no salt are in order already
+            plain = (c == 1) & (salt < 0)
+            more = np.flatnonzero(~plain)
+            seq = np.concatenate((np.flatnonzero(plain), more[np.lexsort((c[more], salt[more], first[more]))]))
+            first, salt, c, low, high = first[seq], salt[seq], c[seq], low[seq], high[seq]
+            cut = np.flatnonzero(np.append(True, (first[1:] != first[:-1]) | (salt[1:] != salt[:-1]) | (c[1:] != c[:-1])))
+            rests = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(cut, len(seq)), pa.int32()), _strings(w.line, low, high)), "\n")
+            lang, word = pa.array(w.langs).take(pa.array(first[cut] % len(w.langs))), w.words.take(pa.array(first[cut] // len(w.langs)))
+            t = pa.table({"lang": lang, "first": word, "salt": salt[cut], "split": salt[cut] >= 0, "c": c[cut], "rests": rests})
+            yield from t.to_batches(max_chunksize=20_000)
 
     return run
 
 
+def _prefixes(t: pa.Table, whole: bool, longest: int, least: int) -> Iterator[pa.RecordBatch]:
+    """(lang, phrase, words, f) of the prefixes of the suffixes in ``t`` (lang, first, split, c, rests), whose first words are together.
+
+    Suffixes are sorted reverse-lexicographically. The stack of open prefixes is kept for all of them at once: a level is popped
+    where a suffix differs from the one before it in one of the level's words. Frequencies under ``least`` are left out where
+    they are whole: for words that aren't split in ``whole`` tables, and for the longest phrases of others.
+    """
+    first, lang = t.column("first").combine_chunks(), t.column("lang").combine_chunks()
+    new = np.ones(len(t), bool)
+    new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in (k.dictionary_encode().indices.to_numpy() for k in (first, lang))])
+    lines = pc.split_pattern(t.column("rests").combine_chunks(), "\n")
+    parent = pc.list_parent_indices(lines).to_numpy()
+    lists = pc.split_pattern(lines.flatten(), "\t")  # each ends with an empty element
+    off = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    length = np.diff(off)  # words of the rest and one more: words of the suffix
+    coded = lists.flatten().dictionary_encode()
+    size = len(coded.dictionary)
+    place = np.empty(size, np.int64)
+    place[pc.sort_indices(coded.dictionary, sort_keys=[("", "descending")]).to_numpy()] = np.arange(size)
+    word = place[coded.indices.to_numpy()]
+    levels = []
+    for k in range(1, longest):
+        v = np.full(len(length), size, np.int64)  # no word comes last: a prefix after what it begins
+        has = np.flatnonzero(length > k)
+        v[has] = word[off[has] + k - 1]
+        levels.append(v)
+    group = np.cumsum(new)[parent]
+    order = _order(group, levels, size + 1)
+    parent, length = parent[order], length[order]
+    c = t.column("c").combine_chunks().to_numpy()[parent].astype(np.int64)
+    part = t.column("split").combine_chunks().to_numpy(zero_copy_only=False)[parent]
+    pop = np.append(True, group[order][1:] != group[order][:-1])
+    for m in range(1, longest + 1):
+        if m > 1:
+            v = levels[m - 2][order]
+            pop[1:] |= v[1:] != v[:-1]
+        rows = np.flatnonzero(length >= m)
+        if not len(rows):
+            return
+        start = np.flatnonzero(pop[rows])
+        f, at = np.add.reduceat(c[rows], start), rows[start]
+        if whole:
+            keep = f >= least if m == longest else (f >= least) | part[at]
+            f, at = f[keep], at[keep]
+        phrase = first.take(pa.array(parent[at]))
+        if m > 1:
+            phrase = pc.binary_join_element_wise(phrase, pc.binary_join(pc.list_slice(lists.take(pa.array(order[at])), 0, m - 1), " "), " ")
+        yield pa.RecordBatch.from_arrays([lang.take(pa.array(parent[at])), phrase, pa.array(np.full(len(at), m, np.int32)), pa.array(f)], ["lang", "phrase", "words", "f"])
+
+
 def count_prefixes(longest: int = LONGEST, least: int = LEAST):
-    """Sorted rows (first, lang, rest, split, c) to (lang, phrase, words, f): the frequency of every prefix.
+    """Rows (lang, first, split, c, rests) in order of first word and language to (lang, phrase, words, f).
 
-    The stack holds the prefixes of the last row with their counts so far; a row that does not go on with a prefix closes
-    it. Rows of a batch are handled together. Closed prefixes below ``least`` go, unless they are parts of split words.
+    Whole first words are counted together, about GATHER suffixes at a time; one with more than that is counted in parts, none of
+    which is held to ``least``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top: pa.Table | None = None
-        stack = np.zeros(longest, np.int64)
-
-        def emit(t: pa.Table, rows: np.ndarray, m: int, f: np.ndarray) -> pa.RecordBatch | None:
-            if not len(rows):
-                return None
-            part = t.take(pa.array(rows))
-            phrase = part.column("first").combine_chunks()
-            if m > 1:
-                words = pc.list_slice(pc.split_pattern(part.column("rest").combine_chunks(), "\t"), 0, m - 1)
-                phrase = pc.binary_join_element_wise(phrase, pc.binary_join(words, " "), " ")
-            return pa.RecordBatch.from_arrays([part.column("lang").combine_chunks(), phrase, pa.array(np.full(len(rows), m, np.int32)), pa.array(f)], ["lang", "phrase", "words", "f"])
-
-        def kept(f: np.ndarray, split: np.ndarray, m: int) -> np.ndarray:
-            return f >= least if m == longest else (f >= least) | split
+        held: list[pa.Table] = []
+        n, broken = 0, None  # suffixes held, and the first word that was counted in part already
+        key = lambda t, i: (t.column("first")[i].as_py(), t.column("lang")[i].as_py())
+
+        def counted(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            """Whole words together, but the rows of ``broken`` (at the beginning) by themselves."""
+            k = 0
+            if broken is not None and len(t) and key(t, 0) == broken:
+                same = np.logical_and(pc.equal(t.column("first"), broken[0]).to_numpy(), pc.equal(t.column("lang"), broken[1]).to_numpy())
+                k = len(t) if same.all() else int(np.argmin(same))
+                yield from _prefixes(t.slice(0, k), False, longest, least)
+            if k < len(t):
+                yield from _prefixes(t.slice(k), True, longest, least)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             t = pa.Table.from_batches([batch])
-            carried = top is not None
-            if carried:
-                t = pa.concat_tables([top, t])
-            t = t.combine_chunks()
-            n = len(t)
-            codes = np.full((longest, n), -1, np.int64)
-            codes[0] = t.column("first").combine_chunks().dictionary_encode().indices.to_numpy()
-            lang = t.column("lang").combine_chunks().dictionary_encode().indices.to_numpy()
-            lists = pc.split_pattern(t.column("rest").combine_chunks(), "\t")  # ends with an empty element
-            off = lists.offsets.to_numpy()
-            word = lists.flatten().dictionary_encode().indices.to_numpy()
-            length = np.diff(off)  # words of the rest and one more: words of the suffix
-            for k in range(1, longest):
-                has = np.flatnonzero(length > k)
-                codes[k, has] = word[off[has] - off[0] + k - 1]
-            split = t.column("split").combine_chunks().to_numpy(zero_copy_only=False)
-            c = t.column("c").combine_chunks().to_numpy().astype(np.int64)
-            new = np.ones(n, bool)
-            new[1:] = lang[1:] != lang[:-1]
-            now = np.zeros(longest, np.int64)
-            for m in range(1, longest + 1):
-                new[1:] |= codes[m - 1, 1:] != codes[m - 1, :-1]
-                rows = np.flatnonzero(length >= m)
-                if not len(rows):
-                    continue
-                size = c[rows].copy()
-                if carried and rows[0] == 0:
-                    size[0] = stack[m - 1]
-                start = np.flatnonzero(new[rows])
-                f = np.add.reduceat(size, start)
-                at = rows[start]
-                if length[-1] >= m:
-                    now[m - 1], f, at = f[-1], f[:-1], at[:-1]
-                keep = kept(f, split[at], m)
-                out = emit(t, at[keep], m, f[keep])
-                if out is not None:
-                    yield out
-            top, stack = t.slice(n - 1), now
-        if top is not None:
-            split = top.column("split").to_numpy()
-            for m in range(1, longest + 1):
-                f = stack[m - 1 : m]
-                if f[0] and kept(f, split, m)[0]:
-                    yield emit(top, np.zeros(1, np.int64), m, f)
+            held.append(t)
+            n += int(pc.sum(pc.count_substring(t.column("rests"), "\n")).as_py()) + len(t)
+            if n < GATHER // 2:
+                continue
+            t = pa.concat_tables(held)
+            last = key(t, len(t) - 1)
+            same = np.logical_and(pc.equal(t.column("first"), last[0]).to_numpy(), pc.equal(t.column("lang"), last[1]).to_numpy())
+            begin = int(np.argmax(same))
+            yield from counted(t.slice(0, begin))
+            t = t.slice(begin)
+            n = int(pc.sum(pc.count_substring(t.column("rests"), "\n")).as_py()) + len(t)
+            held = [t]
+            if n >= GATHER // 2:
+                yield from _prefixes(t, False, longest, least)
+                held, n, broken = [], 0, last
+        if held:
+            yield from counted(pa.concat_tables(held))
 
     return run
 
@@ -240,8 +293,7 @@ def phrase_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
         hot = {(r.lang, r.word): -(-r.c // part) for r in words.filter(F.col("c") > part).collect()}
         drop(words)
         dealt = texts.mapInArrow(suffixes(hot, longest), "lang string, first string, salt int, split boolean, c long, rests string").repartition("lang", "first", "salt")
-        rows = dealt.select("first", "lang", F.explode(F.split("rests", "\n")).alias("rest"), "split", "c")
-        rows = rows.sortWithinPartitions(F.desc("first"), F.desc("lang"), F.desc("rest"))
+        rows = dealt.select("first", "lang", "split", "c", "rests").sortWithinPartitions("first", "lang")
         counts = rows.mapInArrow(count_prefixes(longest, least), "lang string, phrase string, words int, f long")
         counts = counts.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
         return materialize(counts, "phrases"), sizes
