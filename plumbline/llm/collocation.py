@@ -35,9 +35,9 @@ COVER = 80
 #: What the score counts in: 1,000,000 where neither part occurs without the other.
 SCALE = 2_000_000
 #: First words that are dealt further: more occurrences than PART_WORDS and than one in HOT_SHARE.
-PART_WORDS, HOT_SHARE = 1 << 16, 20_000
-#: Words whose suffixes a worker handles at once, and runs copied at once.
-GATHER, BLOCK = 1 << 19, 1 << 16
+PART_WORDS, HOT_SHARE = 1 << 17, 20_000
+#: Words whose suffixes a worker gathers before the shuffle, suffixes that it counts at once after it, and runs copied at once.
+GATHER, TOGETHER, BLOCK = 1 << 18, 1 << 18, 1 << 16
 #: Groups per language of the first of two rankings.
 RANK_GROUPS = 1_024
 
@@ -230,8 +230,8 @@ def _prefixes(t: pa.Table, whole: bool, longest: int, least: int) -> Iterator[pa
 def count_prefixes(longest: int = LONGEST, least: int = LEAST):
     """Rows (lang, first, split, c, rests) in order of first word and language to (lang, phrase, words, f).
 
-    Whole first words are counted together, about GATHER suffixes at a time; one with more than that is counted in parts, none of
-    which is held to ``least``.
+    Whole first words are counted together, about TOGETHER suffixes at a time; one with more than that is counted in parts, none
+    of which is held to ``least``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +255,7 @@ def count_prefixes(longest: int = LONGEST, least: int = LEAST):
             t = pa.Table.from_batches([batch])
             held.append(t)
             n += int(pc.sum(pc.count_substring(t.column("rests"), "\n")).as_py()) + len(t)
-            if n < GATHER // 2:
+            if n < TOGETHER:
                 continue
             t = pa.concat_tables(held)
             last = key(t, len(t) - 1)
@@ -265,7 +265,7 @@ def count_prefixes(longest: int = LONGEST, least: int = LEAST):
             t = t.slice(begin)
             n = int(pc.sum(pc.count_substring(t.column("rests"), "\n")).as_py()) + len(t)
             held = [t]
-            if n >= GATHER // 2:
+            if n >= TOGETHER:
                 yield from _prefixes(t, False, longest, least)
                 held, n, broken = [], 0, last
         if held:

@@ -56,14 +56,14 @@ def brute(rows, least=30, cover=80, top=2_000):
     return sorted(out)
 
 
-@pytest.mark.parametrize("part,gather", [(1 << 16, 1 << 19), (50, 64), (1 << 16, 64)])
+@pytest.mark.parametrize("part,gather", [(1 << 17, 1 << 18), (50, 64), (1 << 17, 64)])
 def test_phrases_equal_brute_force(spark, monkeypatch, part, gather):
     # small parts split hot first words; small gathers cut texts and count words in parts
     monkeypatch.setattr(collocation, "PART_WORDS", part)
     monkeypatch.setattr(collocation, "HOT_SHARE", 20)
     rows = texts()
     docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    small = (lambda run: run) if gather > 64 else (lambda run: lambda batches: (setattr(collocation, "GATHER", gather), run(batches))[1])
+    small = (lambda run: run) if gather > 64 else (lambda run: lambda batches: (setattr(collocation, "GATHER", gather), setattr(collocation, "TOGETHER", gather), run(batches))[2])
     for name in ("suffixes", "count_prefixes"):
         made = getattr(collocation, name)
         monkeypatch.setattr(collocation, name, lambda *a, made=made, **k: small(made(*a, **k)))
