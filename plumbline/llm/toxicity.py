@@ -8,7 +8,7 @@ forward-backward. A document's score is a logistic function, fitted on the same
 the sum of its marginals; offending spans are runs of tokens with a marginal of at least SPAN_AT.
 
 The fit reads at most SAMPLE toxic and twice as many other documents, the first in order of a hash, with their whole texts
-(of equal texts one), and no more than SAMPLE_BYTES of them; the model is a table of fixed size. Scoring covers every
+(of equal texts one), and no more than half of SAMPLE_BYTES of either label; the model is a table of fixed size. Scoring covers every
 token of every text, with exact forward and backward passes.
 
 Cases: null and empty texts have no tokens and get the score of an all-clean document; repeated rows get equal scores;
@@ -263,19 +263,28 @@ def tag(texts: pa.Array, model: dict) -> tuple[np.ndarray, list[list[dict]]]:
     return np.concatenate(scores) if scores else np.zeros(0), found
 
 
-def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> pd.DataFrame:
+def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> pd.DataFrame:
     """Labelled texts for the fit: rows whose crc32(doc_id) leaves a remainder by 5, at most ``most`` toxic ones and twice as many others.
 
-    Of equal texts with one label one stays; toxic ones first and then in order of a hash they are taken while they fit
-    into SAMPLE_BYTES together, so that a few very long ones (or an id on many rows) can't fill the driver.
+    Of equal texts with one label one stays. In order of a hash each label's texts are taken while they fit into half of
+    ``most_bytes`` together, whatever the other label takes; texts beyond a sixteenth of a half come after all others. Texts are
+    fetched for those that are taken only.
     """
     train = labels.filter(F.col("toxic").isNotNull() & ~held_out("doc_id")).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     picked = [train.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most * (2 - k)) for k in (0, 1)]
     ids = picked[0].union(picked[1])
-    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").filter("text <> ''")
-    found = found.groupBy("toxic", F.sha2("text", 256).alias("digest")).agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"))
-    order = Window.orderBy(F.desc("toxic"), F.xxhash64("doc_id"), "digest").rowsBetween(Window.unboundedPreceding, 0)
-    found = found.withColumn("read", F.sum(F.octet_length("text")).over(order)).filter(F.col("read") <= SAMPLE_BYTES)
+    texts = docs.select("doc_id", "text").filter("text <> ''")
+    sizes = texts.join(F.broadcast(ids), "doc_id").select("toxic", "doc_id", F.sha2("text", 256).alias("digest"), F.octet_length("text").alias("size"))
+    sizes = sizes.groupBy("toxic", "digest").agg(F.min("doc_id").alias("doc_id"), F.max("size").alias("size"))
+    half = most_bytes // 2
+    order = [F.col("size") > half // 16, F.xxhash64("doc_id"), F.col("digest")]
+    chosen = []
+    for k in (0, 1):  # a bounded number of rows without their texts
+        own = sizes.filter((F.col("toxic") == k) & (F.col("size") <= half)).orderBy(*order).limit(most * (2 - k))
+        read = F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+        chosen.append(own.withColumn("read", read).filter(F.col("read") <= half).select("toxic", "doc_id", "digest"))
+    taken = texts.join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").filter(F.sha2("text", 256) == F.col("digest"))
+    found = taken.groupBy("toxic", "digest", "doc_id").agg(F.first("text").alias("text"))
     return found.select("doc_id", "text", "toxic").toPandas().sort_values(["toxic", "doc_id"], kind="stable")
 
 

@@ -13,8 +13,9 @@ passes, which the first level's rate keeps below the number of listed ones), nev
 constants travel with each task; a list too large for that is looked up by joins with the rules instead.
 
 Cases: a null URL or one without ``://`` has an empty host and path and matches nothing; repeated rows are judged
-alike; of rules that fit the longest wins, and of equal keys the one to allow; an empty table or an empty list of rules
-gives no matches; columns named host, path, rule or verdict are replaced, other columns are kept.
+alike; of rules that fit the longest wins, of equally long ones the one with the longer host, and of equal keys the one
+to allow, whichever way a list of that size is looked up; an empty table or an empty list of
+rules gives no matches; columns named host, path, rule or verdict are replaced, other columns are kept.
 """
 
 from __future__ import annotations
@@ -153,9 +154,10 @@ def rules_by_join(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, ur
     parsed = pages.select(*(F.col(f"`{c}`") for c in others(pages, "host", "path", "rule", "verdict")), host_of(url).alias("host"), path_of(url).alias("path"))
     numbered = materialize(packed(parsed).withColumn("n", F.monotonically_increasing_id()), "urls")
     listed = rules.groupBy(F.concat("host", "path").alias("key")).agg(F.min("verdict").alias("v"))
-    keys = numbered.select("n", F.explode(F.array_distinct(candidates(F.col("row.host"), F.col("row.path"), lengths))).alias("key"))
+    # candidates come in order of their hosts' lengths, the longest first, as in the cascade
+    keys = numbered.select("n", F.posexplode(F.array_distinct(candidates(F.col("row.host"), F.col("row.path"), lengths))).alias("place", "key"))
     found = keys.select("key").distinct().join(listed, "key")
-    best = keys.join(found, "key").groupBy("n").agg(F.max(F.struct(F.length("key").alias("l"), "key", "v")).alias("b"))
+    best = keys.join(found, "key").groupBy("n").agg(F.max(F.struct(F.length("key").alias("l"), (-F.col("place")).alias("p"), "key", "v")).alias("b"))
     return numbered.join(best, "n", "left").select("row.*", F.col("b.key").alias("rule"), F.coalesce("b.v", F.lit(default)).alias("verdict"))
 
 
