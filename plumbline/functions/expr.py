@@ -82,6 +82,30 @@ class Expr:
             case _:
                 return Expr("mean", tuple(d))
 
+    def terms(self) -> list[tuple[float, tuple[str, ...]]]:
+        """The expression as a sum of products: (coefficient, variables), equal products taken together."""
+        a = [x.terms() for x in self.args]
+        scaled = lambda ts, c: [(c * k, v) for k, v in ts]
+        match self.op:
+            case "const":
+                out = [(float(self.value), ())]
+            case "var":
+                out = [(1.0, (str(self.value),))]
+            case "mul":
+                out = [(x * y, tuple(sorted(v + w))) for x, v in a[0] for y, w in a[1]]
+            case "neg":
+                out = scaled(a[0], -1.0)
+            case "sub":
+                out = a[0] + scaled(a[1], -1.0)
+            case "ssum":
+                out = [(float(self.value[0]), ()), *(t for c, ts in zip(self.value[1:], a, strict=True) for t in scaled(ts, float(c)))]
+            case _:
+                out = [t for ts in a for t in scaled(ts, 1.0 / len(a) if self.op == "mean" else 1.0)]
+        joint: dict[tuple[str, ...], float] = {}
+        for c, v in out:
+            joint[v] = joint.get(v, 0.0) + c
+        return [(c, v) for v, c in sorted(joint.items()) if c != 0.0 or not v]
+
     def column(self) -> Column:
         return F.expr(self.sql())
 

@@ -739,4 +739,4 @@ def registration_em(spark, d):
 
 FLAGSHIP = "decision_minimum"
 
-from plumbline.plans import more  # noqa: E402, F401  (registers further queries)
+from plumbline.plans import models, more  # noqa: E402, F401  (register further queries)

@@ -211,7 +211,7 @@ def dangling(rows: DataFrame) -> DataFrame:
 
 #: Product classes and the quantities that each needs.
 PRODUCTS = {
-    "IFCBUILDINGSTOREY": ("ClearHeight",), "IFCWALL": ("Length", "Width", "UnitCost"), "IFCOPENINGELEMENT": ("Width", "Height"),
+    "IFCBUILDINGSTOREY": ("ClearHeight",), "IFCWALL": ("Length", "Width"), "IFCOPENINGELEMENT": ("Width", "Height"),
     "IFCDOOR": ("Width", "Height"), "IFCSPACE": ("Length", "Width"), "IFCBEAM": ("Length",),
 }
 EDGES = {"IFCRELAGGREGATES": ("aggregates", 4, 5), "IFCRELCONTAINEDINSPATIALSTRUCTURE": ("contains", 5, 4), "IFCRELSPACEBOUNDARY": ("bounds", 5, 4), "IFCRELVOIDSELEMENT": ("voids", 5, 4), "IFCRELFILLSELEMENT": ("fills", 5, 4)}
