@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.expr import Expr
-from plumbline.operators.graph import _cut
+from plumbline.operators.graph import stored
 
 
 class DependencyError(ValueError):
@@ -50,21 +50,21 @@ class Evaluated:
 def evaluate(raw: DataFrame, terms: DataFrame) -> Evaluated:
     """Exact values of the derived variables at the means raw (world, i, mu), and their partial derivatives there."""
     factor = F.posexplode_outer("refs").alias("pos", "ref")
-    found = _cut(raw.select("world", "i", F.col("mu").cast("double").alias("mu"), F.lit(0).alias("level")))
+    found = stored(raw.select("world", "i", F.col("mu").cast("double").alias("mu"), F.lit(0).alias("level")))
     # one row per factor with its value once that is known; constants have a row without a reference
-    left = _cut(terms.select("world", "i", "term", "coef", factor).withColumn("x", F.when(F.col("ref").isNull(), F.lit(1.0))))
+    left = stored(terms.select("world", "i", "term", "coef", factor).withColumn("x", F.when(F.col("ref").isNull(), F.lit(1.0))))
     new, values, partials, level = found, found, None, 0
     while not left.isEmpty():
         level += 1
         known = left.join(new.select("world", F.col("i").alias("ref"), F.col("mu").alias("now")), ["world", "ref"], "left")
-        known = _cut(known.select("world", "i", "term", "coef", "pos", "ref", F.coalesce("x", "now").alias("x")))
+        known = stored(known.select("world", "i", "term", "coef", "pos", "ref", F.coalesce("x", "now").alias("x")))
         open_ = known.filter("x IS NULL").select("world", "i").distinct()
         ready = known.join(open_, ["world", "i"], "left_anti")
         left = known.join(open_, ["world", "i"], "left_semi")
         product = lambda skip=None: F.aggregate("f", F.lit(1.0), lambda a, y: a * (y["x"] if skip is None else F.when(y["pos"] == skip["pos"], 1.0).otherwise(y["x"])))
         per = ready.groupBy("world", "i", "term", "coef").agg(F.array_sort(F.collect_list(F.struct("pos", "ref", "x"))).alias("f"))
         per = per.withColumn("d", F.transform("f", lambda y: F.struct(y["ref"].alias("parent"), (F.col("coef") * product(y)).alias("v"))))
-        per = _cut(per.select("world", "i", (F.col("coef") * product()).alias("mu"), F.filter("d", lambda y: y["parent"].isNotNull()).alias("d")))
+        per = stored(per.select("world", "i", (F.col("coef") * product()).alias("mu"), F.filter("d", lambda y: y["parent"].isNotNull()).alias("d")))
         new = per.groupBy("world", "i").agg(F.sum("mu").alias("mu")).withColumn("level", F.lit(level))
         if per.isEmpty():
             at = left.filter("x IS NULL").orderBy("world", "i", "ref").first()
@@ -84,11 +84,11 @@ def total_jacobian(done: Evaluated) -> DataFrame:
     A level takes its rows from those of all levels below, which are read from tables.
     """
     raw = done.values.filter("level = 0").select("world", F.col("i").alias("r"), F.col("i").alias("c"), F.lit(1.0).alias("v"))
-    below, out = _cut(raw), None
+    below, out = stored(raw), None
     for level in range(1, done.depth + 1):
         p = done.partials.filter(F.col("level") == level).select("world", "child", F.col("parent").alias("r"), F.col("v").alias("p"))
         rows = p.join(below, ["world", "r"]).groupBy("world", F.col("child").alias("r"), "c").agg(F.sum(F.col("p") * F.col("v")).alias("v"))
-        rows = _cut(rows)
+        rows = stored(rows)
         below = below.unionByName(rows)
         out = rows if out is None else out.unionByName(rows)
     return raw.limit(0) if out is None else out
@@ -96,14 +96,14 @@ def total_jacobian(done: Evaluated) -> DataFrame:
 
 def affected(terms: DataFrame, changed: DataFrame) -> DataFrame:
     """(world, i): the derived variables that depend on ``changed`` (world, i), however far."""
-    edges = _cut(terms.select("world", "i", F.explode("refs").alias("ref")).distinct())
+    edges = stored(terms.select("world", "i", F.explode("refs").alias("ref")).distinct())
     new, out = changed.select("world", F.col("i").alias("ref")).distinct(), None
     while True:
         reached = edges.join(new, ["world", "ref"], "left_semi").select("world", "i").distinct()
         if out is not None:
             reached = reached.join(out, ["world", "i"], "left_anti")
-        reached = _cut(reached)
+        reached = stored(reached)
         if reached.isEmpty():
             return reached if out is None else out
-        out = reached if out is None else _cut(out.unionByName(reached))
+        out = reached if out is None else stored(out.unionByName(reached))
         new = reached.select("world", F.col("i").alias("ref"))
