@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.operators import graph
+from plumbline.functions import numeric
+from plumbline.operators import clash, geometry, graph
 from plumbline.plans import worlds as w
 from plumbline.plans.catalog import query, r
 from plumbline.sources import lower, step
@@ -27,9 +28,13 @@ class _Writer:
         text = F.concat(*parts)
         self.said.append(text if when is None else F.when(when, text).otherwise(""))
 
-    def product(self, number: int, kind: str, name: str, lengths: dict, when=None, sets: dict | None = None, skip: dict | None = None):
-        """One product with its quantity set, and property sets {name: {property: text}}."""
-        self.add(f"#{number}=IFC{kind}('{name}", self.key.cast("string"), "',$,'", name, "',$,$,$,$,$,$);", when=when)
+    def product(self, number: int, kind: str, name: str, lengths: dict, when=None, sets: dict | None = None, skip: dict | None = None, at: tuple | None = None):
+        """One product with its quantity set, property sets {name: {property: text}}, and its corner in millimetres."""
+        place = "$" if at is None else f"#{number + 1007}"
+        self.add(f"#{number}=IFC{kind}('{name}", self.key.cast("string"), "',$,'", name, f"',$,$,{place},$,$,$);", when=when)
+        if at is not None:
+            x, y, z = (self.real(v if not isinstance(v, int) else F.lit(v).cast("long")) for v in at)
+            self.add(f"#{number + 1005}=IFCCARTESIANPOINT((", x, ",", y, ",", z, f"));#{number + 1006}=IFCAXIS2PLACEMENT3D(#{number + 1005},$,$);#{place[1:]}=IFCLOCALPLACEMENT($,#{number + 1006});", when=when)
         for k, (q, mm) in enumerate(lengths.items()):
             own = when if not skip or q not in skip else (~skip[q] if when is None else when & ~skip[q])
             self.add(f"#{number + 1 + k}=IFCQUANTITYLENGTH('{q}',$,$,", self.real(mm), ",$);", when=own)
@@ -60,13 +65,13 @@ def offices(spark: SparkSession, d: str) -> DataFrame:
     text = lambda v: F.concat(v.cast("string"), F.lit("."))
     x.product(100, "BUILDINGSTOREY", "S", {"ClearHeight": 2500 + 100 * (k % 10)})
     x.product(900, "BUILDINGSTOREY", "T", {"ClearHeight": lit(2500)}, when=k % 101 == 5)
-    x.product(200, "WALL", "WA", {"Length": 3000 + 500 * (k % 7), "Width": lit(300)}, sets={"Material": ({"UnitCost": text(200 + k % 100)}, None), "Posterior": ({"LengthSigma": x.real(lit(4))}, k % 6 == 0)})
-    x.product(300, "WALL", "WB", {"Length": 4000 + 250 * (k % 5), "Width": lit(200)}, sets={"Material": ({"UnitCost": F.lit("150.")}, k % 3 == 0)}, skip={"Width": k % 97 == 0})
+    x.product(200, "WALL", "WA", {"Length": 3000 + 500 * (k % 7), "Width": lit(300)}, sets={"Material": ({"UnitCost": text(200 + k % 100)}, None), "Posterior": ({"LengthSigma": x.real(lit(4))}, k % 6 == 0)}, at=(0, 0, 0))
+    x.product(300, "WALL", "WB", {"Length": 4000 + 250 * (k % 5), "Width": lit(200)}, sets={"Material": ({"UnitCost": F.lit("150.")}, k % 3 == 0)}, skip={"Width": k % 97 == 0}, at=(1000, 280 + 10 * (k % 4), 0))
     x.product(400, "OPENINGELEMENT", "OA", {"Width": 900 + 10 * (k % 5), "Height": F.when(k % 22 == 0, 2690).otherwise(2100).cast("long")}, when=k % 2 == 0)
     x.product(420, "OPENINGELEMENT", "OB", {"Width": lit(1200), "Height": lit(1500)}, when=k % 5 == 0)
     x.product(440, "OPENINGELEMENT", "OC", {"Width": lit(600), "Height": 600 + 100 * (k % 3)}, when=k % 5 == 0)
-    x.product(460, "DOOR", "D", {"Width": lit(850), "Height": lit(2000)}, when=k % 4 == 0)
-    x.product(500, "SPACE", "R", {"Length": 4000 + 100 * (k % 9), "Width": lit(3000)})
+    x.product(460, "DOOR", "D", {"Width": lit(850), "Height": lit(2000)}, when=k % 4 == 0, at=(500, 100, 0))
+    x.product(500, "SPACE", "R", {"Length": 4000 + 100 * (k % 9), "Width": lit(3000)}, at=(0, 480, 0))
     strength = {"YieldStrengthMPa": F.lit("350."), "YieldStrengthMPaSigma": F.lit("8."), "PlasticSectionModulusMajorM3": F.lit("0.001"), "PlasticSectionModulusMajorM3Sigma": F.lit("0.00001")}
     x.product(600, "BEAM", "B", {"Length": lit(6000)}, when=k % 4 < 2, sets={"Structural": (strength, k % 4 == 1)})
     x.add("#700=IFCRELCONTAINEDINSPATIALSTRUCTURE('c',$,$,$,(#200,#300),#100);#701=IFCRELAGGREGATES('a',$,$,$,#100,(#500));")
@@ -77,8 +82,12 @@ def offices(spark: SparkSession, d: str) -> DataFrame:
     return c.select(k.cast("string").alias("file"), F.concat(*x.said).alias("text"))
 
 
+def _rows(spark, d):
+    return graph._cut(step.read_texts(offices(spark, d)))
+
+
 def _lowered(spark, d):
-    return lower.lower(graph._cut(step.read_texts(offices(spark, d))))
+    return lower.lower(_rows(spark, d))
 
 
 #: The sound files' dimensions in metres with their spreads, and walls with what their openings take.
@@ -146,3 +155,21 @@ UNION ALL SELECT vec_id::VARCHAR, '2', 'not one storey' FROM embeddings WHERE ve
 def lowering_faults(spark, d):
     """Files that can't be lowered, with the reason; the others are lowered all the same."""
     return _lowered(spark, d)[1]
+
+
+@query("model_clashes", f"""WITH {OFFICE}, p AS (SELECT k, -0.02e0 + 0.01e0 * (k % 4) AS d FROM c), q AS (SELECT k, d, {numeric.normal_cdf_sql("(-(d + 0.01e0) / 0.002e0)")} AS p FROM p)
+SELECT k::VARCHAR AS world, 'WA' || k AS a, 'WB' || k AS b, round(d, 6) AS clearance, 0.002e0 AS sigma, round(p, 6) AS p FROM q WHERE p >= 0.001e0""")
+def model_clashes(spark, d):
+    """Clashes of the placed products of STEP texts, with spreads from the lowered belief; doors in their walls are exempt."""
+    rows = _rows(spark, d)
+    low, _ = lower.lower(rows)
+    world = lower.compile_(low)
+    boxes, motion = lower.boxes(rows, world)
+    boxes = graph.stored(boxes.filter("solid"))
+    join = lambda c: F.concat_ws("/", "world", c)
+    free = clash.exempt(low.edges.withColumnRenamed("file", "world")).select(join("a").alias("a"), join("b").alias("b"))
+    pairs = graph.stored(geometry.without(geometry.near_pairs(boxes, 0.5, 4.0, "world"), free))
+    cov = world.cov.select(join("i").alias("i"), join("k").alias("k"), "v")
+    out = clash.score(pairs, boxes, motion, cov, geometry.tile(boxes, 0.75), min_p=0.001)
+    name = lambda c: F.split(c, "/")[1].alias(c)
+    return out.select(F.split("a", "/")[0].alias("world"), name("a"), name("b"), r("clearance", 6).alias("clearance"), r("sigma", 6).alias("sigma"), r("p_clash", 6).alias("p"))

@@ -160,3 +160,37 @@ def constraints(world: World) -> DataFrame:
     three = verify.finished(verify.cons_03(world.values.select("world", "i", F.col("mu").alias("value")).join(again, ["world", "i"])), "CONS-03")
     return one.unionByName(two).unionByName(three)
 
+
+
+#: The extents of classes along their own axes (a number is a constant in metres), and which are solid.
+EXTENTS = {"IFCWALL": ("Length", "Width", "Height"), "IFCSPACE": ("Length", "Width", "storey.ClearHeight"), "IFCDOOR": ("Width", 0.05, "Height")}
+SOLID = ("IFCWALL", "IFCDOOR")
+
+
+def boxes(rows: DataFrame, world: World) -> tuple[DataFrame, DataFrame]:
+    """The scene of every world: boxes (id, world, ifc_class, solid, x, y, z, angle, ex, ey, ez) of products that have a placement, and
+    motion (id, c, x, y, z, ex, ey, ez), how they change with the raw quantities. ``id`` and ``c`` begin with the world and a slash.
+
+    A placement is a box's lower corner; the centre lies half the extents along the box's own axes.
+    """
+    low = world.lowered
+    known = low.entities.filter(F.col("ifc_class").isin(*EXTENTS))
+    has = rows.select("file", "step_id", _json("$[5].ref").alias("p")).filter("p IS NOT NULL").select("file", "step_id")
+    at = scene.placed(rows, known.join(has, ["file", "step_id"], "left_semi"))
+    storey = low.entities.filter("ifc_class = 'IFCBUILDINGSTOREY'").select("file", F.col("global_id").alias("storey"))
+    at = at.join(storey, "file").withColumn("id", F.concat_ws("/", "file", "global_id"))
+    own = lambda v: F.lit(None).cast("string") if isinstance(v, float) else F.concat_ws(".", "storey", F.lit(v.split(".")[1])) if v.startswith("storey.") else F.concat_ws(".", "global_id", F.lit(v))
+    pick = lambda k, f, other: F.coalesce(*(F.when(F.col("ifc_class") == c, f(e[k])) for c, e in EXTENTS.items()), other)
+    for k, e in enumerate(("ex", "ey", "ez")):
+        at = at.withColumns({f"v_{e}": pick(k, own, F.lit(None).cast("string")), e: pick(k, lambda v: F.lit(v if isinstance(v, float) else None).cast("double"), F.lit(None).cast("double"))})
+    long = at.select("file", "id", F.explode(F.array(*(F.struct(F.lit(e).alias("e"), F.col(f"v_{e}").alias("i")) for e in ("ex", "ey", "ez")))).alias("q")).select("file", "id", "q.*").filter("i IS NOT NULL")
+    values = long.join(world.values.select(F.col("world").alias("file"), "i", "mu"), ["file", "i"]).groupBy("id").agg(*(F.max(F.when(F.col("e") == e, F.col("mu"))).alias(f"m_{e}") for e in ("ex", "ey", "ez")))
+    at = _cut(at.join(values, "id", "left").withColumns({e: F.coalesce(e, f"m_{e}") for e in ("ex", "ey", "ez")}))
+    c, s = F.cos("angle"), F.sin("angle")
+    centre = {"x": F.col("x") + c * F.col("ex") / 2 - s * F.col("ey") / 2, "y": F.col("y") + s * F.col("ex") / 2 + c * F.col("ey") / 2, "z": F.col("z") + F.col("ez") / 2}
+    made = at.select("id", F.col("file").alias("world"), "ifc_class", F.col("ifc_class").isin(*SOLID).alias("solid"), *(centre[d].alias(d) for d in "xyz"), "angle", "ex", "ey", "ez")
+    rows_ = world.jac.unionByName(world.values.filter("level = 0").select("world", F.col("i").alias("r"), F.col("i").alias("c"), F.lit(1.0).alias("v")))
+    grad = long.join(rows_.select(F.col("world").alias("file"), F.col("r").alias("i"), "c", "v"), ["file", "i"]).join(at.select("id", "angle"), "id")
+    grad = grad.groupBy("id", "angle", F.concat_ws("/", "file", "c").alias("c")).agg(*(F.sum(F.when(F.col("e") == e, F.col("v")).otherwise(0.0)).alias(e) for e in ("ex", "ey", "ez")))
+    half = {"x": (F.cos("angle") * F.col("ex") - F.sin("angle") * F.col("ey")) / 2, "y": (F.sin("angle") * F.col("ex") + F.cos("angle") * F.col("ey")) / 2, "z": F.col("ez") / 2}
+    return made, grad.select("id", "c", *(half[d].alias(d) for d in "xyz"), "ex", "ey", "ez")
