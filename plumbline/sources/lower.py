@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.expr import Expr, const, var
 from plumbline.operators import belief, derive, verify
-from plumbline.operators.graph import _cut
+from plumbline.operators.graph import stored
 from plumbline.sources import scene, step
 from plumbline.sources.scene import _json
 
@@ -73,16 +73,16 @@ def faults(rows: DataFrame, known: DataFrame, found: DataFrame) -> DataFrame:
 
 def lower(rows: DataFrame, stated: tuple[str, ...] = ("Posterior", "Uncertainty", "Material", "Structural"), marker: str = "Structural") -> tuple[Lowered, DataFrame]:
     """The worlds of all sound files, and the faults of the others."""
-    known = _cut(products(rows, marker))
-    bad = _cut(faults(rows, known, step.quantities(rows)))
-    known = _cut(known.join(bad.select("file").distinct(), "file", "left_anti"))
+    known = stored(products(rows, marker))
+    bad = stored(faults(rows, known, step.quantities(rows)))
+    known = stored(known.join(bad.select("file").distinct(), "file", "left_anti"))
     ids = known.select("file", F.col("step_id").alias("n"), "global_id", "ifc_class")
     edges = step.edges(rows, known)
     for end in ("src", "dst"):
         edges = edges.join(ids.select("file", F.col("n").alias(end), F.col("global_id").alias(f"{end}_id"), F.col("ifc_class").alias(f"{end}_class")), ["file", end])
-    edges = _cut(edges.select("file", "kind", F.col("src_id").alias("src"), F.col("dst_id").alias("dst"), "src_class", "dst_class").distinct())
+    edges = stored(edges.select("file", "kind", F.col("src_id").alias("src"), F.col("dst_id").alias("dst"), "src_class", "dst_class").distinct())
     slots = scene.priors(rows, known, stated).join(known.select("file", "step_id", "global_id"), ["file", "step_id"])
-    slots = _cut(slots.select("file", "global_id", "quantity", F.concat_ws(".", "global_id", "quantity").alias("i"), "mu", "sigma"))
+    slots = stored(slots.select("file", "global_id", "quantity", F.concat_ws(".", "global_id", "quantity").alias("i"), "mu", "sigma"))
     storey = known.filter("ifc_class = 'IFCBUILDINGSTOREY'").select("file", F.col("global_id").alias("storey"))
     each = known.join(storey, "file")
     priced = slots.filter("quantity = 'UnitCost'").select("file", "global_id")
@@ -115,7 +115,7 @@ def lower(rows: DataFrame, stated: tuple[str, ...] = ("Posterior", "Uncertainty"
     restated = again[0]
     for p in again[1:]:
         restated = restated.unionByName(p)
-    return Lowered(known, edges, slots, terms, bounds, restated), bad
+    return Lowered(known, edges, slots, stored(terms), stored(bounds), stored(restated)), bad
 
 
 @dataclass
@@ -134,10 +134,10 @@ def compile_(low: Lowered) -> World:
     raw = low.slots.select(F.col("file").alias("world"), "i", "mu")
     cov = low.slots.select(F.col("file").alias("world"), "i", F.col("i").alias("k"), (F.col("sigma") ** 2).alias("v"))
     done = derive.evaluate(raw, low.terms)
-    jac = derive.total_jacobian(done)
+    jac = stored(derive.total_jacobian(done))
     var_ = belief.pushforward(jac, cov, variances_only=True).select("world", F.col("r").alias("i"), F.sqrt("v").alias("sd"))
     sd = low.slots.select(F.col("file").alias("world"), "i", F.col("sigma").alias("sd")).unionByName(var_)
-    return World(done.values, jac, cov, _cut(sd), low)
+    return World(stored(done.values), jac, cov, stored(sd), low)
 
 
 def constraints(world: World) -> DataFrame:
@@ -185,7 +185,7 @@ def boxes(rows: DataFrame, world: World) -> tuple[DataFrame, DataFrame]:
         at = at.withColumns({f"v_{e}": pick(k, own, F.lit(None).cast("string")), e: pick(k, lambda v: F.lit(v if isinstance(v, float) else None).cast("double"), F.lit(None).cast("double"))})
     long = at.select("file", "id", F.explode(F.array(*(F.struct(F.lit(e).alias("e"), F.col(f"v_{e}").alias("i")) for e in ("ex", "ey", "ez")))).alias("q")).select("file", "id", "q.*").filter("i IS NOT NULL")
     values = long.join(world.values.select(F.col("world").alias("file"), "i", "mu"), ["file", "i"]).groupBy("id").agg(*(F.max(F.when(F.col("e") == e, F.col("mu"))).alias(f"m_{e}") for e in ("ex", "ey", "ez")))
-    at = _cut(at.join(values, "id", "left").withColumns({e: F.coalesce(e, f"m_{e}") for e in ("ex", "ey", "ez")}))
+    at = stored(at.join(values, "id", "left").withColumns({e: F.coalesce(e, f"m_{e}") for e in ("ex", "ey", "ez")}))
     c, s = F.cos("angle"), F.sin("angle")
     centre = {"x": F.col("x") + c * F.col("ex") / 2 - s * F.col("ey") / 2, "y": F.col("y") + s * F.col("ex") / 2 + c * F.col("ey") / 2, "z": F.col("z") + F.col("ez") / 2}
     made = at.select("id", F.col("file").alias("world"), "ifc_class", F.col("ifc_class").isin(*SOLID).alias("solid"), *(centre[d].alias(d) for d in "xyz"), "angle", "ex", "ey", "ez")
