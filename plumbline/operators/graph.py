@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -21,19 +21,24 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """End lineage at a table in the shared folder, whose real size plans know.
-
-    Estimates of checkpoints are products of the estimates before them, which grow beyond use in loops of many joins.
-    """
-    spark = df.sparkSession
+def new_folder(spark: SparkSession) -> str:
+    """A name in the shared folder that nothing has yet."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="plumbline-")
         spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/tables/{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """End lineage at a table in the shared folder, whose real size plans know.
+
+    Estimates of checkpoints are products of the estimates before them, which grow beyond use in loops of many joins.
+    """
+    spark = df.sparkSession
+    path = new_folder(spark)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_path = path
