@@ -32,15 +32,16 @@ def new_folder(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/tables/{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """End lineage at a table in the shared folder, whose real size plans know.
+def stored(df: DataFrame, by: str | None = None) -> DataFrame:
+    """End lineage at a table in the shared folder, whose real size plans know; ``by`` names a column of few values by which it is
+    partitioned, so that scans with a filter on it read their part alone.
 
     Estimates of checkpoints are products of the estimates before them, which grow beyond use in loops of many joins.
     """
     spark = df.sparkSession
     path = new_folder(spark)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path).select(*df.columns)
     out._stored_path = path
     return out
 

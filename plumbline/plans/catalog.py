@@ -739,4 +739,4 @@ def registration_em(spark, d):
 
 FLAGSHIP = "decision_minimum"
 
-from plumbline.plans import clashes, dense_worlds, lifecycle, models, more, presentable, scans  # noqa: E402, F401  (register further queries)
+from plumbline.plans import clashes, dense_worlds, lifecycle, models, more, presentable, scans, sites  # noqa: E402, F401  (register further queries)

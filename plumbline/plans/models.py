@@ -83,7 +83,7 @@ def offices(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _rows(spark, d):
-    return graph.stored(step.read_texts(offices(spark, d)))
+    return graph.stored(step.read_texts(offices(spark, d)), "type_name")
 
 
 def _lowered(spark, d):
