@@ -9,7 +9,7 @@ from plumbline.functions import numeric
 from plumbline.operators import clash, geometry, graph
 from plumbline.plans import worlds as w
 from plumbline.plans.catalog import query, r
-from plumbline.sources import lower, step
+from plumbline.sources import lower, patch, scene, step
 
 
 class _Writer:
@@ -173,3 +173,19 @@ def model_clashes(spark, d):
     out = clash.score(pairs, boxes, motion, cov, geometry.tile(boxes, 0.75), min_p=0.001)
     name = lambda c: F.split(c, "/")[1].alias(c)
     return out.select(F.split("a", "/")[0].alias("world"), name("a"), name("b"), r("clearance", 6).alias("clearance"), r("sigma", 6).alias("sigma"), r("p_clash", 6).alias("p"))
+
+
+@query("exported_models", f"""WITH {OFFICE} SELECT k::VARCHAR AS file, e || k AS product, q AS quantity, round(mu, 6) AS mu, round(s, 6) AS sigma FROM (
+SELECT k, wall AS e, 'Length' AS q, l + 0.25e0 AS mu, sl / 2 AS s FROM x UNION ALL SELECT k, wall, 'Width', t + 0.25e0, 0.001e0 FROM x
+UNION ALL SELECT k, wall, 'UnitCost', u + 0.25e0, u * 0.04e0 FROM x WHERE u IS NOT NULL) v""")
+def exported_models(spark, d):
+    """Walls a quarter larger and twice as certain, written into their STEP texts, and what is read from those again."""
+    texts = graph.stored(offices(spark, d))
+    rows = graph.stored(step.read_texts(texts), "type_name")
+    known = lower.products(rows)
+    bad = lower.faults(rows, known, step.quantities(rows))
+    walls = graph.stored(known.filter("ifc_class = 'IFCWALL'").join(bad.select("file").distinct(), "file", "left_anti"))
+    before = scene.priors(rows, walls, ("Posterior",)).select("file", F.col("step_id").alias("product"), "quantity", (F.col("mu") + 0.25).alias("mu"), (F.col("sigma") / 2).alias("sigma"))
+    again = graph.stored(step.read_texts(patch.export(texts, rows, graph.stored(before))), "type_name")
+    found = scene.priors(again, walls, ("Posterior",)).join(walls.select("file", "step_id", "global_id"), ["file", "step_id"])
+    return found.select("file", F.col("global_id").alias("product"), "quantity", r("mu", 6).alias("mu"), r("sigma", 6).alias("sigma"))
