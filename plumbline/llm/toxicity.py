@@ -263,11 +263,11 @@ def tag(texts: pa.Array, model: dict) -> tuple[np.ndarray, list[list[dict]]]:
     return np.concatenate(scores) if scores else np.zeros(0), found
 
 
-def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> pd.DataFrame:
+def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, most_bytes: int | None = None) -> pd.DataFrame:
     """Labelled texts for the fit: rows whose crc32(doc_id) leaves a remainder by 5, at most ``most`` toxic ones and twice as many others.
 
     Of equal texts with one label one stays. In order of a hash each label's texts are taken while they fit into half of
-    ``most_bytes`` together, whatever the other label takes; texts beyond a sixteenth of a half come after all others. Texts are
+    ``most_bytes`` (SAMPLE_BYTES) together, whatever the other label takes; texts beyond a sixteenth of a half come after all others. Texts are
     fetched for those that are taken only.
     """
     train = labels.filter(F.col("toxic").isNotNull() & ~held_out("doc_id")).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
@@ -276,7 +276,7 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, most_bytes: i
     texts = docs.select("doc_id", "text").filter("text <> ''")
     sizes = texts.join(F.broadcast(ids), "doc_id").select("toxic", "doc_id", F.sha2("text", 256).alias("digest"), F.octet_length("text").alias("size"))
     sizes = sizes.groupBy("toxic", "digest").agg(F.min("doc_id").alias("doc_id"), F.max("size").alias("size"))
-    half = most_bytes // 2
+    half = (SAMPLE_BYTES if most_bytes is None else most_bytes) // 2
     order = [F.col("size") > half // 16, F.xxhash64("doc_id"), F.col("digest")]
     chosen = []
     for k in (0, 1):  # a bounded number of rows without their texts
