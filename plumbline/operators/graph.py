@@ -164,3 +164,56 @@ def connected(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
         labels = new.select("node", "component")
         if new.filter("component <> was").isEmpty():
             return labels
+
+
+def spectrum(edges: DataFrame, steps: int = 40, tiny: float = 1e-9) -> DataFrame:
+    """(component, nodes, edges, connectivity, largest): of each component the least eigenvalue of the Laplacian beyond the zero that
+    belongs to it, and the largest; edges (src, dst) count once in either direction, loops not at all.
+
+    Lanczos steps run for all components together, on vectors without a component's mean, which takes its zero away. A step is a
+    join along the edges and sums by node and component; a component ends when its next vector vanishes. Only the
+    tridiagonal matrices, of at most ``steps`` rows, are taken apart outside of joins. Large components whose eigenvalues lie
+    close together give bounds: from above for the connectivity, from below for the largest.
+    """
+    import numpy as np
+    import pandas as pd
+
+    one = edges.filter("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    both = stored(one.select(F.col("a").alias("node"), F.col("b").alias("other")).union(one.select("b", "a")))
+    at = stored(both.groupBy("node").agg(F.count("*").alias("degree")).join(connected(one.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "node"))
+    sizes = at.groupBy("component").agg(F.count("*").alias("nodes"), (F.sum("degree") / 2).cast("long").alias("edges"))
+
+    def centred(df: DataFrame, c: str) -> DataFrame:
+        mean = df.groupBy("component").agg(F.avg(c).alias("mean"))
+        return df.join(mean, "component").withColumn(c, F.col(c) - F.col("mean")).drop("mean")
+
+    def scaled(df: DataFrame, c: str) -> tuple[DataFrame, DataFrame]:
+        """The vectors that do not vanish at length 1, and (component, norm) of all."""
+        norm = stored(df.groupBy("component").agg(F.sqrt(F.sum(F.col(c) ** 2)).alias("norm")))
+        return df.join(norm.filter(F.col("norm") > tiny), "component").withColumn(c, F.col(c) / F.col("norm")).drop("norm"), norm
+
+    start = at.withColumn("v", F.pmod(F.xxhash64("node"), F.lit(1_000_003)) / 1_000_003.0)
+    now = stored(scaled(centred(start, "v"), "v")[0].withColumns({"u": F.lit(0.0), "beta": F.lit(0.0)}))
+    found = None
+    for j in range(steps):
+        if now.isEmpty():
+            break
+        moved = both.join(now.select(F.col("node").alias("other"), F.col("v").alias("w")), "other").groupBy("node").agg(F.sum("w").alias("w"))
+        next_ = now.join(moved, "node").withColumn("w", F.col("degree") * F.col("v") - F.col("w") - F.col("beta") * F.col("u"))
+        alpha = next_.groupBy("component").agg(F.sum(F.col("w") * F.col("v")).alias("alpha"))
+        next_ = stored(next_.join(alpha, "component").withColumn("w", F.col("w") - F.col("alpha") * F.col("v")))
+        rows, norm = scaled(centred(next_, "w"), "w")
+        told = next_.select("component", "alpha").distinct().join(norm, "component").select("component", F.lit(j).alias("j"), "alpha", F.col("norm").alias("beta"))
+        found = stored(told) if found is None else found.unionByName(stored(told))
+        now = stored(rows.join(norm, "component").select("node", "degree", "component", F.col("w").alias("v"), F.col("v").alias("u"), F.col("norm").alias("beta")))
+    if found is None:
+        return sizes.withColumns({"connectivity": F.lit(0.0), "largest": F.lit(0.0)})
+
+    def ends(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("j")
+        off = pdf["beta"].to_numpy()[:-1]
+        v = np.linalg.eigvalsh(np.diag(pdf["alpha"].to_numpy()) + np.diag(off, 1) + np.diag(off, -1))
+        return pd.DataFrame({"component": [pdf["component"].iloc[0]], "connectivity": [v[0]], "largest": [v[-1]]})
+
+    kind = dict(found.dtypes)["component"]
+    return sizes.join(found.groupBy("component").applyInPandas(ends, f"component {kind}, connectivity double, largest double"), "component")

@@ -448,3 +448,11 @@ def placed_walls(spark, d):
     """Model texts parsed, their units resolved, their chains of placements composed: each wall's place in metres."""
     rows = graph._cut(step.read_texts(_models(spark, d)))  # texts are parsed once, types are read from the table
     return scene.placed(rows, step.entities(rows)).select("global_id", *(r(c, 6).alias(c) for c in "xyz"))
+
+
+@query("component_spectrum", """SELECT 'c' || min(c_custkey::VARCHAR) AS first, count(*) + 1 AS nodes, count(*) AS edges, CASE WHEN count(*) = 1 THEN 2e0 ELSE 1e0 END AS connectivity, count(*) + 1e0 AS largest FROM customer GROUP BY c_nationkey""")
+def component_spectrum(spark, d):
+    """Ends of the spectrum of each component of nations and their customers; the component's name is its least node."""
+    c = w.table(spark, d, "customer")
+    found = graph.spectrum(c.select(F.concat(F.lit("c"), "c_custkey").alias("src"), F.concat(F.lit("n"), "c_nationkey").alias("dst")))
+    return found.select(F.col("component").alias("first"), "nodes", "edges", r("connectivity", 6).alias("connectivity"), r("largest", 6).alias("largest"))
