@@ -12,7 +12,8 @@ ranks), raised to ALPHA; a byte piece is BYTE_COST less likely, so that it is us
 then, by sampling. A mark in the text itself is written in byte pieces only, so that decoding gives back each byte. No mark
 is put before a text that starts without a space, for the same reason.
 
-Cases: null gives no pieces and decodes to the empty text; empty texts likewise; very long words work like others;
+Cases: null gives no pieces and decodes to the empty text; empty texts likewise; very long words work like others; ids
+that aren't integers count by a hash of their text;
 repeated rows with one key get equal pieces, and a null key counts as -1; an empty table gives an empty table; a column
 named as the result (pieces, decoded) is replaced, other columns are kept.
 """
@@ -218,6 +219,15 @@ def decode(piece: np.ndarray, poff: np.ndarray, pieces: Pieces) -> tuple[np.ndar
     return pieces.flat[at], np.concatenate(([0], end))[poff]
 
 
+def _numbers(ids: pa.Array) -> np.ndarray:
+    """Ids as numbers: integers as they are, others by a hash of their text, nulls as -1."""
+    if pa.types.is_integer(ids.type):
+        return ids.fill_null(-1).to_numpy(zero_copy_only=False)
+    data, offsets = text_buffers(ids.cast(pa.string()))
+    out = span_hashes(running_hash(data), offsets[:-1], offsets[1:]).view(np.int64)
+    return np.where(ids.is_null().to_numpy(zero_copy_only=False), -1, out)
+
+
 def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, seed: int = 0) -> DataFrame:
     """``docs`` with pieces, an array of piece numbers."""
     lean(docs.sparkSession)
@@ -227,7 +237,7 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _of(model)
         for batch in batches:
-            ids = batch.column(i_id).fill_null(-1).to_numpy(zero_copy_only=False)
+            ids = _numbers(batch.column(i_id))
             data, offsets = text_buffers(batch.column(i_text))
             for i, j, part, off in slices(data, offsets, SLICE):
                 piece, poff = encode(ids[i:j], part, off, pieces, seed)

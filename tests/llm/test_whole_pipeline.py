@@ -23,3 +23,22 @@ def test_near_dedup_tells_rows_of_one_id_apart(spark):
     pairs = [(1, LONG), (5, NEAR), (5, OTHER), (None, LONG.replace("w58", "new")), (None, FAR), (6, FAR.replace("z59", "edit")), (8, "one"), (8, "one")]
     assert found(corpus_pipeline.drop_near, spark, pairs) == sorted([(1, LONG), (5, OTHER), (6, FAR.replace("z59", "edit")), (8, "one")], key=str)
     assert found(corpus_pipeline.drop_near, spark, [(2, LONG), (1, NEAR), (3, OTHER)]) == sorted([(1, NEAR), (3, OTHER)], key=str)
+
+
+def test_map_columns_pass_through_the_stages(spark):
+    rows = [(1, LONG, {"b": "2", "a": "1"}), (1, LONG, {"a": "0"}), (5, NEAR, None), (None, FAR, {"a": "1"}), (9, "one", {}), (8, "one", None)]
+    df = spark.createDataFrame([(i, t, "en", "s", 0, m) for i, t, m in rows], SCHEMA + ", more map<string,string>")
+    exact = corpus_pipeline.drop_exact(spark, df, "")
+    assert exact.columns == df.columns
+    assert sorted(((r.doc_id, r.text, r.more) for r in exact.collect()), key=str) == sorted([(1, LONG, {"a": "0"}), (5, NEAR, None), (None, FAR, {"a": "1"}), (9, "one", {})], key=str)
+    near = corpus_pipeline.drop_near(spark, df, "")
+    assert sorted(((r.doc_id, r.more) for r in near.collect()), key=str) == sorted([(1, {"a": "0"}), (None, {"a": "1"}), (8, None)], key=str)
+
+
+def test_ids_of_other_types_seed_the_pieces(spark):
+    from plumbline.llm import subword
+
+    df = spark.createDataFrame([("a", "two words"), ("b", "two words"), (None, "two words"), ("a", "two words"), ("ä", None)], "doc_id string, text string")
+    one, two = (sorted(((r.doc_id, tuple(r.pieces)) for r in subword.encode_texts(df.repartition(n)).collect()), key=str) for n in (1, 4))
+    assert one == two and all(p for i, p in one if i != "ä")
+    assert {r.decoded for r in subword.decode_texts(subword.encode_texts(df)).collect()} == {"two words", ""}
