@@ -24,8 +24,12 @@ def _packed(docs: DataFrame) -> DataFrame:
 
 def _kept(packed: DataFrame, keys: DataFrame) -> DataFrame:
     """One row of ``packed`` for each key in ``keys``: of rows with one id and text the first by all their columns."""
-    first = packed.join(keys, "key", "left_semi").groupBy("key").agg(F.min("row").alias("row"))
-    return first.select("row.*")
+    fields = packed.schema["row"].dataType.fields
+    row = F.min("row")
+    if any("map<" in f.dataType.simpleString() for f in fields):  # maps have no order: their text stands for them
+        own = [F.to_json(F.struct(F.col(f"row.`{f.name}`").alias("m"))) if "map<" in f.dataType.simpleString() else F.col(f"row.`{f.name}`") for f in fields]
+        row = F.min_by("row", F.struct(*(c.alias(f"c{i}") for i, c in enumerate(own))))
+    return packed.join(keys, "key", "left_semi").groupBy("key").agg(row.alias("row")).select("row.*")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
