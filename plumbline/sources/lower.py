@@ -68,7 +68,8 @@ def faults(rows: DataFrame, known: DataFrame, found: DataFrame) -> DataFrame:
     want = known.select("file", "step_id", "global_id", F.explode(F.try_element_at(needs, F.col("ifc_class"))).alias("quantity"))
     lost = want.join(found.withColumnRenamed("product", "step_id"), ["file", "step_id", "quantity"], "left_anti").select("file", "global_id", "quantity")
     lost = lost.select("file", F.concat_ws(".", "global_id", "quantity").alias("subject"), F.lit("missing quantity").alias("fault"))
-    return twice.unionByName(storeys).unionByName(lost)
+    stands = scene.placement_faults(rows, known).join(known.select("file", "step_id", "global_id"), ["file", "step_id"]).select("file", F.col("global_id").alias("subject"), F.regexp_extract("fault", "^[^:]*", 0).alias("fault"))
+    return twice.unionByName(storeys).unionByName(lost).unionByName(stands)
 
 
 def lower(rows: DataFrame, stated: tuple[str, ...] = ("Posterior", "Uncertainty", "Material", "Structural"), marker: str = "Structural") -> tuple[Lowered, DataFrame]:

@@ -1,6 +1,7 @@
 """Length units and placements of STEP tables (file, step_id, type_name, args), all files at once.
 
-A file that breaks a rule fails the job with its name and instance, as nothing computed from it would hold.
+A file whose units break a rule fails the job with its name and instance. Faulty placements fail it only where a product
+stands on one; :func:`placement_faults` tells which, and in which files.
 """
 
 from __future__ import annotations
@@ -8,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators.graph import _cut
+from plumbline.operators.graph import stored
 from plumbline.sources import step
 from plumbline.sources.step import _ref, by_type
 
@@ -30,9 +31,13 @@ def _refs(path: str) -> Column:
     return F.transform(F.regexp_extract_all(_json(path), F.lit(r'"ref":\s*(\d+)'), 1), lambda x: x.cast("long"))
 
 
-def _fail(name: str, *said) -> Column:
+def _told(name: str, *said) -> Column:
     at = F.concat(F.lit(f"{name}: "), F.col("file"), F.lit(" #"), F.col("step_id").cast("string"))
-    return F.raise_error(F.concat(at, *(F.lit(s) if isinstance(s, str) else s for s in said)))
+    return F.concat(at, *(F.lit(s) if isinstance(s, str) else s for s in said))
+
+
+def _fail(name: str, *said) -> Column:
+    return F.raise_error(_told(name, *said))
 
 
 def length_units(rows: DataFrame) -> DataFrame:
@@ -73,7 +78,7 @@ def _numbers(rows: DataFrame, type_name: str, key: str, value: str) -> DataFrame
 
 
 def _steps(rows: DataFrame) -> DataFrame:
-    """(file, step_id, parent, x, y, z, angle): each local placement within its parent, in file units."""
+    """(file, step_id, parent, x, y, z, angle, fault): each local placement within its parent, in file units, or why it has no place."""
     local = by_type(rows, "IFCLOCALPLACEMENT").select("file", "step_id", _ref(0).alias("parent"), _ref(1).alias("axes"))
     axes = rows.select("file", F.col("step_id").alias("axes"), F.col("type_name").alias("axes_type"), _ref(0).alias("at"), _ref(1).alias("up"), _ref(2).alias("along"))
     j = local.join(axes, ["file", "axes"], "left")
@@ -81,50 +86,64 @@ def _steps(rows: DataFrame) -> DataFrame:
         j = j.join(_numbers(rows, type_name, key, f"{key}_v"), ["file", key], "left")
     lost = lambda k: F.col(k).isNotNull() & F.col(f"{k}_v").isNull()
     up, along = F.col("up_v"), F.col("along_v")
-    angle = (
-        F.when(F.col("axes").isNotNull() & ~F.col("axes_type").eqNullSafe("IFCAXIS2PLACEMENT3D"), _fail("unsupported axes"))
-        .when(lost("at") | lost("up") | lost("along"), _fail("axes refer to nothing"))
-        .when((F.abs(up[0]) >= TINY) | (F.abs(up[1]) >= TINY) | (up[2] <= 0), _fail("axis is not vertical"))
-        .when(F.abs(along[2]) > TINY, _fail("direction out of plane"))
-        .otherwise(F.coalesce(F.atan2(along[1], along[0]), F.lit(0.0)))
+    fault = (
+        F.when(F.col("axes").isNotNull() & ~F.col("axes_type").eqNullSafe("IFCAXIS2PLACEMENT3D"), _told("unsupported axes"))
+        .when(lost("at") | lost("up") | lost("along"), _told("axes refer to nothing"))
+        .when((F.abs(up[0]) >= TINY) | (F.abs(up[1]) >= TINY) | (up[2] <= 0), _told("axis is not vertical"))
+        .when(F.abs(along[2]) > TINY, _told("direction out of plane"))
     )
     at = [F.coalesce(F.col("at_v")[i], F.lit(0.0)).alias(n) for i, n in enumerate("xyz")]
-    return j.select("file", "step_id", "parent", *at, angle.alias("angle"))
+    return j.select("file", "step_id", "parent", *at, F.coalesce(F.atan2(along[1], along[0]), F.lit(0.0)).alias("angle"), fault.alias("fault"))
 
 
-def placements(rows: DataFrame) -> DataFrame:
-    """(file, step_id, x, y, z, angle): every local placement in metres in its file's own frame.
+def traced(rows: DataFrame) -> DataFrame:
+    """(file, step_id, x, y, z, angle, fault): every local placement in metres in its file's own frame, or what is wrong with it or with
+    one above it.
 
     Rigid motions compose in any grouping, so chains are halved at each round: a placement takes over its parent's motion
     and its parent's parent. Chains of n need log2 n rounds. Rounds stop when no parent is left; a chain still open after
-    as many rounds as the longest file allows is a cycle, an error, as is a parent that is no placement.
+    as many rounds as the longest file allows runs in a circle.
     """
     unit = length_units(rows).select("file", "scale")
-    own = _steps(rows).join(unit, "file").select("file", "step_id", "parent", *((F.col(c) * F.col("scale")).alias(c) for c in "xyz"), "angle")
-    now = _cut(own)
+    own = _steps(rows).join(unit, "file").select("file", "step_id", "parent", *((F.col(c) * F.col("scale")).alias(c) for c in "xyz"), "angle", "fault")
+    now = stored(own)
     most = now.groupBy("file").count().agg(F.max("count")).first()[0] or 0
     for _ in range(int(most).bit_length() + 1):
         if now.filter("parent IS NOT NULL").isEmpty():
             return now.drop("parent")
-        up = now.select("file", F.col("step_id").alias("parent"), F.col("parent").alias("above"), *(F.col(c).alias(f"p{c}") for c in ("x", "y", "z", "angle")))
+        up = now.select("file", F.col("step_id").alias("parent"), F.col("parent").alias("above"), *(F.col(c).alias(f"p{c}") for c in ("x", "y", "z", "angle", "fault")))
         j = now.join(up, ["file", "parent"], "left")
-        found = F.when(F.col("parent").isNotNull() & F.col("px").isNull(), _fail("no such parent placement", F.concat(F.lit(" #"), F.col("parent").cast("string")))).otherwise(F.col("above"))
+        own = F.col("parent").isNull()
+        lost = F.when(~own & F.col("px").isNull(), _told("no such parent placement", F.concat(F.lit(" #"), F.col("parent").cast("string"))))
         c, s = F.cos("pangle"), F.sin("pangle")
         moved = {"x": F.col("px") + c * F.col("x") - s * F.col("y"), "y": F.col("py") + s * F.col("x") + c * F.col("y"), "z": F.col("pz") + F.col("z"), "angle": F.col("pangle") + F.col("angle")}
-        now = _cut(j.select("file", "step_id", found.alias("parent"), *(F.when(F.col("parent").isNull(), F.col(n)).otherwise(e).alias(n) for n, e in moved.items())))
-    bad = now.filter("parent IS NOT NULL").orderBy("file", "step_id").first()
-    if bad is not None:
-        raise ValueError(f"placements of {bad.file} run in a circle from #{bad.step_id}")
-    return now.drop("parent")
+        now = stored(j.select("file", "step_id", F.col("above").alias("parent"), *(F.when(own | F.col("px").isNull(), F.col(n)).otherwise(e).alias(n) for n, e in moved.items()), F.coalesce("fault", lost, "pfault").alias("fault")))
+    return now.withColumn("fault", F.when(F.col("parent").isNotNull(), _told("placements run in a circle")).otherwise(F.col("fault"))).drop("parent")
 
 
-def placed(rows: DataFrame, products: DataFrame) -> DataFrame:
-    """Products (file, step_id, ...) with x, y, z, angle; one without a placement stands at the origin."""
+def placements(rows: DataFrame) -> DataFrame:
+    """(file, step_id, x, y, z, angle) of all placements; one with a fault is an error."""
+    return traced(rows).withColumn("x", F.when(F.col("fault").isNull(), F.col("x")).otherwise(F.raise_error(F.col("fault")))).drop("fault")
+
+
+def _used(rows: DataFrame, products: DataFrame) -> DataFrame:
+    """Products with their placement's motion and fault; placements that no product stands on don't count."""
     at = rows.select("file", "step_id", _ref(5).alias("placement"))
-    own = placements(rows).withColumnRenamed("step_id", "placement")
+    own = traced(rows).withColumnRenamed("step_id", "placement")
     j = products.join(at, ["file", "step_id"]).join(own, ["file", "placement"], "left")
-    wrong = F.col("placement").isNotNull() & F.col("x").isNull()
-    return j.select(*products.columns, *(F.when(wrong, _fail("no such placement")).otherwise(F.coalesce(F.col(c), F.lit(0.0))).alias(c) for c in ("x", "y", "z", "angle")))
+    wrong = F.when(F.col("placement").isNotNull() & F.col("x").isNull(), _told("no such placement"))
+    return j.withColumn("fault", F.coalesce("fault", wrong))
+
+
+def placed(rows: DataFrame, products: DataFrame) -> DataFrame:
+    """Products (file, step_id, ...) with x, y, z, angle; one without a placement stands at the origin, one on a faulty placement is an error."""
+    j = _used(rows, products)
+    return j.select(*products.columns, *(F.when(F.col("fault").isNull(), F.coalesce(F.col(c), F.lit(0.0))).otherwise(F.raise_error(F.col("fault"))).alias(c) for c in ("x", "y", "z", "angle")))
+
+
+def placement_faults(rows: DataFrame, products: DataFrame) -> DataFrame:
+    """(file, step_id, fault) of the products that stand on a faulty placement: other files hold."""
+    return _used(rows, products).filter("fault IS NOT NULL").select("file", "step_id", "fault")
 
 
 #: Standard deviations in metres of quantities that state none.

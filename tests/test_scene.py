@@ -82,3 +82,15 @@ def test_priors_in_metres_with_stated_and_default_deviations(spark):
     t = table(spark, model)
     got = {r.quantity: (r.mu, r.sigma) for r in scene.priors(t, step.entities(t)).collect()}
     assert got == {"Length": pytest.approx((9.0, 0.004)), "Width": pytest.approx((0.3, 0.002)), "UnitCost": pytest.approx((250.0, 20.0))}
+
+
+def test_faults_of_placements_stay_with_what_stands_on_them(spark):
+    tilted = [(3, "IFCDIRECTION", [[0.0, 1.0, 1.0]]), (4, "IFCAXIS2PLACEMENT3D", [None, REF(3), None]), (7, "IFCLOCALPLACEMENT", [None, REF(4)]), (8, "IFCLOCALPLACEMENT", [REF(7), None]), (9, "IFCLOCALPLACEMENT", [REF(99), None])]
+    wall = lambda n, at: (n, "IFCWALL", [f"W{n}", None, "w", None, None, at])
+    t = table(spark, [*tilted, wall(20, None), wall(21, REF(50)), (50, "IFCLOCALPLACEMENT", [None, None])], [*tilted, wall(20, REF(8)), wall(21, REF(9)), wall(22, REF(98))], chain(3, cycle=True) + [wall(20, REF(101))])
+    known = step.entities(t)
+    assert scene.placed(t.filter("file = 'f0'"), known.filter("file = 'f0'")).count() == 2
+    got = {(r.file, r.step_id): r.fault.split(":")[0] for r in scene.placement_faults(t, known).collect()}
+    assert got == {("f1", 20): "axis is not vertical", ("f1", 21): "no such parent placement", ("f1", 22): "no such placement", ("f2", 20): "placements run in a circle"}
+    with pytest.raises(Exception, match="not vertical|no such"):
+        scene.placed(t, known).collect()
