@@ -180,22 +180,33 @@ def fit(texts: list[str | None], toxic: np.ndarray) -> dict:
         seen = np.unique((row * TABLE + f).ravel())
         for k in (False, True):
             df[int(k)] += np.bincount(seen[toxic[seen // TABLE + i] == k] % TABLE, minlength=TABLE)
-    row, f = np.concatenate(rows), np.concatenate(feats, 1)
-    del rows, feats
+    # parts go as soon as they are copied, so that the features are held about once
+    row, at = np.concatenate(rows), 0
+    f = np.empty((len(AFFIXES), len(row)), np.int32)
+    feats.reverse()
+    while feats:
+        part = feats.pop()
+        f[:, at : at + part.shape[1]] = part
+        at += part.shape[1]
+    del rows
     share = (df[1] / toxic.sum()) / ((df[0] + 0.5) / (~toxic).sum())
     marks = (df[1] >= SUPPORT) & (share >= RATIO)
     marks[0] = False
     y = toxic[row].copy()
-    y &= np.logical_or.reduce([marks[k] for k in f])
+    some = np.zeros(len(row), bool)
+    for k in f:
+        some |= marks[k]
+    y &= some
     first = np.ones(len(row), bool)
     first[1:] = row[1:] != row[:-1]
     prev = np.flatnonzero(~first)
     seen_pairs = np.array([[(~y[prev - 1] & ~y[prev]).sum(), (~y[prev - 1] & y[prev]).sum()], [(y[prev - 1] & ~y[prev]).sum(), (y[prev - 1] & y[prev]).sum()]], float)
     seen_start = np.array([(~y[first]).sum(), y[first].sum()], float)
-    used = np.unique(f)
+    used = np.flatnonzero(np.logical_or.reduce([np.bincount(k, minlength=TABLE) > 0 for k in f]))
     number = np.zeros(TABLE, np.int32)
     number[used] = np.arange(len(used))
-    f = number[f]
+    for k in range(len(f)):
+        f[k] = number[f[k]]
 
     def count(v: np.ndarray) -> np.ndarray:
         return sum(np.bincount(k, v, len(used)) for k in f)
