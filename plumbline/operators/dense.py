@@ -1,10 +1,13 @@
-"""Dense kernels, one grouped-map call per world: semidefiniteness, observability, stability, sampling, scan registration.
+"""Dense kernels over worlds: semidefiniteness, observability, stability, sampling, scan registration.
 
-Worlds are small and dense; what grows is their number, and they are independent.
+Worlds are small and dense; what grows is their number, and they are independent. A world's cells become one row, and NumPy
+takes all worlds of a batch that have the same number of variables in one call.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -22,56 +25,113 @@ def matrix(pdf: pd.DataFrame, rows: str = "i", cols: str = "k", value: str = "v"
     return names, m
 
 
+def worlds(cells: DataFrame, kernel: Callable[[np.ndarray, list[np.ndarray], np.ndarray], pd.DataFrame], schema: str, parts: int = 1) -> DataFrame:
+    """What ``kernel`` makes of worlds of equal size: their numbers, the matrices of each part, and their variables in order.
+
+    cells (world, i, k, v, part), part from 0 on; a cell of a vector has no k and stands in the first column of its part.
+    """
+    rows = cells.groupBy("world").agg(F.collect_list(F.struct("i", "k", "v", "part")).alias("c"))
+    rows = rows.select("world", *(F.col(f"c.{n}").alias(n) for n in ("i", "k", "v", "part")))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            at = np.repeat(np.arange(len(pdf)), pdf["v"].map(len))
+            i, k, v, part = (np.concatenate(pdf[n].to_numpy()) for n in ("i", "k", "v", "part"))
+            single = pd.isna(k)
+            names, code = np.unique(np.concatenate((i, np.where(single, i, k))).astype(str), return_inverse=True)
+            row, col = (at * len(names) + x for x in (code[: len(i)], code[len(i) :]))
+            slots = np.unique(np.concatenate((row[~single], col[~single])))
+            # a world's variables are those of its matrices; what a vector says of others is left out
+            known = np.isin(row, slots)
+            at, v, part, single, row, col = (x[known] for x in (at, v, part, single, row, col))
+            owner = slots // len(names)
+            first, size = np.searchsorted(owner, np.arange(len(pdf))), np.bincount(owner, minlength=len(pdf))
+            r, c = np.searchsorted(slots, row) - first[at], np.where(single, 0, np.searchsorted(slots, col) - first[at])
+            for n in np.unique(size[size > 0]):
+                mine = np.flatnonzero(size == n)
+                place = np.full(len(pdf), -1)
+                place[mine] = np.arange(len(mine))
+                m = []
+                for x in range(parts):
+                    some = (size[at] == n) & (part == x)
+                    m.append(np.zeros((len(mine), n, n)))
+                    np.add.at(m[-1], (place[at[some]], r[some], c[some]), v[some])
+                yield kernel(pdf["world"].to_numpy()[mine], m, names[slots[first[mine][:, None] + np.arange(n)] % len(names)])
+
+    return rows.mapInPandas(run, schema)
+
+
 def symmetric(m: np.ndarray) -> np.ndarray:
-    """The symmetric part of a matrix of finite numbers."""
+    """The symmetric part of matrices of finite numbers."""
     if not np.isfinite(m).all():
         raise ValueError("the matrix has entries that are not finite")
-    return (m + m.T) / 2
+    return (m + m.swapaxes(-1, -2)) / 2
 
 
-def factor(m: np.ndarray) -> tuple[np.ndarray, float]:
-    """A lower triangular factor of a semidefinite matrix, and the diagonal shift that its least eigenvalue asks for.
+def _shifted(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Eigenvalues and eigenvectors of symmetric parts, and the shifts that their least eigenvalues ask for (NaN: none is enough)."""
+    values, vectors = np.linalg.eigh(symmetric(m))
+    n = values.shape[-1]
+    if not n:
+        return values, vectors, np.zeros(values.shape[:-1])
+    unit = np.maximum(values.sum(-1) / n, 1.0)
+    least = values[..., 0] - n * np.finfo(float).eps * np.maximum(values[..., -1], 0.0)
+    shift = np.full(unit.shape, np.nan)
+    for j in reversed(JITTER):
+        shift = np.where(least + j * unit > 0, j * unit, shift)
+    return values, vectors, shift
+
+
+def factor(m: np.ndarray) -> tuple[np.ndarray, np.ndarray | float]:
+    """Lower triangular factors of semidefinite matrices, and the diagonal shifts that their least eigenvalues ask for.
 
-    The factor comes from the eigenvectors, stretched by the roots of the shifted eigenvalues, by one QR step. A least
+    A factor comes from the eigenvectors, stretched by the roots of the shifted eigenvalues, by one QR step. A least
     eigenvalue below the last shift is an error.
     """
-    values, vectors = np.linalg.eigh(symmetric(m))
-    n = len(values)
-    unit = max(values.sum() / max(n, 1), 1.0)
-    least = values[0] - n * np.finfo(float).eps * max(values[-1], 0.0) if n else 0.0
-    enough = [j * unit for j in JITTER if least + j * unit > 0 or not n]
-    if not enough:
+    values, vectors, shift = _shifted(m)
+    if np.isnan(shift).any():
         raise np.linalg.LinAlgError("the covariance is not positive semidefinite")
-    upper = np.linalg.qr((vectors * np.sqrt(values + enough[0])).T, mode="r")
-    return (upper * np.where(np.diag(upper) < 0, -1.0, 1.0)[:, None]).T, enough[0]
+    upper = np.linalg.qr((vectors * np.sqrt(values + shift[..., None])[..., None, :]).swapaxes(-1, -2), mode="r")
+    sign = np.where(np.diagonal(upper, axis1=-2, axis2=-1) < 0, -1.0, 1.0)
+    return (upper * sign[..., None]).swapaxes(-1, -2), shift if shift.ndim else float(shift)
+
+
+def _cells(cov: DataFrame, part: int = 0) -> DataFrame:
+    return cov.select("world", "i", "k", "v", F.lit(part).alias("part"))
+
+
+def _vector(rows: DataFrame, value: str, part: int = 1) -> DataFrame:
+    return rows.select("world", "i", F.lit(None).cast("string").alias("k"), F.col(value).alias("v"), F.lit(part).alias("part"))
 
 
 def solve(cov: DataFrame, rhs: DataFrame) -> DataFrame:
     """(world, i, x): the solution of each world's system with its covariance (world, i, k, v) and right side (world, i, y)."""
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        names, m = matrix(pdf[pdf["k"].notna()])
-        y = pdf[pdf["k"].isna()].set_index("i")["v"].reindex(names).fillna(0.0).to_numpy()
-        low = factor(m)[0]
-        x = np.linalg.solve(low.T, np.linalg.solve(low, y))
-        return pd.DataFrame({"world": pdf["world"].iloc[0], "i": names, "x": x})
+    def kernel(world: np.ndarray, m: list[np.ndarray], names: np.ndarray) -> pd.DataFrame:
+        low = factor(m[0])[0]
+        x = np.linalg.solve(low.swapaxes(-1, -2), np.linalg.solve(low, m[1][:, :, :1]))
+        return pd.DataFrame({"world": np.repeat(world, names.shape[1]), "i": names.ravel(), "x": x.ravel()})
 
-    both = cov.select("world", "i", "k", "v").unionByName(rhs.select("world", "i", F.lit(None).cast("string").alias("k"), F.col("y").alias("v")))
-    return both.groupBy("world").applyInPandas(one, "world long, i string, x double")
+    return worlds(_cells(cov).unionByName(_vector(rhs, "y")), kernel, "world long, i string, x double", 2)
 
 
 def psd(cov: DataFrame) -> DataFrame:
     """(world, n, jitter, psd): whether each world's covariance is semidefinite."""
 
-    def check(pdf: pd.DataFrame) -> pd.DataFrame:
-        names, m = matrix(pdf)
-        try:
-            jitter, ok = factor(m)[1], True
-        except np.linalg.LinAlgError:
-            jitter, ok = float("nan"), False
-        return pd.DataFrame({"world": [pdf["world"].iloc[0]], "n": [len(names)], "jitter": [jitter], "psd": [ok]})
+    def kernel(world: np.ndarray, m: list[np.ndarray], names: np.ndarray) -> pd.DataFrame:
+        shift = _shifted(m[0])[2]
+        return pd.DataFrame({"world": world, "n": names.shape[1], "jitter": shift, "psd": ~np.isnan(shift)})
+
+    return worlds(_cells(cov), kernel, "world long, n int, jitter double, psd boolean")
+
 
-    return cov.groupBy("world").applyInPandas(check, "world long, n int, jitter double, psd boolean")
+def _gained(world: np.ndarray, p: np.ndarray, q: np.ndarray, rtol: float) -> pd.DataFrame:
+    gain = np.linalg.inv(q) - np.linalg.inv(p)
+    lam = np.linalg.eigvalsh((gain + gain.swapaxes(-1, -2)) / 2)
+    diag = lambda x: np.diagonal(x, axis1=-2, axis2=-1)
+    return pd.DataFrame({"world": world, "informed": (diag(gain) > rtol / diag(p)).sum(-1), "rank": (lam > 1e-10 * np.maximum(np.abs(lam).max(-1), 1e-300)[:, None]).sum(-1)})
 
 
 def observability(prior: DataFrame, posterior: DataFrame, rtol: float = 1e-9) -> DataFrame:
@@ -79,40 +139,50 @@ def observability(prior: DataFrame, posterior: DataFrame, rtol: float = 1e-9) ->
 
     prior and posterior are covariances (world, i, k, v) over the same variables.
     """
+    return worlds(_cells(prior).unionByName(_cells(posterior, 1)), lambda world, m, _: _gained(world, m[0], m[1], rtol), "world long, informed int, rank int", 2)
+
+
+def observability_of(prior: DataFrame, row: DataFrame, seen: DataFrame, rtol: float = 1e-9) -> DataFrame:
+    """:func:`observability` of one measurement a world, of gradient row (world, i, h) and seen (world, noise).
+
+    The posterior, which is full although the prior is sparse, is made in the kernel and never listed. A world without a
+    measurement gains nothing.
+    """
+    noisy = row.join(seen.select("world", "noise"), "world", "left").select("world", "i", F.explode(F.array(F.struct(F.col("h").alias("v"), F.lit(1).alias("part")), F.struct(F.col("noise").alias("v"), F.lit(2).alias("part")))).alias("s"))
+    cells = _cells(prior).unionByName(noisy.select("world", "i", F.lit(None).cast("string").alias("k"), "s.v", "s.part").filter("v IS NOT NULL"))
 
-    def report(pdf: pd.DataFrame) -> pd.DataFrame:
-        (_, p), (_, q) = matrix(pdf[pdf["part"] == 0]), matrix(pdf[pdf["part"] == 1])
-        gain = np.linalg.inv(q) - np.linalg.inv(p)
-        lam = np.linalg.eigvalsh((gain + gain.T) / 2)
-        return pd.DataFrame({"world": [pdf["world"].iloc[0]], "informed": [int((np.diag(gain) > rtol / np.diag(p)).sum())], "rank": [int((lam > 1e-10 * max(np.abs(lam).max(), 1e-300)).sum())]})
+    def kernel(world: np.ndarray, m: list[np.ndarray], names: np.ndarray) -> pd.DataFrame:
+        h, noise = m[1][:, :, 0], m[2][:, :, 0].max(-1)
+        g = np.einsum("wik,wk->wi", m[0], h)
+        s = (h * g).sum(-1) + noise
+        if ((s <= 1e-300) & (np.abs(h).max(-1) > 0) & (noise > 0)).any():
+            raise ValueError("a redundant exact observation: the innovation has no variance")
+        less = np.where((noise > 0)[:, None, None], g[:, :, None] * g[:, None, :] / np.where(s > 0, s, 1.0)[:, None, None], 0.0)
+        return _gained(world, m[0], m[0] - less, rtol)
 
-    both = prior.select("world", "i", "k", "v", F.lit(0).alias("part")).unionByName(posterior.select("world", "i", "k", "v", F.lit(1).alias("part")))
-    return both.groupBy("world").applyInPandas(report, "world long, informed int, rank int")
+    return worlds(cells, kernel, "world long, informed int, rank int", 3)
 
 
 def stability(step: DataFrame, tol: float = 1e-9) -> DataFrame:
     """(world, largest, kind): the largest singular value of each world's step matrix (world, i, k, v)."""
 
-    def analyze(pdf: pd.DataFrame) -> pd.DataFrame:
-        top = float(np.linalg.svd(matrix(pdf)[1], compute_uv=False).max())
-        kind = "contracting" if top < 1 - tol else "amplifying" if top > 1 + tol else "marginal"
-        return pd.DataFrame({"world": [pdf["world"].iloc[0]], "largest": [top], "kind": [kind]})
+    def kernel(world: np.ndarray, m: list[np.ndarray], names: np.ndarray) -> pd.DataFrame:
+        top = np.linalg.svd(m[0], compute_uv=False).max(-1)
+        return pd.DataFrame({"world": world, "largest": top, "kind": np.where(top < 1 - tol, "contracting", np.where(top > 1 + tol, "amplifying", "marginal"))})
 
-    return step.groupBy("world").applyInPandas(analyze, "world long, largest double, kind string")
+    return worlds(_cells(step), kernel, "world long, largest double, kind string")
 
 
 def sample_worlds(mean: DataFrame, cov: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """(world, draw, i, x): draws from each world's belief; the stream is seeded by the world."""
 
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        names, m = matrix(pdf[pdf["k"].notna()])
-        mu = pdf[pdf["k"].isna()].set_index("i")["v"].reindex(names).to_numpy()
-        world = int(pdf["world"].iloc[0])
-        x = mu + np.random.default_rng([seed, world & 0xFFFFFFFF]).standard_normal((n, len(names))) @ factor(m)[0].T
-        return pd.DataFrame({"world": world, "draw": np.repeat(np.arange(n), len(names)), "i": np.tile(names, n), "x": x.ravel()})
+    def kernel(world: np.ndarray, m: list[np.ndarray], names: np.ndarray) -> pd.DataFrame:
+        low, size = factor(m[0])[0], names.shape[1]
+        z = np.stack([np.random.default_rng([seed, int(x) & 0xFFFFFFFF]).standard_normal((n, size)) for x in world])
+        x = m[1][:, None, :, 0] + z @ low.swapaxes(-1, -2)
+        return pd.DataFrame({"world": np.repeat(world, n * size), "draw": np.tile(np.repeat(np.arange(n), size), len(world)), "i": np.repeat(names[:, None, :], n, axis=1).ravel(), "x": x.ravel()})
 
-    both = cov.select("world", "i", "k", "v").unionByName(mean.select("world", "i", F.lit(None).cast("string").alias("k"), F.col("mu").alias("v")))
-    return both.groupBy("world").applyInPandas(draw, "world long, draw int, i string, x double")
+    return worlds(_cells(cov).unionByName(_vector(mean, "mu")), kernel, "world long, draw int, i string, x double", 2)
 
 
 def sample_report(draws: DataFrame, limits: DataFrame) -> DataFrame:
