@@ -58,3 +58,8 @@ def test_observability_of_a_measurement_is_that_of_its_posterior(spark):
     seen = w.totals(l).selectExpr("world", "total + 1 AS y", "total AS predicted", "1e4D AS noise")
     listed = dense.observability(cov, belief.condition(mean, cov, row, seen)[1])
     assert sorted(map(tuple, listed.collect())) == sorted(map(tuple, dense.observability_of(cov, row, seen.select("world", "noise")).collect()))
+
+
+def test_clashes_shuffle_boxes_not_pairs(spark, no_broadcast):
+    plans = [QUERIES[q](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString() for q in ("clash_score", "clash_full")]
+    assert all(p.count("Exchange hashpartitioning") <= 2 and "rangepartitioning" not in p for p in plans)
