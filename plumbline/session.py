@@ -113,7 +113,7 @@ def preview(world: World, steps: list[str], invariants: list[Callable[[DataFrame
 def execute(world: World, steps: list[str], invariants: list[Callable[[DataFrame, DataFrame], DataFrame]] = ()) -> World:
     """Commit ``steps`` as one atomic change, or raise and leave everything as it was."""
     after, found = preview(world, steps, invariants)
-    bad = found.filter("status = 'FAIL'").limit(1).collect()
+    bad = found.filter("status = 'FAIL'").orderBy("rule", "subject", "detail").limit(1).collect()  # the same row whenever it is replayed
     if bad:
         raise StepError(f"{bad[0].rule}: {bad[0].subject} {bad[0].detail}")
     return World(after.mean, after.cov, [*world.ledger, _event(world, "transition", steps, after.mark(), None)])
