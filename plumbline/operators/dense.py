@@ -10,6 +10,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,42 +27,57 @@ def matrix(pdf: pd.DataFrame, rows: str = "i", cols: str = "k", value: str = "v"
     return names, m
 
 
-def worlds(cells: DataFrame, kernel: Callable[[np.ndarray, list[np.ndarray], np.ndarray], pd.DataFrame], schema: str, parts: int = 1) -> DataFrame:
+#: Arrow types of the kernels' columns.
+TYPES = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
+
+
+def worlds(cells: DataFrame, kernel: Callable[[np.ndarray, list[np.ndarray], np.ndarray], dict[str, np.ndarray]], schema: str, parts: int = 1) -> DataFrame:
     """What ``kernel`` makes of worlds of equal size: their numbers, the matrices of each part, and their variables in order.
 
     cells (world, i, k, v, part), part from 0 on; a cell of a vector has no k and stands in the first column of its part.
+    Cells are small and kernels slow, so worlds are dealt over as many tasks as a shuffle has partitions, however few bytes they take.
     """
-    rows = cells.groupBy("world").agg(F.collect_list(F.struct("i", "k", "v", "part")).alias("c"))
+    spread = cells.repartition(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), "world")
+    return packed(spread.groupBy("world").agg(F.collect_list(F.struct("i", "k", "v", "part")).alias("c")), kernel, schema, parts)
+
+
+def packed(rows: DataFrame, kernel: Callable[[np.ndarray, list[np.ndarray], np.ndarray], dict[str, np.ndarray]], schema: str, parts: int = 1) -> DataFrame:
+    """:func:`worlds` of rows (world, c) that hold a world's cells as an array of (i, k, v, part)."""
     rows = rows.select("world", *(F.col(f"c.{n}").alias(n) for n in ("i", "k", "v", "part")))
+    arrow = pa.schema([(n, TYPES[t]) for n, t in (x.split() for x in schema.split(", "))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            at = np.repeat(np.arange(len(pdf)), pdf["v"].map(len))
-            i, k, v, part = (np.concatenate(pdf[n].to_numpy()) for n in ("i", "k", "v", "part"))
-            single = pd.isna(k)
-            names, code = np.unique(np.concatenate((i, np.where(single, i, k))).astype(str), return_inverse=True)
+            ids, count = batch["world"].to_numpy(zero_copy_only=False), batch.num_rows
+            at = np.repeat(np.arange(count), pc.list_value_length(batch["v"]).to_numpy(zero_copy_only=False))
+            i, k, v, part = (batch[n].flatten() for n in ("i", "k", "v", "part"))
+            single, v, part = k.is_null().to_numpy(zero_copy_only=False), v.to_numpy(zero_copy_only=False), part.to_numpy(zero_copy_only=False)
+            both = pa.concat_arrays([i, pc.coalesce(k, i)]).dictionary_encode()
+            order = pc.sort_indices(both.dictionary).to_numpy()
+            names, code = both.dictionary.take(pa.array(order)).to_numpy(zero_copy_only=False), np.argsort(order)[both.indices.to_numpy()]
             row, col = (at * len(names) + x for x in (code[: len(i)], code[len(i) :]))
             slots = np.unique(np.concatenate((row[~single], col[~single])))
             # a world's variables are those of its matrices; what a vector says of others is left out
             known = np.isin(row, slots)
             at, v, part, single, row, col = (x[known] for x in (at, v, part, single, row, col))
             owner = slots // len(names)
-            first, size = np.searchsorted(owner, np.arange(len(pdf))), np.bincount(owner, minlength=len(pdf))
+            first, size = np.searchsorted(owner, np.arange(count)), np.bincount(owner, minlength=count)
             r, c = np.searchsorted(slots, row) - first[at], np.where(single, 0, np.searchsorted(slots, col) - first[at])
             for n in np.unique(size[size > 0]):
                 mine = np.flatnonzero(size == n)
-                place = np.full(len(pdf), -1)
+                place = np.full(count, -1)
                 place[mine] = np.arange(len(mine))
                 m = []
                 for x in range(parts):
                     some = (size[at] == n) & (part == x)
                     m.append(np.zeros((len(mine), n, n)))
                     np.add.at(m[-1], (place[at[some]], r[some], c[some]), v[some])
-                yield kernel(pdf["world"].to_numpy()[mine], m, names[slots[first[mine][:, None] + np.arange(n)] % len(names)])
+                out = kernel(ids[mine], m, names[slots[first[mine][:, None] + np.arange(n)] % len(names)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(out[t.name], len(out["world"])), t.type) for t in arrow], schema=arrow)
 
-    return rows.mapInPandas(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def symmetric(m: np.ndarray) -> np.ndarray:
@@ -109,10 +126,10 @@ def _vector(rows: DataFrame, value: str, part: int = 1) -> DataFrame:
 def solve(cov: DataFrame, rhs: DataFrame) -> DataFrame:
     """(world, i, x): the solution of each world's system with its covariance (world, i, k, v) and right side (world, i, y)."""
 
-    def kernel(world: np.ndarray, m: list[np.ndarray], names: np.ndarray) -> pd.DataFrame:
+    def kernel(world: np.ndarray, m: list[np.ndarray], names: np.ndarray) -> dict:
         low = factor(m[0])[0]
         x = np.linalg.solve(low.swapaxes(-1, -2), np.linalg.solve(low, m[1][:, :, :1]))
-        return pd.DataFrame({"world": np.repeat(world, names.shape[1]), "i": names.ravel(), "x": x.ravel()})
+        return {"world": np.repeat(world, names.shape[1]), "i": names.ravel(), "x": x.ravel()}
 
     return worlds(_cells(cov).unionByName(_vector(rhs, "y")), kernel, "world long, i string, x double", 2)
 
@@ -120,18 +137,18 @@ def solve(cov: DataFrame, rhs: DataFrame) -> DataFrame:
 def psd(cov: DataFrame) -> DataFrame:
     """(world, n, jitter, psd): whether each world's covariance is semidefinite."""
 
-    def kernel(world: np.ndarray, m: list[np.ndarray], names: np.ndarray) -> pd.DataFrame:
+    def kernel(world: np.ndarray, m: list[np.ndarray], names: np.ndarray) -> dict:
         shift = _shifted(m[0])[2]
-        return pd.DataFrame({"world": world, "n": names.shape[1], "jitter": shift, "psd": ~np.isnan(shift)})
+        return {"world": world, "n": names.shape[1], "jitter": shift, "psd": ~np.isnan(shift)}
 
     return worlds(_cells(cov), kernel, "world long, n int, jitter double, psd boolean")
 
 
-def _gained(world: np.ndarray, p: np.ndarray, q: np.ndarray, rtol: float) -> pd.DataFrame:
+def _gained(world: np.ndarray, p: np.ndarray, q: np.ndarray, rtol: float) -> dict:
     gain = np.linalg.inv(q) - np.linalg.inv(p)
     lam = np.linalg.eigvalsh((gain + gain.swapaxes(-1, -2)) / 2)
     diag = lambda x: np.diagonal(x, axis1=-2, axis2=-1)
-    return pd.DataFrame({"world": world, "informed": (diag(gain) > rtol / diag(p)).sum(-1), "rank": (lam > 1e-10 * np.maximum(np.abs(lam).max(-1), 1e-300)[:, None]).sum(-1)})
+    return {"world": world, "informed": (diag(gain) > rtol / diag(p)).sum(-1), "rank": (lam > 1e-10 * np.maximum(np.abs(lam).max(-1), 1e-300)[:, None]).sum(-1)}
 
 
 def observability(prior: DataFrame, posterior: DataFrame, rtol: float = 1e-9) -> DataFrame:
@@ -151,7 +168,16 @@ def observability_of(prior: DataFrame, row: DataFrame, seen: DataFrame, rtol: fl
     noisy = row.join(seen.select("world", "noise"), "world", "left").select("world", "i", F.explode(F.array(F.struct(F.col("h").alias("v"), F.lit(1).alias("part")), F.struct(F.col("noise").alias("v"), F.lit(2).alias("part")))).alias("s"))
     cells = _cells(prior).unionByName(noisy.select("world", "i", F.lit(None).cast("string").alias("k"), "s.v", "s.part").filter("v IS NOT NULL"))
 
-    def kernel(world: np.ndarray, m: list[np.ndarray], names: np.ndarray) -> pd.DataFrame:
+    return worlds(cells, _measured(rtol), "world long, informed int, rank int", 3)
+
+
+def observability_packed(rows: DataFrame, rtol: float = 1e-9) -> DataFrame:
+    """:func:`observability_of` of rows (world, c), c the cells (i, k, v, part) of prior (part 0), gradient (1) and noise (2)."""
+    return packed(rows, _measured(rtol), "world long, informed int, rank int", 3)
+
+
+def _measured(rtol: float) -> Callable[[np.ndarray, list[np.ndarray], np.ndarray], dict]:
+    def kernel(world: np.ndarray, m: list[np.ndarray], names: np.ndarray) -> dict:
         h, noise = m[1][:, :, 0], m[2][:, :, 0].max(-1)
         g = np.einsum("wik,wk->wi", m[0], h)
         s = (h * g).sum(-1) + noise
@@ -160,29 +186,48 @@ def observability_of(prior: DataFrame, row: DataFrame, seen: DataFrame, rtol: fl
         less = np.where((noise > 0)[:, None, None], g[:, :, None] * g[:, None, :] / np.where(s > 0, s, 1.0)[:, None, None], 0.0)
         return _gained(world, m[0], m[0] - less, rtol)
 
-    return worlds(cells, kernel, "world long, informed int, rank int", 3)
+    return kernel
 
 
 def stability(step: DataFrame, tol: float = 1e-9) -> DataFrame:
     """(world, largest, kind): the largest singular value of each world's step matrix (world, i, k, v)."""
+    return worlds(_cells(step), _largest(tol), "world long, largest double, kind string")
 
-    def kernel(world: np.ndarray, m: list[np.ndarray], names: np.ndarray) -> pd.DataFrame:
+
+def stability_packed(rows: DataFrame, tol: float = 1e-9) -> DataFrame:
+    """:func:`stability` of rows (world, c), c the cells (i, k, v, part) of the step matrix, part being 0."""
+    return packed(rows, _largest(tol), "world long, largest double, kind string")
+
+
+def _largest(tol: float) -> Callable[[np.ndarray, list[np.ndarray], np.ndarray], dict]:
+    def kernel(world: np.ndarray, m: list[np.ndarray], names: np.ndarray) -> dict:
         top = np.linalg.svd(m[0], compute_uv=False).max(-1)
-        return pd.DataFrame({"world": world, "largest": top, "kind": np.where(top < 1 - tol, "contracting", np.where(top > 1 + tol, "amplifying", "marginal"))})
+        return {"world": world, "largest": top, "kind": np.where(top < 1 - tol, "contracting", np.where(top > 1 + tol, "amplifying", "marginal")).astype(object)}
 
-    return worlds(_cells(step), kernel, "world long, largest double, kind string")
+    return kernel
 
 
 def sample_worlds(mean: DataFrame, cov: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """(world, draw, i, x): draws from each world's belief; the stream is seeded by the world."""
+    return worlds(_cells(cov).unionByName(_vector(mean, "mu")), _drawn(n, seed), DRAWS, 2)
+
+
+def sample_packed(rows: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """:func:`sample_worlds` of rows (world, c), c the cells (i, k, v, part) of covariance (part 0) and mean (1)."""
+    return packed(rows, _drawn(n, seed), DRAWS, 2)
+
+
+DRAWS = "world long, draw int, i string, x double"
+
 
-    def kernel(world: np.ndarray, m: list[np.ndarray], names: np.ndarray) -> pd.DataFrame:
+def _drawn(n: int, seed: int) -> Callable[[np.ndarray, list[np.ndarray], np.ndarray], dict]:
+    def kernel(world: np.ndarray, m: list[np.ndarray], names: np.ndarray) -> dict:
         low, size = factor(m[0])[0], names.shape[1]
         z = np.stack([np.random.default_rng([seed, int(x) & 0xFFFFFFFF]).standard_normal((n, size)) for x in world])
         x = m[1][:, None, :, 0] + z @ low.swapaxes(-1, -2)
-        return pd.DataFrame({"world": np.repeat(world, n * size), "draw": np.tile(np.repeat(np.arange(n), size), len(world)), "i": np.repeat(names[:, None, :], n, axis=1).ravel(), "x": x.ravel()})
+        return {"world": np.repeat(world, n * size), "draw": np.tile(np.repeat(np.arange(n), size), len(world)), "i": np.repeat(names[:, None, :], n, axis=1).ravel(), "x": x.ravel()}
 
-    return worlds(_cells(cov).unionByName(_vector(mean, "mu")), kernel, "world long, draw int, i string, x double", 2)
+    return kernel
 
 
 def sample_report(draws: DataFrame, limits: DataFrame) -> DataFrame:
