@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.belief import once
 from plumbline.operators.graph import peel
 
 TOL, REL_TOL, ASYMMETRY = 1e-9, 1e-9, 1e-9
@@ -51,6 +52,29 @@ def gauss_01(cov: DataFrame, tol: float = ASYMMETRY) -> DataFrame:
     return _rows(d.filter(F.col("i") < F.col("k")), "GAUSS-01", F.concat_ws("/", "world", "i", "k"), F.when(F.col("d") > tol, "FAIL").otherwise("PASS"), F.col("d"))
 
 
+def packed_gauss_01(worlds: DataFrame, tol: float = ASYMMETRY) -> DataFrame:
+    """:func:`gauss_01` of worlds (world, cov) that hold their covariance's cells (i, k, v) as an array; worlds are rows, joined with nothing."""
+    w = once(once(worlds, "world", "cov", at=mirror("cov")), "world", d=asymmetries()).select("world", F.explode("d").alias("d")).select("world", "d.*")
+    return _rows(w, "GAUSS-01", F.concat_ws("/", "world", "i", "k"), F.when(F.col("d") > tol, "FAIL").otherwise("PASS"), F.col("d"))
+
+
+def place(i: Column, k: Column) -> Column:
+    return F.concat_ws("\0", i, k)
+
+
+def mirror(cells: str) -> Column:
+    """A map of the cells' values by :func:`place`."""
+    return F.map_from_arrays(F.transform(cells, lambda x: place(x["i"], x["k"])), F.transform(cells, lambda x: x["v"]))
+
+
+def asymmetries() -> Column:
+    """(i, k, d) for i < k of the cells ``cov`` with their map ``at``: how far both sides are apart; a missing one is 0."""
+    other = lambda x: F.try_element_at("at", place(x["k"], x["i"]))
+    high = F.transform(F.filter("cov", lambda x: x["i"] < x["k"]), lambda x: F.struct(x["i"].alias("i"), x["k"].alias("k"), F.abs(x["v"] - F.coalesce(other(x), F.lit(0.0))).alias("d")))
+    low = F.transform(F.filter("cov", lambda x: (x["i"] > x["k"]) & other(x).isNull()), lambda x: F.struct(x["k"].alias("i"), x["i"].alias("k"), F.abs(x["v"]).alias("d")))
+    return F.concat(high, low)
+
+
 def gauss_02_diagonal(cov: DataFrame) -> DataFrame:
     """No variance is negative beyond rounding; whether the whole matrix is semidefinite is a dense kernel (``dense.psd``)."""
     return _rows(cov.filter("i = k"), "GAUSS-02", F.concat_ws("/", "world", "i"), F.when(F.col("v") >= -1e-12, "PASS").otherwise("FAIL"), F.col("v"))
