@@ -180,15 +180,22 @@ class _Reader(DataSourceReader):
                 yield partition.value, n, t, json.dumps(args)
 
 
+#: Texts whose records a task holds at a time, whatever the rows of an Arrow batch.
+TEXTS = 100
+
+
 def read_texts(texts: DataFrame, file: str = "file", text: str = "text") -> DataFrame:
-    """The same rows from texts that Spark has read itself (any store), one text a row."""
+    """The same rows from texts that Spark has read itself (any store), one text a row; a task holds the records of :data:`TEXTS` of them."""
+    most = TEXTS
 
     def run(it):
         import pandas as pd
 
         for pdf in it:
-            rows = [(f, n, t, json.dumps(a)) for f, x in zip(pdf[file], pdf[text], strict=True) for n, t, a in parse(x)[1]]
-            yield pd.DataFrame(rows, columns=["file", "step_id", "type_name", "args"])
+            for at in range(0, len(pdf), most):
+                some = pdf.iloc[at : at + most]
+                rows = [(f, n, t, json.dumps(a)) for f, x in zip(some[file], some[text], strict=True) for n, t, a in parse(x)[1]]
+                yield pd.DataFrame(rows, columns=["file", "step_id", "type_name", "args"])
 
     return texts.select(file, text).mapInPandas(run, SCHEMA)
 
