@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,6 +47,26 @@ def stored(df: DataFrame, by: str | None = None) -> DataFrame:
     return out
 
 
+def measured(spark: SparkSession, made: Callable[[], DataFrame]) -> DataFrame:
+    """The stored result of ``made``, in which only what a shuffle has measured is broadcast.
+
+    Plans take a file's bytes for its rows' size. Records of many alike texts take a hundredth of that in Parquet, and tables
+    that look small would go through the driver whole.
+    """
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = [spark.conf.get(keys[0]), spark.conf.get(keys[1], None)]  # the second has no value of its own at first
+    spark.conf.set(keys[1], before[1] or before[0])
+    spark.conf.set(keys[0], "-1")
+    try:
+        return stored(made())
+    finally:
+        for k, x in zip(keys, before, strict=True):
+            if x is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, x)
+
+
 def dealt(df: DataFrame, by: str) -> DataFrame:
     """End lineage at a table in the warehouse, dealt into as many buckets of ``by`` as a shuffle has partitions.
 
