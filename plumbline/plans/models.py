@@ -161,6 +161,10 @@ def lowering_faults(spark, d):
 SELECT k::VARCHAR AS world, 'WA' || k AS a, 'WB' || k AS b, round(d, 6) AS clearance, 0.002e0 AS sigma, round(p, 6) AS p FROM q WHERE p >= 0.001e0""")
 def model_clashes(spark, d):
     """Clashes of the placed products of STEP texts, with spreads from the lowered belief; doors in their walls are exempt."""
+    return graph.measured(spark, lambda: _clashes(spark, d))
+
+
+def _clashes(spark, d):
     rows = _rows(spark, d)
     low, _ = lower.lower(rows)
     world = lower.compile_(low)
