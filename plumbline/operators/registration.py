@@ -1,7 +1,8 @@
 """Registration of scans onto a scene's Gaussian primitives, over the cluster: expectation steps are joins, the rest sums.
 
 points (scan, scene, p, x, y, z) are seen in a scan's own frame; primitives (scene, k, element, px, py, pz, cxx ... czz, w) make a
-mixture together with uniform outliers. A pose turns about the vertical and shifts. Primitives stand in every cell of a
+mixture together with uniform outliers. A scan may see several scenes, such as rooms, each point one of them; it has one pose
+for all. A pose turns about the vertical and shifts. Primitives stand in every cell of a
 grid that lies within CUT deviations; a point meets those of its cell alone, so no task or driver holds points times
 primitives. What the maximization needs is a fixed number of sums over points (of the precisions that a point sees, with its
 coordinates), so shifts are solved and turns stepped on one row a pose. All poses, of all scans and starts, go through
@@ -129,7 +130,8 @@ def register(points: DataFrame, primitives: DataFrame, starts: int = STARTS, coa
     few = points.groupBy("scan").count().filter("count < 10").select(F.min("scan")).first()[0]
     if few is not None:
         raise ValueError(f"scan {few} has too few points")
-    middle = points.groupBy("scan", "scene").agg(*(F.avg(d).alias(d) for d in "xyz")).join(primitives.groupBy("scene").agg(*(F.avg(f"p{d}").alias(f"p{d}") for d in "xyz")), "scene")
+    middle = points.groupBy("scan", "scene").agg(F.count("*").alias("n"), *(F.sum(d).alias(d) for d in "xyz")).join(primitives.groupBy("scene").agg(*(F.avg(f"p{d}").alias(f"p{d}") for d in "xyz")), "scene")
+    middle = middle.groupBy("scan").agg(*((F.sum(d) / F.sum("n")).alias(d) for d in "xyz"), *((F.sum(F.col("n") * F.col(f"p{d}")) / F.sum("n")).alias(f"p{d}") for d in "xyz"))
     first = middle.withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(starts - 1)))).withColumn("theta", F.col("start") * (2 * math.pi / starts))
     c, s = F.cos("theta"), F.sin("theta")
     poses = stored(first.select("scan", "start", "theta", (F.col("px") - c * F.col("x") + s * F.col("y")).alias("tx"), (F.col("py") - s * F.col("x") - c * F.col("y")).alias("ty"), (F.col("pz") - F.col("z")).alias("tz")))
@@ -153,14 +155,15 @@ def evidence(points: DataFrame, poses: DataFrame, primitives: DataFrame, fine: f
     mean_m2, diversity, confidence); elements that no point supports have zeros. A scan that was not accepted is an error."""
     theta = F.when(F.col("accepted"), F.col("theta")).otherwise(F.raise_error(F.concat(F.lit("no evidence from scan "), F.col("scan").cast("string"), F.lit(": it failed the fit gate"))))
     poses = poses.select("scan", F.lit(0).alias("start"), theta.alias("theta"), "tx", "ty", "tz")
-    near = stored(seen(points, poses, stored(mixture(primitives, fine)), cell).filter("k IS NOT NULL").select("scan", "p", "k", "element", "m2", "e", "floor"))
+    near = stored(seen(points, poses, stored(mixture(primitives, fine)), cell).filter("k IS NOT NULL").select("scan", "scene", "p", "k", "element", "m2", "e", "floor"))
     total = near.groupBy("scan", "p").agg((F.sum("e") + F.first("floor")).alias("total"), F.sum("e").alias("all"))
-    g = stored(near.join(total, ["scan", "p"]).select("scan", "p", "k", "element", "m2", (F.col("e") / F.col("total")).alias("g"), (F.col("all") / F.col("total")).alias("inlier")))
-    by_primitive = g.groupBy("scan", "element", "k").agg(F.sum("g").alias("g"), F.sum(F.col("g") * F.col("m2")).alias("gm"))
+    g = stored(near.join(total, ["scan", "p"]).select("scan", "scene", "p", "k", "element", "m2", (F.col("e") / F.col("total")).alias("g"), (F.col("all") / F.col("total")).alias("inlier")))
+    by_primitive = g.groupBy("scan", "scene", "element", "k").agg(F.sum("g").alias("g"), F.sum(F.col("g") * F.col("m2")).alias("gm"))
     mass = by_primitive.groupBy("scan", "element").agg(F.sum("g").alias("n"), F.sum(F.col("g") ** 2).alias("g2"), F.sum("gm").alias("gm"))
     share = g.groupBy("scan", "p", "element").agg(F.sum("g").alias("g"), F.first("inlier").alias("inlier")).groupBy("scan", "element").agg(F.sum(F.when(F.col("inlier") > 0, F.col("g") ** 2 / F.col("inlier"))).alias("c"))
     sizes = primitives.groupBy("scene", "element").agg(F.count("*").alias("primitives"))
-    each = points.select("scan", "scene").distinct().join(sizes, "scene").join(mass, ["scan", "element"], "left").join(share, ["scan", "element"], "left")
+    sizes = points.select("scan", "scene").distinct().join(sizes, "scene").groupBy("scan", "element").agg(F.sum("primitives").alias("primitives"))
+    each = sizes.join(mass, ["scan", "element"], "left").join(share, ["scan", "element"], "left")
     whole = each.join(mass.groupBy("scan").agg(F.sum("n").alias("every")), "scan", "left")
     some = lambda x: F.when(F.col("n") > 0, x).otherwise(0.0)
     return whole.select(
