@@ -96,11 +96,15 @@ def effort(requests: DataFrame, table: DataFrame) -> DataFrame:
     return j.select("id", what.otherwise("INVOKE").alias("disposition"), why.otherwise("gain exceeds cost").alias("reason"))
 
 
+def _reached(gain: Column, prior: Column, rtol: float) -> Column:
+    return F.coalesce(gain, F.lit(0.0)) > rtol / prior
+
+
 def informed(prior: DataFrame, information: DataFrame, rtol: float = 1e-9) -> DataFrame:
     """(world, i, informed): whether evidence reached a raw variable, from prior (world, i, v) variances and the diagonal of
     information (world, i, k, v), posterior less prior precision; the floor follows each prior's own precision."""
     own = information.filter("i = k").select("world", "i", F.col("v").alias("gain"))
-    return prior.join(own, ["world", "i"], "left").select("world", "i", (F.coalesce("gain", F.lit(0.0)) > rtol / F.col("v")).alias("informed"))
+    return prior.join(own, ["world", "i"], "left").select("world", "i", _reached(F.col("gain"), F.col("v"), rtol).alias("informed"))
 
 
 def ticket(jac: DataFrame, known: DataFrame, subjects: DataFrame) -> DataFrame:
@@ -111,6 +115,18 @@ def ticket(jac: DataFrame, known: DataFrame, subjects: DataFrame) -> DataFrame:
     return g.withColumn("can_close", F.col("uninformed") == 0)
 
 
+def _precision(noise: Column) -> Column:
+    return 1 / F.when(noise > 0, noise).otherwise(F.raise_error(F.lit("an observation variance must be positive")))
+
+
+def _grown(p: Column, values: Column, top: Column, rtol: float) -> Column:
+    """How much a rank grows by one more eigenvalue p beside ``values``, whose largest is ``top``."""
+    rank = lambda least: F.size(F.filter(values, lambda x: x > least))
+    high = F.greatest(top, p)
+    before, after = F.when(top > 0, rank(top * rtol)).otherwise(0), rank(high * rtol) + F.when(p > high * rtol, 1).otherwise(0)
+    return after - before
+
+
 def rank_gain(eigen: DataFrame, plans: DataFrame, rtol: float = 1e-10) -> DataFrame:
     """plans (world, i, noise) of variables that no information reaches, with gain: how much the rank of the information grows.
 
@@ -118,13 +134,9 @@ def rank_gain(eigen: DataFrame, plans: DataFrame, rtol: float = 1e-10) -> DataFr
     the eigenvalues as one more; a rank counts those beyond ``rtol`` of the largest, so that a precision far above all others
     can hide as many as it adds.
     """
-    checked = F.when(F.col("noise") > 0, F.col("noise")).otherwise(F.raise_error(F.lit("an observation variance must be positive")))
     e = eigen.groupBy("world").agg(F.max(F.abs("v")).alias("top"), F.array_sort(F.collect_list(F.abs("v"))).alias("all"))
-    p = plans.withColumn("p", 1 / checked).join(e, "world", "left").withColumns({"top": F.coalesce("top", F.lit(0.0)), "all": F.coalesce("all", F.array().cast("array<double>"))})
-    rank = lambda least: F.size(F.filter("all", lambda x: x > least))
-    high = F.greatest("top", "p")
-    before, after = F.when(F.col("top") > 0, rank(F.col("top") * rtol)).otherwise(0), rank(high * rtol) + F.when(F.col("p") > high * rtol, 1).otherwise(0)
-    return p.withColumn("gain", after - before).drop("p", "top", "all")
+    p = plans.withColumn("p", _precision(F.col("noise"))).join(e, "world", "left").withColumns({"top": F.coalesce("top", F.lit(0.0)), "all": F.coalesce("all", F.array().cast("array<double>"))})
+    return p.withColumn("gain", _grown(F.col("p"), F.col("all"), F.col("top"), rtol)).drop("p", "top", "all")
 
 
 def coverage(jac: DataFrame, known: DataFrame, subjects: DataFrame, gains: DataFrame) -> DataFrame:
@@ -136,3 +148,17 @@ def coverage(jac: DataFrame, known: DataFrame, subjects: DataFrame, gains: DataF
     g = need.join(got, ["world", "i"], "left").groupBy("world").agg(F.count("*").alias("needed"), F.count("got").alias("reached"))
     out = subjects.select("world").distinct().join(g, "world", "left").select("world", F.coalesce("needed", F.lit(0)).alias("needed"), F.coalesce("reached", F.lit(0)).alias("reached"))
     return out.withColumns({"uncovered": F.col("needed") - F.col("reached"), "covers": F.col("needed") == F.col("reached")})
+
+
+def packed_coverage(worlds: DataFrame, floor: float = 1e-9, rtol: float = 1e-10) -> DataFrame:
+    """(world, needed, reached, uncovered, covers) as :func:`coverage` tells, of worlds in one row each: a step for each row, no join.
+
+    worlds (world, variables), an array of (needed, prior, gain, noise): whether the subjects depend on it, its variance, its
+    cell of a diagonal information or null, and the noise of a planned observation or null. Plans of informed variables don't count.
+    """
+    w = worlds.withColumn("values", F.transform(F.filter("variables", lambda x: x["gain"].isNotNull()), lambda x: F.abs(x["gain"])))
+    w = w.withColumn("top", F.coalesce(F.array_max("values"), F.lit(0.0)))
+    need = F.filter("variables", lambda x: x["needed"] & ~_reached(x["gain"], x["prior"], floor))
+    got = lambda x: x["noise"].isNotNull() & (_grown(_precision(x["noise"]), F.col("values"), F.col("top"), rtol) > 0)
+    w = w.withColumn("need", need).select("world", F.size("need").cast("long").alias("needed"), F.size(F.filter("need", got)).cast("long").alias("reached"))
+    return w.withColumns({"uncovered": F.col("needed") - F.col("reached"), "covers": F.col("needed") == F.col("reached")})
