@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators.belief import MIN_SIGMA
 from plumbline.sources.scene import _json, _refs, length_units
-from plumbline.sources.step import StepError, by_type, tokens
+from plumbline.sources.step import StepError, by_type, spread, tokens
 
 #: Arguments that hold the value of a quantity and of a property.
 QUANTITY_AT, PROPERTY_AT = 3, 2
@@ -144,4 +144,4 @@ def export(texts: DataFrame, rows: DataFrame, belief: DataFrame, name: str = "Po
             made = [edit(t, {(int(v["step_id"]), int(v["position"])): v["value"] for v in some(vs)}, set(map(int, some(g))), some(ls)) for t, vs, g, ls in zip(pdf["text"], pdf["values"], pdf["gone"], pdf["lines"], strict=True)]
             yield pd.DataFrame({"file": pdf["file"], "text": made})
 
-    return j.select("file", "text", "values", "gone", "lines").mapInPandas(run, "file string, text string")
+    return spread(j.select("file", "text", "values", "gone", "lines")).mapInPandas(run, "file string, text string")

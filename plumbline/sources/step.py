@@ -184,6 +184,12 @@ class _Reader(DataSourceReader):
 TEXTS = 100
 
 
+def spread(texts: DataFrame, file: str = "file") -> DataFrame:
+    """Texts dealt to two tasks a core. Plans count compressed bytes, of which alike texts have few, and gather or read them in few
+    tasks; more tasks would write more files of each record type."""
+    return texts.repartition(2 * texts.sparkSession.sparkContext.defaultParallelism, file)
+
+
 def read_texts(texts: DataFrame, file: str = "file", text: str = "text") -> DataFrame:
     """The same rows from texts that Spark has read itself (any store), one text a row; a task holds the records of :data:`TEXTS` of them."""
     most = TEXTS
@@ -197,7 +203,7 @@ def read_texts(texts: DataFrame, file: str = "file", text: str = "text") -> Data
                 rows = [(f, n, t, json.dumps(a)) for f, x in zip(some[file], some[text], strict=True) for n, t, a in parse(x)[1]]
                 yield pd.DataFrame(rows, columns=["file", "step_id", "type_name", "args"])
 
-    return texts.select(file, text).mapInPandas(run, SCHEMA)
+    return spread(texts.select(file, text), file).mapInPandas(run, SCHEMA)
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
