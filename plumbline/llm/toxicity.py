@@ -8,8 +8,9 @@ forward-backward. A document's score is a logistic function, fitted on the same
 the sum of its marginals; offending spans are runs of tokens with a marginal of at least SPAN_AT.
 
 The fit reads at most SAMPLE toxic and twice as many other documents, the first in order of a hash, with their whole texts
-(of equal texts one), and no more than half of SAMPLE_BYTES of either label; the model is a table of fixed size. Scoring covers every
-token of every text, with exact forward and backward passes.
+(of equal texts one), and no more than half of SAMPLE_BYTES of either label; it runs in one task on an executor, and the
+driver gets the model alone, a table of fixed size. Scoring covers every token of every text, with exact forward and
+backward passes.
 
 Cases: null and empty texts have no tokens and get the score of an all-clean document; repeated rows get equal scores;
 several label rows of a document count one by one; without labelled rows of both kinds every score is 0; an empty table
@@ -19,9 +20,9 @@ gives an empty table; columns named toxicity or toxic_spans are replaced, other
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,6 +30,9 @@ from pyspark.sql import types as T
 
 from plumbline.llm.common import lean, mix, others, slices, spans, text_buffers, word_hashes
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 #: Toxic documents that the fit reads at most; of others it reads twice as many.
 SAMPLE = 1_000
 #: Bytes of text that the fit reads at most.
@@ -45,6 +49,7 @@ CHUNK = 200_000
 SPAN_AT = 0.5
 STEPS, RATE, DECAY = 40, 0.35, 1e-4
 
+MODEL = pa.schema([("w", pa.binary()), ("trans", pa.list_(pa.float64())), ("start", pa.list_(pa.float64())), ("doc", pa.list_(pa.float64()))])
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("score", T.DoubleType())]))
 
 _BREAK = np.ones(256, bool)
@@ -164,13 +169,13 @@ def marginals(emit: np.ndarray, row: np.ndarray, trans: np.ndarray, start: np.nd
     return p, joint, np.array([(1 - p[first]).sum(), p[first].sum()])
 
 
-def fit(texts: list[str | None], toxic: np.ndarray) -> dict:
+def fit(texts: list[str | None] | pa.ChunkedArray, toxic: np.ndarray) -> dict:
     """The model from labelled texts: arrays of fixed size."""
     none = {"w": np.zeros(TABLE, np.float32), "trans": np.zeros((2, 2)), "start": np.zeros(2), "doc": np.array([0.0, 0.0, -30.0])}
     toxic = np.asarray(toxic, bool)
     if not toxic.any() or toxic.all():
         return none
-    data, offsets = text_buffers(pa.array([t or "" for t in texts]))
+    data, offsets = text_buffers(texts if isinstance(texts, pa.ChunkedArray) else pa.array([t or "" for t in texts]))
     rows, feats = [], []
     df = np.zeros((2, TABLE), np.int64)  # documents of each label with a feature
     for i, _, part, off in slices(data, offsets):
@@ -274,8 +279,8 @@ def tag(texts: pa.Array, model: dict) -> tuple[np.ndarray, list[list[dict]]]:
     return np.concatenate(scores) if scores else np.zeros(0), found
 
 
-def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, most_bytes: int | None = None) -> pd.DataFrame:
-    """Labelled texts for the fit: rows whose crc32(doc_id) leaves a remainder by 5, at most ``most`` toxic ones and twice as many others.
+def sampled(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, most_bytes: int | None = None) -> DataFrame:
+    """Labelled texts (doc_id, text, toxic) for the fit: rows whose crc32(doc_id) leaves a remainder by 5, at most ``most`` toxic ones and twice as many others.
 
     Of equal texts with one label one stays. In order of a hash each label's texts are taken while they fit into half of
     ``most_bytes`` (SAMPLE_BYTES) together, whatever the other label takes; texts beyond a sixteenth of a half come after all others. Texts are
@@ -295,8 +300,12 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, most_bytes: i
         read = F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
         chosen.append(own.withColumn("read", read).filter(F.col("read") <= half).select("toxic", "doc_id", "digest"))
     taken = texts.join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").filter(F.sha2("text", 256) == F.col("digest"))
-    found = taken.groupBy("toxic", "digest", "doc_id").agg(F.first("text").alias("text"))
-    return found.select("doc_id", "text", "toxic").toPandas().sort_values(["toxic", "doc_id"], kind="stable")
+    return taken.groupBy("toxic", "digest", "doc_id").agg(F.first("text").alias("text")).select("doc_id", "text", "toxic")
+
+
+def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, most_bytes: int | None = None) -> pd.DataFrame:
+    """The rows of :func:`sampled`, in order."""
+    return sampled(docs, labels, most, most_bytes).toPandas().sort_values(["toxic", "doc_id", "text"], kind="stable")
 
 
 def held_out(column: str):
@@ -320,9 +329,25 @@ def score(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def _fit_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """text and toxic of the whole sample in; one row with the model out."""
+    parts = list(batches)
+    if not parts:
+        return
+    rows = pa.Table.from_batches(parts)
+    model = fit(rows["text"], rows["toxic"].to_numpy())
+    yield pa.RecordBatch.from_pylist([{"w": model["w"].tobytes(), "trans": model["trans"].ravel().tolist(), "start": model["start"].tolist(), "doc": model["doc"].tolist()}], MODEL)
+
+
 def trained(docs: DataFrame, labels: DataFrame) -> dict:
-    rows = sample(docs, labels)
-    return fit(rows["text"].tolist(), rows["toxic"].to_numpy())
+    """The model from the sample, fitted in one task: neither the texts nor their features come to the driver."""
+    lean(docs.sparkSession)
+    rows = sampled(docs, labels).repartition(1).sortWithinPartitions("toxic", "doc_id", "text").select("text", "toxic")
+    found = rows.mapInArrow(_fit_batches, "w binary, trans array<double>, start array<double>, doc array<double>").collect()
+    if not found:  # no labelled texts
+        return fit([], np.zeros(0))
+    m = found[0]
+    return {"w": np.frombuffer(bytes(m.w), np.float32), "trans": np.array(m.trans).reshape(2, 2), "start": np.array(m.start), "doc": np.array(m.doc)}
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

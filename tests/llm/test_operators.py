@@ -485,6 +485,15 @@ def test_a_fit_reads_no_more_than_its_bound(toxic, monkeypatch):
     assert 0 < some["text"].str.len().sum() <= 5_000 < whole["text"].str.len().sum()
 
 
+def test_a_fit_runs_in_a_task(toxic, monkeypatch):
+    docs, labels, _ = toxic
+    rows = toxicity.sample(docs, labels)
+    want = toxicity.fit(rows["text"].tolist(), rows["toxic"].to_numpy())
+    monkeypatch.setattr(toxicity, "fit", lambda *_: pytest.fail("the driver fits"))
+    got = toxicity.trained(docs, labels)
+    assert set(got) == set(want) and want["w"].any() and all(np.allclose(got[k], want[k], rtol=1e-6, atol=1e-9) for k in want)
+
+
 @pytest.fixture(scope="module")
 def toxic(spark):
     rng = np.random.default_rng(2)
