@@ -134,14 +134,34 @@ def solve(cov: DataFrame, rhs: DataFrame) -> DataFrame:
     return worlds(_cells(cov).unionByName(_vector(rhs, "y")), kernel, "world long, i string, x double", 2)
 
 
+def _semidefinite(world: np.ndarray, m: list[np.ndarray], names: np.ndarray) -> dict:
+    shift = _shifted(m[0])[2]
+    return {"world": world, "n": names.shape[1], "jitter": shift, "psd": ~np.isnan(shift)}
+
+
+PSD = "world long, n int, jitter double, psd boolean"
+
+
 def psd(cov: DataFrame) -> DataFrame:
     """(world, n, jitter, psd): whether each world's covariance is semidefinite."""
+    return worlds(_cells(cov), _semidefinite, PSD)
 
-    def kernel(world: np.ndarray, m: list[np.ndarray], names: np.ndarray) -> dict:
-        shift = _shifted(m[0])[2]
-        return {"world": world, "n": names.shape[1], "jitter": shift, "psd": ~np.isnan(shift)}
 
-    return worlds(_cells(cov), kernel, "world long, n int, jitter double, psd boolean")
+def checked(rows: DataFrame, tol: float) -> DataFrame:
+    """(world, i, k, d, jitter, psd) of rows (world, cov) that hold a world's cells (i, k, v) as an array: one row a world as :func:`psd`
+    has it, without i and k, and one for each i < k whose two sides are more than ``tol`` apart, by d."""
+
+    def kernel(world: np.ndarray, m: list[np.ndarray], names: np.ndarray) -> dict:
+        found = _semidefinite(world, m, names)
+        gap = np.triu(np.abs(m[0] - m[0].swapaxes(-1, -2)), 1)
+        at, i, k = np.nonzero(gap > tol)
+        none = np.full(len(world), None)
+        pair = {"world": world[at], "i": names[at, i], "k": names[at, k], "d": gap[at, i, k], "jitter": found["jitter"][at], "psd": found["psd"][at]}
+        whole = {"world": world, "i": none, "k": none, "d": np.zeros(len(world)), "jitter": found["jitter"], "psd": found["psd"]}
+        return {n: np.concatenate((whole[n], pair[n])) for n in whole}
+
+    cells = rows.select("world", F.transform("cov", lambda x: x.withField("part", F.lit(0))).alias("c"))
+    return packed(cells, kernel, "world long, i string, k string, d double, jitter double, psd boolean")
 
 
 def _gained(world: np.ndarray, p: np.ndarray, q: np.ndarray, rtol: float) -> dict:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.belief import once
-from plumbline.operators.graph import peel
+from plumbline.operators.graph import peel, stored
 
 TOL, REL_TOL, ASYMMETRY = 1e-9, 1e-9, 1e-9
 
@@ -87,9 +87,24 @@ def gauss_02(cov: DataFrame) -> DataFrame:
     return _rows(dense.psd(cov), "GAUSS-02", F.col("world"), F.when(F.col("psd"), "PASS").otherwise("FAIL"), F.col("jitter"))
 
 
+def packed_gauss(worlds: DataFrame, tol: float = ASYMMETRY) -> DataFrame:
+    """What :func:`gauss_01` finds, and :func:`gauss_02`, of worlds (world, cov) as :func:`packed_gauss_01` has them, looked at once."""
+    from plumbline.operators import dense
+
+    found, whole = dense.checked(worlds, tol), F.col("i").isNull()
+    status = F.when(~whole | ~F.col("psd"), "FAIL").otherwise("PASS")
+    out = _rows(found, "GAUSS-01", F.concat_ws("/", "world", "i", "k"), status, F.when(whole, F.col("jitter")).otherwise(F.col("d")))
+    return out.withColumn("rule", F.when(F.contains("subject", F.lit("/")), F.lit("GAUSS-01")).otherwise(F.lit("GAUSS-02")))
+
+
 def gauss_03(stored: DataFrame, exact: DataFrame) -> DataFrame:
     """Derived means (world, i, mu) equal their expressions evaluated anew; the worst one is reported."""
-    d = stored.join(exact.withColumnRenamed("mu", "again"), ["world", "i"]).withColumn("d", F.abs(F.col("mu") - F.col("again")) / F.greatest(F.lit(1.0), F.abs("again")))
+    return gauss_03_of(stored.join(exact.withColumnRenamed("mu", "again"), ["world", "i"]))
+
+
+def gauss_03_of(both: DataFrame) -> DataFrame:
+    """:func:`gauss_03` of means that stand beside what was evaluated anew: (world, i, mu, again)."""
+    d = both.withColumn("d", F.abs(F.col("mu") - F.col("again")) / F.greatest(F.lit(1.0), F.abs("again")))
     worst = d.groupBy().agg(F.max_by(F.struct("world", "i", "d"), F.col("d")).alias("w")).filter("w IS NOT NULL").select("w.*")
     return _rows(worst, "GAUSS-03", F.concat_ws("/", "world", "i"), F.when(F.col("d") > REL_TOL, "FAIL").otherwise("PASS"), F.col("d"))
 
@@ -116,7 +131,11 @@ def cons_03(pairs: DataFrame, tol: float = TOL) -> DataFrame:
 
 def qty_01(by_graph: DataFrame, derived: DataFrame) -> DataFrame:
     """Sums (world, total) taken along the graph equal the derived totals."""
-    d = by_graph.join(derived.withColumnRenamed("total", "derived"), "world", "full")
+    return qty_01_of(by_graph.join(derived.withColumnRenamed("total", "derived"), "world", "full"))
+
+
+def qty_01_of(d: DataFrame) -> DataFrame:
+    """:func:`qty_01` of sums that stand beside the derived totals (world, total, derived); a missing one is null."""
     off = F.abs(F.coalesce("total", F.lit(0.0)) - F.coalesce("derived", F.lit(0.0))) / F.greatest(F.lit(1.0), F.abs(F.coalesce("derived", F.lit(0.0))))
     return _rows(d, "QTY-01", F.col("world"), F.when(off > REL_TOL, "FAIL").otherwise("PASS"), off)
 
@@ -126,6 +145,14 @@ def report(rules: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, rules)
 
 
+def reported(rules: dict[str, list[DataFrame]]) -> DataFrame:
+    """What every rule finds, or its one PASS row, as :func:`finished` has it; only what was found is stored, and every rule runs once."""
+    bad = stored(report([x.filter("status <> 'PASS'") for found in rules.values() for x in found]))
+    names = bad.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, rules))).alias("rule"))
+    none = names.join(bad.select("rule").distinct(), "rule", "left_anti")
+    return bad.unionByName(none.select("rule", F.lit("").alias("subject"), F.lit("PASS").alias("status"), F.lit("").alias("detail")))
+
+
 def passes(found: DataFrame) -> DataFrame:
     """Counts by status, and whether the report passes: it does unless something failed."""
     n = lambda s: F.count_if(F.col("status") == s).alias(f"n_{s.lower()}")
