@@ -160,12 +160,20 @@ def replay(start: World, ledger: list[dict], invariants: list[Callable[[DataFram
 
 
 def forecast(mean: DataFrame, cov: DataFrame, targets: DataFrame, steps: int) -> DataFrame:
-    """(world, i, step, elapsed, mu, sd) of the targets (world, i, factor, offset, noise, seconds) after each process step; nothing is recorded."""
-    out = None
-    key = targets.select("world", "i", "seconds")
+    """(world, i, step, elapsed, mu, sd) of the targets (world, i, factor, offset, noise, seconds) after each process step; nothing is recorded.
+
+    A step moves a target by itself, so that its mean and variance are all that its later ones stand on: targets are joined once.
+    """
+    now = targets.join(mean, ["world", "i"]).join(cov.filter("i = k").select("world", "i", "v"), ["world", "i"])
+    return forecast_of(now, steps)
+
+
+def forecast_of(targets: DataFrame, steps: int) -> DataFrame:
+    """:func:`forecast` of targets that bring their mean and variance (mu, v) along; they are joined with nothing."""
+    mu, v = F.col("mu"), F.col("v")
+    q = F.when(F.col("noise") >= 0, F.col("noise")).otherwise(F.raise_error(F.lit("the noise of a process must not be negative")))
+    after = []
     for n in range(1, steps + 1):
-        mean, cov = _evolve(mean, cov, targets.drop("seconds"))
-        now = mean.join(key, ["world", "i"]).join(cov.filter("i = k").select("world", "i", "v"), ["world", "i"])
-        now = now.select("world", "i", F.lit(n).alias("step"), (F.col("seconds") * n).alias("elapsed"), "mu", F.sqrt("v").alias("sd"))
-        out = now if out is None else out.unionByName(now)
-    return out
+        mu, v = F.col("factor") * mu + F.col("offset"), F.col("factor") * v * F.col("factor") + F.col("q")
+        after.append(F.struct(F.lit(n).alias("step"), (F.col("seconds") * n).alias("elapsed"), mu.alias("mu"), F.sqrt(v).alias("sd")))
+    return targets.withColumn("q", q).select("world", "i", F.explode(F.array(*after)).alias("s")).select("world", "i", "s.*")
