@@ -89,6 +89,13 @@ def packed_prior() -> Column:
     return F.concat(F.flatten(own), F.array(cell(F.lit("f"), F.lit(SIGMA["f"]))))
 
 
+def packed_mean() -> Column:
+    """The means (i, mu) of a packed world, as :func:`prior` lists them."""
+    cell = lambda i, mu: F.struct(i.alias("i"), mu.cast("double").alias("mu"))
+    own = F.transform("lines", lambda x: F.array(*(cell(_name(k, x), x[k]) for k in "qpd")))
+    return F.concat(F.flatten(own), F.array(cell(F.lit("f"), F.lit(1.0))))
+
+
 def packed_net_rows() -> Column:
     """The rows (r, g) of a packed world's nets, g their gradients by variable, as :func:`net_rows` lists them."""
     return F.transform("lines", lambda x: F.struct(F.concat(F.lit("net:"), x["line"]).alias("r"), F.create_map(*(c for k in "qpdf" for c in (_name(k, x), x[f"g{k}"]))).alias("g")))
