@@ -29,3 +29,11 @@ def test_primitives_without_an_inverse_count_for_nothing(spark):
     assert np.isclose(got[0].overlap, mass(64.0, 4.0)) and got[0].m2 == 64.0 and got[0].wx == 5.0
     assert all(got[k][n] is None for k in (1, 2) for n in ("overlap", "m2", "wx"))
     assert np.isclose(got[3].overlap, 2 * mass(0.5, 8.0)) and got[3].m2 == 0.5 and got[3].wx == 0.5  # of two as near, the first
+
+
+def test_pairs_too_far_apart_to_be_likely_are_left_out_where_they_meet(spark):
+    plan = QUERIES["clash_likely"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    join = next(x for x in plan.split("\n") if "SortMergeJoin" in x)
+    assert "reach_a" in join and "_touch" not in plan
+    all_pairs = {(x.a, x.b): x.p for x in QUERIES["clash_full"](spark, SF).collect()}
+    assert {(x.a, x.b): x.p for x in QUERIES["clash_likely"](spark, SF).collect()} == {k: p for k, p in all_pairs.items() if p >= 0.5}
